@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessitura.llm import quality_rules, sharding
+from tessitura.llm import mixing, quality_rules, sharding, tool_calls, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.query,
+        "op3_url_filters": url_filters.query,
+        "op4_tool_calls": tool_calls.query,
         "op7_sharding": sharding.query,
         "op10_quality_rules": quality_rules.query,
     }
@@ -14,6 +17,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_url_filters": url_filters.oracle(),
+        "op4_tool_calls": tool_calls.oracle(),
         "op7_sharding": sharding.oracle(),
         "op10_quality_rules": quality_rules.oracle(),
     }
