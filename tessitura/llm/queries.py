@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from tessitura.llm import mixing, quality_rules, sharding, tool_calls, url_filters
+from tessitura.llm import jaccard_join, mixing, quality_rules, sharding, tool_calls, url_filters, warc
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.query,
+        "op2_warc": warc.query,
         "op3_url_filters": url_filters.query,
         "op4_tool_calls": tool_calls.query,
         "op7_sharding": sharding.query,
+        "op9_jaccard_join": jaccard_join.query,
         "op10_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": warc.oracle(),
         "op3_url_filters": url_filters.oracle(),
         "op4_tool_calls": tool_calls.oracle(),
         "op7_sharding": sharding.oracle(),
