@@ -83,7 +83,7 @@ def pack(bucket: np.ndarray, arrays: list[np.ndarray], schema: pa.Schema) -> pa.
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
-    stops = np.r_[starts[1:], len(bucket)]
+    stops = np.r_[starts[1:], len(bucket)][: len(starts)]
     columns = [pa.array(bucket[starts], schema.field(0).type)]
     for a in arrays:
         a = np.ascontiguousarray(a[order])
