@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import jaccard_join, mixing, quality_rules, sharding, suffix_dedup, tool_calls, url_filters, warc
+from tessitura.llm import decontamination, jaccard_join, mixing, quality_rules, sharding, suffix_dedup, tool_calls, url_filters, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_warc": warc.query,
         "op3_url_filters": url_filters.query,
         "op4_tool_calls": tool_calls.query,
+        "op5_decontamination": decontamination.query,
         "op6_suffix_dedup": suffix_dedup.query,
         "op7_sharding": sharding.query,
         "op9_jaccard_join": jaccard_join.query,
