@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import decontamination, jaccard_join, mixing, quality_rules, sharding, suffix_dedup, tool_calls, url_filters, warc
+from tessitura.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules, sharding, suffix_dedup, tool_calls, url_filters, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_decontamination": decontamination.query,
         "op6_suffix_dedup": suffix_dedup.query,
         "op7_sharding": sharding.query,
+        "op8_line_dedup": line_dedup.query,
         "op9_jaccard_join": jaccard_join.query,
         "op10_quality_rules": quality_rules.query,
     }
@@ -25,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filters": url_filters.oracle(),
         "op4_tool_calls": tool_calls.oracle(),
         "op7_sharding": sharding.oracle(),
+        "op8_line_dedup": line_dedup.oracle(),
         "op10_quality_rules": quality_rules.oracle(),
     }
