@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import NON_SPACE, SPACES, ascii_lower, null_safe, text_or_empty, words
+from tessitura.session import materialize
 
 
 @dataclass(frozen=True)
@@ -131,7 +132,8 @@ def judge(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
 
 def keep(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The rows of ``docs`` whose verdict is to keep, with all their columns."""
-    judged = judge(docs, limits).filter("kept").select("doc_id", "host", "text_key").distinct()
+    # written first: a filter that is pushed into the lambdas would sort the windows anew for each of them
+    judged = materialize(judge(docs, limits).select("doc_id", "host", "text_key", "kept"), "quality").filter("kept").select("doc_id", "host", "text_key").distinct()
     keyed = docs.withColumn("_text_key", F.xxhash64(text_or_empty(docs["text"])))
     same = keyed["doc_id"].eqNullSafe(judged["doc_id"]) & keyed["source"].eqNullSafe(judged["host"]) & (keyed["_text_key"] == judged["text_key"])
     return keyed.join(judged, same, "left_semi").drop("_text_key")
