@@ -1,14 +1,18 @@
-"""The catalogue of queries over the driver's tables, with their DuckDB oracles."""
+"""The catalogue of queries over the driver's tables, with their DuckDB oracles.
+
+The tables hold no sound, so operators run on columns of the same shape: a track is a user
+(or order, supplier), a source an event type, a level series the values by event_id, a bar a
+day. Every window is partitioned by (track, source).
+"""
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_ORACLES: dict[str, str] = {}
+from tessitura.plans import columnar, extended
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {**columnar.QUERIES, **extended.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {**columnar.ORACLES, **extended.ORACLES}
