@@ -125,15 +125,15 @@ def judge(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     hit = lines.join(flagged, null_safe(lines, flagged, ["host"]) & (lines["line"] == flagged["line"])).select(*[lines[k] for k in key], "pos", "line_words")
     # rows that repeat bring each place more than once; it counts once
     lost = hit.groupBy(*key).agg(F.collect_set(F.struct("pos", "line_words")).alias("_x")).select(*key, F.aggregate("_x", F.lit(0).cast("long"), lambda a, x: a + x["line_words"]).alias("n_lost_words"))
-    base = base_stats(keyed, key)
+    # written first: a filter pushed into the lambdas would sort the windows anew for each of them
+    base = materialize(base_stats(keyed, key), "base-figures")
     out = base.join(lost, null_safe(base, lost, key), "left").select(*[base[k] for k in key], *BASE, F.coalesce("n_lost_words", F.lit(0).cast("long")).alias("n_lost_words"))
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost_words") <= limits.max_lost_percent * F.col("n_words")))
 
 
 def keep(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The rows of ``docs`` whose verdict is to keep, with all their columns."""
-    # written first: a filter that is pushed into the lambdas would sort the windows anew for each of them
-    judged = materialize(judge(docs, limits).select("doc_id", "host", "text_key", "kept"), "quality").filter("kept").select("doc_id", "host", "text_key").distinct()
+    judged = judge(docs, limits).filter("kept").select("doc_id", "host", "text_key").distinct()
     keyed = docs.withColumn("_text_key", F.xxhash64(text_or_empty(docs["text"])))
     same = keyed["doc_id"].eqNullSafe(judged["doc_id"]) & keyed["source"].eqNullSafe(judged["host"]) & (keyed["_text_key"] == judged["text_key"])
     return keyed.join(judged, same, "left_semi").drop("_text_key")
