@@ -151,7 +151,7 @@ def click(n: int = 400) -> np.ndarray:
 
 def kick(n: int = 8000) -> np.ndarray:
     t = np.arange(n) / SAMPLE_RATE
-    return np.sin(2 * np.pi * (60 * t + 4 * (1 - np.exp(-t * 40)))) * np.exp(-t * 18)
+    return np.sin(2 * np.pi * (50 * t + 0.8 * (1 - np.exp(-t * 40)))) * np.exp(-t * 18)
 
 
 def hat(n: int = 3000, seed: int = 3) -> np.ndarray:
