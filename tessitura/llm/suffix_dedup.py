@@ -43,7 +43,8 @@ LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1
 HOT = 4096
 CHUNK = 1 << 20
-BUCKETS, TEXT_BUCKETS = 256, 128
+#: Buckets of a shuffle at least, and bytes of text for each.
+BUCKETS, BUCKET_BYTES = 256, 32 << 20
 _PLACE = np.uint64((1 << 22) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x9FB21C651E98DF25
@@ -127,7 +128,7 @@ def _same_context(gram, ctx):
     return order, new, np.repeat(count, count)
 
 
-def _scan(chunk: int):
+def _scan(chunk: int, buckets: int):
     def run(batches):
         """Anchors of the task's texts, one for each context; those that it shares go on as settled (``on`` < 0)."""
         held, seen = [], set()
@@ -147,7 +148,7 @@ def _scan(chunk: int):
             rest = [x[order] for x in (gram, ctx, text, at, back)]
             # the first of each context stands for it (on + 2^20 if also settled); the others only carry their mark
             mark = np.where(new, np.where(on < 0, -on - 1 + (1 << 20), on), on)
-            return pack((rest[0] >> np.uint64(56)).astype(np.int32), [*rest, mark.astype(np.int32)], _A)
+            return pack((rest[0] % np.uint64(buckets)).astype(np.int32), [*rest, mark.astype(np.int32)], _A)
 
         size = 0
         for part in _pieces(texts(), chunk):
@@ -166,11 +167,11 @@ def _scan(chunk: int):
     return run
 
 
-def _by_text(text, rest) -> pa.RecordBatch:
-    return pack((mix(text.view(np.uint64)) % np.uint64(TEXT_BUCKETS)).astype(np.int32), [text, *rest], _B)
+def _by_text(text, rest, buckets: int) -> pa.RecordBatch:
+    return pack((mix(text.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), [text, *rest], _B)
 
 
-def _shallow(hot: int):
+def _shallow(hot: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         """Settles the contexts that are equal; says which anchors the deep sort needs."""
         gram, ctx, text, at, back, on = _columns(table, ["gram", "ctx", "text", "at", "back", "on"])
@@ -197,7 +198,7 @@ def _shallow(hot: int):
             wanted = np.repeat((contexts > 1) & (undecided > 0), contexts)
             kind[heads[wanted]] |= np.where(np.repeat(contexts, contexts)[wanted] > hot, OPEN | BURST, OPEN).astype(np.uint8)
         out = np.flatnonzero(kind)
-        return pa.Table.from_batches([_by_text(text[out], [first[out], (first + length)[out], at[out], gram[out], kind[out]])], _B)
+        return pa.Table.from_batches([_by_text(text[out], [first[out], (first + length)[out], at[out], gram[out], kind[out]], buckets)], _B)
 
     return run
 
@@ -216,30 +217,33 @@ def _needs(table: pa.Table) -> pa.Table:
 _C_DDL = "bucket int, gram long, text long, at long, first long, last long, body binary"
 
 
-def _contexts(batches):
-    """The bytes of each anchor's windows; for hot groups a row for each window, one of each content, and settled runs (null body)."""
-    seen: set[int] = set()
-    for batch in batches:
-        rows, burst = [], {}
-        for key, t, places in zip(batch.column("key").to_pylist(), texts_of(batch.column("text")), batch.column("places").to_pylist(), strict=True):
-            if key in seen:
-                continue
-            seen.add(key)
-            for first, last, at, gram, kind in np.frombuffer(places, np.int64).reshape(-1, 5).tolist():
-                if kind & BURST:
-                    for s in range(first, last + 1):
-                        w = t[s : s + LENGTH]
-                        burst.setdefault(xxhash.xxh64_intdigest(w, 7), []).append((key, s))
-                else:
-                    rows.append((gram, key, at, first, last, t[first : last + LENGTH]))
-        for w, places in burst.items():
-            g = int(np.uint64(w).astype(np.int64))
-            rows.append((g, places[0][0], -1, places[0][1], places[0][1], b""))
-            if len(places) > 1:
-                rows += [(g, k, -2, s, s, None) for k, s in places]
-        if rows:
-            gram, key, at, first, last, body = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([g % BUCKETS for g in gram], pa.int32()), *(pa.array(x, pa.int64()) for x in (gram, key, at, first, last)), pa.array(body, pa.binary())], names=["bucket", "gram", "text", "at", "first", "last", "body"])
+def _contexts(buckets: int):
+    def run(batches):
+        """The bytes of each anchor's windows; for hot groups a row for each window, one of each content, and settled runs (null body)."""
+        seen: set[int] = set()
+        for batch in batches:
+            rows, burst = [], {}
+            for key, t, places in zip(batch.column("key").to_pylist(), texts_of(batch.column("text")), batch.column("places").to_pylist(), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                for first, last, at, gram, kind in np.frombuffer(places, np.int64).reshape(-1, 5).tolist():
+                    if kind & BURST:
+                        for s in range(first, last + 1):
+                            w = t[s : s + LENGTH]
+                            burst.setdefault(xxhash.xxh64_intdigest(w, 7), []).append((key, s))
+                    else:
+                        rows.append((gram, key, at, first, last, t[first : last + LENGTH]))
+            for w, places in burst.items():
+                g = int(np.uint64(w).astype(np.int64))
+                rows.append((g, places[0][0], -1, places[0][1], places[0][1], b""))
+                if len(places) > 1:
+                    rows += [(g, k, -2, s, s, None) for k, s in places]
+            if rows:
+                gram, key, at, first, last, body = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([g % buckets for g in gram], pa.int32()), *(pa.array(x, pa.int64()) for x in (gram, key, at, first, last)), pa.array(body, pa.binary())], names=["bucket", "gram", "text", "at", "first", "last", "body"])
+
+    return run
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -325,39 +329,42 @@ def deep(rights: list[bytes], lefts: list[bytes]) -> list[list[tuple[int, int]]]
     return found
 
 
-def _deep(table: pa.Table) -> pa.Table:
-    """Runs of starts that repeat, of the contexts of one bucket."""
-    gram, text, at, first, last = (table.column(c).to_numpy() for c in ("gram", "text", "at", "first", "last"))
-    body = table.column("body").to_pylist()
-    order = np.lexsort((first, text, gram))
-    out: list[tuple[int, int, int]] = []
-    cuts = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1]])
-    for i, j in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
-        group = order[i:j].tolist()
-        by_window = [x for x in group if at[x] < 0]
-        if by_window:
-            whole = [x for x in by_window if at[x] == -1]
-            places = {(text[x], first[x]) for x in whole}
-            out += [(text[x], first[x], last[x]) for x in by_window if at[x] == -2 or len(places) > 1]
-        group = [x for n, x in enumerate(group) if at[x] >= 0 and (n == 0 or (text[x], first[x]) != (text[group[n - 1]], first[group[n - 1]]) or at[group[n - 1]] < 0)]
-        if len(group) < 2:
-            continue
-        rights = [body[x][at[x] - first[x] :] for x in group]
-        lefts = [body[x][: at[x] - first[x]][::-1] for x in group]
-        if len(group) == 2:
-            m = [(common(*lefts), common(*rights))]
-            matches = [m, m]
-        else:
-            matches = deep(rights, lefts)
-        for x, ms in zip(group, matches, strict=True):
-            for left, right in ms:
-                if left >= LENGTH - right:
-                    lo, hi = max(first[x], at[x] - left), min(last[x], at[x] - (LENGTH - right))
-                    if lo <= hi:
-                        out.append((text[x], lo, hi))
-    t, lo, hi = (np.array(x, np.int64) for x in (zip(*out, strict=True) if out else ([], [], [])))
-    n = len(t)
-    return pa.Table.from_batches([_by_text(t, [lo, hi, lo, np.zeros(n, np.uint64), np.full(n, SETTLED, np.uint8)])], _B)
+def _deep(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Runs of starts that repeat, of the contexts of one bucket."""
+        gram, text, at, first, last = (table.column(c).to_numpy() for c in ("gram", "text", "at", "first", "last"))
+        body = table.column("body").to_pylist()
+        order = np.lexsort((first, text, gram))
+        out: list[tuple[int, int, int]] = []
+        cuts = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1]])
+        for i, j in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
+            group = order[i:j].tolist()
+            by_window = [x for x in group if at[x] < 0]
+            if by_window:
+                whole = [x for x in by_window if at[x] == -1]
+                places = {(text[x], first[x]) for x in whole}
+                out += [(text[x], first[x], last[x]) for x in by_window if at[x] == -2 or len(places) > 1]
+            group = [x for n, x in enumerate(group) if at[x] >= 0 and (n == 0 or (text[x], first[x]) != (text[group[n - 1]], first[group[n - 1]]) or at[group[n - 1]] < 0)]
+            if len(group) < 2:
+                continue
+            rights = [body[x][at[x] - first[x] :] for x in group]
+            lefts = [body[x][: at[x] - first[x]][::-1] for x in group]
+            if len(group) == 2:
+                m = [(common(*lefts), common(*rights))]
+                matches = [m, m]
+            else:
+                matches = deep(rights, lefts)
+            for x, ms in zip(group, matches, strict=True):
+                for left, right in ms:
+                    if left >= LENGTH - right:
+                        lo, hi = max(first[x], at[x] - left), min(last[x], at[x] - (LENGTH - right))
+                        if lo <= hi:
+                            out.append((text[x], lo, hi))
+        t, lo, hi = (np.array(x, np.int64) for x in (zip(*out, strict=True) if out else ([], [], [])))
+        n = len(t)
+        return pa.Table.from_batches([_by_text(t, [lo, hi, lo, np.zeros(n, np.uint64), np.full(n, SETTLED, np.uint8)], buckets)], _B)
+
+    return run
 
 
 def _marks(table: pa.Table) -> pa.Table:
@@ -409,11 +416,13 @@ def _removed(with_text: bool):
 def remove(docs: DataFrame, with_text: bool = False, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text) what was removed; ``with_text`` adds the remaining bytes as ``kept``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_or_empty(F.col("text"))).alias("key"))
-    shallow = docs.select("key", "text").mapInArrow(_scan(chunk), _A_DDL).groupBy("bucket").applyInArrow(_shallow(hot), _B_DDL)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(BUCKETS, size // BUCKET_BYTES)
+    shallow = docs.select("key", "text").mapInArrow(_scan(chunk, buckets), _A_DDL).groupBy("bucket").applyInArrow(_shallow(hot, buckets), _B_DDL)
     shallow = materialize(shallow, "anchors")
     needs = shallow.groupBy("bucket").applyInArrow(_needs, "n_key long, places binary")
     asked = docs.join(needs, docs["key"] == needs["n_key"]).select("key", "text", "places")
-    found = asked.mapInArrow(_contexts, _C_DDL).groupBy("bucket").applyInArrow(_deep, _B_DDL)
+    found = asked.mapInArrow(_contexts(buckets), _C_DDL).groupBy("bucket").applyInArrow(_deep(buckets), _B_DDL)
     marks = shallow.unionByName(found).groupBy("bucket").applyInArrow(_marks, "m_key long, spans binary")
     copies = docs.filter(F.octet_length("text") >= LENGTH).groupBy(F.col("key").alias("c_key")).agg(F.count("*").alias("copies")).filter("copies > 1")
     all_marks = marks.join(copies, marks["m_key"] == copies["c_key"], "full_outer").select(F.coalesce("m_key", "c_key").alias("m_key"), "spans", "copies")
