@@ -11,9 +11,10 @@ region's join must see besides its own, and regions are joined recursively and e
    frequencies, so frequent shingles make no regions. Regions that overlap are merged to
    components of this candidate graph; in each region (by size) only a star of edges is
    made, never its pairs.
-3. A component whose shingles exceed ``region_limit`` is thinned where it lies, in rounds: all
-   its classes are measured against one pivot; those within 0.2 link to it and leave, unless a
-   class outside lies in their triangle window.
+3. Components whose shingles exceed ``region_limit`` go through step 2 again among themselves, with
+   a sketch of their own that is sharper by as much as they are fewer. Those that stay
+   too large are first thinned where they lie: all classes are measured against one pivot; those
+   within 0.2 link to it and leave, unless a class outside lies in their triangle window.
 4. The others are joined in tasks: first split again by the exact local order, then by
    pivots: one pivot, its ball (d <= 0.2) is linked, members of the ball meet those outside
    only inside the window |d(x,p) - d(y,p)| <= 0.2, and the outside recurses.
@@ -21,7 +22,7 @@ region's join must see besides its own, and regions are joined recursively and e
 Document pivots alone don't cut this space: two texts that share nothing have distance 1, as
 far as any other pair, so every triangle window would hold everything. Hence step 2.
 
-Nothing is sampled or capped. The driver gets the sketch (1 MB) and counts.
+Nothing is sampled or capped. The driver gets the sketch (a fixed 16 MB; 4 MB go out) and counts.
 
 Defined cases: a null text or one without words has the empty set and links with nothing;
 repeated rows and equal sets share a component; a null ``doc_id`` counts as no smallest id
@@ -41,10 +42,10 @@ from tessitura.session import materialize
 
 K = 5
 PERCENT = 80
-SKETCH_BITS = 18
-CHUNK = 1 << 10
+SKETCH_BITS = 22
+CHUNK = 1 << 14
 #: Shingles of a component that one task may hold.
-REGION_LIMIT = 8_000_000
+REGION_LIMIT = 4_000_000
 #: Keys of a bucket and text bytes of a task, about.
 BUCKET_KEYS, TASK_BYTES = 400_000, 12_000_000
 
@@ -61,39 +62,45 @@ def linked(shared, n, m):
 
 def _scan(batches):
     """Rows of documents, then rows of the sketch's chunks."""
-    hashes, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
+    hashes, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int32)
     for batch in batches:
         sets = shingle_sets(texts_of(batch.column("text")), hashes, K)
         cls = pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())
         if any(len(s) for s in sets):
-            sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), cls, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "cls", "chunk", "counts"])
-    rows = sketch.reshape(-1, CHUNK)
+    rows = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, CHUNK)  # more in one task is frequent enough
     full = np.flatnonzero(rows.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64())] * 3 + [pa.array(full, pa.int32()), pa.array([rows[i].tobytes() for i in full], pa.binary())], names=["doc_id", "n", "cls", "chunk", "counts"])
 
 
-def _add_chunks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, np.int64)
-    for blob in table.column("counts").to_pylist():
-        total += np.frombuffer(blob, np.int64)
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+def _adder(kind):
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int64)
+        for blob in table.column("counts").to_pylist():
+            total += np.frombuffer(blob, kind)
+        total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    return add
 
 
 def _sketch(scan: DataFrame) -> np.ndarray:
+    """The rank, 0 to 255, of each cell of the sketch: 64 for the mean, 64 log2(1 + count / mean)."""
     schema = "chunk int, salt int, counts binary"
-    rows = scan.filter("chunk is not null").select("chunk", F.pmod(F.xxhash64("counts"), F.lit(64)).cast("int").alias("salt"), "counts")
-    rows = rows.groupBy("chunk", "salt").applyInArrow(_add_chunks, schema).groupBy("chunk").applyInArrow(_add_chunks, schema)
-    out = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, np.int64).reshape(-1, CHUNK)
-    for r in rows.select("chunk", "counts").collect():  # at most 256 rows of 8 KB
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(255, 4 * np.log2(out.ravel() + 1.0)).astype(np.uint64)
+    rows = scan.filter("chunk is not null").select("chunk", F.pmod(F.xxhash64("counts"), F.lit(256)).cast("int").alias("salt"), "counts")
+    rows = rows.groupBy("chunk", "salt").applyInArrow(_adder(np.uint8), schema).groupBy("chunk").applyInArrow(_adder(np.uint32), schema)
+    out = np.zeros(((1 << SKETCH_BITS) // CHUNK, CHUNK), np.float64)
+    for r in rows.select("chunk", "counts").collect():  # 256 rows of 64 KB
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint32)
+    out = out.ravel()
+    return np.minimum(255, 64 * np.log2(1 + out / max(out.mean(), 1e-9))).astype(np.uint8)
 
 
 def _ordered(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The place of each shingle in the global order: rare ones first."""
-    return (rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(56)) | (s & np.uint64((1 << 56) - 1))
+    return (rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s & np.uint64((1 << 56) - 1))
 
 
 def _prefixes(rank, buckets: int):
@@ -273,54 +280,71 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("region"), batch.column("n"), pa.array(own, pa.int64()), batch.column("pivot"), pa.array(m, pa.int64()), pa.array(shared, pa.int64())], names=["cls", "region", "n", "own", "pivot", "m", "shared"])
 
 
-def _thin(docs: DataFrame, reps: DataFrame, limit: int):
-    """Rounds of one pivot for each too large region; gives what is left and the links found."""
-    found = []
-    while True:
-        sizes = reps.groupBy("region").agg(F.sum("n").alias("_size"), F.count("*").alias("_many"), F.min("cls").alias("pivot"))
-        big = sizes.filter((F.col("_size") > limit) & (F.col("_many") > 1)).select(F.col("region").alias("_r"), "pivot")
-        if not big.limit(1).count():
-            return reps, found
-        big = materialize(big, "pivots")
-        inside = reps.join(big, reps["region"] == big["_r"]).drop("_r")
-        texts = docs.select(F.col("doc_id").alias("_id"), "text")
-        pivots = inside.filter("cls = pivot")
-        pivots = materialize(pivots.join(texts, pivots["rep"].eqNullSafe(texts["_id"])).select(F.col("cls").alias("_p"), F.col("text").alias("pivot_text")).groupBy("_p").agg(F.min("pivot_text").alias("pivot_text")), "pivots")
-        rows = inside.join(texts, inside["rep"].eqNullSafe(texts["_id"]))
-        rows = rows.join(pivots, rows["pivot"] == pivots["_p"]).select("text", "pivot_text", "cls", "region", "n", "pivot")
-        d = rows.mapInArrow(_measure, "cls long, region long, n long, own long, pivot long, m long, shared long").filter("own = cls").dropDuplicates(["cls"])
-        union = F.col("n") + F.col("m") - F.col("shared")
-        d = materialize(d.withColumn("ball", 100 * F.col("shared") >= PERCENT * union).withColumn("d", 1.0 - F.col("shared") / union), "measured")
-        found.append(d.filter("ball and cls <> pivot").select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b")))
-        t = 1 - PERCENT / 100 + 1e-9
-        rim = d.filter("not ball").groupBy(F.col("region").alias("_r")).agg(F.min("d").alias("_least"))
-        stay = d.join(rim, d["region"] == rim["_r"], "left").filter((F.col("cls") != F.col("pivot")) & (~F.col("ball") | (F.col("d") >= F.col("_least") - t))).select(F.col("cls").alias("_c"))
-        keep = reps.join(big, reps["region"] == big["_r"], "left_anti").unionByName(inside.drop("pivot").join(stay, F.col("cls") == F.col("_c"), "left_semi"))
-        reps = materialize(keep, "thinned")
+def _thin(inside: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pivot for each region of (cls, n, rep, region, text): the links to it, and the classes that are left."""
+    pivots = inside.groupBy("region").agg(F.min_by(F.struct(F.col("cls").alias("pivot"), F.col("text").alias("pivot_text")), "cls").alias("_p")).select(F.col("region").alias("_r"), "_p.*")
+    pivots = materialize(pivots, "pivots")
+    rows = inside.join(pivots, inside["region"] == pivots["_r"]).select("text", "pivot_text", "cls", "region", "n", "pivot")
+    d = rows.mapInArrow(_measure, "cls long, region long, n long, own long, pivot long, m long, shared long").filter("own = cls").dropDuplicates(["cls"])
+    union = F.col("n") + F.col("m") - F.col("shared")
+    d = materialize(d.withColumn("ball", 100 * F.col("shared") >= PERCENT * union).withColumn("d", 1.0 - F.col("shared") / union), "measured")
+    links = d.filter("ball and cls <> pivot").select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b"))
+    t = 1 - PERCENT / 100 + 1e-9
+    rim = d.filter("not ball").groupBy(F.col("region").alias("_r")).agg(F.min("d").alias("_least"))
+    stay = d.join(rim, d["region"] == rim["_r"], "left").filter((F.col("cls") != F.col("pivot")) & (~F.col("ball") | (F.col("d") >= F.col("_least") - t))).select(F.col("cls").alias("_c"))
+    return links, materialize(inside.join(stay, inside["cls"] == stay["_c"], "left_semi"), "thinned")
+
+
+def _regions(docs: DataFrame, scan: DataFrame) -> DataFrame:
+    """(node, label) of all classes of ``docs`` that share a shingle's region with another."""
+    rank = docs.sparkSession.sparkContext.broadcast(_sketch(scan))
+    total = scan.agg(F.sum("n")).first()[0] or 0
+    buckets = max(64, int(total * 0.21) // BUCKET_KEYS)
+    packed = docs.mapInArrow(_prefixes(rank, buckets), "bucket long, key binary, cls binary, n binary")
+    return components(packed.groupBy("bucket").applyInArrow(_stars, "a long, b long"))
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    return materialize(docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n long, cls long, chunk int, counts binary"), "shingles")
 
 
 def classify(docs: DataFrame, region_limit: int = REGION_LIMIT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = materialize(docs.mapInArrow(_scan, "doc_id long, n long, cls long, chunk int, counts binary"), "shingles")
+    scan = _scanned(docs)
     slim = scan.filter("chunk is null").select("doc_id", "n", "cls")
-    rank = spark.sparkContext.broadcast(_sketch(scan))
-
-    total = slim.agg(F.sum("n")).first()[0] or 0
-    buckets = max(64, int(total * 0.21) // BUCKET_KEYS)
-    packed = docs.mapInArrow(_prefixes(rank, buckets), "bucket long, key binary, cls binary, n binary")
-    candidates = packed.groupBy("bucket").applyInArrow(_stars, "a long, b long")
-    regions = components(candidates)
-
+    regions = _regions(docs, scan)
     reps = slim.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id")).alias("_x"), F.min("n").alias("n")).select("cls", "n", F.col("_x.doc_id").alias("rep"))
     reps = materialize(reps.join(regions, reps["cls"] == regions["node"]).select("cls", "n", "rep", F.col("label").alias("region")), "regions")
-    reps, found = _thin(docs, reps, region_limit)
+
+    done, found, before = [], [], None
+    texts = docs
+    while True:
+        sizes = reps.groupBy("region").agg(F.sum("n").alias("_size"), F.count("*").alias("_many"))
+        big = sizes.filter((F.col("_size") > region_limit) & (F.col("_many") > 1)).select(F.col("region").alias("_r"), "_size")
+        size = big.agg(F.sum("_size")).first()[0]
+        if not size:
+            done.append(reps)
+            break
+        big = materialize(big, "big")
+        done.append(reps.join(big, reps["region"] == big["_r"], "left_anti"))
+        inside = reps.join(big, reps["region"] == big["_r"], "left_semi")
+        inside = materialize(inside.join(texts.select(F.col("doc_id").alias("_id"), "text"), inside["rep"].eqNullSafe(F.col("_id"))).drop("_id"), "inside")
+        if before is not None and size > 0.5 * before:
+            links, inside = _thin(inside)
+            found.append(links)
+        before, texts = size, inside.select(F.col("rep").alias("doc_id"), "text")
+        regions = _regions(texts, _scanned(texts))
+        known = inside.select("cls", "n", "rep").distinct()
+        reps = materialize(known.join(regions, known["cls"] == regions["node"]).select("cls", "n", "rep", F.col("label").alias("region")), "regions")
+    reps = done[0]
+    for x in done[1:]:
+        reps = reps.unionByName(x)
 
     weight = reps.agg(F.sum("n")).first()[0] or 0
     tasks = max(16, int(weight) * 7 // TASK_BYTES)
-    texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("text", "cls", "region", F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("_task"))
-    solved = materialize(texts.groupBy("_task").applyInArrow(_solve, "a long, b long"), "links")
+    rows = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("text", "cls", "region", F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("_task"))
+    solved = materialize(rows.groupBy("_task").applyInArrow(_solve, "a long, b long"), "links")
     if found:  # thinned regions have links to their pivots besides
         for x in found:
             solved = solved.unionByName(x)
