@@ -2,7 +2,7 @@
 
 1. Words (A-Z lower-cased, ASCII punctuation is space) are hashed to ``FEATURES`` features;
    document frequencies are counted over all documents.
-2. Passages are blocks of 16 words; their TF-IDF rows A are never stored. The range finder of
+2. Passages are blocks of 64 words; their TF-IDF rows A are never stored. The range finder of
    the randomised SVD takes one pass, Y = A'(A R) with a random R, summed over tasks in pieces; its
    orthonormal basis Q is made on the driver (FEATURES x RANK numbers, whatever the corpus).
    A second pass sums (A Q)'(A Q), whose eigenvectors give the right singular vectors. All
@@ -10,7 +10,8 @@
 3. Every window of about an item's length, at every 16th word, is compared with every item by
    cosine of the centred latent vectors scaled to unit variance, in blocks of items. Windows
    above ``min_cosine`` make their document a candidate for the item.
-4. Candidates are checked on words: some stretch of the document as long as the item must hold
+4. Candidates are checked on words: the document must have words of the item worth ``min_share`` of
+   its IDF mass, some stretch of the document as long as the item must hold
    ``min_share`` of the item's IDF mass, the longest common subsequence around it must have
    ``min_share`` of the item's words, and where it has less than ``sure_share`` the answer, the item's
    last ``ANSWER`` words, must be there for the greater part.
@@ -35,7 +36,7 @@ from tessitura.llm.shingle import WordHashes, texts_of
 from tessitura.session import materialize
 
 FEATURE_BITS = 13
-FEATURES, RANK, BLOCK = 1 << FEATURE_BITS, 96, 16
+FEATURES, RANK, BLOCK, PASSAGE = 1 << FEATURE_BITS, 64, 16, 64
 ANSWER = 5
 ITEM_BLOCK = 4096
 ROWS = 128  # of Y in one piece
@@ -96,37 +97,47 @@ def _blocks(ids: np.ndarray, weighted: np.ndarray) -> np.ndarray:
     return rows.reshape(n, BLOCK, -1).sum(1)
 
 
-def _texts_in_parts(batches, most: int = 100_000):
-    """Features of many texts at once, each text padded to whole blocks (pad is ``FEATURES``)."""
+def _pairs_in_parts(batches, most: int = 100_000):
+    """TF of many texts at once: (passage, feature, count) of the pairs, by passage and feature, and where each passage starts."""
     held, size = [], 0
+
+    def pairs():
+        ids = np.concatenate(held)
+        key = (np.arange(len(ids), dtype=np.int32) // PASSAGE) * np.int32(FEATURES + 1) + ids
+        key, count = np.unique(key[ids < FEATURES], return_counts=True)
+        passage, feature = np.divmod(key, np.int32(FEATURES + 1))
+        return passage, feature, count.astype(np.float32), np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+
     for batch in batches:
         for blob in batch.column("ids").to_pylist():
-            ids = np.frombuffer(blob, np.uint16).astype(np.int64)
-            held.append(np.r_[ids, np.full(-len(ids) % BLOCK, FEATURES)])
-            size += len(held[-1])
-            if size > most:
-                yield np.concatenate(held)
-                held, size = [], 0
+            ids = np.frombuffer(blob, np.uint16).astype(np.int32)
+            for a in range(0, len(ids), most):
+                part = ids[a : a + most]
+                held.append(np.r_[part, np.full(-len(part) % PASSAGE, FEATURES, np.int32)])
+                size += len(held[-1])
+                if size > most:
+                    yield pairs()
+                    held, size = [], 0
     if held:
-        yield np.concatenate(held)
+        yield pairs()
 
 
 def _range(idf, rank: int, seed: int):
     """A'(A R): passages' rows scaled to unit length."""
 
     def run(batches):
-        w = np.r_[idf.value, 0.0].astype(np.float32)
-        r = np.vstack([np.random.default_rng(seed).standard_normal((FEATURES, rank)), np.zeros((1, rank))]).astype(np.float32) * w[:, None]
-        y = np.zeros((FEATURES + 1, rank), np.float32)
-        for ids in _texts_in_parts(batches):
-            b = r[ids].reshape(-1, BLOCK, rank).sum(1)
-            length = (w[ids] ** 2).reshape(-1, BLOCK).sum(1)
-            b /= np.maximum(length, 1e-6)[:, None]
-            order = np.argsort(ids.astype(np.uint16), kind="stable")
-            s = ids[order]
-            cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            y[s[cuts]] += np.add.reduceat(b[order // BLOCK], cuts, axis=0)
-        y = y[:FEATURES] * w[:FEATURES, None]
+        w = idf.value.astype(np.float32)
+        r = np.random.default_rng(seed).standard_normal((FEATURES, rank)).astype(np.float32)
+        y = np.zeros((FEATURES, rank), np.float32)
+        for passage, feature, count, starts in _pairs_in_parts(batches):
+            x = count * w[feature]
+            rows = np.add.reduceat(r[feature] * x[:, None], starts, axis=0)
+            rows /= np.maximum(np.add.reduceat(x * x, starts), 1e-6)[:, None]
+            number = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(passage)]))
+            order = np.argsort(feature.astype(np.uint16), kind="stable")
+            f = feature[order]
+            cuts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+            y[f[cuts]] += np.add.reduceat(rows[number[order]] * x[order][:, None], cuts, axis=0)
         pieces = y.reshape(-1, ROWS * rank)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["piece", "v"])
 
@@ -134,18 +145,19 @@ def _range(idf, rank: int, seed: int):
 
 
 def _moments(basis):
-    """(A Q)'(A Q), the sum of A Q and the number of passages."""
+    """(A Q)'(A Q), the sum of A Q, the number of passages and of words."""
 
     def run(batches):
-        q = np.vstack([basis.value, np.zeros((1, basis.value.shape[1]))]).astype(np.float32)
+        q = basis.value.astype(np.float32)
         k = q.shape[1]
-        c, m, n = np.zeros((k, k)), np.zeros(k), 0
-        for ids in _texts_in_parts(batches):
-            b = q[ids].reshape(-1, BLOCK, k).sum(1)
+        c, m, n, words = np.zeros((k, k)), np.zeros(k), 0, 0.0
+        for passage, feature, count, starts in _pairs_in_parts(batches):
+            b = np.add.reduceat(q[feature] * count[:, None], starts, axis=0)
             c += b.T @ b
             m += b.sum(0)
             n += len(b)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.r_[c.ravel(), m, float(n)].tobytes()], pa.binary())], names=["piece", "v"])
+            words += float(count.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.r_[c.ravel(), m, float(n), words].tobytes()], pa.binary())], names=["piece", "v"])
 
     return run
 
@@ -175,12 +187,12 @@ def fit(docs: DataFrame, rank: int = RANK, seed: int = 5) -> Latent:
     basis, _ = np.linalg.qr(np.concatenate([y[i] for i in sorted(y)]).reshape(FEATURES, rank).astype(np.float64))
     weighted = basis * idf[:, None]
     sums = _summed(tokens.mapInArrow(_moments(sc.broadcast(weighted)), "piece int, v binary"), np.float64)[0]
-    n = max(sums[-1], 1.0)
-    mean = sums[rank * rank : -1] / n
+    n, total = max(sums[-2], 1.0), sums[rank * rank : -2]
+    mean = total / n
     values, vectors = np.linalg.eigh(sums[: rank * rank].reshape(rank, rank) / n - np.outer(mean, mean))
     scale = np.where(values > 1e-9 * max(values.max(), 1e-30), 1 / np.sqrt(np.maximum(values, 1e-30)), 0.0)
     turn = vectors * scale
-    return Latent(idf, basis @ turn, mean @ turn)
+    return Latent(idf, basis @ turn, total @ turn * (BLOCK / max(sums[-1], 1.0)))
 
 
 def lcs(item: list[int], text: list[int]) -> int:
@@ -212,13 +224,30 @@ class Items:
         self.vocabulary = np.unique(np.concatenate(self.words)) if rows else np.empty(0, np.uint64)
         weight = latent.idf[features(self.vocabulary)] + 1e-3
         self.mass = []  # of each item: weight of each known word that it has; the last place is for all others
-        self.total = []
+        self.total, flat = [], []
         for w in self.words:
             at = np.searchsorted(self.vocabulary, w)
+            flat.append(at)
             m = np.zeros(len(self.vocabulary) + 1, np.float32)
             m[at] = weight[at]
             self.mass.append(m)
             self.total.append(float(weight[at].sum()))
+        self.flat = np.concatenate(flat) if rows else np.empty(0, np.int64)
+        self.flat_weight = weight[self.flat].astype(np.float32) if rows else np.empty(0, np.float32)
+        self.flat_starts = np.r_[0, np.cumsum([len(w) for w in self.words])[:-1]].astype(np.int64)
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """Places of the words in the vocabulary, its length for all others."""
+        code = np.searchsorted(self.vocabulary, words)
+        code[code == len(self.vocabulary)] = 0
+        code[self.vocabulary[code] != words] = len(self.vocabulary)
+        return code
+
+    def present(self, code: np.ndarray) -> np.ndarray:
+        """Share of each item's mass whose words occur anywhere."""
+        there = np.zeros(len(self.vocabulary) + 1, np.float32)
+        there[code] = 1
+        return np.add.reduceat(self.flat_weight * there[self.flat], self.flat_starts) / np.array(self.total)
 
 
 def _search(latent_b, items_b, min_share: float, sure_share: float, min_cosine: float):
@@ -226,54 +255,73 @@ def _search(latent_b, items_b, min_share: float, sure_share: float, min_cosine:
         latent, items = latent_b.value, items_b.value
         look = WordHashes().__getitem__
         for batch in batches:
-            out = []
+            out, held, size = [], [], 0
             for doc, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 words = word_hashes(t, look)
-                if len(words):
-                    out += [(doc, *hit) for hit in find(words, latent, items, min_share, sure_share, min_cosine)]
+                if len(words) and items.words:
+                    held.append((doc, words))
+                    size += len(words)
+                if size > 50_000:
+                    out += find(held, latent, items, min_share, sure_share, min_cosine)
+                    held, size = [], 0
+            if held:
+                out += find(held, latent, items, min_share, sure_share, min_cosine)
             doc, item, share, cosine, at, answer = zip(*out, strict=True) if out else ([],) * 6
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(cosine, pa.float64()), pa.array(at, pa.int64()), pa.array(answer, pa.bool_())], names=["doc_id", "item_id", "lcs_share", "cosine", "at_word", "answer_found"])
 
     return run
 
 
-def find(words: np.ndarray, latent: Latent, items: Items, min_share: float, sure_share: float, min_cosine: float):
-    """(item_id, share, cosine, place, answer found) for the items in one text."""
-    b = latent.blocks(words)
-    sums = np.vstack([np.zeros((1, b.shape[1]), np.float32), np.cumsum(b, axis=0, dtype=np.float32)])
-    code = None
+def cosines(texts: list[np.ndarray], latent: Latent, items: Items) -> np.ndarray:
+    """The best cosine of each item (columns) with a window of each text (rows)."""
+    blocks = [latent.blocks(w) for w in texts]
+    sizes = np.array([len(b) for b in blocks])
+    first = np.r_[0, np.cumsum(sizes)[:-1]]
+    last = np.repeat(first + sizes, sizes)
+    sums = np.vstack([np.zeros((1, blocks[0].shape[1])), np.cumsum(np.concatenate(blocks), axis=0, dtype=np.float64)])
+    at = np.arange(len(last))
+    out = np.empty((len(texts), len(items.words)), np.float32)
     for span, which in items.by_span.items():
-        ends = np.minimum(np.arange(len(b)) + span, len(b))
-        w = sums[ends] - sums[: len(b)]
-        w /= np.maximum(np.sqrt((w * w).sum(1)), 1e-9)[:, None]
-        best = (w @ items.vectors[which].T).max(0)
-        for i, cosine in zip(which[best >= min_cosine].tolist(), best[best >= min_cosine].tolist(), strict=True):
-            if code is None:
-                code = np.searchsorted(items.vocabulary, words)
-                code[code == len(items.vocabulary)] = 0
-                code[items.vocabulary[code] != words] = len(items.vocabulary)
-            n = len(items.words[i])
-            c = np.cumsum(items.mass[i][code])
-            mass = c if len(c) <= n else np.r_[c[n - 1], c[n:] - c[:-n]]
-            mass = mass[-1:] if len(c) <= n else mass
-            places = np.flatnonzero(mass >= min_share * items.total[i])
-            if not len(places):
-                continue
-            item, hit = items.words[i].tolist(), None
-            for run in np.split(places, np.flatnonzero(np.diff(places) > n) + 1):
-                at = int(run[np.argmax(mass[run])])
-                around = words[max(0, at - n // 2) : at + n + n // 2].tolist()
-                share = lcs(item, around) / n
-                if share >= min_share and (hit is None or share > hit[0]):
-                    answer = item[-ANSWER:]
-                    found = 2 * lcs(answer, around) > len(answer)
-                    if share >= sure_share or found:
-                        hit = (share, at, found)
+        w = (sums[np.minimum(at + span, last)] - sums[at]).astype(np.float32)
+        w /= np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-9)[:, None]
+        out[:, which] = np.maximum.reduceat(w @ items.vectors[which].T, first, axis=0)
+    return out
+
+
+def find(rows: list[tuple[int, np.ndarray]], latent: Latent, items: Items, min_share: float, sure_share: float, min_cosine: float):
+    """(doc_id, item_id, share, cosine, place, answer found) for the items in some texts."""
+    best = cosines([w for _, w in rows], latent, items)
+    for (doc, words), cosine in zip(rows, best, strict=True):
+        near = cosine >= min_cosine
+        if not near.any():
+            continue
+        code = items.codes(words)
+        for i in np.flatnonzero(near & (items.present(code) >= min_share - 1e-6)).tolist():
+            hit = check(words, code, i, items, min_share, sure_share)
             if hit:
-                yield items.ids[i], round(hit[0], 4), round(cosine, 3), hit[1], hit[2]
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6, sure_share: float = 0.9, min_cosine: float = 0.25, rank: int = RANK) -> DataFrame:
+                yield doc, items.ids[i], round(hit[0], 4), round(float(cosine[i]), 3), hit[1], hit[2]
+
+
+def check(words: np.ndarray, code: np.ndarray, i: int, items: Items, min_share: float, sure_share: float):
+    """(share, place, answer found) of one item in one text, or None."""
+    n = len(items.words[i])
+    c = np.cumsum(items.mass[i][code])
+    mass = c[-1:] if len(c) <= n else np.r_[c[n - 1], c[n:] - c[:-n]]
+    places = np.flatnonzero(mass >= min_share * items.total[i] - 1e-3)
+    item, hit = items.words[i].tolist(), None
+    for run in np.split(places, np.flatnonzero(np.diff(places) > n) + 1) if len(places) else []:
+        at = int(run[np.argmax(mass[run])])
+        around = words[max(0, at - n // 2) : at + n + n // 2].tolist()
+        share = lcs(item, around) / n
+        if share >= min_share and (hit is None or share > hit[0]):
+            answer = item[-ANSWER:]
+            found = 2 * lcs(answer, around) > len(answer)
+            if share >= sure_share or found:
+                hit = (share, at, found)
+    return hit
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6, sure_share: float = 0.9, min_cosine: float = 0.2, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, lcs_share, cosine, at_word, answer_found) of the documents that hold an item."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
