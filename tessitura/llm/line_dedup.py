@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join (operator 8). DataFrame functions only.
 
-Lines are normalised (A-Z lower-cased, white space folded). A line goes if an earlier line of
+Lines are normalised (lower-cased, white space folded). A line goes if an earlier line of
 the corpus, by (doc_id, line number), is equal or, for lines of ``MIN_WORDS`` words or more,
 within an edit distance of one word. Lines without a word always stay.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import NON_SPACE, SPACES, ascii_lower, null_safe, text_or_empty
+from tessitura.llm.common import NON_SPACE, SPACES, null_safe, text_or_empty
 from tessitura.session import materialize
 
 MIN_WORDS = 5
@@ -32,7 +32,7 @@ LAST = (1 << 63) - 1
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(line), SPACES, " "))
+    return F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -65,13 +65,13 @@ def one_edit(a: Column, b: Column) -> Column:
     return near & (_common_start(a, b) + _common_start(F.reverse(a), F.reverse(b)) >= most - 1)
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """(key, partner): lines (key, doc, pos, norm) with an earlier line one edit away, and the earliest found."""
-    worded = lines.withColumn("_w", F.split("norm", " ")).filter(F.size("_w") >= MIN_WORDS)
-    keys = worded.select("key", F.explode(_halves(F.col("_w"))).alias("half")).distinct()
-    shared = keys.groupBy("half").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("half").alias("_h"))
+def near_lines(lines: DataFrame, slim: DataFrame) -> DataFrame:
+    """(key, partner): lines (key, doc, pos, norm; ``slim`` has their halves) with an earlier line one edit away, and the earliest found."""
+    keys = slim.filter("halves is not null").select("key", F.xxhash64("key").alias("k8"), F.explode("halves").alias("half"))
+    # more than one distinct line has the half: its least and greatest differ
+    shared = keys.groupBy("half").agg(F.min("k8").alias("_a"), F.max("k8").alias("_b")).filter("_a <> _b").select(F.col("half").alias("_h"))
     alive = keys.join(shared, keys["half"] == shared["_h"], "left_semi").select(F.col("key").alias("_k")).distinct()
-    left = worded.join(alive, worded["key"] == alive["_k"], "left_semi")
+    left = lines.join(alive, lines["key"] == alive["_k"], "left_semi")
     first = F.min(F.struct("doc", "pos"))
     left = materialize(left.groupBy("key").agg(first.alias("_f"), F.any_value("norm").alias("norm")).select("key", "_f.doc", "_f.pos", "norm"), "lines")
 
@@ -103,9 +103,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept) for every row of ``docs`` (doc_id, text); ``kept`` is the remaining text."""
     docs = docs.select("doc_id", "text", F.xxhash64(text_or_empty(F.col("text"))).alias("text_key"))
     lines = _lines(docs)
-    slim = materialize(lines.select("doc_id", "doc", "text_key", "pos", "key"), "line-places")
+    w = F.split("norm", " ")
+    halves = F.when(F.size(w) >= MIN_WORDS, _halves(w))
+    slim = materialize(lines.select("doc_id", "doc", "text_key", "pos", "key", halves.alias("halves")), "line-places")
     first = slim.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("_n")).filter("_n > 1").select(F.col("key").alias("_k"), "first")
-    near = near_lines(lines).select(F.col("key").alias("_k")).distinct().withColumn("near", F.lit(True))
+    near = near_lines(lines, slim).select(F.col("key").alias("_k")).distinct().withColumn("near", F.lit(True))
     marks = first.join(near, "_k", "full_outer")
     hit = slim.join(marks, slim["key"] == marks["_k"]).filter(F.coalesce("near", F.lit(False)) | (F.struct("doc", "pos") > F.col("first")))
     out = hit.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
@@ -126,7 +128,7 @@ def oracle() -> str:
     ws = r"[\x20\x09-\x0D]+"
     return rf"""
 with l as (select doc_id, coalesce(doc_id, 9223372036854775807) doc, unnest(range(len(string_split(text, chr(10))))) p, string_split(text, chr(10)) ls from documents where text is not null),
-n as (select doc_id, doc, p, ls[p + 1] l, trim(regexp_replace(translate(ls[p + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ws}', ' ', 'g')) x from l),
+n as (select doc_id, doc, p, ls[p + 1] l, trim(regexp_replace(lower(ls[p + 1]), '{ws}', ' ', 'g')) x from l),
 f as (select x, min({{'d': doc, 'p': p}}) f from n where x <> '' group by x),
 w as (select x, f, string_split(x, ' ') w from f where len(string_split(x, ' ')) >= {MIN_WORDS}),
 v as (select x, f, -1 i, x v from w union all select x, f, i, array_to_string(list_concat(w[:i], w[i + 2:]), ' ') from (select x, f, w, unnest(range(len(w))) i from w)),
