@@ -48,6 +48,8 @@ CHUNK = 1 << 14
 REGION_LIMIT = 4_000_000
 #: Keys of a bucket and text bytes of a task, about.
 BUCKET_KEYS, TASK_BYTES = 400_000, 12_000_000
+#: Rows of four numbers that are sent to all executors (about 20 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def needed(n):
@@ -304,6 +306,11 @@ def _regions(docs: DataFrame, scan: DataFrame) -> DataFrame:
     return components(packed.groupBy("bucket").applyInArrow(_stars, "a long, b long"))
 
 
+def _small(reps: DataFrame) -> DataFrame:
+    """Marked for broadcast if counted to be small, so that texts stay where they are."""
+    return F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+
+
 def _scanned(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n long, cls long, chunk int, counts binary"), "shingles")
 
@@ -329,7 +336,9 @@ def classify(docs: DataFrame, region_limit: int = REGION_LIMIT) -> DataFrame:
         big = materialize(big, "big")
         done.append(reps.join(big, reps["region"] == big["_r"], "left_anti"))
         inside = reps.join(big, reps["region"] == big["_r"], "left_semi")
-        inside = materialize(inside.join(texts.select(F.col("doc_id").alias("_id"), "text"), inside["rep"].eqNullSafe(F.col("_id"))).drop("_id"), "inside")
+        inside = _small(inside)
+        named = texts.select(F.col("doc_id").alias("_id"), "text")
+        inside = materialize(named.join(inside, named["_id"].eqNullSafe(inside["rep"])).select("cls", "n", "rep", "region", "text"), "inside")
         if before is not None and size > 0.5 * before:
             links, inside = _thin(inside)
             found.append(links)
@@ -343,6 +352,7 @@ def classify(docs: DataFrame, region_limit: int = REGION_LIMIT) -> DataFrame:
 
     weight = reps.agg(F.sum("n")).first()[0] or 0
     tasks = max(16, int(weight) * 7 // TASK_BYTES)
+    reps = _small(reps)
     rows = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("text", "cls", "region", F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("_task"))
     solved = materialize(rows.groupBy("_task").applyInArrow(_solve, "a long, b long"), "links")
     if found:  # thinned regions have links to their pivots besides
