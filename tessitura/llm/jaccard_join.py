@@ -231,7 +231,8 @@ class Region:
     def around(self, idx: np.ndarray, todo: list, whole: list) -> None:
         """Links a pivot's ball, joins its rim with what lies just outside, leaves the outside to do."""
         pivot, rest = int(idx[0]), idx[1:]
-        near = rest[(self.n[rest] >= needed(self.n[pivot])) & (self.n[pivot] >= needed(self.n[rest]))] if len(rest) < 3 else rest
+        # with more than one other, all are measured: what no size lets link with the pivot may link with its ball
+        near = rest[(self.n[rest] >= needed(self.n[pivot])) & (self.n[pivot] >= needed(self.n[rest]))] if len(rest) < 2 else rest
         if not len(near):
             return todo.append(rest) or whole.append(False)
         s = self.shared(pivot, near)

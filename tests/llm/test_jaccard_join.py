@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import numpy as np
 
@@ -82,6 +83,24 @@ def test_region_solver_is_exact():
         assert [find(x) for x in got] == [find(x) for x in range(60)]
 
 
+def test_nested_sets_link_through_the_middle_one_in_every_order():
+    full = np.arange(130, dtype=np.uint64) * np.uint64(7919)
+    for sizes in permutations((100, 115, 130)):
+        assert len(set(J.Region([full[:n] for n in sizes]).solve())) == 1
+    far = np.arange(100, dtype=np.uint64) + np.uint64(1 << 40)
+    for order in permutations((full[:100], full[:115], full[:130], far)):
+        assert sorted(Counter(J.Region(list(order)).solve()).values()) == [1, 3]
+
+
+def test_grown_texts_are_one_component(spark):
+    rows = []
+    for g in range(6):  # other words, so the smallest hash is another text's
+        words = [f"g{g}w{k}" for k in range(134)]
+        rows += [(10 * g + i, " ".join(words[:n])) for i, n in enumerate((104, 119, 134))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: (r[1], r[2]) for r in J.classify(df).collect()} == brute(rows)
+
+
 def test_threshold_is_inclusive_and_edge_rows(spark, empty):
     a = [f"q{k}" for k in range(14)]
     rows = [(1, " ".join(a)), (2, " ".join(a[:12])), (3, "one two"), (4, "ONE  two"), (5, None), (6, ""), (7, "two one")]
