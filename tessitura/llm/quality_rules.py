@@ -7,9 +7,9 @@ removed; a document that loses more than ``max_lost`` of its words this way is d
 rejected.
 
 Copies must not turn the content they share into boilerplate, because a later stage keeps one
-of them. So documents count as distinct for a line by what surrounds the line: by the
-smallest hash among their other lines. Copies and near copies share it, the many pages of a
-host that carry one footer do not.
+of them. So documents are told apart by all their normalised lines in order; only lines of one word are
+left out, where they hold no more than one in ``SLIGHT`` of the document's words. Documents
+that differ in anything else count one by one, whatever lines they share.
 
 Defined cases: a null or empty text has no words, so it fails the base rules; null hosts form
 one host; repeated rows are judged alike, each keeps its row; a null ``doc_id`` is an id like
@@ -39,6 +39,8 @@ class LineLimits:
 #: Fixed by the contract.
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
+#: One-word lines that hold at most one in so many words don't tell documents apart.
+SLIGHT = 50
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -51,8 +53,8 @@ def worded_lines(text: Column) -> Column:
     return F.filter(F.split(text_or_empty(text), "\n"), lambda x: x.rlike(NON_SPACE))
 
 
-def line_hash(line: Column) -> Column:
-    return F.md5(F.trim(F.regexp_replace(ascii_lower(line), SPACES, " ")))
+def normal_line(line: Column) -> Column:
+    return F.trim(F.regexp_replace(ascii_lower(line), SPACES, " "))
 
 
 def base_stats(docs: DataFrame, key: list[str]) -> DataFrame:
@@ -91,25 +93,23 @@ def base_stats(docs: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _lines(docs: DataFrame, key: list[str]) -> DataFrame:
-    """A row for each worded line of each document: its hash, the document's smallest other hash, its words."""
+    """A row for each worded line of each document: its hash, what tells the document from others, its words."""
     rows = docs.select(*key, worded_lines(F.col("text")).alias("_l"))
-    rows = rows.select(*key, "_l", F.transform("_l", line_hash).alias("_h"))
-    rows = rows.withColumn("_m", F.array_min("_h"))
-    rows = rows.withColumn("_m2", F.array_min(F.filter("_h", lambda x: x != F.col("_m"))))
-    rows = rows.select(*key, "_m", "_m2", F.posexplode(F.arrays_zip("_l", "_h")).alias("pos", "_x"))
-    return rows.select(
-        *key,
-        "pos",
-        F.col("_x._h").alias("line"),
-        F.coalesce(F.when(F.col("_x._h") == F.col("_m"), F.col("_m2")).otherwise(F.col("_m")), F.lit("")).alias("around"),
-        F.size(words(F.col("_x._l"))).alias("line_words"),
-    )
+    rows = rows.select(*key, "_l", F.transform("_l", normal_line).alias("_n"))
+    longer = F.filter("_n", lambda x: F.instr(x, " ") > 0)
+    rows = rows.select(*key, "_l", "_n", F.transform("_n", F.md5).alias("_h"), longer.alias("_long"))
+    joined = F.array_join("_n", " ")
+    n_words = F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1
+    slight = SLIGHT * (F.size("_n") - F.size("_long")) <= n_words
+    rows = rows.withColumn("whole", F.xxhash64(F.when(slight, F.col("_long")).otherwise(F.col("_n"))))
+    rows = rows.select(*key, "whole", F.posexplode(F.arrays_zip("_l", "_h")).alias("pos", "_x"))
+    return rows.select(*key, "pos", F.col("_x._h").alias("line"), "whole", F.size(words(F.col("_x._l"))).alias("line_words"))
 
 
 def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """(host, line, n_docs) of the lines above their host's limit."""
     lines = _lines(docs.select(F.col("source").alias("host"), "text"), ["host"])
-    counts = lines.select("host", "line", "around").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limits.min_docs)
+    counts = lines.select("host", "line", "whole").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limits.min_docs)
     hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("host_rows"))
     joined = counts.join(hosts, null_safe(counts, hosts, ["host"])).select(counts["host"], "line", "n_docs", "host_rows")
     return joined.filter(F.col("n_docs") > limits.share * F.col("host_rows")).select("host", "line", "n_docs")

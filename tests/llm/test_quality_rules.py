@@ -46,6 +46,19 @@ def test_frequent_lines_deplete_but_copies_do_not(spark):
     assert kept == set(range(60)) | set(range(200, 260)) | set(range(300, 360))
 
 
+def test_every_different_page_counts_whatever_lines_it_shares(spark):
+    line = lambda name: " ".join(f"{name}x{k}" for k in range(10))
+    pages = lambda host, n, shared, own: [("\n".join([line(f"{host}s{j}") for j in range(shared)] + [line(f"{host}o{i}y{j}") for j in range(own)]), host) for i in range(n)]
+    rows = pages("a", 300, 8, 1) + pages("b", 300, 20, 2)
+    rows += pages("c", 1, 8, 1) * 300  # exact copies are one document
+    rows += [("\n".join([line("ds")] * 3 + [f"{i}k{k}" for k in range(30)]), "d") for i in range(300)]  # one-word lines that are no trifle
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    got = Counter((r["host"], r["n_docs"]) for r in Q.frequent_lines(df).collect())
+    assert got == {("a", 300): 8, ("b", 300): 20, ("d", 300): 1}
+    kept = {r[0] for r in Q.judge(df).filter("kept").collect()}
+    assert kept == set(range(600, 1200))  # those of d lose half their words
+
+
 def test_keep_returns_rows_unchanged_and_empty_table(docs, empty, rows):
     clash = docs.withColumn("host", F.lit("x")).withColumn("text_key", F.lit(1)).withColumn("kept", F.lit(False))
     kept = Q.keep(clash)
