@@ -22,7 +22,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 
 def run_available(spark: SparkSession, folder: str, glob: str, schema, transform, name: str, checkpoint: str) -> DataFrame:
-    """Streams the files of ``folder`` that match through ``transform`` into a parquet table and reads it back."""
-    q = transform(spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{checkpoint}/{name}-log").option("path", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+    """Streams the files of ``folder`` that match through ``transform``, an aggregation, into a parquet table and reads it back.
+
+    Each batch writes the whole result anew (complete mode), so windows still open at the end are in it.
+    """
+    path = f"{checkpoint}/{name}"
+    out = transform(spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)).writeStream.outputMode("complete").option("checkpointLocation", f"{path}-log")
+    q = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{checkpoint}/{name}")
+    return spark.read.parquet(path)
