@@ -9,18 +9,21 @@
    passages of all documents enter both.
 3. Every window of about an item's length, at every 16th word, is compared with every item by
    cosine of the centred latent vectors scaled to unit variance, in blocks of items. Windows
-   above ``min_cosine`` make their document a candidate for the item.
-4. Candidates are checked on words: the document must have words of the item worth ``min_share`` of
-   its IDF mass, some stretch of the document as long as the item must hold
-   ``min_share`` of the item's IDF mass, the longest common subsequence around it must have
-   ``min_share`` of the item's words, and where it has less than ``sure_share`` the answer, the item's
-   last ``ANSWER`` words, must be there for the greater part.
+   above ``min_cosine`` are candidates.
+4. A candidate is checked on words, in the window and half an item on both sides: the longest
+   common subsequence must have ``min_share`` of the item's words, and where it has less than
+   ``sure_share`` the answer, the item's last ``ANSWER`` words, must be there for the greater part.
+   Before the subsequence is found, candidates go whose words can't reach it: the item's places
+   whose word stands anywhere in the window are an upper bound of it (words by an 11-bit hash,
+   which only raises the bound). Nothing but the cosine decides what is checked.
 
 The result has a row for each (document, item) that passes, the best place of each.
 
-Defined cases: a null or wordless text or item matches nothing; repeated rows of documents
-are all reported, equal rows once each; items that repeat an id are separate questions, the best
-of them is reported; an empty table of either kind gives no rows; other columns are not touched.
+Defined cases: a null or wordless text or item matches nothing; rows that repeat a ``doc_id``, null
+among them, are one document, whose best place is reported; ``keep_clean`` judges rows by their
+text alone, so it keeps a clean row whatever its id; items that repeat an id are separate
+questions, the best of them is reported; an empty table of either kind gives no rows; other
+columns are not touched, and ids keep their type.
 """
 
 from __future__ import annotations
@@ -32,40 +35,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.shingle import WordHashes, texts_of
+from tessitura.llm.shingle import byte_table, hash_words
 from tessitura.session import materialize
 
-FEATURE_BITS = 13
-FEATURES, RANK, BLOCK, PASSAGE = 1 << FEATURE_BITS, 64, 16, 64
+FEATURE_BITS, SIGN_BITS = 13, 11
+FEATURES, SIGNS, RANK, BLOCK, PASSAGE = 1 << FEATURE_BITS, 1 << SIGN_BITS, 96, 16, 64
 ANSWER = 5
 ITEM_BLOCK = 4096
 ROWS = 128  # of Y in one piece
 SALTS = 1024
-_SPACED = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
+#: Words that are laid out at once, and that are added up at once (so that they stay in a core's cache).
+LAID, CACHED = 1 << 18, 1 << 12
+_SPACED = byte_table(string.punctuation + " \t\n\v\f\r")
 
 
-def word_hashes(text: bytes | None, look) -> np.ndarray:
-    ws = [] if text is None else text.lower().translate(_SPACED).split()
-    return np.fromiter(map(look, ws), np.uint64, len(ws))
+def features(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - FEATURE_BITS)).astype(np.uint16)
 
 
-def features(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+def lay_out(ids: np.ndarray, ends: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of many texts, each padded to whole units of words by the feature FEATURES; the unit in which each text starts."""
+    sizes = np.diff(ends)
+    first = np.r_[0, np.cumsum(-(-sizes // unit))]
+    out = np.full(first[-1] * unit, FEATURES, np.uint16)
+    out[np.arange(ends[0], ends[-1]) - ends[0] + np.repeat(first[:-1] * unit - (ends[:-1] - ends[0]), sizes)] = ids
+    return out, first
+
+
+def unit_sums(table: np.ndarray, laid: np.ndarray, unit: int) -> np.ndarray:
+    """Sums over units of the table's rows (the last row, of the padding, is zero)."""
+    out = np.empty((len(laid) // unit, table.shape[1]), np.float32)
+    for a in range(0, len(laid), CACHED):
+        rows = np.take(table, laid[a : a + CACHED], axis=0, mode="clip")
+        rows.reshape(-1, unit, table.shape[1]).sum(1, out=out[a // unit : (a + len(rows)) // unit])
+    return out
+
+
+def _padded(table: np.ndarray) -> np.ndarray:
+    return np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
 
 
 def _tokens(batches):
-    """Features of each text, then the task's document frequencies."""
-    look, df, n = WordHashes().__getitem__, np.zeros(FEATURES, np.int64), 0
+    """Features of the texts, laid out in passages, then the task's document frequencies."""
+    df, n = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
-        blobs = []
-        for t in texts_of(batch.column("text")):
-            ids = features(word_hashes(t, look))
-            seen = np.zeros(FEATURES, bool)
-            seen[ids] = True
-            df += seen
-            n += len(ids) > 0
-            if len(ids):
-                blobs.append(ids.astype(np.uint16).tobytes())
+        words, ends = hash_words(batch.column("text"), _SPACED)
+        ids = features(words)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if b > a:
+                seen = np.zeros(FEATURES, bool)
+                seen[ids[a:b]] = True
+                df += seen
+                n += 1
+        laid, _ = lay_out(ids, ends, PASSAGE)
+        blobs = [laid[a : a + LAID].tobytes() for a in range(0, len(laid), LAID)]
         yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.binary())], names=["ids", "df"])
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([np.r_[df, n].tobytes()], pa.binary())], names=["ids", "df"])
 
@@ -89,37 +112,44 @@ def _summed(rows: DataFrame, kind) -> dict[int, np.ndarray]:
     return {r["piece"]: np.frombuffer(r["v"], kind) for r in rows.select("piece", "v").collect()}
 
 
-def _blocks(ids: np.ndarray, weighted: np.ndarray) -> np.ndarray:
-    """Sums of the weighted rows over blocks of 16 words; the last block may be shorter."""
-    n = -(-len(ids) // BLOCK)
-    rows = np.zeros((n * BLOCK, weighted.shape[1]), np.float32)
-    np.take(weighted, ids, axis=0, out=rows[: len(ids)], mode="clip")
-    return rows.reshape(n, BLOCK, -1).sum(1)
-
-
-def _pairs_in_parts(batches, most: int = 100_000):
-    """TF of many texts at once: (passage, feature, count) of the pairs, by passage and feature, and where each passage starts."""
+def _laid(batches):
+    """The passages of the task, some LAID words at a time."""
     held, size = [], 0
-
-    def pairs():
-        ids = np.concatenate(held)
-        key = (np.arange(len(ids), dtype=np.int32) // PASSAGE) * np.int32(FEATURES + 1) + ids
-        key, count = np.unique(key[ids < FEATURES], return_counts=True)
-        passage, feature = np.divmod(key, np.int32(FEATURES + 1))
-        return passage, feature, count.astype(np.float32), np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-
     for batch in batches:
         for blob in batch.column("ids").to_pylist():
-            ids = np.frombuffer(blob, np.uint16).astype(np.int32)
-            for a in range(0, len(ids), most):
-                part = ids[a : a + most]
-                held.append(np.r_[part, np.full(-len(part) % PASSAGE, FEATURES, np.int32)])
-                size += len(held[-1])
-                if size > most:
-                    yield pairs()
-                    held, size = [], 0
+            held.append(np.frombuffer(blob, np.uint16))
+            size += len(held[-1])
+            if size >= LAID:
+                yield np.concatenate(held)
+                held, size = [], 0
     if held:
-        yield pairs()
+        yield np.concatenate(held)
+
+
+def back_product(y: np.ndarray, laid: np.ndarray, weighted: np.ndarray, weight: np.ndarray) -> None:
+    """Adds A'(A R) of some passages, rows of unit length, to y (without its factor idf); ``weighted`` is idf R."""
+    rank, group = y.shape[1], 8
+    rows = unit_sums(weighted, laid, PASSAGE)
+    order = np.argsort(laid, kind="stable")
+    order = order[: len(order) - int((laid == FEATURES).sum())]
+    feature, passage = laid[order], order // PASSAGE
+    fresh = np.flatnonzero(np.r_[True, (feature[1:] != feature[:-1]) | (passage[1:] != passage[:-1])][: len(order)])
+    x = np.diff(np.r_[fresh, len(order)]) * weight[feature[fresh]]
+    rows /= np.maximum(np.bincount(passage[fresh], x * x, len(rows)), 1e-6)[:, None].astype(np.float32)
+    # places by feature, each feature's padded to whole groups of a row of zeros
+    cuts = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]][: len(order)])
+    sizes = np.diff(np.r_[cuts, len(order)])
+    groups = -(-sizes // group)
+    begin = np.cumsum(groups) - groups
+    index = np.full(int(groups.sum()) * group, len(rows), np.int64)
+    index[np.arange(len(order)) + np.repeat(begin * group - cuts, sizes)] = passage
+    rows = np.vstack([rows, np.zeros((1, rank), np.float32)])
+    parts = np.empty((len(index) // group, rank), np.float32)
+    for a in range(0, len(index), CACHED):
+        taken = np.take(rows, index[a : a + CACHED], axis=0, mode="clip")
+        taken.reshape(-1, group, rank).sum(1, out=parts[a // group : (a + len(taken)) // group])
+    if len(cuts):
+        y[feature[cuts]] += np.add.reduceat(parts, begin, axis=0)
 
 
 def _range(idf, rank: int, seed: int):
@@ -127,18 +157,11 @@ def _range(idf, rank: int, seed: int):
 
     def run(batches):
         w = idf.value.astype(np.float32)
-        r = np.random.default_rng(seed).standard_normal((FEATURES, rank)).astype(np.float32)
+        weighted = _padded(np.random.default_rng(seed).standard_normal((FEATURES, rank)) * w[:, None])
         y = np.zeros((FEATURES, rank), np.float32)
-        for passage, feature, count, starts in _pairs_in_parts(batches):
-            x = count * w[feature]
-            rows = np.add.reduceat(r[feature] * x[:, None], starts, axis=0)
-            rows /= np.maximum(np.add.reduceat(x * x, starts), 1e-6)[:, None]
-            number = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(passage)]))
-            order = np.argsort(feature.astype(np.uint16), kind="stable")
-            f = feature[order]
-            cuts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-            y[f[cuts]] += np.add.reduceat(rows[number[order]] * x[order][:, None], cuts, axis=0)
-        pieces = y.reshape(-1, ROWS * rank)
+        for laid in _laid(batches):
+            back_product(y, laid, weighted, w)
+        pieces = (y * w[:, None]).reshape(-1, ROWS * rank)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["piece", "v"])
 
     return run
@@ -148,30 +171,31 @@ def _moments(basis):
     """(A Q)'(A Q), the sum of A Q, the number of passages and of words."""
 
     def run(batches):
-        q = basis.value.astype(np.float32)
+        q = _padded(basis.value)
         k = q.shape[1]
         c, m, n, words = np.zeros((k, k)), np.zeros(k), 0, 0.0
-        for passage, feature, count, starts in _pairs_in_parts(batches):
-            b = np.add.reduceat(q[feature] * count[:, None], starts, axis=0)
+        for laid in _laid(batches):
+            b = unit_sums(q, laid, PASSAGE)
             c += b.T @ b
             m += b.sum(0)
             n += len(b)
-            words += float(count.sum())
+            words += float((laid < FEATURES).sum())
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.r_[c.ravel(), m, float(n), words].tobytes()], pa.binary())], names=["piece", "v"])
 
     return run
 
 
 class Latent:
-    """The latent space: weights of features, projection to unit variance, mean of a block."""
+    """The latent space: projection of weighted features to unit variance, mean of a block."""
 
     def __init__(self, idf: np.ndarray, projection: np.ndarray, mean: np.ndarray):
-        self.idf, self.weighted, self.mean = idf, (projection * idf[:, None]).astype(np.float32), mean.astype(np.float32)
+        self.weighted, self.mean = _padded(projection * idf[:, None]), mean.astype(np.float32)
 
-    def blocks(self, words: np.ndarray) -> np.ndarray:
-        b = _blocks(features(words), self.weighted)
-        size = np.minimum(BLOCK, len(words) - BLOCK * np.arange(len(b)))
-        return b - self.mean * (size / BLOCK)[:, None].astype(np.float32)
+    def blocks(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Latent vectors of the blocks of many texts, and the block in which each text starts."""
+        laid, first = lay_out(ids, ends, BLOCK)
+        words = (laid.reshape(-1, BLOCK) < FEATURES).sum(1)
+        return unit_sums(self.weighted, laid, BLOCK) - self.mean * (words / BLOCK)[:, None].astype(np.float32), first
 
 
 def fit(docs: DataFrame, rank: int = RANK, seed: int = 5) -> Latent:
@@ -185,8 +209,7 @@ def fit(docs: DataFrame, rank: int = RANK, seed: int = 5) -> Latent:
     if not y:
         return Latent(idf, np.zeros((FEATURES, rank)), np.zeros(rank))
     basis, _ = np.linalg.qr(np.concatenate([y[i] for i in sorted(y)]).reshape(FEATURES, rank).astype(np.float64))
-    weighted = basis * idf[:, None]
-    sums = _summed(tokens.mapInArrow(_moments(sc.broadcast(weighted)), "piece int, v binary"), np.float64)[0]
+    sums = _summed(tokens.mapInArrow(_moments(sc.broadcast(basis * idf[:, None])), "piece int, v binary"), np.float64)[0]
     n, total = max(sums[-2], 1.0), sums[rank * rank : -2]
     mean = total / n
     values, vectors = np.linalg.eigh(sums[: rank * rank].reshape(rank, rank) / n - np.outer(mean, mean))
@@ -195,162 +218,170 @@ def fit(docs: DataFrame, rank: int = RANK, seed: int = 5) -> Latent:
     return Latent(idf, basis @ turn, total @ turn * (BLOCK / max(sums[-1], 1.0)))
 
 
-def lcs(item: list[int], text: list[int]) -> int:
-    """Length of the longest common subsequence, a bit for each word of the item."""
+def places(item: list[int]) -> dict[int, int]:
+    """For each word the bits of its places in the item."""
     at: dict[int, int] = {}
     for i, w in enumerate(item):
         at[w] = at.get(w, 0) | 1 << i
-    full = (1 << len(item)) - 1
+    return at
+
+
+def lcs(at: dict[int, int], n: int, text: list[int]) -> int:
+    """Length of the longest common subsequence with an item of n words, a bit for each of them."""
+    full = (1 << n) - 1
     v = full
     for w in text:
         m = at.get(w)
         if m:
             u = v & m
             v = (v + u | v - u) & full
-    return len(item) - v.bit_count()
+    return n - v.bit_count()
 
 
 class Items:
-    """A block of items, ready to be searched for."""
-
-    def __init__(self, rows: list[tuple[int, str]], latent: Latent):
-        look = WordHashes().__getitem__
-        rows = [(i, w) for i, t in rows if len(w := word_hashes(None if t is None else t.encode(), look))]
-        self.ids, self.words = [i for i, _ in rows], [w for _, w in rows]
-        vectors = [latent.blocks(w).sum(0) for w in self.words]
-        self.vectors = np.array([x / max(float(np.linalg.norm(x)), 1e-9) for x in vectors], np.float32)
-        spans = np.array([max(1, round(len(w) / BLOCK)) for w in self.words])
+    """A block of items (ids of any type, texts), ready to be searched for."""
+
+    def __init__(self, ids: list, texts: list[str | None], latent: Latent):
+        words, ends = hash_words(pa.array(texts, pa.string()), _SPACED)
+        full = np.flatnonzero(np.diff(ends))
+        self.ids = [ids[i] for i in full.tolist()]
+        self.words = [words[ends[i] : ends[i + 1]] for i in full.tolist()]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        blocks, first = latent.blocks(features(words), ends)
+        vectors = np.array([blocks[first[i] : first[i + 1]].sum(0) for i in full.tolist()], np.float32).reshape(len(full), blocks.shape[1])
+        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+        spans = np.maximum(1, np.round(self.size / BLOCK).astype(np.int64))
         self.by_span = {int(m): np.flatnonzero(spans == m) for m in np.unique(spans)}
-        self.vocabulary = np.unique(np.concatenate(self.words)) if rows else np.empty(0, np.uint64)
-        weight = latent.idf[features(self.vocabulary)] + 1e-3
-        self.mass = []  # of each item: weight of each known word that it has; the last place is for all others
-        self.total, flat = [], []
-        for w in self.words:
-            at = np.searchsorted(self.vocabulary, w)
-            flat.append(at)
-            m = np.zeros(len(self.vocabulary) + 1, np.float32)
-            m[at] = weight[at]
-            self.mass.append(m)
-            self.total.append(float(weight[at].sum()))
-        self.flat = np.concatenate(flat) if rows else np.empty(0, np.int64)
-        self.flat_weight = weight[self.flat].astype(np.float32) if rows else np.empty(0, np.float32)
-        self.flat_starts = np.r_[0, np.cumsum([len(w) for w in self.words])[:-1]].astype(np.int64)
-
-    def codes(self, words: np.ndarray) -> np.ndarray:
-        """Places of the words in the vocabulary, its length for all others."""
-        code = np.searchsorted(self.vocabulary, words)
-        code[code == len(self.vocabulary)] = 0
-        code[self.vocabulary[code] != words] = len(self.vocabulary)
-        return code
-
-    def present(self, code: np.ndarray) -> np.ndarray:
-        """Share of each item's mass whose words occur anywhere."""
-        there = np.zeros(len(self.vocabulary) + 1, np.float32)
-        there[code] = 1
-        return np.add.reduceat(self.flat_weight * there[self.flat], self.flat_starts) / np.array(self.total)
-
-
-def _search(latent_b, items_b, min_share: float, sure_share: float, min_cosine: float):
+        self.counts = np.zeros((len(full), SIGNS), np.uint16)  # places of each item by the hash of their word
+        for i, w in enumerate(self.words):
+            np.add.at(self.counts[i], (w >> np.uint64(64 - SIGN_BITS)).astype(np.int64), 1)
+        self.at = [places(w.tolist()) for w in self.words]
+        self.answer = [w[-ANSWER:].tolist() for w in self.words]
+        self.answer_at = [places(a) for a in self.answer]
+
+
+class Search:
+    """Finds the items in texts."""
+
+    def __init__(self, latent: Latent, items: Items, min_share: float, sure_share: float, min_cosine: float):
+        self.latent, self.items = latent, items
+        self.min_share, self.sure_share, self.min_cosine = min_share, sure_share, min_cosine
+
+    def candidates(self, ids: np.ndarray, ends: np.ndarray):
+        """(span, text, first word in the text, item, cosine) of the windows near an item."""
+        blocks, first = self.latent.blocks(ids, ends)
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(first))
+        sums = np.vstack([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
+        for span, which in self.items.by_span.items():
+            vectors = self.items.vectors[which].T
+            for a in range(0, len(blocks), CACHED):
+                at = np.arange(a, min(a + CACHED, len(blocks)))
+                w = (sums[np.minimum(at + span, first[text[at] + 1])] - sums[at]).astype(np.float32)
+                norm = np.sqrt(np.einsum("ij,ij->i", w, w))
+                dot = w @ vectors
+                row, column = np.nonzero(dot >= np.maximum(self.min_cosine * norm, 1e-9)[:, None])
+                if len(row):
+                    yield span, text[at[row]], (at[row] - first[text[at[row]]]) * BLOCK, which[column], dot[row, column] / norm[row]
+
+    def hits(self, words: np.ndarray, ends: np.ndarray):
+        """(text, item, share, cosine, first word of the window, answer found) of all that pass."""
+        ends = ends - ends[0]
+        sign = (words >> np.uint64(64 - SIGN_BITS)).astype(np.int64)
+        order = np.argsort(sign.astype(np.uint16), kind="stable")
+        same = np.flatnonzero(sign[order][1:] == sign[order][:-1])
+        before = np.full(len(words), -1, np.int64)  # the last place of the same sign
+        before[order[same + 1]] = order[same]
+        for _, text, at, item, cosine in self.candidates(features(words), ends):
+            n = self.items.size[item]
+            lo = np.maximum(ends[text], ends[text] + at - n // 2 - BLOCK)
+            hi = np.minimum(ends[text + 1], ends[text] + at + n + n // 2 + BLOCK)
+            near = np.flatnonzero(self.bound(sign, before, lo, hi, item) >= self.min_share * n - 1e-6)
+            for k in near.tolist():
+                i, m = int(item[k]), int(n[k])
+                around = words[lo[k] : hi[k]].tolist()
+                share = lcs(self.items.at[i], m, around) / m
+                if share < self.min_share - 1e-9:
+                    continue
+                answer = self.items.answer[i]
+                found = 2 * lcs(self.items.answer_at[i], len(answer), around) > len(answer)
+                if share >= self.sure_share or found:
+                    yield int(text[k]), i, share, float(cosine[k]), int(at[k]), found
+
+    def bound(self, sign, before, lo, hi, item) -> np.ndarray:
+        """How many of the item's places have their word between lo and hi, at most."""
+        wide = int((hi - lo).max())
+        out = np.empty(len(lo), np.int64)
+        step = max(1, (1 << 18) // max(wide, 1))
+        counts = self.items.counts.ravel()
+        for a in range(0, len(lo), step):
+            low, high = lo[a : a + step, None], hi[a : a + step, None]
+            at = np.minimum(low + np.arange(wide), len(sign) - 1)
+            first = (before[at] < low) & (low + np.arange(wide) < high)
+            out[a : a + step] = (counts[sign[at] + item[a : a + step, None] * SIGNS] * first).sum(1)
+        return out
+
+
+def _search(latent, items, shares: tuple[float, float, float], schema: pa.Schema):
     def run(batches):
-        latent, items = latent_b.value, items_b.value
-        look = WordHashes().__getitem__
+        search = Search(latent.value, items.value, *shares)
+        found = search.items
         for batch in batches:
-            out, held, size = [], [], 0
-            for doc, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                words = word_hashes(t, look)
-                if len(words) and items.words:
-                    held.append((doc, words))
-                    size += len(words)
-                if size > 50_000:
-                    out += find(held, latent, items, min_share, sure_share, min_cosine)
-                    held, size = [], 0
-            if held:
-                out += find(held, latent, items, min_share, sure_share, min_cosine)
-            doc, item, share, cosine, at, answer = zip(*out, strict=True) if out else ([],) * 6
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(cosine, pa.float64()), pa.array(at, pa.int64()), pa.array(answer, pa.bool_())], names=["doc_id", "item_id", "lcs_share", "cosine", "at_word", "answer_found"])
+            words, ends = hash_words(batch.column("text"), _SPACED)
+            out, a = [], 0
+            while a < len(ends) - 1 and found.ids:
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + CACHED * BLOCK)) - 1)
+                out += [(t + a, *rest) for t, *rest in search.hits(words[ends[a] : ends[b]], ends[a : b + 1])]
+                a = b
+            text, item, share, cosine, at, answer = zip(*out, strict=True) if out else ([],) * 6
+            key = batch.column(0).take(pa.array(text, pa.int64()))
+            columns = [key, pa.array([found.ids[i] for i in item], schema.field(1).type), pa.array([round(x, 4) for x in share], pa.float64()), pa.array([round(x, 3) for x in cosine], pa.float64()), pa.array(at, pa.int64()), pa.array(answer, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
-def cosines(texts: list[np.ndarray], latent: Latent, items: Items) -> np.ndarray:
-    """The best cosine of each item (columns) with a window of each text (rows)."""
-    blocks = [latent.blocks(w) for w in texts]
-    sizes = np.array([len(b) for b in blocks])
-    first = np.r_[0, np.cumsum(sizes)[:-1]]
-    last = np.repeat(first + sizes, sizes)
-    sums = np.vstack([np.zeros((1, blocks[0].shape[1])), np.cumsum(np.concatenate(blocks), axis=0, dtype=np.float64)])
-    at = np.arange(len(last))
-    out = np.empty((len(texts), len(items.words)), np.float32)
-    for span, which in items.by_span.items():
-        w = (sums[np.minimum(at + span, last)] - sums[at]).astype(np.float32)
-        w /= np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-9)[:, None]
-        out[:, which] = np.maximum.reduceat(w @ items.vectors[which].T, first, axis=0)
-    return out
-
+def _found(docs: DataFrame, benchmark: DataFrame, key: str, min_share: float, sure_share: float, min_cosine: float, rank: int) -> DataFrame:
+    """(key, item_id, lcs_share, cosine, at_word, answer_found) of all windows that pass, by the column ``key``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-def find(rows: list[tuple[int, np.ndarray]], latent: Latent, items: Items, min_share: float, sure_share: float, min_cosine: float):
-    """(doc_id, item_id, share, cosine, place, answer found) for the items in some texts."""
-    best = cosines([w for _, w in rows], latent, items)
-    for (doc, words), cosine in zip(rows, best, strict=True):
-        near = cosine >= min_cosine
-        if not near.any():
-            continue
-        code = items.codes(words)
-        for i in np.flatnonzero(near & (items.present(code) >= min_share - 1e-6)).tolist():
-            hit = check(words, code, i, items, min_share, sure_share)
-            if hit:
-                yield doc, items.ids[i], round(hit[0], 4), round(float(cosine[i]), 3), hit[1], hit[2]
-
-
-def check(words: np.ndarray, code: np.ndarray, i: int, items: Items, min_share: float, sure_share: float):
-    """(share, place, answer found) of one item in one text, or None."""
-    n = len(items.words[i])
-    c = np.cumsum(items.mass[i][code])
-    mass = c[-1:] if len(c) <= n else np.r_[c[n - 1], c[n:] - c[:-n]]
-    places = np.flatnonzero(mass >= min_share * items.total[i] - 1e-3)
-    item, hit = items.words[i].tolist(), None
-    for run in np.split(places, np.flatnonzero(np.diff(places) > n) + 1) if len(places) else []:
-        at = int(run[np.argmax(mass[run])])
-        around = words[max(0, at - n // 2) : at + n + n // 2].tolist()
-        share = lcs(item, around) / n
-        if share >= min_share and (hit is None or share > hit[0]):
-            answer = item[-ANSWER:]
-            found = 2 * lcs(answer, around) > len(answer)
-            if share >= sure_share or found:
-                hit = (share, at, found)
-    return hit
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6, sure_share: float = 0.9, min_cosine: float = 0.2, rank: int = RANK) -> DataFrame:
-    """(doc_id, item_id, lcs_share, cosine, at_word, answer_found) of the documents that hold an item."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ddl = "doc_id long, item_id long, lcs_share double, cosine double, at_word long, answer_found boolean"
+    sc = docs.sparkSession.sparkContext
+    out = StructType.fromDDL("lcs_share double, cosine double, at_word long, answer_found boolean")
+    ddl = StructType([docs.schema[key], benchmark.schema["item_id"], *out])
+    schema = to_arrow_schema(ddl)
     latent = fit(docs, rank)
-    held = spark.sparkContext.broadcast(latent)
+    held = sc.broadcast(latent)
     parts, rows = [], []
 
-    def search(rows):
-        return docs.mapInArrow(_search(held, spark.sparkContext.broadcast(Items(rows, latent)), min_share, sure_share, min_cosine), ddl)
+    def search():
+        items = Items([r[0] for r in rows], [r[1] for r in rows], latent)
+        return docs.select(key, "text").mapInArrow(_search(held, sc.broadcast(items), (min_share, sure_share, min_cosine), schema), ddl)
 
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():  # the query set, in blocks
-        rows.append((r[0], r[1]))
+    for r in benchmark.select("item_id", "text").toLocalIterator():  # the query set, in blocks
+        rows.append(r)
         if len(rows) == ITEM_BLOCK:
-            parts.append(search(rows))
+            parts.append(search())
             rows = []
     if rows or not parts:
-        parts.append(search(rows))
-    out = parts[0]
+        parts.append(search())
+    found = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        found = found.unionByName(p)
+    return found
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6, sure_share: float = 0.9, min_cosine: float = 0.25, rank: int = RANK) -> DataFrame:
+    """(doc_id, item_id, lcs_share, cosine, at_word, answer_found) of the documents that hold an item."""
+    found = _found(docs, benchmark, "doc_id", min_share, sure_share, min_cosine, rank)
     place = F.struct("lcs_share", "cosine", -F.col("at_word"))
-    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("lcs_share", "cosine", "at_word", "answer_found"), place).alias("_b")).select("doc_id", "item_id", "_b.*")
+    return found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("lcs_share", "cosine", "at_word", "answer_found"), place).alias("_b")).select("doc_id", "item_id", "_b.*")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6, sure_share: float = 0.9, min_cosine: float = 0.25, rank: int = RANK) -> DataFrame:
     """The rows of ``docs`` in which no item was found, with all their columns."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    name = F.unhex(F.md5("text"))
+    bad = _found(docs.select(name.alias("_name"), "text"), benchmark, "_name", min_share, sure_share, min_cosine, rank).select("_name").distinct()
+    return docs.join(bad, F.unhex(F.md5(docs["text"])) == bad["_name"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

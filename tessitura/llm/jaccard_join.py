@@ -1,32 +1,34 @@
 """N-gram Jaccard join in metric space (operator 9).
 
 Documents are sets of distinct 5-word shingles under Jaccard distance d = 1 - J; two link at
-d <= 0.2. Pivots cut the space into regions, the triangle inequality says which documents a
-region's join must see besides its own, and regions are joined recursively and exactly.
-
-1. Equal sets are one class; everything below works on classes, named by the set's hash.
-2. First-level pivots are single shingles. In any total order of all shingles a class of n
-   shingles can only link with one that shares one of its first n - ceil(0.8 n) + 1, so these
-   are all regions it must enter. The order is by a fixed-size count sketch of all shingles'
-   frequencies, so frequent shingles make no regions. Regions that overlap are merged to
-   components of this candidate graph; in each region (by size) only a star of edges is
-   made, never its pairs.
-3. Components whose shingles exceed ``region_limit`` go through step 2 again among themselves, with
-   a sketch of their own that is sharper by as much as they are fewer. Those that stay
-   too large are first thinned where they lie: all classes are measured against one pivot; those
-   within 0.2 link to it and leave, unless a class outside lies in their triangle window.
-4. The others are joined in tasks: first split again by the exact local order, then by
-   pivots: one pivot, its ball (d <= 0.2) is linked, members of the ball meet those outside
-   only inside the window |d(x,p) - d(y,p)| <= 0.2, and the outside recurses.
-
-Document pivots alone don't cut this space: two texts that share nothing have distance 1, as
-far as any other pair, so every triangle window would hold everything. Hence step 2.
+d <= 0.2. Pivots cut the space into Voronoi regions, the triangle inequality says which documents
+a region must see besides its own, and regions are joined recursively and exactly.
+
+1. Equal sets are one class, named by 128 bits; everything below works on classes.
+2. Two texts that share no shingle have distance 1, as almost all pairs do, so the space first
+   falls apart by single shingles: in any total order of all shingles a class of n shingles
+   can only link with one that shares one of its first n - ceil(0.8 n) + 1. The order is by a
+   fixed-size count sketch of all shingles' frequencies, so frequent shingles connect little. The
+   components of this graph (stars of edges by size, never pairs) are the first regions. The
+   sets of the classes in them are written once.
+3. A region whose members hold more than ``region_limit`` shingles goes through step 2 among its like,
+   with a sketch that is sharper by as much as they are fewer, as long as that halves them; then
+   it is cut by pivots: each class is measured against the region's pivots and belongs to
+   the cell of the nearest (or, beyond ``FAR`` of all, to the outside). A pair is met in the cell of
+   one of the two, to which the other is copied if its window reaches: d(y, p) at most
+   d(y, its own pivot) + 0.4, and at most FAR + 0.2. Links with pivots are known then, and pivots
+   leave. In a cell all within 0.2 of the pivot are one component, so those leave too whose
+   own window, 0.2 further out, holds nothing else. Rows of a region are dealt over many tasks.
+4. Regions within the limit are joined in tasks: split once more by the exact local order, then
+   by the same cells, recursively; up to ``LEAF`` classes are compared with each other.
 
 Nothing is sampled or capped. The driver gets the sketch (a fixed 16 MB; 4 MB go out) and counts.
 
 Defined cases: a null text or one without words has the empty set and links with nothing;
 repeated rows and equal sets share a component; a null ``doc_id`` counts as no smallest id
-unless alone; an empty table gives no rows; other columns are not touched.
+unless alone; ids of any type that has an order; an empty table gives no rows; other columns are not
+touched. ``keep_one`` keeps one row of each component (smallest id, null last, then the text's hash) and
+every row without words.
 """
 
 from __future__ import annotations
@@ -35,21 +37,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tessitura.llm.common import null_safe, text_or_empty
 from tessitura.llm.components import components
-from tessitura.llm.shingle import WordHashes, pack, set_hash, shingle_sets, texts_of, unpack
+from tessitura.llm.shingle import pack, set_name, shingle_sets, unpack
 from tessitura.session import materialize
 
 K = 5
 PERCENT = 80
 SKETCH_BITS = 22
 CHUNK = 1 << 14
-#: Shingles of a component that one task may hold.
+#: Shingles that the members of a region may hold in one task.
 REGION_LIMIT = 4_000_000
-#: Keys of a bucket and text bytes of a task, about.
-BUCKET_KEYS, TASK_BYTES = 400_000, 12_000_000
-#: Rows of four numbers that are sent to all executors (about 20 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Keys of a bucket and shingles of a task, about.
+BUCKET_KEYS, TASK_SHINGLES = 400_000, 2_000_000
+#: Classes that are compared with each other.
+LEAF = 16
+#: Links reach so far (a trifle more, for rounding); beyond FAR of all pivots a class is outside.
+REACH, FAR = 1 - PERCENT / 100 + 1e-9, 0.6
 
 
 def needed(n):
@@ -62,19 +68,44 @@ def linked(shared, n, m):
     return 100 * shared >= PERCENT * (n + m - shared)
 
 
+def _counted(sketch: np.ndarray, sets: list[np.ndarray]) -> None:
+    if any(len(s) for s in sets):
+        sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
+
+
+def _chunks(sketch: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    rows = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, CHUNK)  # more in one task is frequent enough
+    full = np.flatnonzero(rows.any(axis=1))
+    return pa.array(full, pa.int32()), pa.array([rows[i].tobytes() for i in full], pa.binary())
+
+
 def _scan(batches):
     """Rows of documents, then rows of the sketch's chunks."""
-    hashes, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int32)
+    sketch, kind = np.zeros(1 << SKETCH_BITS, np.int32), None
     for batch in batches:
-        sets = shingle_sets(texts_of(batch.column("text")), hashes, K)
-        cls = pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())
-        if any(len(s) for s in sets):
-            sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
+        kind = batch.column("doc_id").type
+        sets = shingle_sets(batch.column("text"), K)
+        cls = pa.array([set_name(s) if len(s) else None for s in sets], pa.binary())
+        _counted(sketch, sets)
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), cls, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "cls", "chunk", "counts"])
-    rows = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, CHUNK)  # more in one task is frequent enough
-    full = np.flatnonzero(rows.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64())] * 3 + [pa.array(full, pa.int32()), pa.array([rows[i].tobytes() for i in full], pa.binary())], names=["doc_id", "n", "cls", "chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), pa.array([len(s) for s in sets], pa.int64()), cls, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "name", "n", "cls", "chunk", "counts"])
+    if kind is not None:
+        chunk, counts = _chunks(sketch)
+        empty = pa.nulls(len(chunk), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(chunk), kind), empty, pa.nulls(len(chunk), pa.int64()), empty, chunk, counts], names=["doc_id", "name", "n", "cls", "chunk", "counts"])
+
+
+def _sets_of(column) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
+
+
+def _count_sets(batches):
+    """The sketch's chunks of sets that are written already."""
+    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
+    for batch in batches:
+        _counted(sketch, _sets_of(batch.column("set")))
+    chunk, counts = _chunks(sketch)
+    yield pa.RecordBatch.from_arrays([chunk, counts], names=["chunk", "counts"])
 
 
 def _adder(kind):
@@ -88,10 +119,10 @@ def _adder(kind):
     return add
 
 
-def _sketch(scan: DataFrame) -> np.ndarray:
+def _sketch(chunks: DataFrame) -> np.ndarray:
     """The rank, 0 to 255, of each cell of the sketch: 64 for the mean, 64 log2(1 + count / mean)."""
     schema = "chunk int, salt int, counts binary"
-    rows = scan.filter("chunk is not null").select("chunk", F.pmod(F.xxhash64("counts"), F.lit(256)).cast("int").alias("salt"), "counts")
+    rows = chunks.filter("chunk is not null").select("chunk", F.pmod(F.xxhash64("counts"), F.lit(256)).cast("int").alias("salt"), "counts")
     rows = rows.groupBy("chunk", "salt").applyInArrow(_adder(np.uint8), schema).groupBy("chunk").applyInArrow(_adder(np.uint32), schema)
     out = np.zeros(((1 << SKETCH_BITS) // CHUNK, CHUNK), np.float64)
     for r in rows.select("chunk", "counts").collect():  # 256 rows of 64 KB
@@ -105,21 +136,31 @@ def _ordered(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return (rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s & np.uint64((1 << 56) - 1))
 
 
-def _prefixes(rank, buckets: int):
-    schema = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("cls", pa.binary()), ("n", pa.binary())])
+def node_of(name: bytes) -> int:
+    """The class's node in the graph of candidates; two that share one only share a region."""
+    return int.from_bytes(name[:8], "big", signed=True)
+
+
+def _node():
+    return F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
+
+
+_PREFIX = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("node", pa.binary()), ("n", pa.binary())])
 
+
+def _prefixes(rank, buckets: int, column: str):
     def run(batches):
-        hashes, seen, held, size = WordHashes(), set(), [], 0
+        seen, held, size = set(), [], 0
         order = rank.value
 
         def flush():
-            keys, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pack((keys % np.uint64(buckets)).astype(np.int64), [keys, cls, n], schema)
+            keys, node, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pack((keys % np.uint64(buckets)).astype(np.int64), [keys, node, n], _PREFIX)
 
         for batch in batches:
-            for s in shingle_sets(texts_of(batch.column("text")), hashes, K):
+            for s in shingle_sets(batch.column("text"), K) if column == "text" else _sets_of(batch.column("set")):
                 n = len(s)
-                if not n or (c := set_hash(s)) in seen:
+                if not n or (c := node_of(set_name(s))) in seen:
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(c)
@@ -129,9 +170,9 @@ def _prefixes(rank, buckets: int):
                     keys = np.partition(keys, p - 1)[:p]
                 held.append((keys, np.full(len(keys), c, np.int64), np.full(len(keys), n, np.int32)))
                 size += len(keys)
-            if size > 2_000_000:
-                yield flush()
-                held, size = [], 0
+                if size > 2_000_000:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
@@ -139,31 +180,82 @@ def _prefixes(rank, buckets: int):
 
 
 def _stars(table: pa.Table) -> pa.Table:
-    """Edges that connect, in each shingle's region, all classes that sizes let link."""
-    key, cls, n = unpack(table.column("key"), np.uint64), unpack(table.column("cls"), np.int64), unpack(table.column("n"), np.int32)
-    order = np.lexsort((cls, n, key))
-    key, cls, n = key[order], cls[order], n[order]
-    fresh = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
-    key, cls, n = key[fresh], cls[fresh], n[fresh].astype(np.int64)
-    first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
-    stops = np.r_[np.flatnonzero(first)[1:], len(key)] if len(key) else np.empty(0, np.int64)
+    """Edges that connect, by each shingle, all classes that sizes let link."""
+    key, node, n = unpack(table.column("key"), np.uint64), unpack(table.column("node"), np.int64), unpack(table.column("n"), np.int32)
+    order = np.argsort(key, kind="stable")
+    key, node, n = key[order], node[order], n[order].astype(np.int64)
+    again = np.r_[False, key[1:] == key[:-1]] if len(key) else np.empty(0, bool)
+    held = again | np.r_[again[1:], False] if len(key) else again  # keys of one row connect nothing
+    key, node, n = key[held], node[held], n[held]
+    order = np.lexsort((node, n, key))
+    key, node, n = key[order], node[order], n[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]
+    key, node, n = key[fresh], node[fresh], n[fresh]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
     edges = []
-    for a, b in zip(np.flatnonzero(first), stops, strict=True):
-        if b - a < 2:
-            continue
+    for a, b in zip(first, np.r_[first[1:], len(key)][: len(first)], strict=True):
         while a < b - 1:
             size = n[a:b]
             e = int(np.searchsorted(size, size[0] * 100 // PERCENT, side="right"))  # sizes up to 1.25 times
             if e > 1:
-                edges.append(np.column_stack((np.full(e - 1, cls[a]), cls[a + 1 : a + e])))
+                edges.append(np.column_stack((np.full(e - 1, node[a]), node[a + 1 : a + e])))
             last = a + e - 1
             if last + 1 < b and n[last] >= needed(n[last + 1]):
-                edges.append(np.array([[cls[last], cls[last + 1]]]))
+                edges.append(np.array([[node[last], node[last + 1]]]))
             a = last + 1
     e = np.unique(np.sort(np.concatenate(edges), axis=1), axis=0) if edges else np.empty((0, 2), np.int64)
     return pa.table({"a": pa.array(e[:, 1], pa.int64()), "b": pa.array(e[:, 0], pa.int64())})
 
 
+def _regions(rows: DataFrame, column: str, chunks: DataFrame, total: int) -> DataFrame:
+    """(node, label) of all classes of ``rows`` that share one of their first shingles with another."""
+    rank = rows.sparkSession.sparkContext.broadcast(_sketch(chunks))
+    buckets = max(64, int(total * 0.21) // BUCKET_KEYS)
+    packed = rows.select(column).mapInArrow(_prefixes(rank, buckets, column), "bucket long, key binary, node binary, n binary")
+    return components(packed.groupBy("bucket").applyInArrow(_stars, "a long, b long"))
+
+
+def overlaps(pivots: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections, a line for each of the rows."""
+    k, out = len(pivots), np.zeros((len(rows), len(pivots)), np.int64)
+    flat, whose = np.concatenate(pivots), np.repeat(np.arange(k), [len(p) for p in pivots])
+    order = np.argsort(flat, kind="stable")
+    whose = whose[order]
+    known, begin, count = np.unique(flat[order], return_index=True, return_counts=True)
+    sizes = np.cumsum([len(r) for r in rows])
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + 500_000, side="right")))
+        x, owner = np.concatenate(rows[a:b]), np.repeat(np.arange(b - a), [len(r) for r in rows[a:b]])
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        hit = known[at] == x
+        at, owner = at[hit], owner[hit]
+        n = count[at]
+        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at], n)
+        out[a:b] = np.bincount(np.repeat(owner, n) * k + whose[places], minlength=(b - a) * k).reshape(b - a, k)
+        a = b
+    return out
+
+
+def deal(shared: np.ndarray, n: np.ndarray, m: np.ndarray, member: np.ndarray):
+    """(row, cell, whether a member there, distance) of all rows in all cells that must see them; cell len(m) is the outside."""
+    k = len(m)
+    d = 1.0 - shared / (n[:, None] + m[None, :] - shared)
+    home, least = d.argmin(1), d.min(1)
+    far = least > FAR
+    window = np.where(far, FAR + REACH, np.minimum(least + 2 * REACH, FAR + REACH))
+    seen = d <= window[:, None]
+    # of two members the cell of the smaller number sees both; a far member is met outside
+    seen &= ~member[:, None] | (~far[:, None] & (np.arange(k)[None, :] < home[:, None]))
+    row, cell = np.nonzero(seen)
+    parts = [(row, cell, np.zeros(len(row), bool), d[row, cell])]
+    near = np.flatnonzero(member & ~far)
+    parts.append((near, home[near], np.ones(len(near), bool), least[near]))
+    rim = np.flatnonzero(far | (least > FAR - REACH))
+    parts.append((rim, np.full(len(rim), k), (member & far)[rim], least[rim]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -180,20 +272,13 @@ class _Union:
 
 
 class Region:
-    """Joins the sets of one region exactly."""
+    """Joins sets exactly: members with each other and with those that are no members."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], member: np.ndarray | None = None):
         self.sets, self.n = sets, np.array([len(s) for s in sets], np.int64)
+        self.member = np.ones(len(sets), bool) if member is None else member
         self.links = _Union(len(sets))
 
-    def shared(self, pivot: int, idx: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections with the pivot."""
-        p = self.sets[pivot]
-        flat = np.concatenate([self.sets[i] for i in idx])
-        at = np.searchsorted(p, flat)
-        at[at == len(p)] = 0
-        return np.add.reduceat((p[at] == flat).astype(np.int64), np.r_[0, np.cumsum(self.n[idx])[:-1]])
-
     def split(self, idx: np.ndarray) -> list[np.ndarray]:
         """Parts that can't link with each other, by prefixes in the exact local order."""
         flat = np.concatenate([self.sets[i] for i in idx])
@@ -207,170 +292,223 @@ class Region:
         shingle, who = shingle[by], who[by]
         same = np.flatnonzero(shingle[1:] == shingle[:-1])
         part = _Union(len(idx))
-        for x, y in np.unique(np.column_stack((who[same], who[same + 1])), axis=0):
-            part.join(int(x), int(y))
+        for x, y in np.unique(np.column_stack((who[same], who[same + 1])), axis=0).tolist():
+            part.join(x, y)
         roots = np.array([part.find(i) for i in range(len(idx))])
         by = np.argsort(roots, kind="stable")
         return np.split(idx[by], np.flatnonzero(np.diff(roots[by])) + 1)
 
     def solve(self) -> list[int]:
-        todo = [np.arange(len(self.sets))]
-        whole = [True]
+        todo = [(part, self.member[part]) for part in self.split(np.arange(len(self.sets)))] if self.sets else []
         while todo:
-            idx, fresh = todo.pop(), whole.pop()
-            if len(idx) < 2:
-                continue
-            if fresh and len(idx) > 2:
-                parts = self.split(idx)
-                todo += parts
-                whole += [False] * len(parts)
-                continue
-            self.around(idx, todo, whole)
+            idx, member = todo.pop()
+            if len(idx) > 1 and member.any():
+                roots = {self.links.find(i) for i in idx.tolist()}
+                if len(roots) > 1:
+                    todo += self.cells(idx, member)
         return [self.links.find(i) for i in range(len(self.sets))]
 
-    def around(self, idx: np.ndarray, todo: list, whole: list) -> None:
-        """Links a pivot's ball, joins its rim with what lies just outside, leaves the outside to do."""
-        pivot, rest = int(idx[0]), idx[1:]
-        # with more than one other, all are measured: what no size lets link with the pivot may link with its ball
-        near = rest[(self.n[rest] >= needed(self.n[pivot])) & (self.n[pivot] >= needed(self.n[rest]))] if len(rest) < 2 else rest
-        if not len(near):
-            return todo.append(rest) or whole.append(False)
-        s = self.shared(pivot, near)
-        union = self.n[near] + self.n[pivot] - s
-        d = 1.0 - s / union
-        ball = linked(s, self.n[near], self.n[pivot])
-        for i in near[ball]:
-            self.links.join(pivot, int(i))
-        inside, outside = near[ball], near[~ball]
-        di, do = d[ball], d[~ball]
-        t = 1 - PERCENT / 100 + 1e-9
-        for y, dy in zip(outside[do <= 2 * t], do[do <= 2 * t], strict=True):
-            window = inside[di >= dy - t]
-            window = window[(self.n[window] >= needed(self.n[y])) & (self.n[y] >= needed(self.n[window]))]
-            if len(window) and (hit := window[linked(self.shared(int(y), window), self.n[window], self.n[y])]).size:
-                self.links.join(int(y), int(hit[0]))
-        rest = np.setdiff1d(rest, inside, assume_unique=True)
-        todo.append(rest)
-        whole.append(len(inside) * 4 < len(idx) and len(rest) > 64)
-
-
-def _solve(table: pa.Table) -> pa.Table:
-    """(cls, label) of every class in the components of one bucket."""
-    sets = shingle_sets(texts_of(table.column("text").combine_chunks()), WordHashes(), K)
-    want, region = table.column("cls").to_pylist(), table.column("region").to_pylist()
-    by: dict[int, dict[int, np.ndarray]] = {}
-    for s, c, r in zip(sets, want, region, strict=True):
-        if len(s) and set_hash(s) == c:
-            by.setdefault(r, {})[c] = s
-    cls, label = [], []
-    for part in by.values():
-        names = sorted(part)
-        roots = Region([part[c] for c in names]).solve()
-        cls += names
-        label += [names[r] for r in roots]
-    return pa.table({"a": pa.array(cls, pa.int64()), "b": pa.array(label, pa.int64())})
-
-
-def _measure(batches):
-    """Shared shingles of each class with its region's pivot."""
-    hashes = WordHashes()
+    def cells(self, idx: np.ndarray, member: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Links the pivots with all others; the cells that are left to be joined."""
+        inside = np.flatnonzero(member)
+        chosen = inside if len(idx) <= LEAF else inside[: max(4, min(64, len(inside) // 32))]
+        shared = overlaps([self.sets[i] for i in idx[chosen]], [self.sets[i] for i in idx])
+        n, m = self.n[idx], self.n[idx[chosen]]
+        for x, p in zip(*(y.tolist() for y in np.nonzero(linked(shared, n[:, None], m[None, :]))), strict=True):
+            self.links.join(int(idx[x]), int(idx[chosen[p]]))
+        if len(chosen) == len(inside):
+            return []
+        row, cell, own, d = deal(shared, n, m, member)
+        left = ~np.isin(row, chosen)  # pivots have met everyone
+        row, cell, own, d = row[left], cell[left], own[left], d[left]
+        ball = (cell < len(m)) & linked(shared[row, np.minimum(cell, len(m) - 1)], n[row], m[np.minimum(cell, len(m) - 1)])
+        rim = np.full(len(m) + 1, np.inf)
+        np.minimum.at(rim, cell[~ball], d[~ball])
+        left = ~ball | (d >= rim[cell] - REACH)
+        row, cell, own = row[left], cell[left], own[left]
+        order = np.argsort(cell, kind="stable")
+        cuts = np.flatnonzero(np.diff(cell[order])) + 1
+        return [(idx[row[part]], own[part]) for part in np.split(order, cuts)]
+
+
+ROWS = "region long, cls binary, n long, set binary, member boolean"
+
+
+def _sets(batches):
+    """The sets of the classes' texts, one of each in a task."""
+    seen: set[bytes] = set()
     for batch in batches:
-        sets = shingle_sets(texts_of(batch.column("text")), hashes, K)
-        pivots = shingle_sets(texts_of(batch.column("pivot_text")), hashes, K)
-        shared = [len(np.intersect1d(s, p, assume_unique=True)) for s, p in zip(sets, pivots, strict=True)]
-        own = [set_hash(s) if len(s) else None for s in sets]
-        m = [len(p) for p in pivots]
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("region"), batch.column("n"), pa.array(own, pa.int64()), batch.column("pivot"), pa.array(m, pa.int64()), pa.array(shared, pa.int64())], names=["cls", "region", "n", "own", "pivot", "m", "shared"])
-
-
-def _thin(inside: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One pivot for each region of (cls, n, rep, region, text): the links to it, and the classes that are left."""
-    pivots = inside.groupBy("region").agg(F.min_by(F.struct(F.col("cls").alias("pivot"), F.col("text").alias("pivot_text")), "cls").alias("_p")).select(F.col("region").alias("_r"), "_p.*")
-    pivots = materialize(pivots, "pivots")
-    rows = inside.join(pivots, inside["region"] == pivots["_r"]).select("text", "pivot_text", "cls", "region", "n", "pivot")
-    d = rows.mapInArrow(_measure, "cls long, region long, n long, own long, pivot long, m long, shared long").filter("own = cls").dropDuplicates(["cls"])
-    union = F.col("n") + F.col("m") - F.col("shared")
-    d = materialize(d.withColumn("ball", 100 * F.col("shared") >= PERCENT * union).withColumn("d", 1.0 - F.col("shared") / union), "measured")
-    links = d.filter("ball and cls <> pivot").select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b"))
-    t = 1 - PERCENT / 100 + 1e-9
-    rim = d.filter("not ball").groupBy(F.col("region").alias("_r")).agg(F.min("d").alias("_least"))
-    stay = d.join(rim, d["region"] == rim["_r"], "left").filter((F.col("cls") != F.col("pivot")) & (~F.col("ball") | (F.col("d") >= F.col("_least") - t))).select(F.col("cls").alias("_c"))
-    return links, materialize(inside.join(stay, inside["cls"] == stay["_c"], "left_semi"), "thinned")
-
-
-def _regions(docs: DataFrame, scan: DataFrame) -> DataFrame:
-    """(node, label) of all classes of ``docs`` that share a shingle's region with another."""
-    rank = docs.sparkSession.sparkContext.broadcast(_sketch(scan))
-    total = scan.agg(F.sum("n")).first()[0] or 0
-    buckets = max(64, int(total * 0.21) // BUCKET_KEYS)
-    packed = docs.mapInArrow(_prefixes(rank, buckets), "bucket long, key binary, cls binary, n binary")
-    return components(packed.groupBy("bucket").applyInArrow(_stars, "a long, b long"))
-
-
-def _small(reps: DataFrame) -> DataFrame:
-    """Marked for broadcast if counted to be small, so that texts stay where they are."""
-    return F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
-
-
-def _scanned(docs: DataFrame) -> DataFrame:
-    return materialize(docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n long, cls long, chunk int, counts binary"), "shingles")
+        fresh = []
+        for i, c in enumerate(batch.column("cls").to_pylist()):
+            if c not in seen:
+                fresh.append(i)
+                if len(seen) < 1 << 20:
+                    seen.add(c)
+        batch = batch.take(pa.array(fresh, pa.int64()))
+        sets = shingle_sets(batch.column("text"), K)
+        yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("cls"), batch.column("n"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([True] * len(sets), pa.bool_())], names=["region", "cls", "n", "set", "member"])
+
+
+def _measure(key: tuple[pa.Scalar, ...], rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Deals some rows of a region to the cells of its pivots; a row without a set is a link."""
+    names, sets, member = rows.column("cls").to_pylist(), _sets_of(rows.column("set")), np.array(rows.column("member").to_pylist(), bool)
+    pivot = dict(zip(pivots.column("p_cls").to_pylist(), _sets_of(pivots.column("p_set")), strict=True))
+    order = sorted(pivot)
+    out = {c: [] for c in ("cls", "n", "set", "member", "cell", "d", "ball", "pivot")}
+
+    def put(*values):
+        for c, v in zip(out, values, strict=True):
+            out[c].append(v)
+
+    if names and order:
+        n, m = np.array([len(s) for s in sets], np.int64), np.array([len(pivot[p]) for p in order], np.int64)
+        shared = overlaps([pivot[p] for p in order], sets)
+        near = linked(shared, n[:, None], m[None, :])
+        tree, known = _Union(len(order)), None
+        for x in np.flatnonzero(near.any(1)).tolist():
+            ball = np.flatnonzero(near[x]).tolist()
+            put(names[x], None, None, None, None, None, None, order[ball[0]])
+            for p in ball[1:]:  # a tree of the pivots, whatever the number of rows
+                if tree.find(p) != (known := tree.find(ball[0])):
+                    tree.join(p, known)
+                    put(order[p], None, None, None, None, None, None, order[ball[0]])
+        for x, c, own, d in zip(*(y.tolist() for y in deal(shared, n, m, member)), strict=True):
+            if names[x] not in pivot:
+                put(names[x], int(n[x]), sets[x].tobytes(), own, c, d, bool(c < len(m) and near[x, c]), None)
+    return pa.table({"region": pa.array([key[0].as_py()] * len(out["cls"]), pa.int64()), **{c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.float64(), pa.bool_(), pa.binary()), strict=True)}})
+
+
+def _cut(rows: DataFrame, sizes: DataFrame, limit: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One round of cells for regions that are too large: (a, b) links of classes, and the rows of the cells."""
+    place = F.xxhash64("cls", F.lit(turn))
+    first = rows.filter("member").groupBy("region").agg(F.min(F.struct(place.alias("p"), "cls")).alias("_f")).select(F.col("region").alias("_r"), F.col("_f.cls").alias("_first"))
+    plan = sizes.join(first, sizes["region"] == first["_r"]).select(
+        "_r",
+        "_first",
+        F.ceil(F.col("weight") / F.lit(limit)).alias("salts"),
+        # about 1 member in 32, between 8 and 256 of a region
+        F.greatest(F.lit(1), F.ceil(F.col("members") / F.greatest(F.lit(8), F.least(F.lit(256), F.col("members") / 32)))).alias("every"),
+    )
+    rows = rows.join(plan, rows["region"] == plan["_r"])
+    pivots = rows.filter("member").filter((F.pmod(place, F.col("every")) == 0) | (F.col("cls") == F.col("_first")))
+    pivots = pivots.select(F.col("region").alias("p_region"), F.col("cls").alias("p_cls"), F.col("set").alias("p_set"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("p_salt"))
+    dealt = rows.select("region", "cls", "set", "member", F.pmod(F.xxhash64("cls"), F.col("salts")).alias("salt"))
+    ddl = "region long, cls binary, n long, set binary, member boolean, cell int, d double, ball boolean, pivot binary"
+    measured = materialize(dealt.groupBy("region", "salt").cogroup(pivots.groupBy("p_region", "p_salt")).applyInArrow(_measure, ddl), "cells")
+    links = measured.filter("pivot is not null and cls <> pivot").select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b"))
+    cells = measured.filter("pivot is null").withColumn("region", F.xxhash64("region", "cell", F.lit(turn)))
+    state = cells.groupBy(F.col("region").alias("_r")).agg(F.min(F.when(~F.col("ball"), F.col("d"))).alias("_rim"))
+    left = cells.join(state, cells["region"] == state["_r"]).filter(~F.col("ball") | (F.col("d") >= F.col("_rim") - REACH))
+    return links, materialize(left.select("region", "cls", "n", "set", "member"), "cut")
 
 
-def classify(docs: DataFrame, region_limit: int = REGION_LIMIT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = _scanned(docs)
-    slim = scan.filter("chunk is null").select("doc_id", "n", "cls")
-    regions = _regions(docs, scan)
-    reps = slim.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id")).alias("_x"), F.min("n").alias("n")).select("cls", "n", F.col("_x.doc_id").alias("rep"))
-    reps = materialize(reps.join(regions, reps["cls"] == regions["node"]).select("cls", "n", "rep", F.col("label").alias("region")), "regions")
-
-    done, found, before = [], [], None
-    texts = docs
+def _solve(table: pa.Table) -> pa.Table:
+    """(a, b): the classes of one task's regions that link, and the smallest of each component there."""
+    by: dict[int, dict[bytes, tuple[np.ndarray, bool]]] = {}
+    for r, c, s, m in zip(table.column("region").to_pylist(), table.column("cls").to_pylist(), _sets_of(table.column("set")), table.column("member").to_pylist(), strict=True):
+        region = by.setdefault(r, {})
+        region[c] = (s, m or (c in region and region[c][1]))
+    a, b = [], []
+    for region in by.values():
+        names = sorted(region)
+        for i, root in enumerate(Region([region[c][0] for c in names], np.array([region[c][1] for c in names], bool)).solve()):
+            if i != root:
+                a.append(names[i])
+                b.append(names[root])
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    inside = F.when(F.col("member"), F.col("n")).otherwise(0)
+    return rows.groupBy("region").agg(F.sum("n").alias("weight"), F.sum(inside).alias("own"), F.sum(F.col("member").cast("long")).alias("members"))
+
+
+def _joined(rows: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """(a, b) links of classes, and whether they still are edges rather than a member and its component's name."""
+    done, found, before, turn = [], [], None, 0
     while True:
-        sizes = reps.groupBy("region").agg(F.sum("n").alias("_size"), F.count("*").alias("_many"))
-        big = sizes.filter((F.col("_size") > region_limit) & (F.col("_many") > 1)).select(F.col("region").alias("_r"), "_size")
-        size = big.agg(F.sum("_size")).first()[0]
+        sizes = _sizes(rows)
+        big = sizes.filter((F.col("own") > limit) & (F.col("members") > 1))
+        size = big.agg(F.sum("own")).first()[0]
         if not size:
-            done.append(reps)
+            done.append(rows)
             break
         big = materialize(big, "big")
-        done.append(reps.join(big, reps["region"] == big["_r"], "left_anti"))
-        inside = reps.join(big, reps["region"] == big["_r"], "left_semi")
-        inside = _small(inside)
-        named = texts.select(F.col("doc_id").alias("_id"), "text")
-        inside = materialize(named.join(inside, named["_id"].eqNullSafe(inside["rep"])).select("cls", "n", "rep", "region", "text"), "inside")
-        if before is not None and size > 0.5 * before:
-            links, inside = _thin(inside)
+        small = big.select(F.col("region").alias("_r"))
+        done.append(rows.join(small, rows["region"] == small["_r"], "left_anti"))
+        inside = materialize(rows.join(small, rows["region"] == small["_r"], "left_semi"), "inside")
+        if not found and (before is None or size <= 0.5 * before):
+            regions = _regions(inside, "set", inside.select("set").mapInArrow(_count_sets, "chunk int, counts binary"), size)
+            named = inside.withColumn("_n", _node())
+            rows = materialize(named.join(regions, named["_n"] == regions["node"]).select(F.col("label").alias("region"), "cls", "n", "set", "member"), "regions")
+            before = size
+        else:
+            turn += 1
+            links, rows = _cut(inside, big, limit, turn)
             found.append(links)
-        before, texts = size, inside.select(F.col("rep").alias("doc_id"), "text")
-        regions = _regions(texts, _scanned(texts))
-        known = inside.select("cls", "n", "rep").distinct()
-        reps = materialize(known.join(regions, known["cls"] == regions["node"]).select("cls", "n", "rep", F.col("label").alias("region")), "regions")
-    reps = done[0]
+    rows = done[0]
     for x in done[1:]:
-        reps = reps.unionByName(x)
-
-    weight = reps.agg(F.sum("n")).first()[0] or 0
-    tasks = max(16, int(weight) * 7 // TASK_BYTES)
-    reps = _small(reps)
-    rows = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("text", "cls", "region", F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("_task"))
-    solved = materialize(rows.groupBy("_task").applyInArrow(_solve, "a long, b long"), "links")
-    if found:  # thinned regions have links to their pivots besides
-        for x in found:
-            solved = solved.unionByName(x)
-        solved = components(solved).select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = solved.filter("a <> b").select(F.col("a").alias("_c"), F.col("b").alias("_label"))
-    named = slim.join(labels, slim["cls"] == labels["_c"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_label", "cls").alias("_label"))
-    least = named.filter("_label is not null").groupBy(F.col("_label").alias("_l")).agg(F.min("doc_id").alias("_least"))
-    return named.join(least, named["_label"] == least["_l"], "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+        rows = rows.unionByName(x)
+    sizes = _sizes(rows).filter("members > 0 and weight > 0").select(F.col("region").alias("_r"), F.ceil(F.col("weight") / F.lit(4 * limit)).alias("salts"))
+    rows = rows.join(sizes, rows["region"] == sizes["_r"])
+    # members go to every part of their region, the others to one
+    mine = F.when(F.col("member"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("salts"))))
+    rows = rows.withColumn("_part", F.explode(mine)).withColumn("region", F.xxhash64("region", "_part"))
+    weight = int(rows.agg(F.sum("n")).first()[0] or 0)
+    tasks = max(16, weight // TASK_SHINGLES)
+    links = rows.select("region", "cls", "set", "member", F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("_task")).groupBy("_task").applyInArrow(_solve, "a binary, b binary")
+    for x in found:
+        links = links.unionByName(x)
+    return links, bool(found)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.unhex(F.md5(text_or_empty(F.col("text")))).alias("name"), "text")
+
+
+def _labelled(docs: DataFrame, region_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, name, n, cls), and of each class that links (cls, label)."""
+    docs = _rows(docs)
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("name binary, n long, cls binary, chunk int, counts binary")])
+    scan = materialize(docs.mapInArrow(_scan, schema), "shingles")
+    slim = scan.filter("chunk is null").select("doc_id", "name", "n", "cls")
+    total = int(scan.agg(F.sum("n")).first()[0] or 0)
+    regions = _regions(docs, "text", scan.select("chunk", "counts"), total)
+    of = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "name"))
+    reps = slim.filter("cls is not null").groupBy("cls").agg(of.alias("_x"), F.min("n").alias("n")).withColumn("_n", _node())
+    reps = reps.join(regions, reps["_n"] == regions["node"]).select(F.col("label").alias("region"), "cls", "n", F.col("_x.doc_id").alias("doc_id"), F.col("_x.name").alias("name"))
+    rows = docs.join(reps, null_safe(docs, reps, ["doc_id", "name"])).select("region", "cls", "n", "text")
+    links, edges = _joined(materialize(rows.mapInArrow(_sets, ROWS), "sets"), region_limit)
+    if edges:
+        links = components(links).select(F.col("node").alias("a"), F.col("label").alias("b"))
+    links = materialize(links, "links")
+    # a component's name is a class that stands only on the right
+    return slim, links.filter("a <> b").select(F.col("a").alias("cls"), F.col("b").alias("label"))
+
+
+def classify(docs: DataFrame, region_limit: int = REGION_LIMIT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    slim, links = _labelled(docs, region_limit)
+    # by class first: copies of one text meet as one number
+    least = slim.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    named = least.join(links, "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
+    whole = named.groupBy("label").agg(F.min("least").alias("component"))
+    classes = named.join(whole, "label").select(F.col("cls").alias("_c"), "component")
+    return slim.join(classes, slim["cls"] == classes["_c"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, region_limit: int = REGION_LIMIT) -> DataFrame:
-    """Of each component the row with the smallest id, with all columns of ``docs``; rows without words stay."""
-    judged = classify(docs, region_limit).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(judged, docs["doc_id"].eqNullSafe(judged["_id"]), "left_semi")
-    return kept.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    """Of each component one row, with all columns of ``docs``; rows without words stay."""
+    slim, links = _labelled(docs, region_limit)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_kept_id"), F.col("name").alias("_kept_name")))
+    best = slim.filter("cls is not null").groupBy("cls").agg(first.alias("_b")).join(links, "cls", "left").groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("_b").alias("_b")).select("_b._kept_id", "_b._kept_name")
+    empty = slim.filter("cls is null").select(F.col("doc_id").alias("_kept_id"), F.col("name").alias("_kept_name"), F.lit(True).alias("_kept_every")).distinct()
+    chosen = best.withColumn("_kept_every", F.lit(False)).unionByName(empty)
+    name = F.unhex(F.md5(text_or_empty(docs["text"])))
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_kept_id"]) & (name == chosen["_kept_name"])).select(*[docs[c] for c in docs.columns], "_kept_every", "_kept_name")
+    # rows that repeat an id and a text are one
+    once = kept.filter(~F.col("_kept_every")).dropDuplicates(["doc_id", "_kept_name"])
+    return once.unionByName(kept.filter("_kept_every")).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Hashed words and shingles of Arrow batches; packing of arrays into rows for a shuffle."""
+"""Hashed words and shingles of Arrow columns; packing of arrays into rows for a shuffle.
+
+Words are hashed where they lie in the column's buffer, many texts at once: a word's hash is a
+polynomial in its bytes modulo 2^64, read off a running sum, and finalised. Texts of any
+length go through in pieces that end between words.
+"""
 
 from __future__ import annotations
 
@@ -9,18 +14,10 @@ import xxhash
 #: Odd constants of the standard 64-bit finaliser.
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
-
-
-class WordHashes(dict):
-    """Word to 64-bit hash; forgets everything once it is large."""
-
-    LIMIT = 1 << 20
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+_BASE = 0x9FB21C651E98DF25
+_PIECE = 1 << 16
+#: A byte that UTF-8 never uses stands for NUL, which is a character of a word.
+_NUL = 0xC0
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,50 +29,108 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def byte_table(separators: str = " \t\n\v\f\r") -> bytes:
+    """For bytes.translate: A-Z lower-cased, separators to 0."""
+    table = bytearray(range(256))
+    table[0] = _NUL
+    for c in range(ord("A"), ord("Z") + 1):
+        table[c] = c + 32
+    for c in separators:
+        table[ord(c)] = 0
+    return bytes(table)
+
+
+PLAIN = byte_table()
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, done, step = np.ones(n, np.uint64), 1, base
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(step)
+        done, step = done + more, step * step & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+_UP, _DOWN = (_powers(b, _PIECE + 1) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
 def texts_of(column: pa.Array) -> list:
     """Bytes of each text; null stays None."""
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def batch_words(texts: list, hashes: WordHashes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts one after the other, and where each text starts (one more at the end)."""
-    look, parts, ends = hashes.__getitem__, [], [0]
-    for t in texts:
-        ws = [] if t is None else (t.lower() if lower else t).split()
-        parts.append(np.fromiter(map(look, ws), np.uint64, len(ws)))
-        ends.append(ends[-1] + len(ws))
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(ends, np.int64)
-
-
-def windows(words: np.ndarray, k: int) -> np.ndarray:
+def hash_words(column, table: bytes = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a column's texts one after the other, and where each text starts (one more at the end)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    if data is None or not len(column):
+        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+    begin = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data, hashes, places = memoryview(data), [], []
+    at, end = int(begin[0]), int(begin[-1])
+    while at < end:
+        size = _PIECE
+        while True:  # a piece ends after a separator, or with the data
+            raw = bytes(data[at : min(at + size, end)]).translate(table)
+            if at + size >= end:
+                break
+            cut = raw.rfind(0)
+            if cut >= 0:
+                raw = raw[: cut + 1]
+                break
+            size *= 2
+        part = np.frombuffer(raw, np.uint8)
+        worded = np.zeros(len(part) + 2, bool)
+        np.not_equal(part, 0, out=worded[1:-1])
+        turns = np.flatnonzero(worded[1:] != worded[:-1])
+        first, last = turns[::2], turns[1::2]
+        borders = begin[np.searchsorted(begin, at, side="right") : np.searchsorted(begin, at + len(part))] - at
+        borders = np.unique(borders[worded[borders] & worded[borders + 1]])  # two texts meet within a run of word bytes
+        if len(borders):
+            first, last = np.sort(np.concatenate((first, borders))), np.sort(np.concatenate((last, borders)))
+        up, down = (_UP, _DOWN) if len(part) <= _PIECE else (_powers(_BASE, len(part)), _powers(pow(_BASE, -1, 1 << 64), len(part)))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        hashes.append(mix((sums[last] - sums[first]) * down[first]))
+        places.append(first + at)
+        at += len(part)
+    places = np.concatenate(places) if places else np.empty(0, np.int64)
+    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), np.searchsorted(places, begin)
+
+
+def windows(words: np.ndarray, k: int, block: int = 1 << 14) -> np.ndarray:
     """Hash of the k words from each place on."""
     n = len(words) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h = mix(h + words[i : i + n] + np.uint64((_STEP * (i + 1)) & 0xFFFFFFFFFFFFFFFF))
-    return h
+    out = np.empty(max(n, 0), np.uint64)
+    for a in range(0, n, block):
+        m = min(block, n - a)
+        h = np.zeros(m, np.uint64)
+        for i in range(k):
+            h = mix(h + words[a + i : a + i + m] + np.uint64((_STEP * (i + 1)) & 0xFFFFFFFFFFFFFFFF))
+        out[a : a + m] = h
+    return out
 
 
-def shingle_sets(texts: list, hashes: WordHashes, k: int = 5) -> list[np.ndarray]:
+def shingle_sets(column, k: int = 5) -> list[np.ndarray]:
     """The sorted distinct k-word shingles of each text; with fewer words the whole sequence is one."""
-    words, ends = batch_words(texts, hashes)
+    words, ends = hash_words(column)
     all_windows, out = windows(words, k), []
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         n = b - a
         if n >= k:
             out.append(np.unique(all_windows[a : b - k + 1]))
         elif n:
-            out.append(windows(words[a:b], int(n)) ^ np.uint64(n))
+            out.append(windows(words[a:b], n) ^ np.uint64(n))
         else:
             out.append(np.empty(0, np.uint64))
     return out
 
 
-def set_hash(s: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)))
+def set_name(s: np.ndarray) -> bytes:
+    """A 128-bit name of a set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def pack(bucket: np.ndarray, arrays: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:

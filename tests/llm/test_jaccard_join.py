@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pytest
 
 from tessitura.llm import jaccard_join as J
 
@@ -50,10 +51,84 @@ def chains(seed):
     return rows
 
 
-def test_thinning_gives_the_same_components(spark):
-    rows = chains(3)
+@pytest.mark.parametrize("limit", [300, 1500])
+def test_cells_give_the_same_components(spark, limit):
+    rows = chains(3) + [(100 + i, t) for i, t in grown()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r[0]: (r[1], r[2]) for r in J.classify(df, region_limit=1500).collect()} == brute(rows)
+    assert {r[0]: (r[1], r[2]) for r in J.classify(df, region_limit=limit).collect()} == brute(rows)
+
+
+def grown():
+    """A cluster around one text, whose members lie at growing distances from it."""
+    rng = random.Random(8)
+    base, rows = [f"c{k}" for k in range(200)], []
+    for i in range(60):
+        words = list(base)
+        for k in range(i // 4):
+            words[rng.randrange(200)] = f"e{i}x{k}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def close_sets(seed, n=300):
+    """Sets at all distances from a few centres, among them many pairs just about the threshold."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, (5, 120)).astype(np.uint64)
+    sets = []
+    for i in range(n):
+        s = base[i % 5].copy()
+        k = rng.integers(0, 18)
+        s[rng.integers(0, 120, k)] = base[(i + 1) % 5][rng.integers(0, 120, k)] if i % 3 == 0 else rng.integers(0, 1 << 60, k).astype(np.uint64)
+        sets.append(np.unique(s))
+    return sets
+
+
+def pairs(sets):
+    shared = J.overlaps(sets, sets)
+    n = np.array([len(s) for s in sets])
+    return {(i, j) for i, j in zip(*np.nonzero(J.linked(shared, n[:, None], n[None, :]))) if i < j}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_every_link_meets_in_a_cell_and_windows_decide_some(seed):
+    sets = close_sets(seed)
+    n, k = np.array([len(s) for s in sets]), 12
+    member = np.random.default_rng(seed).random(len(sets)) < 0.7
+    member[:k] = True
+    row, cell, own, _ = J.deal(J.overlaps(sets[:k], sets), n, n[:k], member)
+    assert len(set(zip(row[own].tolist(), cell[own].tolist()))) == own.sum() == member.sum()  # one home each
+    home = dict(zip(row[own].tolist(), cell[own].tolist()))
+    seen = set(zip(row.tolist(), cell.tolist()))
+    across = 0
+    for x, y in pairs(sets):
+        if member[x] or member[y]:
+            met = [c for a, b in ((x, y), (y, x)) if member[a] for c in [home[a]] if (b, c) in seen]
+            assert len(met) >= 1
+            across += member[x] and member[y] and home[x] != home[y]
+    assert across > 0  # links that only a window's copy can show
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_members_meet_those_that_are_no_members(seed):
+    sets = close_sets(seed, 200)
+    member = np.random.default_rng(seed).random(len(sets)) < 0.5
+    got = J.Region(sets, member).solve()
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    true = J._Union(len(sets))
+    for x, y in pairs(sets):
+        true.join(int(x), int(y))
+        if member[x] or member[y]:
+            a, b = sorted((find(x), find(y)))
+            up[b] = a
+    # all links of members, and nothing that is no link
+    assert all(got[x] == got[y] for x, y in pairs(sets) if member[x] or member[y])
+    assert all(true.find(i) == true.find(g) for i, g in enumerate(got))
 
 
 def test_region_solver_is_exact():
@@ -109,3 +184,14 @@ def test_threshold_is_inclusive_and_edge_rows(spark, empty):
     assert got == brute(rows) and got[2] == (8, 1) and got[4] == (1, 3) and got[5] == (0, 5)
     assert J.classify(empty).count() == 0 and J.keep_one(empty).count() == 0
     assert sorted(r[0] for r in J.keep_one(df).collect()) == [1, 3, 5, 6, 7]
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    near = " ".join(f"n{k}" for k in range(60))
+    rows = [(None, near), (None, near + " more"), (None, "other words"), (None, None), (None, "other words"), ("b", near), ("b", near), ("a", near + " end"), ("c", ""), ("c", "")]
+    df = spark.createDataFrame([(i, t, 1, "x", 2, True) for i, t in rows], "doc_id string, text string, cls int, name string, label int, _b boolean")
+    got = Counter((r[0], r[1], r[2]) for r in J.classify(df).collect())
+    assert got == Counter([(None, 56, "a"), (None, 57, "a"), (None, 1, None), (None, 0, None), (None, 1, None), ("b", 56, "a"), ("b", 56, "a"), ("a", 57, "a"), ("c", 0, "c"), ("c", 0, "c")])
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([("a", near + " end"), (None, "other words"), (None, None), ("c", ""), ("c", "")])
