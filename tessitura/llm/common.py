@@ -33,3 +33,18 @@ def null_safe(left, right, names: list[str]) -> Column:
         same = left[n].eqNullSafe(right[n])
         on = same if on is None else on & same
     return on
+
+
+def folded(line: Column) -> Column:
+    """A line lower-cased, its white space folded and trimmed; the pattern runs only where white space is odd."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\v\f\r":
+        odd |= F.contains(line, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(F.lower(line), SPACES, " ")).otherwise(F.lower(line)))
+
+
+def without_lines(text: Column, lines: Column, gone: Column) -> Column:
+    """The text without the lines (``lines`` are all of them) at the sorted places ``gone``."""
+    cut = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    runs = F.transform(F.slice(cut, F.lit(1), F.size(cut) - 1), lambda x, i: F.slice(lines, x + 2, F.get(cut, i + 1) - x - 1))
+    return F.when(F.size(gone) == 0, text).otherwise(F.array_join(F.flatten(runs), "\n"))

@@ -27,20 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import NON_SPACE, SPACES, null_safe, text_or_empty
+from tessitura.llm.common import NON_SPACE, folded, null_safe, text_or_empty, without_lines
 from tessitura.session import materialize
 
 TOKENS = 5
 ID = ["doc_id", "text_key"]
 
 
-def normalised(line: Column) -> Column:
-    odd = F.contains(line, F.lit("  "))
-    for c in "\t\v\f\r":
-        odd |= F.contains(line, F.lit(c))
-    return F.trim(F.when(odd, F.regexp_replace(F.lower(line), SPACES, " ")).otherwise(F.lower(line)))
-
-
 def _named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.md5(text_or_empty(F.col("text")))).alias("text_key"), "text")
 
@@ -66,7 +59,7 @@ def _ends(t: Column, m: Column, size: Column, kind: Column) -> list[Column]:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, pos, key, ends) of every line with a word; ``ends`` are the keys that near lines share, null for lines that are near none."""
     rows = docs.select(*ID, F.posexplode(F.split(text_or_empty(F.col("text")), "\n")).alias("pos", "_l")).filter(F.col("_l").rlike(NON_SPACE))
-    rows = rows.select(*ID, "pos", normalised(F.col("_l")).alias("norm"))
+    rows = rows.select(*ID, "pos", folded(F.col("_l")).alias("norm"))
     # columns, not expressions: each is used many times below and worth computing once
     rows = rows.select(*ID, "pos", "norm", F.split("norm", " ").alias("_w"))
     rows = rows.select(*ID, "pos", F.unhex(F.md5("norm")).alias("key"), (F.size("_w") >= TOKENS).alias("_k"), tokens(F.col("norm"), F.col("_w")).alias("_t"))
@@ -98,7 +91,7 @@ def _fetched(docs: DataFrame, lines: DataFrame) -> DataFrame:
     first = lines.join(alive, lines["key"] == alive["_k"], "left_semi").groupBy("key").agg(F.min(_place()).alias("_f"))
     wanted = first.groupBy("_f.doc_id", "_f.text_key").agg(F.collect_list(F.struct("_f.pos", "key")).alias("_at"))
     found = docs.join(wanted, null_safe(docs, wanted, ID)).select(*[docs[c] for c in ID], F.split("text", "\n").alias("_ls"), "_at")
-    found = found.select(*ID, "_ls", F.explode("_at").alias("_x")).select("_x.key", *ID, "_x.pos", normalised(F.get("_ls", F.col("_x.pos"))).alias("norm"))
+    found = found.select(*ID, "_ls", F.explode("_at").alias("_x")).select("_x.key", *ID, "_x.pos", folded(F.get("_ls", F.col("_x.pos"))).alias("norm"))
     return found.dropDuplicates(["key"])  # of rows that repeat id and text
 
 
@@ -146,9 +139,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     hit = lines.join(marks, lines["key"] == marks["_k"]).filter(F.coalesce("near", F.lit(False)) | (_place() > F.col("first")))
     out = hit.groupBy(*ID).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     joined = docs.join(out, null_safe(docs, out, ID), "left").select(docs["doc_id"], "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    joined = joined.withColumn("_l", F.split("text", "\n")).withColumn("_cut", F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("_l"))))
-    runs = F.transform(F.slice("_cut", F.lit(1), F.size("_cut") - 1), lambda x, i: F.slice("_l", x + 2, F.get("_cut", i + 1) - x - 1))
-    kept = F.when(F.col("text").isNotNull(), F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n")))
+    joined = joined.withColumn("_l", F.split("text", "\n"))
+    kept = F.when(F.col("text").isNotNull(), without_lines(F.col("text"), F.col("_l"), F.col("gone")))
     return joined.select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), F.size("_l")), F.lit(0)).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), kept.alias("kept"))
 
 

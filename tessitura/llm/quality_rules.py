@@ -1,10 +1,10 @@
 """Quality rules with cross-document line frequency (operator 10). DataFrame functions only.
 
 Base rules judge each text alone. The method then looks across documents: lines are
-normalised (A-Z lower-cased, white space folded, trimmed) and hashed; per host (``source``)
-and line the distinct documents are counted; a line above the host's limit counts as
+normalised (lower-cased, white space folded, trimmed) and hashed to 128 bits; per host
+(``source``) and line the distinct documents are counted; a line above the host's limit is
 removed; a document that loses more than ``max_lost`` of its words this way is depleted and
-rejected.
+rejected. ``keep`` returns the others without these lines.
 
 Copies must not turn the content they share into boilerplate, because a later stage keeps one
 of them. So documents are told apart by all their normalised lines in order; only lines of one word are
@@ -13,7 +13,7 @@ that differ in anything else count one by one, whatever lines they share.
 
 Defined cases: a null or empty text has no words, so it fails the base rules; null hosts form
 one host; repeated rows are judged alike, each keeps its row; a null ``doc_id`` is an id like
-any other; other columns pass through untouched in ``keep``.
+any other; an empty table gives no rows; other columns pass through untouched in ``keep``.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import NON_SPACE, SPACES, ascii_lower, null_safe, text_or_empty, words
+from tessitura.llm.common import NON_SPACE, folded, null_safe, text_or_empty, without_lines, words
 from tessitura.session import materialize
 
 
@@ -41,6 +41,8 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 #: One-word lines that hold at most one in so many words don't tell documents apart.
 SLIGHT = 50
+#: Repeated windows of a text that are looked up one by one; more are found by sorting.
+LOOKED_UP = 64
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -53,8 +55,18 @@ def worded_lines(text: Column) -> Column:
     return F.filter(F.split(text_or_empty(text), "\n"), lambda x: x.rlike(NON_SPACE))
 
 
-def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(line), SPACES, " "))
+def _repeated(h: Column, s: Column) -> Column:
+    """The values that stand side by side in the sorted array ``s``."""
+    return F.array_distinct(F.filter(s, lambda x, i: x == _at(s, i + 1)))
+
+
+def _places(h: Column, d: Column) -> Column:
+    """Where ``h`` holds one of the values ``d``, in order."""
+    by_sorting = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))
+    twice = lambda s: F.filter(s, lambda x, i: (_at(s, i - 1)["h"] == x["h"]) | (_at(s, i + 1)["h"] == x["h"]))
+    sorted_places = F.array_sort(F.transform(twice(F.array_sort(by_sorting)), lambda x: x["p"]))
+    by_looking = F.array_compact(F.transform(h, lambda x, i: F.when(F.array_contains(d, x), i)))
+    return F.when(F.size(d) <= LOOKED_UP, by_looking).otherwise(sorted_places)
 
 
 def base_stats(docs: DataFrame, key: list[str]) -> DataFrame:
@@ -67,21 +79,19 @@ def base_stats(docs: DataFrame, key: list[str]) -> DataFrame:
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
     )
-    n = F.size("_w")
-    w = F.col("_w")
-    # (hash of the three words, place), sorted: equal windows stand side by side
-    windows = F.when(n >= 3, F.slice(F.transform(w, lambda x, i: F.struct(F.xxhash64(x, _at(w, i + 1), _at(w, i + 2)).alias("h"), i.alias("p"))), F.lit(1), n - 2))
+    n, w = F.size("_w"), F.col("_w")
+    # columns, not expressions: each is used more than once below
     out = out.select(
         *key,
         "n_symbols",
         "n_dup_lines",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.array_sort(windows).alias("_s"),
+        F.when(n >= 3, F.transform(F.slice(w, F.lit(1), n - 2), lambda x, i: F.xxhash64(x, _at(w, i + 1), _at(w, i + 2)))).alias("_h"),
     )
-    s = F.col("_s")
-    twice = F.filter(s, lambda x, i: (_at(s, i - 1)["h"] == x["h"]) | (_at(s, i + 1)["h"] == x["h"]))
-    out = out.withColumn("_p", F.array_sort(F.transform(twice, lambda x: x["p"]))).drop("_s")
+    out = out.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array("_h")))  # null: all windows differ
+    out = out.withColumn("_d", _repeated(F.col("_h"), F.col("_s")))
+    out = out.withColumn("_p", F.when(F.col("_s").isNotNull(), _places(F.col("_h"), F.col("_d")))).drop("_h", "_s", "_d")
     covered = F.aggregate(
         "_p",
         F.struct(F.lit(-10).alias("last"), F.lit(0).cast("long").alias("c")),
@@ -93,50 +103,72 @@ def base_stats(docs: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _lines(docs: DataFrame, key: list[str]) -> DataFrame:
-    """A row for each worded line of each document: its hash, what tells the document from others, its words."""
-    rows = docs.select(*key, worded_lines(F.col("text")).alias("_l"))
-    rows = rows.select(*key, "_l", F.transform("_l", normal_line).alias("_n"))
-    longer = F.filter("_n", lambda x: F.instr(x, " ") > 0)
-    rows = rows.select(*key, "_l", "_n", F.transform("_n", F.md5).alias("_h"), longer.alias("_long"))
-    joined = F.array_join("_n", " ")
+    """A row for each worded line of each document: its place and hash, what tells the document from others, its words."""
+    rows = docs.select(*key, F.split(text_or_empty(F.col("text")), "\n").alias("_l"))
+    rows = rows.select(*key, F.transform("_l", lambda x: F.when(x.rlike(NON_SPACE), folded(x))).alias("_n"))
+    rows = rows.select(*key, "_n", F.array_compact("_n").alias("_all"))
+    rows = rows.select(*key, "_n", "_all", F.filter("_all", lambda x: F.instr(x, " ") > 0).alias("_long"))
+    joined = F.array_join("_all", " ")
     n_words = F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1
-    slight = SLIGHT * (F.size("_n") - F.size("_long")) <= n_words
-    rows = rows.withColumn("whole", F.xxhash64(F.when(slight, F.col("_long")).otherwise(F.col("_n"))))
-    rows = rows.select(*key, "whole", F.posexplode(F.arrays_zip("_l", "_h")).alias("pos", "_x"))
-    return rows.select(*key, "pos", F.col("_x._h").alias("line"), "whole", F.size(words(F.col("_x._l"))).alias("line_words"))
+    slight = SLIGHT * (F.size("_all") - F.size("_long")) <= n_words
+    tells = F.when(slight, F.col("_long")).otherwise(F.col("_all"))
+    rows = rows.select(*key, "_n", F.xxhash64(tells).alias("whole_a"), F.xxhash64(F.lit(1), tells).alias("whole_b"))
+    rows = rows.select(*key, "whole_a", "whole_b", F.posexplode("_n").alias("pos", "_x")).filter("_x is not null")
+    spaces = F.length("_x") - F.length(F.replace("_x", F.lit(" "), F.lit("")))
+    return rows.select(*key, "pos", F.xxhash64("_x").alias("line_a"), F.xxhash64(F.lit(1), "_x").alias("line_b"), "whole_a", "whole_b", (spaces + 1).alias("line_words"))
+
+
+LINE, WHOLE = ["line_a", "line_b"], ["whole_a", "whole_b"]
+
+
+def _frequent(lines: DataFrame, docs: DataFrame, limits: LineLimits) -> DataFrame:
+    counts = lines.select("host", *LINE, *WHOLE).distinct().groupBy("host", *LINE).agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limits.min_docs)
+    hosts = docs.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("host_rows"))
+    joined = counts.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
+    return joined.filter(F.col("n_docs") > limits.share * F.col("host_rows")).select("host", *LINE, "n_docs")
+
+
+KEY = ["doc_id", "host", "text_key"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("source").alias("host"), F.unhex(F.md5(text_or_empty(F.col("text")))).alias("text_key"), "text")
 
 
 def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """(host, line, n_docs) of the lines above their host's limit."""
-    lines = _lines(docs.select(F.col("source").alias("host"), "text"), ["host"])
-    counts = lines.select("host", "line", "whole").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limits.min_docs)
-    hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("host_rows"))
-    joined = counts.join(hosts, null_safe(counts, hosts, ["host"])).select(counts["host"], "line", "n_docs", "host_rows")
-    return joined.filter(F.col("n_docs") > limits.share * F.col("host_rows")).select("host", "line", "n_docs")
+    """(host, line_a, line_b, n_docs) of the lines above their host's limit."""
+    docs = _keyed(docs)
+    return _frequent(_lines(docs, ["host"]), docs, limits)
 
 
-def judge(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): the base figures, ``n_lost_words`` and ``kept``."""
-    docs = docs.select("doc_id", "text", F.col("source").alias("host"))
-    key = ["doc_id", "host", "text_key"]
-    keyed = docs.withColumn("text_key", F.xxhash64(text_or_empty(F.col("text"))))
-    flagged = frequent_lines(docs.select("text", F.col("host").alias("source")), limits)
-    lines = _lines(keyed, key)
-    hit = lines.join(flagged, null_safe(lines, flagged, ["host"]) & (lines["line"] == flagged["line"])).select(*[lines[k] for k in key], "pos", "line_words")
+def _judged(docs: DataFrame, limits: LineLimits) -> DataFrame:
+    """Per row of ``docs`` its key, the base figures, ``n_lost_words``, the places of the lines removed and ``kept``."""
+    docs = _keyed(docs)
+    lines = materialize(_lines(docs, KEY), "quality-lines")
+    flagged = _frequent(lines, docs, limits).select(F.col("host").alias("_host"), F.col("line_a").alias("_a"), F.col("line_b").alias("_b"))
+    hit = lines.join(flagged, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line_a") == F.col("_a")) & (F.col("line_b") == F.col("_b"))).select(*KEY, "pos", "line_words")
     # rows that repeat bring each place more than once; it counts once
-    lost = hit.groupBy(*key).agg(F.collect_set(F.struct("pos", "line_words")).alias("_x")).select(*key, F.aggregate("_x", F.lit(0).cast("long"), lambda a, x: a + x["line_words"]).alias("n_lost_words"))
+    lost = hit.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("pos", "line_words"))).alias("_x"))
+    lost = lost.select(*KEY, F.aggregate("_x", F.lit(0).cast("long"), lambda a, x: a + x["line_words"]).alias("n_lost_words"), F.col("_x.pos").alias("removed"))
     # written first: a filter pushed into the lambdas would sort the windows anew for each of them
-    base = materialize(base_stats(keyed, key), "base-figures")
-    out = base.join(lost, null_safe(base, lost, key), "left").select(*[base[k] for k in key], *BASE, F.coalesce("n_lost_words", F.lit(0).cast("long")).alias("n_lost_words"))
+    base = materialize(base_stats(docs, KEY), "base-figures")
+    out = base.join(lost, null_safe(base, lost, KEY), "left").select(*[base[k] for k in KEY], *BASE, F.coalesce("n_lost_words", F.lit(0).cast("long")).alias("n_lost_words"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost_words") <= limits.max_lost_percent * F.col("n_words")))
 
 
+def judge(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, source): the base figures, ``n_lost_words`` and ``kept``."""
+    return _judged(docs, limits).drop("removed")
+
+
 def keep(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """The rows of ``docs`` whose verdict is to keep, with all their columns."""
-    judged = judge(docs, limits).filter("kept").select("doc_id", "host", "text_key").distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(text_or_empty(docs["text"])))
-    same = keyed["doc_id"].eqNullSafe(judged["doc_id"]) & keyed["source"].eqNullSafe(judged["host"]) & (keyed["_text_key"] == judged["text_key"])
-    return keyed.join(judged, same, "left_semi").drop("_text_key")
+    """The rows of ``docs`` whose verdict is to keep, with all their columns, their texts without the lines above limits."""
+    good = _judged(docs, limits).filter("kept").select(*[F.col(k).alias(f"_kept_{k}") for k in KEY], F.col("removed").alias("_kept_removed")).dropDuplicates([f"_kept_{k}" for k in KEY])
+    name = F.unhex(F.md5(text_or_empty(docs["text"])))
+    same = docs["doc_id"].eqNullSafe(good["_kept_doc_id"]) & docs["source"].eqNullSafe(good["_kept_host"]) & (name == good["_kept_text_key"])
+    joined = docs.join(good, same).select(*[docs[c] for c in docs.columns], "_kept_removed")
+    text = without_lines(F.col("text"), F.split("text", "\n"), F.col("_kept_removed"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -153,18 +185,19 @@ w as (select r, list_filter(string_split_regex(t, '{ws}'), lambda x: x <> '') w
 tri as (select r, unnest(range(1, len(w) - 1)) p, w from w where len(w) >= 3),
 t2 as (select r, p, count(*) over (partition by r, w[p], w[p + 1], w[p + 2]) c from tri),
 rep as (select r, count(distinct q) n from (select r, unnest([p, p + 1, p + 2]) q from t2 where c > 1) group by r),
-l as (select r, host, unnest(string_split(t, chr(10))) l from d),
-lw as (select r, host, l, len(list_filter(string_split_regex(l, '{ws}'), lambda x: x <> '')) n,
-  md5(trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ws}', ' ', 'g'))) h
-  from l where regexp_matches(l, '[^\x20\x09-\x0D]')),
-m as (select r, min(h) m1 from lw group by r),
-m2 as (select lw.r, min(h) m2 from lw join m on lw.r = m.r where h <> m1 group by lw.r),
-sig as (select distinct host, h, coalesce(case when h = m1 then m2 else m1 end, '') a from lw join m using (r) left join m2 using (r)),
-cnt as (select host, h, count(*) c from sig group by all having count(*) > {limits.min_docs}),
+ln as (select r, host, unnest(string_split(t, chr(10))) l from d),
+lw as (select r, host, l, trim(regexp_replace(lower(l), '{ws}', ' ', 'g')) x from ln where regexp_matches(l, '[^\x20\x09-\x0D]')),
+lc as (select *, len(string_split(x, ' ')) n from lw),
+doc as (select r, host, count(*) filter (where n = 1) small, sum(n) words from lc group by r, host),
+-- what tells a document from others: all its lines, or those of two words and more where the others are a trifle
+li as (select r, host, unnest(range(1, len(string_split(t, chr(10))) + 1)) i, string_split(t, chr(10)) s from d),
+lo as (select li.r, i, trim(regexp_replace(lower(s[i]), '{ws}', ' ', 'g')) x from li where regexp_matches(s[i], '[^\x20\x09-\x0D]')),
+whole as (select doc.r, doc.host, string_agg(x, chr(10) order by i) filter (where {SLIGHT} * small > words or contains(x, ' ')) w from doc join lo using (r) group by doc.r, doc.host),
+cnt as (select lc.host, x, count(distinct coalesce(w, '')) c from lc join whole using (r) group by lc.host, x having count(distinct coalesce(w, '')) > {limits.min_docs}),
 hosts as (select source host, count(*) n from documents group by all),
-flag as (select cnt.host, h from cnt join hosts on cnt.host is not distinct from hosts.host where c > {limits.share}::double * n),
-lost as (select r, sum(n) n from lw join flag on lw.host is not distinct from flag.host and lw.h = flag.h group by r),
-dup as (select r, count(*) - count(distinct l) n from lw group by r),
+flag as (select cnt.host, x from cnt join hosts on cnt.host is not distinct from hosts.host where c > {limits.share}::double * n),
+lost as (select r, sum(n) n from lc join flag on lc.host is not distinct from flag.host and lc.x = flag.x group by r),
+dup as (select r, count(*) - count(distinct l) n from lc group by r),
 b as (select d.r, doc_id, len(w) n_words, length(array_to_string(w, '')) word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, coalesce(dup.n, 0) n_dup_lines,
   coalesce(rep.n, 0) n_repeat_words, coalesce(lost.n, 0) lost

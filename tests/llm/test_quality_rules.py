@@ -66,3 +66,39 @@ def test_keep_returns_rows_unchanged_and_empty_table(docs, empty, rows):
     good = [r for r in rows if not brute(r[1])[5]]
     assert sorted(r[0] for r in kept.collect()) == sorted(r[0] for r in good)
     assert Q.judge(empty).count() == 0 and Q.keep(empty).count() == 0
+
+
+def test_lines_above_limits_are_removed_from_what_is_kept(spark):
+    line = lambda name, n=12: " ".join(f"{name}x{k}" for k in range(n))
+    foot = "All  Rights\treserved by the host of these pages"
+    rows = [(i, line(f"a{i}", 60) + "\n" + (foot if i % 2 else foot.upper()) + "\n\n" + line(f"b{i}", 20), "h", i) for i in range(60)]
+    rows += [(1000, line("own", 70) + "\n" + foot, "other", 0), (None, line("n1", 60) + "\n" + foot, "h", 1), (None, line("n2", 60) + "\n" + foot, "h", 2), (5, rows[5][1], "h", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, pos int")
+    kept = sorted((str(r["doc_id"]), r["text"], r["pos"]) for r in Q.keep(df).collect())
+    cut = lambda t: "\n".join(x for x in t.split("\n") if x.lower().split() != foot.lower().split())
+    assert kept == sorted((str(i), cut(t) if h == "h" else t, p) for i, t, h, p in rows)
+
+
+def test_thirty_hosts_whose_pages_are_a_template(spark):
+    """All pages of a host are the host's 30 lines and one line of their own: all are depleted."""
+    line = lambda name: " ".join(f"{name}x{k}" for k in range(6))
+    rows = []
+    for h in range(30):
+        template = [line(f"h{h}l{j}") for j in range(30)]
+        rows += [(len(rows) + i, "\n".join([*template, line(f"own{h}y{i}")]), f"host{h}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert Q.judge(df).filter("kept").count() == 0 and Q.judge(df).filter("n_lost_words = 180").count() == len(rows)
+
+
+def test_many_repeated_windows_are_found_by_either_way(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = []
+    for distinct in (10, 60, 64, 65, 66, 67, 200):
+        once = [f"r{distinct}w{k}" for k in range(distinct)]
+        texts += [" ".join(once + [f"m{k}" for k in range(9)] + once), " ".join(once * 3 + ["end"])]
+    texts.append(" ".join(rng.choice("abcdefg") for _ in range(3000)))
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r[0]: tuple(r[1:7]) for r in Q.judge(df).select("doc_id", *Q.BASE).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
