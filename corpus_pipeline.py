@@ -8,14 +8,19 @@ of each document in the mix.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessitura.llm import decontamination, jaccard_join, mixing, quality_rules, sharding
 from tessitura.session import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the base rules and the cross-document line frequencies keep."""
-    return quality_rules.keep(docs)
+    """Rows that the base rules and the cross-document line frequencies keep, without the lines above limits.
+
+    ``n_chars`` is that of the text that is left. Null or short texts go; repeated rows stay or go together.
+    """
+    kept = quality_rules.keep(docs)
+    return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
