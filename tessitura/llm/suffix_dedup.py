@@ -6,16 +6,21 @@ corpus goes. The suffixes are sorted deep-shallow, on a sparse set of anchors:
 * A window of 200 bytes has one anchor: the place of its least 64-byte string by hash. Equal
   windows have their anchors at the same offset, so only suffixes at anchors, about one in 70
   bytes, need order, and the windows of one anchor are a run of starts.
-* Shallow: anchors are brought together by the hash of their first 64 bytes, which stands for
-  the multikey passes to that depth. An anchor alone in its group repeats nothing.
+* Shallow: Spark deals anchors by the hash of their first 64 bytes; each task sorts its suffixes by
+  multikey quicksort to that depth. Suffixes that differ there repeat nothing.
   Anchors whose whole context (all bytes of all their windows) is equal are settled: every window
   repeats. Before the shuffle each task does this to its own anchors and sends one of each
   context, so a passage in a third of all texts costs a row for each task.
 * Deep: the groups that are left have a common prefix of 64 bytes. A blind trie (branch bytes
   only, one comparison with a leaf for each insertion) orders their contexts to the right;
   along the trie the orders of the contexts to the left are merged, smaller into larger, and
-  neighbours give each window that repeats. Groups of more than ``HOT`` contexts go by the hash of
-  each of their windows instead, combined in the tasks first.
+  neighbours give each window that repeats. Groups of more than ``HOT`` contexts go by each of their
+  windows instead, combined in the tasks first.
+* A 64-byte string with very many contexts must not meet in one task at all. A first pass counts, for
+  strings with several contexts in one task, their contexts; those with more than a millionth of all
+  anchors (so fewer than a million strings) are dealt by context, and go on by windows.
+
+Texts, contexts and windows are named by 128-bit hashes.
 
 Equal texts of 200 bytes or more repeat as a whole; one of them stands for all above.
 Strings are judged on the input, never on what is left.
@@ -34,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tessitura.llm.common import text_or_empty
 from tessitura.llm.shingle import mix, pack, texts_of, unpack
@@ -43,8 +49,16 @@ LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1
 HOT = 4096
 CHUNK = 1 << 20
+#: Parts of a bucket that are sorted whole.
+SMALL = 64
+#: Texts that a task remembers to have seen.
+SEEN = 1 << 20
+#: Of the mark of an anchor: it is settled as well; its string is hot.
+ALSO_SETTLED, IN_HOT = 1 << 20, 1 << 21
 #: Buckets of a shuffle at least, and bytes of text for each.
 BUCKETS, BUCKET_BYTES = 256, 32 << 20
+#: Bytes of text for an anchor, about, and how many strings may be hot.
+ANCHOR_BYTES, MOST_HOT = 70, 1_000_000
 _PLACE = np.uint64((1 << 22) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x9FB21C651E98DF25
@@ -68,10 +82,10 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]):
-    """Of the texts laid end to end, at most a few MB: (text number, anchor, first start, last start), places inside the text; and the anchors' hashes."""
+    """Of the texts laid end to end, at most a few MB: (text number, anchor, first start, last start), places inside the text; the anchors' hashes and first GRAM bytes."""
     joined = b"".join(texts)
     if len(joined) < LENGTH:
-        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64), np.empty(0, "S64"))
     b = np.frombuffer(joined, np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.r_[0, np.cumsum(sizes)]
@@ -83,11 +97,11 @@ def anchors(texts: list[bytes]):
     fits = starts + LENGTH <= begin[text + 1]
     starts, owner, text = starts[fits], owner[fits], text[fits]
     if not len(starts):
-        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64), np.empty(0, "S64"))
     turn = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])])
     end = np.r_[turn[1:], len(starts)] - 1
     t = text[turn]
-    return t, owner[turn] - begin[t], starts[turn] - begin[t], starts[end] - begin[t], h[owner[turn]]
+    return t, owner[turn] - begin[t], starts[turn] - begin[t], starts[end] - begin[t], h[owner[turn]], np.lib.stride_tricks.sliding_window_view(b, GRAM)[owner[turn]].view("S64").ravel()
 
 
 def _pieces(rows, chunk: int):
@@ -107,10 +121,10 @@ def _pieces(rows, chunk: int):
         yield held
 
 
-_A = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("gram", "ctx", "text", "at", "back", "on")])
+_A = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("gram", "ctx", "head", "text", "at", "back", "on")])
 _B = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("text", "first", "last", "at", "gram", "kind")])
 _A_DDL, _B_DDL = (", ".join(f"{f.name} {'int' if f.name == 'bucket' else 'binary'}" for f in s) for s in (_A, _B))
-_TYPES = {"gram": np.uint64, "ctx": np.uint64, "text": np.int64, "at": np.int64, "back": np.int32, "on": np.int32, "first": np.int64, "last": np.int64, "kind": np.uint8}
+_TYPES = {"gram": np.uint64, "ctx": "S16", "head": "S64", "text": "S16", "at": np.int64, "back": np.int32, "on": np.int32, "first": np.int64, "last": np.int64, "kind": np.uint8}
 #: Of a run of starts: all repeat; to be decided; to be decided window by window.
 SETTLED, OPEN, BURST = 1, 2, 4
 
@@ -128,81 +142,138 @@ def _same_context(gram, ctx):
     return order, new, np.repeat(count, count)
 
 
-def _scan(chunk: int, buckets: int):
+def _texts(batches):
+    """The (key, text) that can lose bytes, most of them once."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        for key, t in zip(batch.column("key").to_pylist(), texts_of(batch.column("text")), strict=True):
+            if t is not None and len(t) >= LENGTH and key not in seen:
+                if len(seen) < SEEN:
+                    seen.add(key)
+                yield key, t
+
+
+def _anchored(batches, chunk: int, most: int = 1_000_000):
+    """Columns (gram, ctx, head, text, at, back, on) of about ``most`` anchors at a time."""
+    held, size = [], 0
+    for part in _pieces(_texts(batches), chunk):
+        bodies = [p for _, _, p in part]
+        t, at, first, last, gram, head = anchors(bodies)
+        # the place of the anchor in its context is part of the context's name
+        ctx = [xxhash.xxh3_128_digest(bodies[i][f : e + LENGTH], (a - f) * 256 + e - f) for i, a, f, e in zip(t.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True)]
+        keys, offsets = np.array([k for k, _, _ in part], "S16"), np.array([o for _, o, _ in part], np.int64)
+        held.append((gram, np.array(ctx, "S16"), head, keys[t], at + offsets[t], (at - first).astype(np.int32), (last - first).astype(np.int32)))
+        size += len(t)
+        if size > most:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _crowded(chunk: int, least: int):
+    """(gram, contexts) of the strings with several contexts in the task."""
+
     def run(batches):
-        """Anchors of the task's texts, one for each context; those that it shares go on as settled (``on`` < 0)."""
-        held, seen = [], set()
+        for gram, ctx, *_ in _anchored(batches, chunk):
+            order, new, _ = _same_context(gram, ctx)
+            g, n = np.unique(gram[order][new], return_counts=True)
+            many = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(g[many].view(np.int64)), pa.array(n[many], pa.int64())], names=["gram", "n"])
+
+    return run
 
-        def texts():
-            for batch in batches:
-                for key, t in zip(batch.column("key").to_pylist(), texts_of(batch.column("text")), strict=True):
-                    if t is not None and len(t) >= LENGTH and key not in seen:
-                        seen.add(key)
-                        yield key, t
 
-        def flush():
-            gram, ctx, text, at, back, on = (np.concatenate(x) for x in zip(*held, strict=True))
+def _scan(chunk: int, buckets: int, hot):
+    def run(batches):
+        """Anchors of the task's texts, one for each context; those that it shares go on as settled (``on`` < 0)."""
+        crowded = hot.value
+        for gram, ctx, head, text, at, back, on in _anchored(batches, chunk):
             order, new, count = _same_context(gram, ctx)
-            on = on[order]
-            on[count > 1] = -1 - on[count > 1]  # settled here
-            rest = [x[order] for x in (gram, ctx, text, at, back)]
-            # the first of each context stands for it (on + 2^20 if also settled); the others only carry their mark
-            mark = np.where(new, np.where(on < 0, -on - 1 + (1 << 20), on), on)
-            return pack((rest[0] % np.uint64(buckets)).astype(np.int32), [*rest, mark.astype(np.int32)], _A)
-
-        size = 0
-        for part in _pieces(texts(), chunk):
-            bodies = [p for _, _, p in part]
-            t, at, first, last, gram = anchors(bodies)
-            ctx = np.fromiter((xxhash.xxh64_intdigest(bodies[i][f : e + LENGTH], (a - f) * 256 + e - f) for i, a, f, e in zip(t.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint64, len(t))
-            keys, offsets = np.array([k for k, _, _ in part], np.int64), np.array([o for _, o, _ in part], np.int64)
-            held.append((gram, ctx, keys[t], at + offsets[t], (at - first).astype(np.int32), (last - first).astype(np.int32)))
-            size += len(t)
-            if size > 2_000_000:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+            gram, ctx, head, text, at, back, on = (x[order] for x in (gram, ctx, head, text, at, back, on))
+            found = np.minimum(np.searchsorted(crowded, gram), max(len(crowded) - 1, 0))
+            is_hot = (crowded[found] == gram) if len(crowded) else np.zeros(len(gram), bool)
+            # the first of each context stands for it; the others only carry their mark
+            mark = np.where(new, on + np.where(count > 1, ALSO_SETTLED, 0) + np.where(is_hot, IN_HOT, 0), -1 - on)
+            head[~new] = b""
+            deal = np.where(is_hot, gram ^ mix(ctx.view(np.uint64)[::2]), gram)
+            yield pack((deal % np.uint64(buckets)).astype(np.int32), [gram, ctx, head, text, at, back, mark.astype(np.int32)], _A)
 
     return run
 
 
+def multikey(keys: np.ndarray) -> np.ndarray:
+    """Order of the strings in the rows of ``keys`` (words of eight bytes, first byte highest) by multikey quicksort.
+
+    A part is split in three about a pivot's word: smaller and larger words stay at this depth, equal
+    ones go on with the next word. Small parts are sorted as they are.
+    """
+    order, todo = np.arange(len(keys)), [(0, len(keys), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo < 2 or depth == keys.shape[1]:
+            continue
+        part = order[lo:hi]
+        if hi - lo <= SMALL:
+            order[lo:hi] = part[np.lexsort(keys[part, depth:].T[::-1])]
+            continue
+        word = keys[part, depth]
+        pivot = np.sort(word[:: max(1, len(word) // 9)])[4]
+        less, same, more = part[word < pivot], part[word == pivot], part[word > pivot]
+        order[lo:hi] = np.concatenate((less, same, more))
+        i, j = lo + len(less), hi - len(more)
+        todo += [(lo, i, depth), (i, j, depth + 1), (j, hi, depth)]
+    return order
+
+
 def _by_text(text, rest, buckets: int) -> pa.RecordBatch:
-    return pack((mix(text.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), [text, *rest], _B)
+    return pack((mix(np.ascontiguousarray(text).view(np.uint64)[::2]) % np.uint64(buckets)).astype(np.int32), [text, *rest], _B)
 
 
 def _shallow(hot: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         """Settles the contexts that are equal; says which anchors the deep sort needs."""
-        gram, ctx, text, at, back, on = _columns(table, ["gram", "ctx", "text", "at", "back", "on"])
-        both = on >= 1 << 20
+        gram, ctx, head, text, at, back, on = _columns(table, ["gram", "ctx", "head", "text", "at", "back", "on"])
         marked = on < 0
-        length = np.where(both, on - (1 << 20), np.where(marked, -1 - on, on)).astype(np.int64)
+        length = np.where(marked, -1 - on, on & (ALSO_SETTLED - 1)).astype(np.int64)
+        settled, crowded = marked | (on & ALSO_SETTLED > 0), ~marked & (on & IN_HOT > 0)
         first = at - back
-        kind = np.where(both | marked, SETTLED, 0).astype(np.uint8)
+        kind = np.where(settled, SETTLED, 0).astype(np.uint8)
         rep = np.flatnonzero(~marked)
+        words = head[rep].view(np.uint8).reshape(-1, GRAM).view(">u8").astype(np.uint64)
+        order = multikey(words)
+        rep, words = rep[order], words[order]
+        group = np.cumsum(np.r_[True, (words[1:] != words[:-1]).any(1)][: len(rep)])
+        alone = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True] if len(rep) else np.empty(0, bool)
+        kept = ~alone | crowded[rep]
+        rep, group = rep[kept], group[kept]
         # the same text in several tasks is one place
-        order = np.lexsort((first[rep], text[rep], ctx[rep], gram[rep]))
-        rep = rep[order]
+        order = np.lexsort((first[rep], text[rep], ctx[rep], group))
+        rep, group = rep[order], group[order]
         if len(rep):
-            again = np.r_[False, (gram[rep][1:] == gram[rep][:-1]) & (ctx[rep][1:] == ctx[rep][:-1]) & (text[rep][1:] == text[rep][:-1]) & (first[rep][1:] == first[rep][:-1])]
-            rep = rep[~again]
-            new = np.r_[True, (gram[rep][1:] != gram[rep][:-1]) | (ctx[rep][1:] != ctx[rep][:-1])]
+            same = np.r_[False, (group[1:] == group[:-1]) & (ctx[rep][1:] == ctx[rep][:-1])]
+            fresh = ~(same & np.r_[False, (text[rep][1:] == text[rep][:-1]) & (first[rep][1:] == first[rep][:-1])])
+            rep, group, new = rep[fresh], group[fresh], ~same[fresh]
             count = np.diff(np.r_[np.flatnonzero(new), len(rep)])
-            kind[rep[np.repeat(count, count) > 1]] = SETTLED
-            heads = rep[new]  # one of each context
-            g = gram[heads]
+            kind[rep[np.repeat(count, count) > 1]] |= SETTLED
+            heads, g = rep[new], group[new]  # one of each context
             fresh = np.r_[True, g[1:] != g[:-1]]
             contexts = np.diff(np.r_[np.flatnonzero(fresh), len(g)])
             undecided = np.add.reduceat((kind[heads] == 0).astype(np.int64), np.flatnonzero(fresh))
-            wanted = np.repeat((contexts > 1) & (undecided > 0), contexts)
-            kind[heads[wanted]] |= np.where(np.repeat(contexts, contexts)[wanted] > hot, OPEN | BURST, OPEN).astype(np.uint8)
+            wanted = np.repeat((contexts > 1) & (undecided > 0), contexts) | crowded[heads]
+            burst = np.repeat(contexts > hot, contexts) | crowded[heads]
+            kind[heads[wanted]] |= np.where(burst[wanted], OPEN | BURST, OPEN).astype(np.uint8)
         out = np.flatnonzero(kind)
         return pa.Table.from_batches([_by_text(text[out], [first[out], (first + length)[out], at[out], gram[out], kind[out]], buckets)], _B)
 
     return run
 
 
+def _names(text: np.ndarray) -> list[bytes]:
+    """All 16 bytes of each name."""
+    return np.ascontiguousarray(text).view("V16").tolist()
+
+
 def _needs(table: pa.Table) -> pa.Table:
     """One row for each text with anchors to sort: their places."""
     text, first, last, at, gram, kind = _columns(table, ["text", "first", "last", "at", "gram", "kind"])
@@ -211,37 +282,39 @@ def _needs(table: pa.Table) -> pa.Table:
     rows = np.column_stack((first[here], last[here], at[here], gram[here].view(np.int64), kind[here].astype(np.int64)))
     cuts = np.flatnonzero(np.r_[True, text[here][1:] != text[here][:-1]]) if len(here) else np.empty(0, np.int64)
     stops = np.r_[cuts[1:], len(here)] if len(here) else np.empty(0, np.int64)
-    return pa.table({"n_key": pa.array(text[here][cuts], pa.int64()), "places": pa.array([rows[i:j].tobytes() for i, j in zip(cuts, stops, strict=True)], pa.binary())})
+    return pa.table({"n_key": pa.array(_names(text[here][cuts]), pa.binary()), "places": pa.array([rows[i:j].tobytes() for i, j in zip(cuts, stops, strict=True)], pa.binary())})
 
 
-_C_DDL = "bucket int, gram long, text long, at long, first long, last long, body binary"
+_C_DDL = "bucket int, gram long, text binary, at long, first long, last long, body binary"
+#: In place of an anchor: one of several starts of equal windows, or the others, which are settled (body: the window's name).
+ONE, OTHER = -1, -2
 
 
 def _contexts(buckets: int):
     def run(batches):
-        """The bytes of each anchor's windows; for hot groups a row for each window, one of each content, and settled runs (null body)."""
-        seen: set[int] = set()
+        """The bytes of each anchor's windows; for hot groups a row for each window, one of each content, and settled runs."""
+        seen: set[bytes] = set()
         for batch in batches:
             rows, burst = [], {}
             for key, t, places in zip(batch.column("key").to_pylist(), texts_of(batch.column("text")), batch.column("places").to_pylist(), strict=True):
                 if key in seen:
                     continue
-                seen.add(key)
+                if len(seen) < SEEN:
+                    seen.add(key)
                 for first, last, at, gram, kind in np.frombuffer(places, np.int64).reshape(-1, 5).tolist():
                     if kind & BURST:
                         for s in range(first, last + 1):
-                            w = t[s : s + LENGTH]
-                            burst.setdefault(xxhash.xxh64_intdigest(w, 7), []).append((key, s))
+                            burst.setdefault(xxhash.xxh3_128_digest(t[s : s + LENGTH], 7), []).append((key, s))
                     else:
                         rows.append((gram, key, at, first, last, t[first : last + LENGTH]))
             for w, places in burst.items():
-                g = int(np.uint64(w).astype(np.int64))
-                rows.append((g, places[0][0], -1, places[0][1], places[0][1], b""))
+                g = int.from_bytes(w[:8], "little", signed=True)
+                rows += [(g, k, ONE if n == 0 else OTHER, s, s, w) for n, (k, s) in enumerate(places)]
                 if len(places) > 1:
-                    rows += [(g, k, -2, s, s, None) for k, s in places]
+                    rows.append((g, places[0][0], OTHER, places[0][1], places[0][1], w))
             if rows:
                 gram, key, at, first, last, body = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([g % buckets for g in gram], pa.int32()), *(pa.array(x, pa.int64()) for x in (gram, key, at, first, last)), pa.array(body, pa.binary())], names=["bucket", "gram", "text", "at", "first", "last", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([g % buckets for g in gram], pa.int32()), pa.array(gram, pa.int64()), pa.array(key, pa.binary()), *(pa.array(x, pa.int64()) for x in (at, first, last)), pa.array(body, pa.binary())], names=["bucket", "gram", "text", "at", "first", "last", "body"])
 
     return run
 
@@ -332,19 +405,20 @@ def deep(rights: list[bytes], lefts: list[bytes]) -> list[list[tuple[int, int]]]
 def _deep(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         """Runs of starts that repeat, of the contexts of one bucket."""
-        gram, text, at, first, last = (table.column(c).to_numpy() for c in ("gram", "text", "at", "first", "last"))
-        body = table.column("body").to_pylist()
-        order = np.lexsort((first, text, gram))
-        out: list[tuple[int, int, int]] = []
+        gram, at, first, last = (table.column(c).to_numpy() for c in ("gram", "at", "first", "last"))
+        text, body = table.column("text").to_pylist(), table.column("body").to_pylist()
+        names = np.array(text, "S16")
+        order = np.lexsort((first, names, at < 0, gram))
+        out: list[tuple[bytes, int, int]] = []
         cuts = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1]])
         for i, j in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
             group = order[i:j].tolist()
-            by_window = [x for x in group if at[x] < 0]
-            if by_window:
-                whole = [x for x in by_window if at[x] == -1]
-                places = {(text[x], first[x]) for x in whole}
-                out += [(text[x], first[x], last[x]) for x in by_window if at[x] == -2 or len(places) > 1]
-            group = [x for n, x in enumerate(group) if at[x] >= 0 and (n == 0 or (text[x], first[x]) != (text[group[n - 1]], first[group[n - 1]]) or at[group[n - 1]] < 0)]
+            places: dict[bytes, set] = {}
+            for x in group:
+                if at[x] == ONE:
+                    places.setdefault(body[x], set()).add((text[x], first[x]))
+            out += [(text[x], first[x], last[x]) for x in group if at[x] == OTHER or (at[x] == ONE and len(places[body[x]]) > 1)]
+            group = [x for n, x in enumerate(group) if at[x] >= 0 and (n == 0 or (text[x], first[x]) != (text[group[n - 1]], first[group[n - 1]]))]
             if len(group) < 2:
                 continue
             rights = [body[x][at[x] - first[x] :] for x in group]
@@ -360,8 +434,8 @@ def _deep(buckets: int):
                         lo, hi = max(first[x], at[x] - left), min(last[x], at[x] - (LENGTH - right))
                         if lo <= hi:
                             out.append((text[x], lo, hi))
-        t, lo, hi = (np.array(x, np.int64) for x in (zip(*out, strict=True) if out else ([], [], [])))
-        n = len(t)
+        t, lo, hi = zip(*out, strict=True) if out else ((), (), ())
+        t, lo, hi, n = np.array(t, "S16"), np.array(lo, np.int64), np.array(hi, np.int64), len(t)
         return pa.Table.from_batches([_by_text(t, [lo, hi, lo, np.zeros(n, np.uint64), np.full(n, SETTLED, np.uint8)], buckets)], _B)
 
     return run
@@ -380,12 +454,12 @@ def _marks(table: pa.Table) -> pa.Table:
         new = np.r_[True, a[1:] > reach[:-1]]
         begin = np.flatnonzero(new)
         end = np.r_[begin[1:], len(a)] - 1
-        keys.append(text[i])
+        keys.append(i)
         blobs.append(np.column_stack((a[begin], reach[end])).tobytes())
-    return pa.table({"m_key": pa.array(keys, pa.int64()), "spans": pa.array(blobs, pa.binary())})
+    return pa.table({"m_key": pa.array(_names(text[keys]), pa.binary()), "spans": pa.array(blobs, pa.binary())})
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+OUT = StructType([*(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType()), StructField("kept", BinaryType())])
 
 
 def cut(text: bytes, spans: np.ndarray) -> bytes:
@@ -406,28 +480,39 @@ def _removed(with_text: bool):
                 s = np.array([[0, len(t)]]) if copies else np.frombuffer(spans or b"", np.int64).reshape(-1, 2)
                 left = cut(t, s)
                 rows.append((doc, len(t), len(t) - len(left), len(s), hashlib.sha256(left).hexdigest(), left))
-            doc, n, gone, many, sha, left = zip(*rows, strict=True) if rows else ([],) * 6
-            arrays = [pa.array(x, pa.int64()) for x in (doc, n, gone, many)] + [pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(left, pa.binary())] if with_text else []), names=[c.split()[0] for c in OUT.split(", ")] + (["kept"] if with_text else []))
+            _, *values = zip(*rows, strict=True) if rows else ([],) * 6
+            values = [pa.array(x, t) for x, t in zip(values, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+            names = ["doc_id", *OUT.fieldNames()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *values][: len(names) - (not with_text)], names=names[: len(names) - (not with_text)])
 
     return run
 
 
 def remove(docs: DataFrame, with_text: bool = False, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text) what was removed; ``with_text`` adds the remaining bytes as ``kept``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_or_empty(F.col("text"))).alias("key"))
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    sc = docs.sparkSession.sparkContext
+    docs = docs.select("doc_id", "text", F.unhex(F.md5(text_or_empty(F.col("text")))).alias("key"))
+    size = int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     buckets = max(BUCKETS, size // BUCKET_BYTES)
-    shallow = docs.select("key", "text").mapInArrow(_scan(chunk, buckets), _A_DDL).groupBy("bucket").applyInArrow(_shallow(hot, buckets), _B_DDL)
+    texts = docs.select("key", "text")
+    # fewer than a million strings pass, whatever the size
+    crowded = texts.mapInArrow(_crowded(chunk, min(4, hot)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > max(hot, size // ANCHOR_BYTES // MOST_HOT)).select("gram")
+    crowded = sc.broadcast(np.sort(np.array([r[0] for r in crowded.collect()], np.int64).view(np.uint64)))
+    shallow = texts.mapInArrow(_scan(chunk, buckets, crowded), _A_DDL).groupBy("bucket").applyInArrow(_shallow(hot, buckets), _B_DDL)
     shallow = materialize(shallow, "anchors")
-    needs = shallow.groupBy("bucket").applyInArrow(_needs, "n_key long, places binary")
-    asked = docs.join(needs, docs["key"] == needs["n_key"]).select("key", "text", "places")
+    needs = shallow.groupBy("bucket").applyInArrow(_needs, "n_key binary, places binary")
+    # one row of each text, so that copies don't meet
+    one = docs.filter(F.octet_length("text") >= LENGTH).groupBy(F.col("key").alias("_key")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_id"))).alias("_one"), F.count("*").alias("copies"))
+    one = materialize(one.select("_key", "_one._id", "copies"), "texts")
+    wanted = needs.join(one, needs["n_key"] == one["_key"]).select("_key", "_id", "places")
+    asked = docs.join(wanted, (docs["key"] == wanted["_key"]) & docs["doc_id"].eqNullSafe(wanted["_id"])).select("key", "text", "places")
     found = asked.mapInArrow(_contexts(buckets), _C_DDL).groupBy("bucket").applyInArrow(_deep(buckets), _B_DDL)
-    marks = shallow.unionByName(found).groupBy("bucket").applyInArrow(_marks, "m_key long, spans binary")
-    copies = docs.filter(F.octet_length("text") >= LENGTH).groupBy(F.col("key").alias("c_key")).agg(F.count("*").alias("copies")).filter("copies > 1")
+    marks = shallow.unionByName(found).groupBy("bucket").applyInArrow(_marks, "m_key binary, spans binary")
+    copies = one.filter("copies > 1").select(F.col("_key").alias("c_key"), "copies")
     all_marks = marks.join(copies, marks["m_key"] == copies["c_key"], "full_outer").select(F.coalesce("m_key", "c_key").alias("m_key"), "spans", "copies")
     marked = docs.join(materialize(all_marks, "marks"), docs["key"] == F.col("m_key"), "left").select("doc_id", "text", "spans", "copies")
-    return marked.mapInArrow(_removed(with_text), OUT + (", kept binary" if with_text else ""))
+    out = StructType([docs.schema["doc_id"], *(OUT.fields if with_text else OUT.fields[:-1])])
+    return marked.mapInArrow(_removed(with_text), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

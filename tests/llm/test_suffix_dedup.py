@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessitura.llm import suffix_dedup as S
@@ -61,3 +62,29 @@ def test_empty_and_kept_text(spark, empty):
     assert S.remove(empty).count() == 0
     df = spark.createDataFrame([(1, "k" * 150 + "m" * 200 + "p"), (2, "m" * 200)], "doc_id long, text string")
     assert {r["doc_id"]: bytes(r["kept"]) for r in S.remove(df, with_text=True).collect()} == {1: b"k" * 150 + b"p", 2: b""}
+
+
+def test_multikey_quicksort_orders_by_bytes():
+    rng = random.Random(5)
+    rows = [bytes(rng.choice(b"ab") for _ in range(rng.choice((3, 20, 40)))).ljust(64, b"a") for _ in range(3000)] + [b"z" * 64] * 300
+    keys = np.frombuffer(b"".join(rows), ">u8").reshape(-1, 8).astype(np.uint64)
+    assert [rows[i] for i in S.multikey(keys)] == sorted(rows)
+    assert S.multikey(keys[:0]).tolist() == [] and S.multikey(keys[:1]).tolist() == [0]
+
+
+def test_one_line_in_every_text(spark):
+    """A 64-byte string with another context in each text, hot and so dealt by context, beside true repeats."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, pair = text(120), text(260)
+    rows = [(i, text(250) + line + text(250) + (pair if i % 40 == 0 else "")) for i in range(200)] + [(200, line + pair[:210]), (201, line + pair[:210] + "x"), (None, line + pair[:210])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    key = lambda r: (r[0] is None, *[x or 0 for x in r[:1]], *r[1:])
+    want = sorted(brute([(-1 if i is None else i, t) for i, t in rows]))
+    got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in S.remove(df, hot=20).collect())
+    assert got == want
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    df = spark.createDataFrame([("a", "q" * 300, 1), ("a", "r" * 150, 2), (None, None, 3), ("a", "q" * 300, 1)], "doc_id string, text string, copies int")
+    assert sorted((str(r[0]), r["n_bytes"], r["n_removed"]) for r in S.remove(df).collect()) == [("None", 0, 0), ("a", 150, 0), ("a", 300, 300), ("a", 300, 300)]
