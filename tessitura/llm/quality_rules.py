@@ -55,18 +55,19 @@ def worded_lines(text: Column) -> Column:
     return F.filter(F.split(text_or_empty(text), "\n"), lambda x: x.rlike(NON_SPACE))
 
 
-def _repeated(h: Column, s: Column) -> Column:
+def _repeated(s: Column) -> Column:
     """The values that stand side by side in the sorted array ``s``."""
     return F.array_distinct(F.filter(s, lambda x, i: x == _at(s, i + 1)))
 
 
-def _places(h: Column, d: Column) -> Column:
-    """Where ``h`` holds one of the values ``d``, in order."""
-    by_sorting = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))
-    twice = lambda s: F.filter(s, lambda x, i: (_at(s, i - 1)["h"] == x["h"]) | (_at(s, i + 1)["h"] == x["h"]))
-    sorted_places = F.array_sort(F.transform(twice(F.array_sort(by_sorting)), lambda x: x["p"]))
-    by_looking = F.array_compact(F.transform(h, lambda x, i: F.when(F.array_contains(d, x), i)))
-    return F.when(F.size(d) <= LOOKED_UP, by_looking).otherwise(sorted_places)
+def _with_places(df: DataFrame) -> DataFrame:
+    """Adds ``_p``, where ``_h`` holds one of the values ``_d``, in order; many values are found by sorting the windows with their places."""
+    by_sorting = F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    df = df.withColumn("_t", F.when(F.size("_d") > LOOKED_UP, by_sorting))  # a column, so that it is sorted once
+    t = F.col("_t")
+    twice = F.filter(t, lambda x, i: (_at(t, i - 1)["h"] == x["h"]) | (_at(t, i + 1)["h"] == x["h"]))
+    by_looking = F.array_compact(F.transform("_h", lambda x, i: F.when(F.array_contains("_d", x), i)))
+    return df.withColumn("_p", F.when(t.isNotNull(), F.array_sort(F.transform(twice, lambda x: x["p"]))).when(F.col("_s").isNotNull(), by_looking))
 
 
 def base_stats(docs: DataFrame, key: list[str]) -> DataFrame:
@@ -90,8 +91,8 @@ def base_stats(docs: DataFrame, key: list[str]) -> DataFrame:
         F.when(n >= 3, F.transform(F.slice(w, F.lit(1), n - 2), lambda x, i: F.xxhash64(x, _at(w, i + 1), _at(w, i + 2)))).alias("_h"),
     )
     out = out.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array("_h")))  # null: all windows differ
-    out = out.withColumn("_d", _repeated(F.col("_h"), F.col("_s")))
-    out = out.withColumn("_p", F.when(F.col("_s").isNotNull(), _places(F.col("_h"), F.col("_d")))).drop("_h", "_s", "_d")
+    out = out.withColumn("_d", _repeated(F.col("_s")))
+    out = _with_places(out).drop("_h", "_s", "_d", "_t")
     covered = F.aggregate(
         "_p",
         F.struct(F.lit(-10).alias("last"), F.lit(0).cast("long").alias("c")),
