@@ -22,7 +22,7 @@ def num(x: float) -> Column:
 
 def r6(x: Column) -> Column:
     """Six decimals, without a negative zero."""
-    return F.round(x, 6) + num(0)
+    return F.bround(x, 6) + num(0)
 
 
 def finite(x: Column) -> Column:
@@ -46,6 +46,12 @@ def ramp(value: Column, threshold: float, saturation: float) -> Column:
     return F.when(finite(value) & (at >= 0), F.least(num(1), at))
 
 
+def nearest_rank(values: Column, fraction: float) -> Column:
+    """The element of a sorted array at the nearest rank, half to even; null if there is none."""
+    last = F.size(values) - 1
+    return F.get(values, F.least(last, F.greatest(F.lit(0), F.rint(num(fraction) * last).cast("int"))))
+
+
 def every(*parts: Column) -> Column:
     """The least of the parts, null if any is null."""
     known = parts[0].isNotNull()
@@ -103,7 +109,7 @@ def classify_density(per_second: Column, sparse: float = 1.0, busy: float = 5.0)
 
 
 def suggest_cycle_seconds(bpm: Column, beats: int = 4) -> Column:
-    return F.round(num(beats * 60) / positive(bpm), 6)
+    return F.bround(num(beats * 60) / positive(bpm), 6)
 
 
 def match_grid(value: Column, table: dict[str, float], tolerance: float = 0.15) -> Column:

@@ -3,12 +3,61 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-MIN_BARS = 2
+from tessitura.functions.scalars import clean, finite, num, positive
+
+#: Fixed values.
+MIN_BARS, BEATS_PER_BAR, FINAL_BAR = 2, 4, 0.5
+PRESENT, REFERENCE, ACTIVE = 0.15, 0.9, 0.02
+STEMS, KICK = ["drums", "bass", "vocals", "other"], "kick"
 SECTIONS = "start_bar int, length_bars int, active string, label string"
 
 
+def bar_count(frames: Column, hop: Column, bar: Column, offset: Column) -> Column:
+    """Whole bars after the offset; a last one counts from half its length on."""
+    span = frames * hop - offset
+    whole = F.floor(span / bar)
+    return F.when(span > 0, whole + (span - whole * bar >= num(FINAL_BAR) * bar).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def bar_levels(frames: DataFrame, grid: DataFrame, keys: list[str], hop: float, power_of: tuple[str, ...] = (KICK,), beats: int = BEATS_PER_BAR) -> DataFrame:
+    """(keys, source, bar, level, bars) from frame levels (keys, source, frame, level) and a grid (keys, beat_period_seconds, downbeat_seconds).
+
+    RMS over the frames of each bar; sources in ``power_of`` hold power already. Bars are as many as the
+    shortest source has; edges are rounded half to even. A grid without a period, or less than a bar, gives no rows.
+    """
+    offset = F.when(finite(F.col("downbeat_seconds")) & (F.col("downbeat_seconds") >= 0), F.col("downbeat_seconds")).otherwise(num(0))
+    g = grid.select(*keys, (positive(F.col("beat_period_seconds")) * num(beats)).alias("bar_seconds"), offset.alias("offset")).filter("bar_seconds is not null")
+    shortest = frames.groupBy(*keys, "source").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.min("_n").alias("_n"))
+    g = g.join(shortest, keys).withColumn("bars", bar_count(F.col("_n"), num(hop), F.col("bar_seconds"), F.col("offset"))).filter("bars > 0")
+    edge = lambda bar: F.rint((F.col("offset") + bar * F.col("bar_seconds")) / num(hop))
+    rows = frames.join(g, keys).filter((F.col("frame") >= edge(num(0))) & (F.col("frame") < F.least(edge(F.col("bars")), F.col("_n"))))
+    # the edges are rounded, so the quotient may be off by one either way
+    guess = F.greatest(num(0), F.floor((F.col("frame") * num(hop) - F.col("offset")) / F.col("bar_seconds")).cast("double"))
+    bar = F.when(F.col("frame") >= edge(guess + 1), guess + 1).when(F.col("frame") < edge(guess), guess - 1).otherwise(guess)
+    x = clean(F.col("level"))
+    power = F.when(F.col("source").isin(*power_of), F.greatest(x, num(0))).otherwise(x * x)
+    return rows.withColumn("bar", bar.cast("long")).groupBy(*keys, "source", "bar").agg(F.sqrt(F.avg(power)).alias("level"), F.first("bars").alias("bars"))
+
+
+def presence(levels: DataFrame, keys: list[str], kick: str = KICK, drums: str = "drums") -> DataFrame:
+    """(keys, source, bar, present, absent, threshold) from bar levels (keys, source, bar, level).
+
+    A source is absent if its 90th percentile is under a fiftieth of the loudest's, as all are if none sounds;
+    the kick, part of the drums, has no say there and is absent when the drums are. A threshold of 0 is never reached.
+    """
+    by_source, by_track = Window.partitionBy(*keys, "source"), Window.partitionBy(*keys)
+    b = levels.withColumn("_ref", F.percentile("level", num(REFERENCE)).over(by_source))
+    stem = F.col("source") != kick
+    b = b.withColumn("_top", F.max(F.when(stem, F.col("_ref"))).over(by_track))
+    b = b.withColumn("_out", F.coalesce(F.col("_ref") / F.nullif(F.col("_top"), num(0)), num(0)) < num(ACTIVE))
+    inherited = F.coalesce(F.max(F.when(F.col("source") == drums, F.col("_out"))).over(by_track), F.lit(False))
+    b = b.withColumn("absent", F.when(stem, F.col("_out")).otherwise(inherited)).withColumn("threshold", num(PRESENT) * F.col("_ref"))
+    return b.withColumn("present", ~F.col("absent") & (F.col("threshold") > 0) & (F.col("level") >= F.col("threshold"))).drop("_ref", "_top", "_out")
+
+
 def merge(patterns: list[frozenset], least: int = MIN_BARS) -> list[tuple[int, int, frozenset]]:
     """Runs of equal patterns; the shortest below ``least`` bars joins the neighbour that differs
     in the fewest tracks, then the longer, then the earlier; equal neighbours become one."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.functions.scalars import classify_density, match_grid, num, suggest_cycle_seconds
+from tessitura.functions.scalars import classify_density, match_grid, nearest_rank, num, suggest_cycle_seconds
 
 #: Fixed values.
 MIN_INTERVALS, STRAIGHT_TOLERANCE, STRAIGHT_MIN, BASE_MIN, LILT = 16, 0.22, 0.80, 0.50, 1.1
@@ -18,8 +18,9 @@ NOTE_CAP, SECTION_CAP = 32, 24
 def feel_evidence(iois: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """Per key what both hypotheses need from the intervals (``ioi`` at ``t``)."""
     w = Window.partitionBy(*keys)
-    p = lambda q: F.percentile("ioi", num(q)).over(w)
-    d = iois.withColumn("unit", p(0.5)).withColumn("split", (p(SPLIT) + p(1 - SPLIT)) / num(2))
+    # the intervals of one recording, sorted: the split lies between two nearest ranks
+    d = iois.withColumn("unit", F.percentile("ioi", num(0.5)).over(w)).withColumn("_all", F.array_sort(F.collect_list("ioi").over(w)))
+    d = d.withColumn("split", (nearest_rank(F.col("_all"), SPLIT) + nearest_rank(F.col("_all"), 1 - SPLIT)) / num(2)).drop("_all")
     d = d.withColumn("long", F.col("ioi") >= F.col("split")).withColumn("k", F.least(num(4), F.greatest(num(1), F.rint(F.col("ioi") / F.col("unit")))))
     d = d.withColumn("cross", (F.col("long") != F.lag("long").over(w.orderBy(t))).cast("int"))
     for name, side in (("long", F.col("long")), ("short", ~F.col("long"))):

@@ -33,16 +33,36 @@ def local_max(x: str, half: int, keys=KEYS, order: str = "frame") -> Column:
     return F.max(x).over(over(keys, order).rowsBetween(-half, half))
 
 
+def spaced(df: DataFrame, separation: int, keys: list[str], better: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows at least ``separation`` frames from the last one kept, in the order of frames (then ``order``).
+
+    A later row that is too near goes, or takes the place of the kept one if its ``better`` is greater.
+    Rows fall into chains of near neighbours first, so what is folded at once is a few rows.
+    """
+    w = over(keys, "frame")
+    rest = [c for c in df.columns if c not in (*keys, "frame", *order)]
+    df = df.withColumn("_new", F.coalesce((F.col("frame") - F.lag("frame").over(w) >= separation).cast("int"), F.lit(1)))
+    df = df.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = df.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list(F.struct("frame", *order, *rest))).alias("_c"))
+    last = lambda kept: F.element_at(kept, -1)
+
+    def step(kept, x):
+        instead = kept if better is None else F.when(x[better] > last(kept)[better], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x))).otherwise(kept)
+        return F.when(x["frame"] - last(kept)["frame"] >= separation, F.concat(kept, F.array(x))).otherwise(instead)
+
+    return chain.select(*keys, F.explode(F.aggregate("_c", F.slice("_c", 1, 1), step)).alias("_x")).select(*keys, "_x.*")
+
+
 def peaks(df: DataFrame, half: int = 43, separation: int = 3, delta: float = 0.4, quantile: float = 0.9, keys=KEYS) -> DataFrame:
-    """Frames whose flux is over the rolling median, the greatest around, inside the series, and
-    over the median by ``delta`` of the candidates' 0.9 quantile; of equal ones nearby the earliest."""
+    """Frames inside the series whose flux is over the rolling median and the greatest around; of equal ones
+    nearby the earliest, each counted from the one kept before; then those over the median by ``delta`` of the quantile of what is left."""
     df = df.withColumn("median", rolling_median("flux", half, keys)).withColumn("_top", local_max("flux", separation, keys))
     all_of = Window.partitionBy(*keys)
     df = df.withColumn("_n", F.count("*").over(all_of)).withColumn("_i", F.row_number().over(over(keys)) - 1)
     cand = df.filter((F.col("flux") > F.col("median")) & (F.col("flux") >= F.col("_top")) & (F.col("_i") > 0) & (F.col("_i") < F.col("_n") - 1))
-    cand = cand.withColumn("_q", F.percentile("flux", num(quantile)).over(all_of)).filter(F.col("flux") > F.col("median") + num(delta) * F.col("_q"))
-    cand = cand.withColumn("_before", F.lag("frame").over(over(keys))).filter(F.col("_before").isNull() | (F.col("frame") - F.col("_before") >= separation))
-    return cand.select(*keys, "frame", "flux", "median")
+    cand = spaced(cand.select(*keys, "frame", "flux", "median"), separation, list(keys), "flux")
+    cand = cand.withColumn("_q", F.percentile("flux", num(quantile)).over(all_of))
+    return cand.filter((F.col("_q") > 0) & (F.col("flux") > F.col("median") + num(delta) * F.col("_q"))).select(*keys, "frame", "flux", "median")
 
 
 def first_onset(df: DataFrame, fraction: float = 0.2, keys=KEYS) -> DataFrame:

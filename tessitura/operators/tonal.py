@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.functions.scalars import NOTE_NAMES, num
+from tessitura.functions.scalars import NOTE_NAMES, finite, num
 
 #: The published probe-tone profiles, from the tonic on.
 PROFILES = {
@@ -19,23 +19,30 @@ def rotated(profile: list[float], tonic: int) -> list[float]:
     return [profile[(i - tonic) % 12] for i in range(12)]
 
 
-def _pearson(a, weights: list[float]):
-    """Correlation of an array of 12 with fixed weights; null if the array is flat."""
-    mean_w = sum(weights) / 12
-    w = F.array(*[num(x - mean_w) for x in weights])
-    norm_w = sum((x - mean_w) ** 2 for x in weights) ** 0.5
-    mean = F.aggregate(a, num(0), lambda s, x: s + x) / num(12)
-    dot = F.aggregate(F.zip_with(a, w, lambda x, y: x * y), num(0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate(a, num(0), lambda s, x: s + (x - mean) * (x - mean)))
-    return dot / F.nullif(norm * num(norm_w), num(0))
+def _templates() -> list[tuple[str, str, list[float]]]:
+    """(key, scale, profile centred and of unit length) of the 24 candidates."""
+    out = []
+    for scale, p in PROFILES.items():
+        mean = sum(p) / 12
+        norm = sum((x - mean) ** 2 for x in p) ** 0.5
+        out += [(n, scale, [(x - mean) / norm for x in rotated(p, i)]) for i, n in enumerate(NOTE_NAMES)]
+    return out
 
 
 def estimate_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, key, scale, strength, confidence) from ``chroma``, an array of 12: the best of 24
-    candidates; confidence is its lead over the best other tonic, over the whole range."""
-    rows = F.array(*[F.struct(_pearson(F.col("chroma"), rotated(p, i)).alias("r"), F.lit(n).alias("k"), F.lit(s).alias("s")) for s, p in PROFILES.items() for i, n in enumerate(NOTE_NAMES)])
-    df = df.withColumn("_r", F.filter(rows, lambda x: x["r"].isNotNull())).filter(F.size("_r") > 0)
+    candidates by correlation; confidence is the correlation times its lead over the best other tonic,
+    as a share of the whole range. Nothing for a chroma that isn't 12 finite numbers or doesn't vary."""
+    c = F.col("chroma")
+    df = df.filter((F.size(c) == 12) & F.forall(c, finite))
+    total = lambda a: F.aggregate(a, num(0), lambda s, x: s + x)
+    df = df.withColumn("_m", total(c) / num(12)).withColumn("_c", F.transform(c, lambda x: x - F.col("_m")))
+    df = df.withColumn("_n", F.sqrt(total(F.transform("_c", lambda x: x * x)))).filter("_n > 0")
+    dot = lambda w: sum((F.get("_c", F.lit(i)) * num(x) for i, x in enumerate(w)), num(0)) / F.col("_n")
+    df = df.withColumn("_r", F.array(*[F.struct(dot(w).alias("r"), F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s, w in _templates()]))
+    df = df.filter(F.forall("_r", lambda x: finite(x["r"])))
     df = df.withColumn("_b", F.array_max("_r")).withColumn("_w", F.array_min("_r")["r"])
     rival = F.array_max(F.filter("_r", lambda x: x["k"] != F.col("_b")["k"]))["r"]
-    lead = F.when(F.col("_b.r") > F.col("_w"), (F.col("_b.r") - rival) / (F.col("_b.r") - F.col("_w")))
+    clip = lambda x: F.least(num(1), F.greatest(num(0), x))
+    lead = F.when(F.col("_b.r") > F.col("_w"), clip(F.col("_b.r")) * clip((F.col("_b.r") - rival) / (F.col("_b.r") - F.col("_w"))))
     return df.select(*keys, F.col("_b.k").alias("key"), F.col("_b.s").alias("scale"), F.col("_b.r").alias("strength"), lead.alias("confidence"))

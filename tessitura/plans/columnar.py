@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import scalars as S
 from tessitura.functions.scalars import num, r6
-from tessitura.operators import grid, labels, series, spectrum
+from tessitura.operators import arrangement, drums, grid, labels, series, spectrum
 from tessitura.plans.registry import registry
 from tessitura.session import table
 
@@ -47,9 +47,12 @@ def q02(spark, sf):
     return fluxed(spark, sf).select(*KEYS, "frame", r6(series.rolling_median("flux", 43)).alias("med"))
 
 
-@query("q03_peak_pick", f"""with {MED}, c as (select *, quantile_cont(flux, 0.9) over (partition by track, source) q from md where flux > med and flux >= top and frame > 0 and frame < n - 1),
-p as (select *, lag(frame) over (partition by track, source order by frame) b from c where flux > med + 0.4::double * q)
-select track, source, frame, round(flux, 6) + 0::double flux from p where b is null or frame - b >= 3""")
+@query("q03_peak_pick", f"""with recursive {MED}, c as (select track, source, frame, flux, med from md where flux > med and flux >= top and frame > 0 and frame < n - 1),
+ch as (select *, coalesce((frame - lag(frame) over (partition by track, source order by frame) >= 3)::int, 1) s from c), ci as (select *, sum(s) over (partition by track, source order by frame) chain from ch),
+g(track, source, chain, frame) as (select track, source, chain, min(frame) from ci group by track, source, chain union all
+  select ci.track, ci.source, ci.chain, min(ci.frame) from g join ci on g.track = ci.track and g.source = ci.source and g.chain = ci.chain where ci.frame >= g.frame + 3 group by ci.track, ci.source, ci.chain),
+k as (select ci.*, quantile_cont(flux, 0.9) over (partition by ci.track, ci.source) q from ci join g using (track, source, chain, frame))
+select track, source, frame, round(flux, 6) + 0::double flux from k where q > 0 and flux > med + 0.4::double * q""")
 def q03(spark, sf):
     return series.peaks(fluxed(spark, sf)).select(*KEYS, "frame", r6(F.col("flux")).alias("flux"))
 
@@ -62,15 +65,11 @@ def q04(spark, sf):
 @query("q05_band_gates", f"""with {FLUX}, a as (select track, source, sum(value) e, max(flux) peak from fl group by all),
 b as (select track, fl.source, avg((flux <= 0.02::double * peak)::int::double) sparse from fl join a using (track, source) group by all),
 c as (select track, source, e / sum(e) over (partition by track) share, peak from a)
-select track, source, round(share, 6) + 0::double share, share >= 0.001 active, round(peak, 6) + 0::double peak, round(sparse, 6) + 0::double sparsity, peak >= 1 and sparse >= 0.72::double percussive,
-  case when peak < 1 then 'flux too low' when sparse < 0.72::double then 'not sparse' else '' end refusal from c join b using (track, source)""")
+select track, source, round(share, 6) + 0::double share, round(peak, 6) + 0::double peak, round(sparse, 6) + 0::double sparsity,
+  case when share < 0.001 then 'empty' when peak < 1 then 'no_transient' when sparse < 0.72::double then 'not_sparse' end refusal from c join b using (track, source)""")
 def q05(spark, sf):
-    f = fluxed(spark, sf).withColumn("peak", F.max("flux").over(Window.partitionBy(*KEYS)))
-    a = f.groupBy(*KEYS).agg(F.sum("value").alias("e"), F.first("peak").alias("peak"), F.avg((F.col("flux") <= num(0.02) * F.col("peak")).cast("double")).alias("sparse"))
-    share = F.col("e") / F.sum("e").over(Window.partitionBy("track"))
-    a = a.withColumn("share", share)
-    why = F.when(F.col("peak") < 1, "flux too low").when(F.col("sparse") < 0.72, "not sparse").otherwise("")
-    return a.select(*KEYS, r6(F.col("share")).alias("share"), (F.col("share") >= 1e-3).alias("active"), r6(F.col("peak")).alias("peak"), r6(F.col("sparse")).alias("sparsity"), ((F.col("peak") >= 1) & (F.col("sparse") >= 0.72)).alias("percussive"), why.alias("refusal"))
+    g = drums.gates(fluxed(spark, sf).withColumnRenamed("source", "band"), ["track"])
+    return g.select("track", F.col("band").alias("source"), *[r6(F.col(c)).alias(c) for c in ("share", "peak", "sparsity")], "refusal")
 
 
 def bars(spark, sf) -> DataFrame:
@@ -80,15 +79,12 @@ def bars(spark, sf) -> DataFrame:
 
 
 def presence(spark, sf) -> DataFrame:
-    by_source, by_track = Window.partitionBy(*KEYS), Window.partitionBy("track")
-    b = bars(spark, sf).withColumn("ref", F.percentile("level", num(0.9)).over(by_source))
-    b = b.withColumn("absent", F.col("ref") < num(0.02) * F.max("ref").over(by_track))
-    return b.withColumn("present", ~F.col("absent") & (F.col("level") >= num(0.15) * F.col("ref")))
+    return arrangement.presence(bars(spark, sf), ["track"])
 
 
 BARS = f"{ENV}, bars as (select track, source, floor(t / 86400)::bigint bar, sqrt(avg(value * value)) lvl from env group by all)"
 PRESENCE = f"""{BARS}, r as (select *, quantile_cont(lvl, 0.9) over (partition by track, source) ref from bars),
-pr as (select *, ref < 0.02::double * max(ref) over (partition by track) absent from r), ps as (select *, not absent and lvl >= 0.15::double * ref present from pr)"""
+pr as (select *, coalesce(ref / nullif(max(ref) over (partition by track), 0), 0) < 0.02::double absent from r), ps as (select *, not absent and ref > 0 and lvl >= 0.15::double * ref present from pr)"""
 
 
 @query("q06_presence", f"with {PRESENCE} select track, source, bar, present, absent from ps")
@@ -209,7 +205,7 @@ def iois(spark, sf):
 
 @query("q17_intervals", f"with {IOI} select track, round(t, 3) t, round(ioi, 6) + 0::double ioi from ok")
 def q17(spark, sf):
-    return iois(spark, sf).select("track", F.round("t", 3).alias("t"), r6(F.col("ioi")).alias("ioi"))
+    return iois(spark, sf).select("track", F.bround("t", 3).alias("t"), r6(F.col("ioi")).alias("ioi"))
 
 
 @query("q18_relative_mad", f"with {IOI}, a as (select track, ioi, quantile_cont(ioi, 0.5) over (partition by track) m from ok) select track, round(any_value(m), 6) + 0::double med, round(quantile_cont(abs(ioi - m), 0.5) / nullif(any_value(m), 0), 6) + 0::double mad from a group by 1")
@@ -219,7 +215,7 @@ def q18(spark, sf):
     return i.groupBy("track").agg(r6(F.first("_m")).alias("med"), r6(mad).alias("mad"))
 
 
-@query("q19_feel", f"""with {IOI}, a as (select track, t, ioi, quantile_cont(ioi, 0.5) over (partition by track) u, (quantile_cont(ioi, 0.1) over (partition by track) + quantile_cont(ioi, 0.9) over (partition by track)) / 2 split from ok),
+@query("q19_feel", f"""with {IOI}, a as (select track, t, ioi, quantile_cont(ioi, 0.5) over (partition by track) u, (r[round_even(0.1::double * (len(r) - 1), 0)::int + 1] + r[round_even(0.9::double * (len(r) - 1), 0)::int + 1]) / 2 split from (select *, list_sort(list(ioi) over (partition by track)) r from ok)),
 b as (select *, ioi >= split long, least(4, greatest(1, round_even(ioi / u, 0))) k from a), c as (select *, (long <> lag(long) over (partition by track order by t))::int x from b)
 select track, count(*) n, round(avg((abs(ioi - k * u) <= 0.22::double * u)::int::double), 6) + 0::double on_grid, round(avg((k = 1)::int::double), 6) + 0::double base,
   round(least(avg(long::int::double), 1 - avg(long::int::double)), 6) + 0::double cluster, round(sum(x) / nullif(count(*) - 1, 0)::double, 6) + 0::double alternation from c group by 1 having count(*) >= 16""")
@@ -243,7 +239,7 @@ STEP = "(round_even((t - 0) / 3600::double, 0)::bigint % 24)"
 @query("q21_step_share", f"with {ENV}, s as (select source, {STEP} step, count(*) n from env group by all) select source, step, round(n / sum(n) over (partition by source)::double, 4) + 0::double share from s")
 def q21(spark, sf):
     s = envelope(spark, sf).groupBy("source", S.grid_step(F.col("t"), num(0), num(3600), 24).alias("step")).agg(F.count("*").alias("n"))
-    return s.select("source", "step", (F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 4) + num(0)).alias("share"))
+    return s.select("source", "step", (F.bround(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 4) + num(0)).alias("share"))
 
 
 @query("q22_occupancy", f"with {ENV}, a as (select source, {STEP} step, floor(t / 86400)::bigint c from env), p as (select source, count(distinct c) n from a group by 1) select a.source, step, round(count(distinct c) / any_value(p.n)::double, 6) + 0::double occupancy from a join p using (source) group by all")
@@ -286,7 +282,7 @@ def _profiles_sql():
 @query("q25_key", f"""with {CHROMA}, {_profiles_sql()}, e as (select vec_id, k, s, unnest(c) x, unnest(w) w from c, p), r as (select vec_id, k, s, corr(x, w) r from e group by all),
 b as (select vec_id, arg_max(k, {{'r': r, 'k': k, 's': s}}) k, arg_max(s, {{'r': r, 'k': k, 's': s}}) s, max(r) r, min(r) worst from r where not isnan(r) group by 1),
 o as (select vec_id, max(r.r) rival from r join b using (vec_id) where r.k <> b.k and not isnan(r.r) group by 1)
-select vec_id, k "key", s scale, round(r, 6) + 0::double strength, round(case when r > worst then (r - rival) / (r - worst) end, 6) + 0::double confidence from b join o using (vec_id)""")
+select vec_id, k "key", s scale, round(r, 6) + 0::double strength, round(case when r > worst then least(1, greatest(0, r)) * least(1, greatest(0, (r - rival) / (r - worst))) end, 6) + 0::double confidence from b join o using (vec_id)""")
 def q25(spark, sf):
     from tessitura.operators.tonal import estimate_key
 
@@ -308,7 +304,7 @@ select label, round(coalesce(sum(p) filter (where freq < 250), 0) / nullif(sum(p
  round(sum(p) filter (where freq >= 1500) / nullif(sum(p), 0), 6) + 0::double brightness, round(sum(freq * p) / nullif(sum(p), 0), 4) + 0::double centroid from i group by 1""")
 def q26(spark, sf):
     d = spectrum.describe(power(spark, sf), ["label"])
-    return d.select("label", *[r6(F.col(c)).alias(c) for c in ("low", "low_mid", "high_mid", "high", "brightness")], (F.round("centroid", 4) + num(0)).alias("centroid"))
+    return d.select("label", *[r6(F.col(c)).alias(c) for c in ("low", "low_mid", "high_mid", "high", "brightness")], (F.bround("centroid", 4) + num(0)).alias("centroid"))
 
 
 @query("q26b_energy_percentile", f"with {POWER}, c as (select *, sum(p) over (partition by label order by freq) c, sum(p) over (partition by label) t from p) select label, min(freq) rolloff from c where c >= 0.85::double * t group by 1")

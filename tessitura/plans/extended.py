@@ -43,9 +43,26 @@ def q47(spark, sf):
     return tempo.refine(f, ["track", "source"], HOP_SECONDS)
 
 
+def pattern(spark):
+    """Hits, patterns and summary of the synthetic drum recordings."""
+    f = frames(spark).filter("track = 'pattern'").select("track", "source", "frame", *drums.BANDS)
+    meta = f.select("track", "source").distinct().select("track", "source", num(2.0).alias("cycle_seconds"), num(0.25).alias("downbeat_seconds"), F.lit(None).cast("double").alias("first_beat_seconds"))
+    return drums.decompose(f, meta, ["track", "source"])
+
+
 @query("q48_decompose")
 def q48(spark, sf):
-    return drums.decompose(frames(spark).filter("track = 'pattern'").select("track", "source", "frame", "kick", "body", "noise", "air"), ["track", "source"])
+    return pattern(spark)[0]
+
+
+@query("q48b_patterns")
+def q48b(spark, sf):
+    return pattern(spark)[1]
+
+
+@query("q48c_grid")
+def q48c(spark, sf):
+    return pattern(spark)[2]
 
 
 @query("q49_notes")

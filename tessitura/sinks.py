@@ -15,7 +15,7 @@ DIGITS = 6
 def rounded(c: Column, kind: T.DataType, digits: int = DIGITS) -> Column:
     """The column with every float in it rounded, at any depth; keys and order stay."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.round(c, digits)
+        return F.bround(c, digits)
     if isinstance(kind, T.StructType):
         return F.when(c.isNotNull(), F.struct(*[rounded(c[f.name], f.dataType, digits).alias(f.name) for f in kind]))
     if isinstance(kind, T.ArrayType):
