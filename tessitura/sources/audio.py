@@ -125,7 +125,48 @@ def band_energy(power: np.ndarray) -> dict[str, np.ndarray]:
     return {b: power[:, (freq >= lo) & ((freq <= hi) if b == "air" else (freq < hi))].sum(1) for b, (lo, hi) in BANDS.items()}
 
 
-FRAME = "track string, source string, frame long, " + ", ".join(f"{b} double" for b in BANDS) + ", rms double"
+#: The shared bands of the spectral descriptors in Hz (the last closed above), and where brightness begins.
+SHARED = {"e_low": (20, 250), "e_low_mid": (250, 2000), "e_high_mid": (2000, 6000), "e_high": (6000, 20000)}
+BRIGHT_HZ, ROLLOFF, CHROMA_HZ = 1500, 0.85, (55, 5000)
+SPECTRAL = ["power", *SHARED, "e_bright", "e_moment", "centroid", "rolloff"]
+FRAME = "track string, source string, frame long, " + ", ".join(f"{b} double" for b in [*BANDS, "rms", *SPECTRAL]) + ", chroma array<double>"
+FREQ = np.arange(N_FFT // 2 + 1) * SAMPLE_RATE / N_FFT
+
+
+def pitch_classes(power: np.ndarray) -> np.ndarray:
+    """Power by pitch class from c on, the greatest of each frame 1; zeros for silence."""
+    inside = np.flatnonzero((FREQ >= CHROMA_HZ[0]) & (FREQ <= CHROMA_HZ[1]))
+    pc = np.rint(69 + 12 * np.log2(FREQ[inside] / 440)).astype(int) % 12
+    fold = np.zeros((len(inside), 12))
+    fold[np.arange(len(inside)), pc] = 1
+    out = power[:, inside] @ fold
+    top = out.max(1, keepdims=True)
+    return np.divide(out, top, out=np.zeros_like(out), where=top > 0)
+
+
+def spectral(power: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums of each frame over the shared bands, and centroid and rolloff of its magnitudes (NaN for silence)."""
+    out = {"power": power.sum(1)}
+    for b, (lo, hi) in SHARED.items():
+        out[b] = power[:, (FREQ >= lo) & ((FREQ <= hi) if b == "e_high" else (FREQ < hi))].sum(1)
+    heard = (FREQ >= 20) & (FREQ <= 20000)
+    out["e_bright"] = power[:, heard & (FREQ >= BRIGHT_HZ)].sum(1)
+    out["e_moment"] = power[:, heard] @ FREQ[heard]
+    magnitude = np.sqrt(power)
+    total = magnitude.sum(1)
+    some = total > 0
+    out["centroid"] = np.divide(magnitude @ FREQ, total, out=np.full(len(power), np.nan), where=some)
+    reached = np.cumsum(magnitude, axis=1) >= ROLLOFF * total[:, None]
+    out["rolloff"] = np.where(some, FREQ[reached.argmax(1)], np.nan)
+    return out
+
+
+def _samples(batch):
+    """(row, samples) of a batch of chunks, without a Python object for each sample."""
+    column = batch.column("samples")
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for i in range(batch.num_rows):
+        yield i, np.nan_to_num(flat[ends[i] : ends[i + 1]].astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
 
 
 def frame_bands(audio: DataFrame) -> DataFrame:
@@ -133,17 +174,57 @@ def frame_bands(audio: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for t, s, c, x in zip(*(batch.column(n).to_pylist() for n in ("track", "source", "chunk", "samples")), strict=True):
-                x = np.asarray(x, np.float32)
-                e = band_energy(power_frames(x))
-                n = len(e["kick"])
-                rms = np.sqrt((np.lib.stride_tricks.sliding_window_view(x.astype(float), N_FFT)[::HOP] ** 2).mean(1))
-                cols = [pa.array([t] * n), pa.array([s] * n), pa.array(c * CHUNK_FRAMES + np.arange(n), pa.int64()), *(pa.array(e[b]) for b in BANDS), pa.array(rms)]
+            tracks, sources, numbers = (batch.column(c).to_pylist() for c in ("track", "source", "chunk"))
+            for i, x in _samples(batch):
+                power = power_frames(x)
+                e = band_energy(power) | {"rms": np.sqrt((np.lib.stride_tricks.sliding_window_view(x, N_FFT)[::HOP] ** 2).mean(1))} | spectral(power)
+                n = len(power)
+                chroma = pa.ListArray.from_arrays(pa.array(np.arange(0, 12 * n + 1, 12), pa.int32()), pa.array(pitch_classes(power).ravel()))
+                cols = [pa.array([tracks[i]] * n), pa.array([sources[i]] * n), pa.array(numbers[i] * CHUNK_FRAMES + np.arange(n), pa.int64())]
+                cols += [pa.array(e[b], from_pandas=True) for b in [*BANDS, "rms", *SPECTRAL]] + [chroma]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in FRAME.split(", ")])
 
     return audio.mapInArrow(run, FRAME)
 
 
+def wav_chunks(wavs: DataFrame) -> DataFrame:
+    """Chunk rows (track, source, chunk, samples) of decoded files <track>/<source>.wav; those with an error have none."""
+
+    def run(batches):
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            for i, x in _samples(batch):
+                *_, track, name = ["", *paths[i].split("/")]
+                for c, part in chunks(x.astype(np.float32)):
+                    yield pa.RecordBatch.from_arrays([pa.array([track]), pa.array([name.rsplit(".", 1)[0]]), pa.array([c], pa.int64()), pa.array([part.astype(np.float32)], pa.list_(pa.float32()))], names=["track", "source", "chunk", "samples"])
+
+    return wavs.filter("error is null").select("path", "samples").mapInArrow(run, "track string, source string, chunk long, samples array<float>")
+
+
+PITCH_WINDOW, PITCH_HZ, PITCH_MIN = 4096, (30.0, 400.0), 0.7
+F0 = "track string, source string, frame long, f0_hz double, voiced boolean, voiced_prob double"
+
+
+def pitch(audio: DataFrame) -> DataFrame:
+    """F0 rows from chunk rows: the frames whose window lies in the chunk and its halo.
+
+    A window of 4096 reaches 1024 samples further than the halo, so a chunk's first and last two frames see
+    silence beyond it. Voiced where the confidence is 0.7 or more and the frequency is in range.
+    """
+
+    def run(batches):
+        for batch in batches:
+            tracks, sources, numbers = (batch.column(c).to_pylist() for c in ("track", "source", "chunk"))
+            for i, x in _samples(batch):
+                n = 1 + (len(x) - N_FFT) // HOP
+                f0, confidence = yin(x[N_FFT // 2 :], PITCH_WINDOW, *PITCH_HZ, before=x[: N_FFT // 2])
+                f0, confidence = f0[:n], confidence[:n]
+                voiced = (confidence >= PITCH_MIN) & (f0 >= PITCH_HZ[0]) & (f0 <= PITCH_HZ[1])
+                yield pa.RecordBatch.from_arrays([pa.array([tracks[i]] * n), pa.array([sources[i]] * n), pa.array(numbers[i] * CHUNK_FRAMES + np.arange(n), pa.int64()), pa.array(f0, from_pandas=True), pa.array(voiced), pa.array(confidence)], names=[c.split()[0] for c in F0.split(", ")])
+
+    return audio.mapInArrow(run, F0)
+
+
 def click(n: int = 400) -> np.ndarray:
     t = np.arange(n) / SAMPLE_RATE
     return np.sin(2 * np.pi * 1500 * t) * np.exp(-t * 600)
@@ -204,9 +285,10 @@ def missing(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame
     return wanted.join(present.select(*keys).distinct(), keys, "left_anti")
 
 
-def yin(samples: np.ndarray, window: int = 4096, lo: float = 30.0, hi: float = 400.0, threshold: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+def yin(samples: np.ndarray, window: int = 4096, lo: float = 30.0, hi: float = 400.0, threshold: float = 0.2, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(f0, confidence) of each frame of a recording by the cumulative mean normalised difference."""
-    x = np.r_[np.zeros(window // 2), np.asarray(samples, float), np.zeros(window)]
+    before = np.zeros(0) if before is None else before
+    x = np.r_[np.zeros(max(0, window // 2 - len(before))), before[-(window // 2) :], np.asarray(samples, float), np.zeros(window)]
     frames = np.lib.stride_tricks.sliding_window_view(x, window)[::HOP]
     short, long = int(SAMPLE_RATE / hi), int(SAMPLE_RATE / lo)
     f0, conf = np.full(len(frames), np.nan), np.zeros(len(frames))
