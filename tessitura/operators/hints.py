@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.functions.scalars import classify_density, match_grid, nearest_rank, num, suggest_cycle_seconds
+from tessitura.functions.scalars import capped, classify_density, match_grid, nearest_rank, note_name, num, positive, suggest_cycle_seconds
 
 #: Fixed values.
 MIN_INTERVALS, STRAIGHT_TOLERANCE, STRAIGHT_MIN, BASE_MIN, LILT = 16, 0.22, 0.80, 0.50, 1.1
@@ -54,16 +54,143 @@ def feel(evidence: DataFrame, beat: Column) -> Column:
 
 
 def section_line(start: Column, bars: Column, label: Column, active: Column) -> Column:
-    return F.concat(F.format_string("bar %s x%s %s", start.cast("string"), bars.cast("string"), label), F.when(F.size(active) > 0, F.concat(F.lit(": "), F.array_join(active, ", "))).otherwise(F.lit("")))
+    playing = F.when(F.size(active) > 0, F.array_join(active, ", ")).otherwise(F.lit("nothing playing"))
+    return F.concat(F.format_string("bar %s x%s ", start.cast("string"), bars.cast("string")), F.coalesce(label, F.lit("unlabelled")), F.lit(": "), playing)
 
 
 def choose_bpm(*chain: Column) -> Column:
     """The first usable tempo of a fallback chain."""
-    return F.coalesce(*[F.when(c > 0, c) for c in chain])
+    return F.coalesce(*[positive(c) for c in chain])
+
+
+def grid_bpm(refined: Column, drums: Column, mix: Column) -> Column:
+    """The tempo that subdivisions are read against: the drums come before the mix."""
+    return choose_bpm(refined, drums, mix)
+
+
+def reported_bpm(refined: Column, mix: Column, drums: Column) -> Column:
+    """struct(value, note): the tempo shown: the mix comes before the drums."""
+    note = (
+        F.when(positive(refined).isNotNull(), F.lit(None).cast("string"))
+        .when(positive(mix).isNotNull(), "the tempo is the mix's own estimate, not refined")
+        .when(positive(drums).isNotNull(), "the tempo is the drums' estimate; the mix has none")
+        .otherwise("tempo unknown, so no cycle length is suggested")
+    )
+    return F.struct(choose_bpm(refined, mix, drums).alias("value"), note.alias("note"))
+
+
+def density_hint(density: Column, present: Column, silent: Column, name: str) -> Column:
+    """struct(value, note): sparse, moderate or busy, or why not."""
+    said = F.when(present & ~silent, classify_density(density))
+    note = F.when(~present, F.lit(f"no {name} source, density not reported")).when(silent, F.lit(f"the {name} are below the silence floor, density not reported")).when(said.isNull(), F.lit(f"{name} onset density unavailable"))
+    return F.struct(said.alias("value"), note.alias("note"))
+
+
+#: The least key confidence that names a tonal centre; each estimator has its own scale.
+CENTRE_MIN = {"profile_correlation": 0.05, "profile_lead": 0.5}
+
+
+def centre_hint(mix: dict[str, Column], bass: dict[str, Column], estimator: str = "profile_lead") -> Column:
+    """struct(value, note) of the tonal centre: the mix's, else a bass that sounds; each has key, scale, confidence, present, silent."""
+
+    def named(x):
+        sure = x["present"] & ~x["silent"] & (x["confidence"] >= CENTRE_MIN[estimator])
+        return F.when(F.coalesce(sure, F.lit(False)) & x["key"].isNotNull(), F.concat_ws(" ", x["key"], x["scale"]))
+
+    own, low = named(mix), named(bass)
+    note = (
+        F.when(own.isNotNull(), F.lit(None).cast("string"))
+        .when(bass["present"] & bass["silent"], "the bass is below the silence floor and no fallback for the tonal centre")
+        .when(low.isNotNull(), "the tonal centre is the bass's; the mix's key is uncertain")
+        .otherwise("key uncertain, no tonal centre reported")
+    )
+    return F.struct(F.coalesce(own, low).alias("value"), note.alias("note"))
+
+
+def drum_grid_hint(summary: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, drum_grid, note) from the summaries and patterns of the drum operator."""
+    steps = patterns.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cls", "steps"))).alias("_s"))
+    of = lambda c: F.coalesce(F.try_element_at("_s", F.lit(c)), F.array().cast("array<long>")).alias(f"{c}_steps")
+    out = summary.join(steps, keys, "left")
+    hint = F.struct("status", "steps_per_cycle", of("kick"), of("snare"), of("hat"), F.col("unclassified").alias("unclassified_count"), "caveats")
+    note = F.when(F.col("status") != "ok", F.format_string("the drum grid's status is %s", F.col("status")))
+    return out.select(*keys, hint.alias("drum_grid"), note.alias("note"))
+
+
+def bass_line_hint(notes: DataFrame, keys: list[str], cap: int = NOTE_CAP) -> DataFrame:
+    """(keys, bass_line, note) from notes (keys, status, note, midi, step); a row without a note carries the status alone.
+
+    Names in order, at most ``cap`` of them; the share of the notes on each step, rounded half to even.
+    """
+    some = F.col("midi").isNotNull()
+    line = notes.groupBy(*keys).agg(
+        F.first("status").alias("status"),
+        F.array_sort(F.collect_list(F.when(some, F.struct("note", note_name(F.col("midi")).alias("name"))))).alias("_n"),
+        F.percentile(F.when(some, F.col("midi")), num(0.5)).alias("median_midi_note"),
+        F.count("step").alias("_placed"),
+    )
+    share = notes.filter("step is not null").groupBy(*keys, "step").agg(F.count("*").alias("_k"))
+    share = share.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "_k"))).alias("_p"))
+    out = line.join(share, keys, "left")
+    shown = capped(F.transform("_n", lambda x: x["name"]), cap)
+    steps = F.coalesce(F.transform("_p", lambda x: x["step"].cast("long")), F.array().cast("array<long>"))
+    shares = F.coalesce(F.transform("_p", lambda x: F.bround(x["_k"] / F.col("_placed"), 4)), F.array().cast("array<double>"))
+    hint = F.struct("status", shown["items"].alias("note_sequence"), shown["truncated_from"].alias("truncated_from"), "median_midi_note", steps.alias("steps"), shares.alias("step_share"))
+    return out.select(*keys, hint.alias("bass_line"), F.when(F.col("status") != "ok", F.format_string("the bass line's status is %s", F.col("status"))).alias("note"))
+
+
+def arrangement_hint(sections: DataFrame, keys: list[str], absent: DataFrame | None = None, cap: int = SECTION_CAP) -> DataFrame:
+    """(keys, arrangement, note) from sections (keys, start_bar, length_bars, active, label); ``absent`` has (keys, source)."""
+    line = section_line(F.col("start_bar"), F.col("length_bars"), F.col("label"), F.filter(F.split("active", ","), lambda x: x != ""))
+    s = sections.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_bar", line.alias("line")))).alias("_l"), F.sum("length_bars").alias("bar_count"))
+    gone = absent.groupBy(*keys).agg(F.array_sort(F.collect_set("source")).alias("_a")) if absent is not None else s.select(*keys, F.array().cast("array<string>").alias("_a"))
+    s = s.join(gone, keys, "left").withColumn("_a", F.coalesce("_a", F.array().cast("array<string>")))
+    shown = capped(F.transform("_l", lambda x: x["line"]), cap)
+    hint = F.struct(F.lit("ok").alias("status"), "bar_count", shown["items"].alias("sections"), shown["truncated_from"].alias("truncated_from"), F.col("_a").alias("absent_tracks"))
+    note = F.when(F.size("_a") > 0, F.concat(F.lit("not in this recording at all: "), F.array_join("_a", ", ")))
+    return s.select(*keys, hint.alias("arrangement"), note.alias("note"))
+
+
+def tempo_note(status: Column, label: Column, r: Column) -> Column:
+    """What to know about the tempo, null where it is refined and sure."""
+    return (
+        F.when((status == "refined") & (label != "low"), F.lit(None).cast("string"))
+        .when(status == "unavailable", "the tempo could not be refined; it is the estimate as it came")
+        .when(status == "coarse", "the tempo was not refined: no multiple of the beat correlates, so the grid is not exact to the bar")
+        .otherwise(F.format_string("the tempo is refined but weak (%.3f); take the cycle length as approximate", r))
+    )
+
+
+def octave_note(octave: Column, ratio: Column, compared: Column, others: Column) -> Column:
+    """What to know about the octave. ``ratio`` is the arbitrated one, null without a grid to arbitrate with; ``others`` are the live tempos besides."""
+    rest = F.when(F.size(others) > 0, F.concat(F.lit("; also live: "), F.array_join(F.transform(others, lambda x: F.format_string("%.2f", x)), ", "))).otherwise(F.lit(""))
+    return (
+        F.when(ratio != 1, F.concat(F.format_string("the octave was moved by x%.1f ", ratio), F.when(compared, "because the drum grid fits better there on both errors").otherwise("without comparison, as there is no grid at the tempo given")))
+        .when(octave != "ambiguous", F.lit(None).cast("string"))
+        .when(ratio.isNotNull(), F.concat(F.lit("correlation did not settle the octave; the drum grid kept it"), rest))
+        .otherwise(F.concat(F.lit("the octave is not settled, and there is no drum grid to settle it"), rest))
+    )
+
+
+def stripped_note(sources: Column) -> Column:
+    """Names the sources (source, status, events) that say ok but hold no events, as in a summary without its lists."""
+    bare = F.array_sort(F.transform(F.filter(sources, lambda x: (x["status"] == "ok") & (x["events"] == 0)), lambda x: x["source"]))
+    return F.when(F.size(bare) > 0, F.concat(F.lit("event lists are missing though the status is ok: "), F.array_join(bare, ", ")))
+
+
+def notes(*parts: Column) -> Column:
+    """The notes that were given, each once, in order."""
+    return F.array_distinct(F.array_compact(F.array(*parts)))
 
 
 def build(df: DataFrame) -> DataFrame:
-    """The hints of each track from its summary: refined, drums_bpm, mix_bpm, onset_density, key, scale, key_confidence, bass_silent."""
-    bpm = choose_bpm(F.col("refined"), F.col("drums_bpm"), F.col("mix_bpm"))
-    centre = F.when((F.col("key_confidence") >= 0.5) & ~F.coalesce(F.col("bass_silent"), F.lit(False)), F.concat_ws(" ", "key", "scale"))
-    return df.select("*", bpm.alias("bpm"), suggest_cycle_seconds(bpm).alias("suggested_cycle_seconds"), classify_density(F.col("onset_density")).alias("drum_density"), centre.alias("tonal_centre"))
+    """The hints of each track from its summary: refined, drums_bpm, mix_bpm, onset_density, key, scale, key_confidence, bass_silent.
+
+    Adds bpm, suggested_cycle_seconds, drum_density, tonal_centre and ``notes``.
+    """
+    quiet, yes = F.coalesce("bass_silent", F.lit(False)), F.lit(True)
+    bpm = reported_bpm(F.col("refined"), F.col("mix_bpm"), F.col("drums_bpm"))
+    density = density_hint(F.col("onset_density"), yes, F.lit(False), "drums")
+    bass = {"key": F.col("key"), "scale": F.col("scale"), "confidence": F.col("key_confidence"), "present": yes, "silent": quiet}
+    centre = centre_hint({**bass, "present": F.lit(False), "silent": F.lit(False)}, bass)
+    return df.select("*", bpm["value"].alias("bpm"), suggest_cycle_seconds(bpm["value"]).alias("suggested_cycle_seconds"), density["value"].alias("drum_density"), centre["value"].alias("tonal_centre"), notes(bpm["note"], density["note"], centre["note"]).alias("notes"))

@@ -84,4 +84,4 @@ def oracle(src: str, keys: str) -> str:
         known = " and ".join(f"{x} is not null" for x in ramps)
         where = "true" if r.source == "any" else f"source = '{r.source}'"
         parts.append(f"select {keys}, '{r.label}' as label, least({', '.join(ramps)}) as confidence from s where silent is null and {where} and {known}")
-    return f"with s as (select *, {gate} silent from ({src})) select {keys}, label, round(max(confidence), 6) + 0::double confidence from ({' union all '.join(parts)}) group by {keys}, label"
+    return f"with s as (select *, {gate} silent from ({src})) select {keys}, label, round_even(max(confidence), 6) + 0::double confidence from ({' union all '.join(parts)}) group by {keys}, label"

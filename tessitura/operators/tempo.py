@@ -105,6 +105,69 @@ def refine(df: DataFrame, keys: list[str], hop: float, value: str = "flux", coar
     return df.select(*keys, "frame", value, coarse).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + TEMPO)
 
 
+def octave_candidates(df: DataFrame, keys: list[str], hop: float, value: str = "flux", coarse: str = "coarse") -> DataFrame:
+    """(keys, ratio, bpm, r, live) at half, once and twice the coarse tempo; live where the envelope correlates there."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        head, c, rows = {k: pdf[k].iloc[0] for k in keys}, pdf[coarse].iloc[0], []
+        if c is not None and math.isfinite(c) and c > 0:
+            r = autocorrelation(pdf[value].to_numpy(float))
+            for o in OCTAVES:
+                f = fit(r, hop, c * o, MULTIPLES[0])
+                rows.append({**head, "ratio": o, "bpm": c * o if f["bpm"] is None else f["bpm"], "r": f["r"], "live": f["reason"] != "too_short" and f["r"] >= MIN_R})
+        return pd.DataFrame(rows, columns=[*keys, "ratio", "bpm", "r", "live"])
+
+    kinds = dict(df.dtypes)
+    return df.select(*keys, "frame", value, coarse).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ratio double, bpm double, r double, live boolean")
+
+
+def octave_fits(hits: DataFrame, flux: DataFrame, candidates: DataFrame, keys: list[str], beats: int = 4) -> DataFrame:
+    """(keys, ratio, bpm, grid, error_steps, error_seconds): the drum grid at each live candidate (keys, ratio, bpm, live).
+
+    Hits (keys, t) and flux (keys, band, frame, flux) are read for each ratio by a join on the keys.
+    """
+    from tessitura.operators import gridfit
+
+    live = candidates.filter("live").select(*keys, "ratio", "bpm")
+    by = [*keys, "ratio"]
+    null = F.lit(None).cast("double")
+    meta = live.select(*by, (F.lit(60.0 * beats) / F.col("bpm")).alias("cycle_seconds"), null.alias("downbeat_seconds"), null.alias("first_beat_seconds"))
+    ratios = live.select(*by)
+    g = gridfit.fit(hits.select(*keys, "t").join(ratios, keys), flux.join(ratios, keys), meta, by)
+    step = F.col("cycle_seconds") / F.col("steps_per_cycle")
+    ok = F.col("grid_status") == "ok"
+    g = g.select(*by, ok.alias("grid"), F.when(ok, F.col("error_steps")).alias("error_steps"), F.when(ok, F.col("error_steps") * step).alias("error_seconds"))
+    return live.join(g, by)
+
+
+def arbitrate_octave(fits: DataFrame, keys: list[str], keep_incumbent: bool = False) -> DataFrame:
+    """(keys, ratio, bpm, compared, caveat) of the octave to take.
+
+    A neighbour must beat the incumbent on both errors, or the incumbent has no grid; of several the least error in
+    steps, then the smaller ratio. ``keep_incumbent`` stays at 1 where both neighbours came in without comparison.
+    Keys without the incumbent, or with it alone, keep ratio 1.
+    """
+    base = fits.filter("ratio = 1").select(*keys, F.col("grid").alias("_g"), F.col("error_steps").alias("_s"), F.col("error_seconds").alias("_e"), F.col("bpm").alias("_bpm"))
+    rows = fits.filter("ratio <> 1 and grid").join(base, keys)
+    wins = rows.filter(~F.col("_g") | ((F.col("error_steps") < F.col("_s")) & (F.col("error_seconds") < F.col("_e"))))
+    best = wins.groupBy(*keys).agg(F.min(F.struct("error_steps", "ratio", "bpm")).alias("_b"), F.count("*").alias("_n"))
+    out = base.join(best, keys, "left")
+    moved = F.col("_b").isNotNull() & ~((F.lit(keep_incumbent)) & ~F.col("_g") & (F.col("_n") > 1))
+    why = F.when(moved & F.col("_g"), F.lit("moved: the drum grid fits better there on both errors")).when(moved, F.lit("moved without comparison: there is no grid at the tempo given"))
+    return out.select(*keys, F.when(moved, F.col("_b.ratio")).otherwise(F.lit(1.0)).alias("ratio"), F.when(moved, F.col("_b.bpm")).otherwise(F.col("_bpm")).alias("bpm"), F.col("_g").alias("compared"), why.alias("caveat"))
+
+
+def grid_confidence(status: Column, label: Column) -> Column:
+    """How far the grid can be trusted: the label of a refined tempo, else its status."""
+    return F.when(status == "refined", label).otherwise(status)
+
+
+def bar_period(period: Column, status: Column, has_drums: Column) -> Column:
+    """The period to count bars with: a tempo that wasn't refined only serves where there are drums."""
+    return F.when((status == "refined") | has_drums, period)
+
+
 def arbitrate(errors: list[tuple[float, float, float, bool]], keep_incumbent: bool = False) -> float:
     """The octave ratio to take of (ratio, error in steps, error in seconds, has a grid).
 

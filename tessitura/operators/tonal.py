@@ -38,8 +38,9 @@ def estimate_key(df: DataFrame, keys: list[str]) -> DataFrame:
     total = lambda a: F.aggregate(a, num(0), lambda s, x: s + x)
     df = df.withColumn("_m", total(c) / num(12)).withColumn("_c", F.transform(c, lambda x: x - F.col("_m")))
     df = df.withColumn("_n", F.sqrt(total(F.transform("_c", lambda x: x * x)))).filter("_n > 0")
-    dot = lambda w: sum((F.get("_c", F.lit(i)) * num(x) for i, x in enumerate(w)), num(0)) / F.col("_n")
-    df = df.withColumn("_r", F.array(*[F.struct(dot(w).alias("r"), F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s, w in _templates()]))
+    templates = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), F.array(*[num(x) for x in w]).alias("w")) for k, s, w in _templates()])
+    dot = lambda w: total(F.zip_with("_c", w, lambda x, y: x * y)) / F.col("_n")
+    df = df.withColumn("_r", F.transform(templates, lambda t: F.struct(dot(t["w"]).alias("r"), t["k"].alias("k"), t["s"].alias("s"))))
     df = df.filter(F.forall("_r", lambda x: finite(x["r"])))
     df = df.withColumn("_b", F.array_max("_r")).withColumn("_w", F.array_min("_r")["r"])
     rival = F.array_max(F.filter("_r", lambda x: x["k"] != F.col("_b")["k"]))["r"]

@@ -37,12 +37,12 @@ def fluxed(spark, sf) -> DataFrame:
     return series.flux(envelope(spark, sf))
 
 
-@query("q01_flux", f"with {FLUX} select track, source, frame, round(flux, 6) + 0::double flux from fl")
+@query("q01_flux", f"with {FLUX} select track, source, frame, round_even(flux, 6) + 0::double flux from fl")
 def q01(spark, sf):
     return fluxed(spark, sf).select(*KEYS, "frame", r6(F.col("flux")).alias("flux"))
 
 
-@query("q02_rolling_median", f"with {MED} select track, source, frame, round(med, 6) + 0::double med from md")
+@query("q02_rolling_median", f"with {MED} select track, source, frame, round_even(med, 6) + 0::double med from md")
 def q02(spark, sf):
     return fluxed(spark, sf).select(*KEYS, "frame", r6(series.rolling_median("flux", 43)).alias("med"))
 
@@ -52,7 +52,7 @@ ch as (select *, coalesce((frame - lag(frame) over (partition by track, source o
 g(track, source, chain, frame) as (select track, source, chain, min(frame) from ci group by track, source, chain union all
   select ci.track, ci.source, ci.chain, min(ci.frame) from g join ci on g.track = ci.track and g.source = ci.source and g.chain = ci.chain where ci.frame >= g.frame + 3 group by ci.track, ci.source, ci.chain),
 k as (select ci.*, quantile_cont(flux, 0.9) over (partition by ci.track, ci.source) q from ci join g using (track, source, chain, frame))
-select track, source, frame, round(flux, 6) + 0::double flux from k where q > 0 and flux > med + 0.4::double * q""")
+select track, source, frame, round_even(flux, 6) + 0::double flux from k where q > 0 and flux > med + 0.4::double * q""")
 def q03(spark, sf):
     return series.peaks(fluxed(spark, sf)).select(*KEYS, "frame", r6(F.col("flux")).alias("flux"))
 
@@ -65,7 +65,7 @@ def q04(spark, sf):
 @query("q05_band_gates", f"""with {FLUX}, a as (select track, source, sum(value) e, max(flux) peak from fl group by all),
 b as (select track, fl.source, avg((flux <= 0.02::double * peak)::int::double) sparse from fl join a using (track, source) group by all),
 c as (select track, source, e / sum(e) over (partition by track) share, peak from a)
-select track, source, round(share, 6) + 0::double share, round(peak, 6) + 0::double peak, round(sparse, 6) + 0::double sparsity,
+select track, source, round_even(share, 6) + 0::double share, round_even(peak, 6) + 0::double peak, round_even(sparse, 6) + 0::double sparsity,
   case when share < 0.001 then 'empty' when peak < 1 then 'no_transient' when sparse < 0.72::double then 'not_sparse' end refusal from c join b using (track, source)""")
 def q05(spark, sf):
     g = drums.gates(fluxed(spark, sf).withColumnRenamed("source", "band"), ["track"])
@@ -101,7 +101,7 @@ def q07(spark, sf):
     return series.runs(p, "active", ["track"], "bar").drop("run")
 
 
-@query("q08_bar_rms", f"with {BARS} select track, source, bar, round(lvl, 6) + 0::double lvl from bars")
+@query("q08_bar_rms", f"with {BARS} select track, source, bar, round_even(lvl, 6) + 0::double lvl from bars")
 def q08(spark, sf):
     return bars(spark, sf).select(*KEYS, "bar", r6(F.col("level")).alias("lvl"))
 
@@ -118,13 +118,13 @@ f as (select d.source, k // {n} "cycle", k % {n} slot, greatest(coalesce(lvl, 0)
 pf as (select source, slot, quantile_cont(lvl, 0.5) lvl from f group by all)"""
 
 
-@query("q09_fold_profile", f"with {FOLD(24)} select source, slot, round(lvl, 6) + 0::double lvl from pf")
+@query("q09_fold_profile", f"with {FOLD(24)} select source, slot, round_even(lvl, 6) + 0::double lvl from pf")
 def q09(spark, sf):
     return grid.profile(folded(spark, sf, 24), ["source"]).select("source", F.col("slot").cast("long").alias("slot"), r6(F.col("level")).alias("lvl"))
 
 
-@query("q10_contrast", f"""with {FOLD(96)} select source, round(case when max(lvl) > 0 then 1 - avg(lvl) / max(lvl) else 0 end, 6) + 0::double contrast,
-  round(sum(lvl) filter (where slot % 4 = 0) / nullif(sum(lvl), 0), 6) + 0::double on_grid from pf group by 1""")
+@query("q10_contrast", f"""with {FOLD(96)} select source, round_even(case when max(lvl) > 0 then 1 - avg(lvl) / max(lvl) else 0 end, 6) + 0::double contrast,
+  round_even(sum(lvl) filter (where slot % 4 = 0) / nullif(sum(lvl), 0), 6) + 0::double on_grid from pf group by 1""")
 def q10(spark, sf):
     c = grid.contrast(grid.profile(folded(spark, sf, 96), ["source"]), ["source"], 4)
     return c.select("source", r6(F.col("contrast")).alias("contrast"), r6(F.col("on_grid")).alias("on_grid"))
@@ -133,7 +133,7 @@ def q10(spark, sf):
 FRACTION = "(value / 0.25::double - round_even(value / 0.25::double, 0))"
 
 
-@query("q11_phase", f"with {ENV} select source, round(atan2(avg(sin(6.283185307179586 * {FRACTION})), avg(cos(6.283185307179586 * {FRACTION}))) / 6.283185307179586, 6) + 0::double shift, round(avg(abs({FRACTION})), 6) + 0::double error from env group by 1")
+@query("q11_phase", f"with {ENV} select source, round_even(atan2(avg(sin(6.283185307179586 * {FRACTION})), avg(cos(6.283185307179586 * {FRACTION}))) / 6.283185307179586, 6) + 0::double shift, round_even(avg(abs({FRACTION})), 6) + 0::double error from env group by 1")
 def q11(spark, sf):
     shift, error = grid.phase(S.fractional_steps(F.col("value"), num(0.25), num(0), 1))
     return envelope(spark, sf).groupBy("source").agg(r6(shift).alias("shift"), r6(error).alias("error"))
@@ -142,7 +142,7 @@ def q11(spark, sf):
 @query("q12_drift", f"""with {ENV}, m as (select *, (min(t) over (partition by source) + max(t) over (partition by source)) / 2 mid from env),
 h as (select source, (t >= mid)::int half, atan2(avg(sin(6.283185307179586 * {FRACTION})), avg(cos(6.283185307179586 * {FRACTION}))) / 6.283185307179586 shift from m group by all),
 d as (select a.source, b.shift - a.shift + 0.5::double x from h a join h b on a.source = b.source and a.half = 0 and b.half = 1)
-select source, round(x - floor(x) - 0.5::double, 6) + 0::double drift from d""")
+select source, round_even(x - floor(x) - 0.5::double, 6) + 0::double drift from d""")
 def q12(spark, sf):
     w = envelope(spark, sf)
     ends = w.groupBy("source").agg(((F.min("t") + F.max("t")) / num(2)).alias("mid"))
@@ -161,7 +161,7 @@ def hourly(spark, sf):
 
 @query("q13_autocorrelation", f"""with {HOURLY}, c as (select source, h, v - avg(v) over (partition by source) v from hr), z as (select source, sum(v * v) z from c group by 1),
 l as (select a.source, b.h - a.h lag, sum(a.v * b.v) s from c a join (select unnest(range(1, 25)) g) on true join c b on b.source = a.source and b.h = a.h + g group by all)
-select source, lag, round(s / z, 6) + 0::double r from l join z using (source)""")
+select source, lag, round_even(s / z, 6) + 0::double r from l join z using (source)""")
 def q13(spark, sf):
     c = hourly(spark, sf).withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("source")))
     z = c.groupBy("source").agg(F.sum(F.col("v") * F.col("v")).alias("z"))
@@ -172,7 +172,7 @@ def q13(spark, sf):
 
 @query("q15_beat_phase", f"""with {HOURLY}, f as (select source, h - min(h) over (partition by source) frame, coalesce(greatest(ln(1 + v) - lag(ln(1 + v)) over (partition by source order by h), 0), 0) x from hr),
 m as (select source, frame % 24 o, avg(x) m from f group by all), b as (select source, arg_max(o, {{'m': m, 'o': -o}}) o, max(m) p, sum(m) / 24 a from m group by 1)
-select source, o::int "offset", round(greatest(0, 1 - a / p), 6) + 0::double contrast from b where p > 0""")
+select source, o::int "offset", round_even(greatest(0, 1 - a / p), 6) + 0::double contrast from b where p > 0""")
 def q15(spark, sf):
     h = hourly(spark, sf).withColumn("frame", F.col("h") - F.min("h").over(Window.partitionBy("source")))
     f = series.flux(h, "v", ["source"])
@@ -183,7 +183,7 @@ def q15(spark, sf):
 @query("q16_slot_energy", f"""with {HOURLY}, w as (select source, h, max(v) over (partition by source order by h rows between current row and 4 following) m from hr),
 s as (select source, h % 4 slot, quantile_cont(m, 0.5) e from w group by all), n as (select *, e / sum(e) over (partition by source) share from s),
 p as (select slot, max(share) filter (where source = (select min(source) from hr)) low, max(share) filter (where source = (select max(source) from hr)) bright from n group by 1)
-select slot, round(low, 6) + 0::double low, round(bright, 6) + 0::double bright, round(low - bright, 6) + 0::double balance from p""")
+select slot, round_even(low, 6) + 0::double low, round_even(bright, 6) + 0::double bright, round_even(low - bright, 6) + 0::double balance from p""")
 def q16(spark, sf):
     h = hourly(spark, sf)
     w = h.withColumn("m", F.max("v").over(Window.partitionBy("source").orderBy("h").rowsBetween(0, 4)))
@@ -203,12 +203,12 @@ def iois(spark, sf):
     return series.intervals(envelope(spark, sf).select("track", "t"), "t", ["track"])
 
 
-@query("q17_intervals", f"with {IOI} select track, round(t, 3) t, round(ioi, 6) + 0::double ioi from ok")
+@query("q17_intervals", f"with {IOI} select track, round_even(t, 3) t, round_even(ioi, 6) + 0::double ioi from ok")
 def q17(spark, sf):
     return iois(spark, sf).select("track", F.bround("t", 3).alias("t"), r6(F.col("ioi")).alias("ioi"))
 
 
-@query("q18_relative_mad", f"with {IOI}, a as (select track, ioi, quantile_cont(ioi, 0.5) over (partition by track) m from ok) select track, round(any_value(m), 6) + 0::double med, round(quantile_cont(abs(ioi - m), 0.5) / nullif(any_value(m), 0), 6) + 0::double mad from a group by 1")
+@query("q18_relative_mad", f"with {IOI}, a as (select track, ioi, quantile_cont(ioi, 0.5) over (partition by track) m from ok) select track, round_even(any_value(m), 6) + 0::double med, round_even(quantile_cont(abs(ioi - m), 0.5) / nullif(any_value(m), 0), 6) + 0::double mad from a group by 1")
 def q18(spark, sf):
     med, mad = series.relative_mad("ioi")
     i = iois(spark, sf).withColumn("_m", med.over(Window.partitionBy("track")))
@@ -217,8 +217,8 @@ def q18(spark, sf):
 
 @query("q19_feel", f"""with {IOI}, a as (select track, t, ioi, quantile_cont(ioi, 0.5) over (partition by track) u, (r[round_even(0.1::double * (len(r) - 1), 0)::int + 1] + r[round_even(0.9::double * (len(r) - 1), 0)::int + 1]) / 2 split from (select *, list_sort(list(ioi) over (partition by track)) r from ok)),
 b as (select *, ioi >= split long, least(4, greatest(1, round_even(ioi / u, 0))) k from a), c as (select *, (long <> lag(long) over (partition by track order by t))::int x from b)
-select track, count(*) n, round(avg((abs(ioi - k * u) <= 0.22::double * u)::int::double), 6) + 0::double on_grid, round(avg((k = 1)::int::double), 6) + 0::double base,
-  round(least(avg(long::int::double), 1 - avg(long::int::double)), 6) + 0::double cluster, round(sum(x) / nullif(count(*) - 1, 0)::double, 6) + 0::double alternation from c group by 1 having count(*) >= 16""")
+select track, count(*) n, round_even(avg((abs(ioi - k * u) <= 0.22::double * u)::int::double), 6) + 0::double on_grid, round_even(avg((k = 1)::int::double), 6) + 0::double base,
+  round_even(least(avg(long::int::double), 1 - avg(long::int::double)), 6) + 0::double cluster, round_even(sum(x) / nullif(count(*) - 1, 0)::double, 6) + 0::double alternation from c group by 1 having count(*) >= 16""")
 def q19(spark, sf):
     from tessitura.operators import hints
 
@@ -227,7 +227,7 @@ def q19(spark, sf):
 
 
 @query("q20_density", f"""with {ENV}, d as (select track, count(*) / ((max(t) - min(t)) / 86400) d from env group by 1 having max(t) > min(t))
-select track, round(d, 6) + 0::double density, case when d < 1 then 'sparse' when d < 5 then 'moderate' else 'busy' end term from d""")
+select track, round_even(d, 6) + 0::double density, case when d < 1 then 'sparse' when d < 5 then 'moderate' else 'busy' end term from d""")
 def q20(spark, sf):
     d = envelope(spark, sf).groupBy("track").agg((F.count("*") / ((F.max("t") - F.min("t")) / num(86400))).alias("d"), (F.max("t") > F.min("t")).alias("ok")).filter("ok")
     return d.select("track", r6(F.col("d")).alias("density"), S.classify_density(F.col("d")).alias("term"))
@@ -236,13 +236,13 @@ def q20(spark, sf):
 STEP = "(round_even((t - 0) / 3600::double, 0)::bigint % 24)"
 
 
-@query("q21_step_share", f"with {ENV}, s as (select source, {STEP} step, count(*) n from env group by all) select source, step, round(n / sum(n) over (partition by source)::double, 4) + 0::double share from s")
+@query("q21_step_share", f"with {ENV}, s as (select source, {STEP} step, count(*) n from env group by all) select source, step, round_even(n / sum(n) over (partition by source)::double, 4) + 0::double share from s")
 def q21(spark, sf):
     s = envelope(spark, sf).groupBy("source", S.grid_step(F.col("t"), num(0), num(3600), 24).alias("step")).agg(F.count("*").alias("n"))
     return s.select("source", "step", (F.bround(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 4) + num(0)).alias("share"))
 
 
-@query("q22_occupancy", f"with {ENV}, a as (select source, {STEP} step, floor(t / 86400)::bigint c from env), p as (select source, count(distinct c) n from a group by 1) select a.source, step, round(count(distinct c) / any_value(p.n)::double, 6) + 0::double occupancy from a join p using (source) group by all")
+@query("q22_occupancy", f"with {ENV}, a as (select source, {STEP} step, floor(t / 86400)::bigint c from env), p as (select source, count(distinct c) n from a group by 1) select a.source, step, round_even(count(distinct c) / any_value(p.n)::double, 6) + 0::double occupancy from a join p using (source) group by all")
 def q22(spark, sf):
     h = envelope(spark, sf).select("source", S.grid_step(F.col("t"), num(0), num(3600), 24).alias("step"), F.floor(F.col("t") / num(86400)).alias("c"))
     return grid.occupancy(h, ["source"], "step", "c").select("source", "step", r6(F.col("occupancy")).alias("occupancy"))
@@ -255,18 +255,18 @@ def vectors(spark, sf):
 CHROMA = "c as (select vec_id, label, list_transform(embedding[1:12], lambda x: greatest(x::double, 0)) c from embeddings)"
 
 
-@query("q23_chroma_entropy", f"with {CHROMA}, t as (select *, list_sum(c) s from c) select vec_id, round(case when s > 0 then least(1, greatest(0, -list_sum(list_transform(c, lambda x: case when x > 0 then x / s * ln(x / s) else 0 end)) / ln(12))) end, 6) + 0::double h from t")
+@query("q23_chroma_entropy", f"with {CHROMA}, t as (select *, list_sum(c) s from c) select vec_id, round_even(case when s > 0 then least(1, greatest(0, -list_sum(list_transform(c, lambda x: case when x > 0 then x / s * ln(x / s) else 0 end)) / ln(12))) end, 6) + 0::double h from t")
 def q23(spark, sf):
     return vectors(spark, sf).select("vec_id", r6(S.chroma_entropy(F.slice("v", 1, 12))).alias("h"))
 
 
-@query("q24_consecutive_cosine", "with v as (select vec_id, label, embedding::double[] v, lag(embedding::double[]) over (partition by label order by vec_id) b from embeddings) select vec_id, label, round(list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0), 6) + 0::double sim from v where b is not null")
+@query("q24_consecutive_cosine", "with v as (select vec_id, label, embedding::double[] v, lag(embedding::double[]) over (partition by label order by vec_id) b from embeddings) select vec_id, label, round_even(list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0), 6) + 0::double sim from v where b is not null")
 def q24(spark, sf):
     v = vectors(spark, sf).withColumn("b", F.lag("v").over(Window.partitionBy("label").orderBy("vec_id"))).filter("b is not null")
     return v.select("vec_id", "label", r6(series.cosine(F.col("v"), F.col("b"))).alias("sim"))
 
 
-@query("q24b_tonal_stability", "with v as (select label, embedding::double[] v, lag(embedding::double[]) over (partition by label order by vec_id) b from embeddings) select label, round(1 - avg(1 - list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0)), 6) + 0::double stability from v where b is not null group by 1")
+@query("q24b_tonal_stability", "with v as (select label, embedding::double[] v, lag(embedding::double[]) over (partition by label order by vec_id) b from embeddings) select label, round_even(1 - avg(1 - list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0)), 6) + 0::double stability from v where b is not null group by 1")
 def q24b(spark, sf):
     v = vectors(spark, sf).withColumn("b", F.lag("v").over(Window.partitionBy("label").orderBy("vec_id"))).filter("b is not null")
     return v.groupBy("label").agg(r6(num(1) - F.avg(num(1) - series.cosine(F.col("v"), F.col("b")))).alias("stability"))
@@ -282,7 +282,7 @@ def _profiles_sql():
 @query("q25_key", f"""with {CHROMA}, {_profiles_sql()}, e as (select vec_id, k, s, unnest(c) x, unnest(w) w from c, p), r as (select vec_id, k, s, corr(x, w) r from e group by all),
 b as (select vec_id, arg_max(k, {{'r': r, 'k': k, 's': s}}) k, arg_max(s, {{'r': r, 'k': k, 's': s}}) s, max(r) r, min(r) worst from r where not isnan(r) group by 1),
 o as (select vec_id, max(r.r) rival from r join b using (vec_id) where r.k <> b.k and not isnan(r.r) group by 1)
-select vec_id, k "key", s scale, round(r, 6) + 0::double strength, round(case when r > worst then least(1, greatest(0, r)) * least(1, greatest(0, (r - rival) / (r - worst))) end, 6) + 0::double confidence from b join o using (vec_id)""")
+select vec_id, k "key", s scale, round_even(r, 6) + 0::double strength, round_even(case when r > worst then least(1, greatest(0, r)) * least(1, greatest(0, (r - rival) / (r - worst))) end, 6) + 0::double confidence from b join o using (vec_id)""")
 def q25(spark, sf):
     from tessitura.operators.tonal import estimate_key
 
@@ -299,9 +299,9 @@ def power(spark, sf):
 
 
 @query("q26_spectrum", f"""with {POWER}, i as (select * from p where freq >= 20 and freq <= 20000)
-select label, round(coalesce(sum(p) filter (where freq < 250), 0) / nullif(sum(p), 0), 6) + 0::double low, round(sum(p) filter (where freq >= 250 and freq < 2000) / nullif(sum(p), 0), 6) + 0::double low_mid,
- round(sum(p) filter (where freq >= 2000 and freq < 6000) / nullif(sum(p), 0), 6) + 0::double high_mid, round(sum(p) filter (where freq >= 6000) / nullif(sum(p), 0), 6) + 0::double high,
- round(sum(p) filter (where freq >= 1500) / nullif(sum(p), 0), 6) + 0::double brightness, round(sum(freq * p) / nullif(sum(p), 0), 4) + 0::double centroid from i group by 1""")
+select label, round_even(coalesce(sum(p) filter (where freq < 250), 0) / nullif(sum(p), 0), 6) + 0::double low, round_even(sum(p) filter (where freq >= 250 and freq < 2000) / nullif(sum(p), 0), 6) + 0::double low_mid,
+ round_even(sum(p) filter (where freq >= 2000 and freq < 6000) / nullif(sum(p), 0), 6) + 0::double high_mid, round_even(sum(p) filter (where freq >= 6000) / nullif(sum(p), 0), 6) + 0::double high,
+ round_even(sum(p) filter (where freq >= 1500) / nullif(sum(p), 0), 6) + 0::double brightness, round_even(sum(freq * p) / nullif(sum(p), 0), 4) + 0::double centroid from i group by 1""")
 def q26(spark, sf):
     d = spectrum.describe(power(spark, sf), ["label"])
     return d.select("label", *[r6(F.col(c)).alias(c) for c in ("low", "low_mid", "high_mid", "high", "brightness")], (F.bround("centroid", 4) + num(0)).alias("centroid"))
@@ -312,7 +312,7 @@ def q26b(spark, sf):
     return spectrum.energy_percentile(power(spark, sf), ["label"])
 
 
-@query("q27_mean_vector", "select label, i - 1 as i, round(avg(embedding[i]::double), 6) + 0::double x from (select label, embedding, unnest(range(1, 65)) i from embeddings) group by all")
+@query("q27_mean_vector", "select label, i - 1 as i, round_even(avg(embedding[i]::double), 6) + 0::double x from (select label, embedding, unnest(range(1, 65)) i from embeddings) group by all")
 def q27(spark, sf):
     v = vectors(spark, sf).select("label", F.posexplode("v").alias("i", "x"))
     return v.groupBy("label", F.col("i").cast("long").alias("i")).agg(r6(F.avg("x")).alias("x"))
@@ -335,15 +335,15 @@ def pitch(spark, sf):
 NAMES = "(" + str(S.NOTE_NAMES) + ")"
 
 
-@query("q28_note_names", f"with {HZ}, m as (select *, 69 + 12 * log2(f / 440) m from hz) select track, frame, round(m, 6) + 0::double midi, {NAMES}[(((round_even(m, 0)::int % 12) + 12) % 12) + 1] || (floor(round_even(m, 0) / 12)::int - 1)::varchar note, round(440 * pow(2, (m - 69) / 12), 4) + 0::double hz from m")
+@query("q28_note_names", f"with {HZ}, m as (select *, 69 + 12 * log2(f / 440) m from hz) select track, frame, round_even(m, 6) + 0::double midi, {NAMES}[(((round_even(m, 0)::int % 12) + 12) % 12) + 1] || (floor(round_even(m, 0) / 12)::int - 1)::varchar note, round_even(440 * pow(2, (m - 69) / 12), 4) + 0::double hz from m")
 def q28(spark, sf):
     p = pitch(spark, sf).withColumn("m", S.midi_from_hz(F.col("f")))
     return p.select("track", "frame", r6(F.col("m")).alias("midi"), S.note_name(F.col("m")).alias("note"), (F.round(S.hz_from_midi(F.col("m")), 4) + num(0)).alias("hz"))
 
 
-@query("q29_octave_snap", f"""with {HZ}, m as (select *, round(69 + 12 * log2(f / 440), 3) m from hz), s as (select *, quantile_cont(m, 0.5) over (partition by track order by frame rows between 2 preceding and 2 following) s from m),
+@query("q29_octave_snap", f"""with {HZ}, m as (select *, round_even(69 + 12 * log2(f / 440), 3) m from hz), s as (select *, quantile_cont(m, 0.5) over (partition by track order by frame rows between 2 preceding and 2 following) s from m),
 g as (select *, quantile_cont(s, 0.5) over (partition by track order by frame rows between 10 preceding and 10 following) g from s), k as (select *, round_even((g - s) / 12, 0) k from g)
-select track, frame, round(s, 6) + 0::double smooth, round(case when k <> 0 and abs(s + 12 * k - g) < abs(s - g) then s + 12 * k else s end, 6) + 0::double snapped from k""")
+select track, frame, round_even(s, 6) + 0::double smooth, round_even(case when k <> 0 and abs(s + 12 * k - g) < abs(s - g) then s + 12 * k else s end, 6) + 0::double snapped from k""")
 def q29(spark, sf):
     p = pitch(spark, sf).withColumn("m", F.round(S.midi_from_hz(F.col("f")), 3)).withColumn("smooth", series.rolling_median("m", 2, ["track"]))
     return series.octave_snap(p, "smooth", 10, ["track"]).select("track", "frame", r6(F.col("smooth")).alias("smooth"), r6(F.col("snapped")).alias("snapped"))
@@ -355,7 +355,7 @@ def q30(spark, sf):
     return series.runs(lines(spark, sf).select("l_orderkey", "l_returnflag", F.col("n").alias("i")), "l_returnflag", ["l_orderkey"], "i").drop("run")
 
 
-@query("q30b_voiced_fraction", "with v as (select l_orderkey, count(*) n, avg((l_returnflag <> 'N')::int::double) f from lineitem group by 1) select l_orderkey, round(f, 6) + 0::double voiced, case when f < 0.15 then 'unvoiced' else 'ok' end status, f < 0.30 caveat from v")
+@query("q30b_voiced_fraction", "with v as (select l_orderkey, count(*) n, avg((l_returnflag <> 'N')::int::double) f from lineitem group by 1) select l_orderkey, round_even(f, 6) + 0::double voiced, case when f < 0.15 then 'unvoiced' else 'ok' end status, f < 0.30 caveat from v")
 def q30b(spark, sf):
     v = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.avg((F.col("l_returnflag") != "N").cast("double")).alias("f"))
     return v.select("l_orderkey", r6(F.col("f")).alias("voiced"), F.when(F.col("f") < 0.15, "unvoiced").otherwise("ok").alias("status"), (F.col("f") < 0.30).alias("caveat"))
@@ -369,7 +369,7 @@ _UP, _DOWN = SQL_RAMP("l_discount", 0.02, 0.08), SQL_RAMP("l_tax", 0.06, 0.01)
 _A, _B = SQL_RAMP("l_quantity", 10.0, 15.0), SQL_RAMP("l_quantity", 40.0, 35.0)
 
 
-@query("q31_ramps", f"select l_orderkey, l_linenumber, round({_UP}, 6) + 0::double up, round({_DOWN}, 6) + 0::double down, round(case when {_UP} is not null and {_DOWN} is not null then least({_UP}, {_DOWN}) end, 6) + 0::double both_, round(case when {_A} is not null and {_B} is not null then least({_A}, {_B}) end, 6) + 0::double inside from lineitem")
+@query("q31_ramps", f"select l_orderkey, l_linenumber, round_even({_UP}, 6) + 0::double up, round_even({_DOWN}, 6) + 0::double down, round_even(case when {_UP} is not null and {_DOWN} is not null then least({_UP}, {_DOWN}) end, 6) + 0::double both_, round_even(case when {_A} is not null and {_B} is not null then least({_A}, {_B}) end, 6) + 0::double inside from lineitem")
 def q31(spark, sf):
     l = table(spark, sf, "lineitem")
     up, down = S.ramp(F.col("l_discount"), 0.02, 0.08), S.ramp(F.col("l_tax"), 0.06, 0.01)
@@ -389,7 +389,7 @@ def q32(spark, sf):
 
 
 @query("q33_class_decision", """with s as (select p_partkey, [{'s': -(p_size / 50::double), 'n': 'kick'}, {'s': -(p_retailprice / 2000::double), 'n': 'snare'}, {'s': -((p_partkey % 10) / 10::double), 'n': 'hat'}] a from part),
-b as (select p_partkey, list_sort(a) a from s) select p_partkey, case when -a[1].s >= 0.15::double and a[2].s - a[1].s >= 0.10::double then a[1].n else 'unclassified' end cls, round(case when -a[1].s >= 0.15::double and a[2].s - a[1].s >= 0.10::double then -a[1].s else -a[2].s end, 6) + 0::double confidence from b""")
+b as (select p_partkey, list_sort(a) a from s) select p_partkey, case when -a[1].s >= 0.15::double and a[2].s - a[1].s >= 0.10::double then a[1].n else 'unclassified' end cls, round_even(case when -a[1].s >= 0.15::double and a[2].s - a[1].s >= 0.10::double then -a[1].s else -a[2].s end, 6) + 0::double confidence from b""")
 def q33(spark, sf):
     from tessitura.operators.drums import decide
 
@@ -400,8 +400,8 @@ def q33(spark, sf):
 
 
 @query("q34_affinity", """with s as (select p_partkey, p_brand, p_size / 50::double a, p_retailprice / 2000::double b, (p_partkey % 10) / 10::double c, ['kick', 'body', 'noise', 'air'][(p_partkey % 4 + 1)::int] band from part)
-select p_partkey, band, round(a * case band when 'kick' then 1 when 'body' then 0.4 else 0 end::double, 6) + 0::double kick, round(b * case band when 'kick' then 0.4 when 'body' then 1 when 'noise' then 0 else 0 end::double, 6) + case when band = 'noise' then round(b * 1::double, 6) else 0::double end + case when band = 'air' then round(b * 0.3::double, 6) else 0::double end snare,
- round(c * case band when 'noise' then 0.5 when 'air' then 1 else 0 end::double, 6) + 0::double hat from s""")
+select p_partkey, band, round_even(a * case band when 'kick' then 1 when 'body' then 0.4 else 0 end::double, 6) + 0::double kick, round_even(b * case band when 'kick' then 0.4 when 'body' then 1 when 'noise' then 0 else 0 end::double, 6) + case when band = 'noise' then round_even(b * 1::double, 6) else 0::double end + case when band = 'air' then round_even(b * 0.3::double, 6) else 0::double end snare,
+ round_even(c * case band when 'noise' then 0.5 when 'air' then 1 else 0 end::double, 6) + 0::double hat from s""")
 def q34(spark, sf):
     from tessitura.operators.drums import class_scores
 
@@ -440,7 +440,7 @@ def q38(spark, sf):
 
 
 @query("q39_interval_sums", f"""with {LI}, s as (select l_orderkey track, min(n) "start", max(n) "end" from li group by 1)
-select track, "start", "end", round(coalesce(sum(l_quantity) filter (where n >= "start" and n < "end"), 0), 6) + 0::double total from s join li on l_orderkey = track group by all""")
+select track, "start", "end", round_even(coalesce(sum(l_quantity) filter (where n >= "start" and n < "end"), 0), 6) + 0::double total from s join li on l_orderkey = track group by all""")
 def q39(spark, sf):
     l = lines(spark, sf).select(F.col("l_orderkey").alias("track"), F.col("n").alias("frame"), "l_quantity")
     spans = l.groupBy("track").agg(F.min("frame").alias("start"), F.max("frame").alias("end"))
@@ -461,7 +461,7 @@ def q41(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.slugify(F.col("url")).alias("slug"))
 
 
-@query("q42_counts", "select conv_id, count(*) turns, round(avg(length(text)), 6) + 0::double mean_chars from conversations group by 1")
+@query("q42_counts", "select conv_id, count(*) turns, round_even(avg(length(text)), 6) + 0::double mean_chars from conversations group by 1")
 def q42(spark, sf):
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("turns"), r6(F.avg(F.length("text").cast("double"))).alias("mean_chars"))
     return c.select("conv_id", F.size("turns").cast("long").alias("turns"), "mean_chars")

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessitura import sinks
-from tessitura.functions.scalars import HOP_SECONDS, num, r6
-from tessitura.operators import arrangement, drums, hints, notes, series, tempo, vocab
+from tessitura.functions.scalars import HOP_SECONDS, confidence_label, num, r6
+from tessitura.operators import analysis, arrangement, downbeat, drums, hints, notes, series, tempo, vocab
 from tessitura.plans.columnar import envelope, hourly, presence
 from tessitura.plans.registry import registry
 from tessitura.session import new_path, table
@@ -79,7 +79,7 @@ def q50(spark, sf):
     return out.select("track", "source", *[r6(F.col(c)).alias(c) for c in ("lufs", "peak", "crest", "seconds")])
 
 
-@query("q51_stream_windows", "select date_trunc('hour', ts)::timestamp start, event_type, count(*) n, round(sum(value), 4) + 0::double total from events group by all")
+@query("q51_stream_windows", "select date_trunc('hour', ts)::timestamp start, event_type, count(*) n, round_even(sum(value), 4) + 0::double total from events group by all")
 def q51(spark, sf):
     e = table(spark, sf, "events")
     out = windows.tumbling(e)
@@ -112,8 +112,8 @@ def q53(spark, sf):
 
 
 @query("q54_hints", """with d as (select l_suppkey track, case when l_suppkey % 3 = 0 then null else 60 + avg(l_quantity) end refined, case when l_suppkey % 5 = 0 then null else 120::double end drums_bpm, 100::double mix_bpm, avg(l_quantity) / 6 od, avg(l_discount) * 10 kc from lineitem group by 1),
-b as (select *, coalesce(refined, drums_bpm, mix_bpm) bpm from d)
-select track, round(bpm, 6) + 0::double bpm, round(240 / bpm, 6) + 0::double cycle_seconds, case when od < 1 then 'sparse' when od < 5 then 'moderate' else 'busy' end drum_density, case when kc >= 0.5 and track % 4 <> 0 then 'a minor' end tonal_centre from b""")
+b as (select *, coalesce(refined, mix_bpm, drums_bpm) bpm from d)
+select track, round_even(bpm, 6) + 0::double bpm, round_even(240 / bpm, 6) + 0::double cycle_seconds, case when od < 1 then 'sparse' when od < 5 then 'moderate' else 'busy' end drum_density, case when kc >= 0.5 and track % 4 <> 0 then 'a minor' end tonal_centre from b""")
 def q54(spark, sf):
     d = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("track")).agg((num(60) + F.avg("l_quantity")).alias("_r"), (F.avg("l_quantity") / num(6)).alias("onset_density"), (F.avg("l_discount") * num(10)).alias("key_confidence"))
     d = d.select("track", F.when(F.col("track") % 3 != 0, F.col("_r")).alias("refined"), F.when(F.col("track") % 5 != 0, num(120)).alias("drums_bpm"), num(100).alias("mix_bpm"), "onset_density", F.lit("a").alias("key"), F.lit("minor").alias("scale"), "key_confidence", (F.col("track") % 4 == 0).alias("bass_silent"))
@@ -145,12 +145,95 @@ def q57(spark, sf):
     return c.select("c_custkey", F.to_json("d").alias("value"))
 
 
-@query("q58_resume", "select distinct o_custkey c_custkey from orders where o_custkey not in (select c_custkey from customer where c_custkey % 2 = 0)")
+@query("q58_resume", "select distinct o_custkey c_custkey from orders where o_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def q58(spark, sf):
-    wanted = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return audio.missing(wanted, table(spark, sf, "customer").filter("c_custkey % 2 = 0"), ["c_custkey"])
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    return audio.missing(o.select("c_custkey").distinct(), o.filter("o_orderpriority = '1-URGENT'"), ["c_custkey"])
 
 
 @query("q59_doctor")
 def q59(spark, sf):
     return sinks.doctor(spark)
+
+
+@query("q60_bass_line", """with n as (select l_suppkey track, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) i, 28 + l_quantity::int % 20 m, l_linenumber::bigint step from lineitem),
+s as (select track, step, count(*) k from n group by all), t as (select track, count(*) c, quantile_cont(m, 0.5) med from n group by 1),
+q as (select track, string_agg(['c', 'c#', 'd', 'd#', 'e', 'f', 'f#', 'g', 'g#', 'a', 'a#', 'b'][m % 12 + 1] || (m // 12 - 1), ' ' order by i) filter (where i <= 32) seq from n group by 1),
+p as (select track, string_agg(step || '=' || round_even(k / c::double, 4), ' ' order by step) shares from s join t using (track) group by 1)
+select track, seq, case when c > 32 then c end::int truncated_from, med::double median_midi, shares from t join q using (track) join p using (track)""")
+def q60(spark, sf):
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    n = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("track"), F.lit("ok").alias("status"), F.row_number().over(order).alias("note"), (28 + F.col("l_quantity").cast("int") % 20).alias("midi"), F.col("l_linenumber").cast("long").alias("step"))
+    h = hints.bass_line_hint(n, ["track"])
+    share = F.zip_with("bass_line.steps", "bass_line.step_share", lambda s, x: F.concat_ws("=", s.cast("string"), x.cast("string")))
+    return h.select("track", F.array_join("bass_line.note_sequence", " ").alias("seq"), F.col("bass_line.truncated_from").alias("truncated_from"), F.col("bass_line.median_midi_note").alias("median_midi"), F.array_join(share, " ").alias("shares"))
+
+
+@query("q61_arrangement_lines")
+def q61(spark, sf):
+    p = presence(spark, sf)
+    s = arrangement.sections(p.select("track", "source", F.col("bar").cast("long").alias("bar"), "present"), ["track"])
+    return hints.arrangement_hint(s, ["track"], p.filter("absent").select("track", "source"))
+
+
+def summaries(spark, sf):
+    """Per track a sum-up of its events as a tempo fit would have it."""
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("track")).agg(F.count("*").alias("n"), F.avg("value").alias("v"))
+    status = F.when(F.col("track") % 3 == 0, "refined").when(F.col("track") % 3 == 1, "coarse").otherwise("unavailable")
+    return e.withColumn("status", status).withColumn("r", F.col("v") / num(200))
+
+
+@query("q62_tempo_notes", """with e as (select user_id track, avg(value) / 200 r, case user_id % 3 when 0 then 'refined' when 1 then 'coarse' else 'unavailable' end status from events group by user_id),
+l as (select *, case when r >= 0.5 then 'high' when r >= 0.25 then 'medium' else 'low' end label from e)
+select track, label, case when status = 'refined' then label else status end trust, case when status = 'refined' and label <> 'low' then '' when status = 'unavailable' then 'as it came' when status = 'coarse' then 'not refined' else 'weak' end note,
+ case when status = 'refined' or track % 2 = 0 then 0.5::double end period from l""")
+def q62(spark, sf):
+    s = summaries(spark, sf).withColumn("label", confidence_label(F.col("r")))
+    note = hints.tempo_note(F.col("status"), F.col("label"), F.col("r"))
+    short = F.when(note.isNull(), "").when(note.contains("as it came"), "as it came").when(note.contains("not refined"), "not refined").when(note.contains("weak"), "weak")
+    return s.select("track", "label", tempo.grid_confidence(F.col("status"), F.col("label")).alias("trust"), short.alias("note"), tempo.bar_period(num(0.5), F.col("status"), F.col("track") % 2 == 0).alias("period"))
+
+
+@query("q63_octave", """with f as (select user_id track, power(2::double, event_id % 3 - 1) ratio, 100 * power(2::double, event_id % 3 - 1) bpm, min(value) s, max(value) e, count(*) % 4 <> 0 grid from events group by all),
+b as (select * from f where ratio = 1), w as (select f.track, f.ratio, f.bpm, f.s from f join b using (track) where f.ratio <> 1 and f.grid and (not b.grid or (f.s < b.s and f.e < b.e))),
+x as (select track, arg_min(ratio, {'s': s, 'r': ratio}) ratio, arg_min(bpm, {'s': s, 'r': ratio}) bpm from w group by 1)
+select b.track, coalesce(x.ratio, 1) ratio, coalesce(x.bpm, b.bpm) bpm, b.grid compared from b left join x using (track)""")
+def q63(spark, sf):
+    k = F.pow(num(2), (F.col("event_id") % 3 - 1).cast("double"))
+    f = table(spark, sf, "events").groupBy(F.col("user_id").alias("track"), k.alias("ratio")).agg(F.min("value").alias("error_steps"), F.max("value").alias("error_seconds"), (F.count("*") % 4 != 0).alias("grid"))
+    return tempo.arbitrate_octave(f.withColumn("bpm", num(100) * F.col("ratio")), ["track"]).select("track", "ratio", "bpm", "compared")
+
+
+@query("q64_downbeat")
+def q64(spark, sf):
+    """Bar phase of each event type from hourly sums (low: the sum, bright: the count); random data, so usually unsettled."""
+    h = table(spark, sf, "events").groupBy(F.col("event_type").alias("source"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h")).agg(F.sum("value").alias("low"), F.count("*").cast("double").alias("bright"))
+    env = h.withColumn("frame", (F.unix_timestamp("h") / 3600).cast("long")).withColumn("frame", F.col("frame") - F.min("frame").over(Window.partitionBy("source")))
+    meta = env.select("source").distinct().withColumn("period_seconds", num(6 * 3600))
+    return downbeat.find_downbeat(env.select("source", "frame", "low", "bright"), meta, ["source"], 3600.0)
+
+
+@query("q65_descriptors")
+def q65(spark, sf):
+    chunks = audio.as_chunks(spark, RECORDINGS)
+    wanted = analysis.expected(chunks.select("track"))
+    return analysis.analyse(audio.frame_bands(chunks), audio.levels(chunks, ["track", "source"]), wanted)
+
+
+@query("q66_unavailable", """select p_partkey, array_to_string(list_sort(list_filter([case when p_size > 25 then 'rhythm.bpm' end, case when p_retailprice < 1000 then 'tonal.key' end, case when p_partkey % 4 = 0 then 'bass_line (status=unvoiced)' end], lambda x: x is not null)), ', ') missing from part""")
+def q66(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") <= 25, 1).alias("bpm"), F.when(F.col("p_retailprice") >= 1000, 1).alias("key"))
+    status = F.when(F.col("p_partkey") % 4 == 0, "unvoiced").otherwise("not_attempted")
+    return p.select("p_partkey", F.array_join(analysis.unavailable({"rhythm": ["bpm"], "tonal": ["key"]}, {"bass_line": status}), ", ").alias("missing"))
+
+
+@query("q67_bar_levels", """with f as (select user_id track, event_type source, row_number() over (partition by user_id, event_type order by event_id) - 1 frame, value from events), n as (select track, min(c) n from (select track, source, count(*) c from f group by all) group by 1),
+g as (select track, n, floor((n - 1) / 5.2::double) + ((n - 1) - floor((n - 1) / 5.2::double) * 5.2::double >= 2.6::double)::int bars from n where n > 1),
+b as (select f.*, bar from f join g using (track), unnest(range(g.bars::bigint)) t(bar) where frame < n and frame >= round_even(1 + bar * 5.2::double, 0) and frame < round_even(1 + (bar + 1) * 5.2::double, 0))
+select track, source, bar, round_even(sqrt(avg(value * value)), 6) + 0::double lvl from b group by all""")
+def q67(spark, sf):
+    f = envelope(spark, sf).select("track", "source", "frame", F.col("value").alias("level"))
+    meta = f.select("track").distinct().select("track", num(1.3).alias("beat_period_seconds"), num(1.0).alias("downbeat_seconds"))
+    return arrangement.bar_levels(f, meta, ["track"], 1.0).select("track", "source", "bar", r6(F.col("level")).alias("lvl"))
+
+

@@ -20,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder of this
-    process is taken, and removed at its end.
+    Where the session names none, a master on one machine (as in tests) gets a temporary folder of this
+    process, removed at its end; on a cluster that is an error, as executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append(tempfile.mkdtemp(prefix="tessitura-"))
         atexit.register(shutil.rmtree, _OWN_ROOT[0], True)
@@ -43,3 +46,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files behind a materialised table, when nothing reads it any more."""
+    spark, root = df.sparkSession, shared_root(df.sparkSession)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
