@@ -3,6 +3,9 @@
 Each stage takes what its predecessor kept, as rows of ``documents``; only the last returns
 places instead: (doc_id, size, text_crc32, law, shard, slot, grown_shard) for each appearance
 of each document in the mix.
+
+Every stage takes null, empty, very long and repeated texts, null ids and hosts, empty tables and
+further columns, whatever their names; what becomes of them is said at the stage and in its operator.
 """
 
 from __future__ import annotations
@@ -24,22 +27,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents that with the smallest id."""
+    """Of each group of similar documents that with the smallest id (null last, then the text's hash).
+
+    Rows that repeat id and text are one; rows without words stay, each of them.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
+    """Rows whose text holds no benchmark item, whatever their id; without items, all rows."""
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as often as its source's weight asks for."""
+    """Every row as often as its source's weight asks for, once at least; null is a source of its own."""
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row."""
+    """The shard and slot of every row; null ids and repeated rows have places of their own."""
     return sharding.shard_rows(docs)
 
 
