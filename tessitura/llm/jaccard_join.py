@@ -42,7 +42,7 @@ from pyspark.sql.types import StructType
 from tessitura.llm.common import null_safe, text_or_empty
 from tessitura.llm.components import components
 from tessitura.llm.shingle import pack, set_name, shingle_sets, unpack
-from tessitura.session import materialize
+from tessitura.session import discard, materialize
 
 K = 5
 PERCENT = 80
@@ -441,6 +441,7 @@ def _joined(rows: DataFrame, limit: int) -> tuple[DataFrame, bool]:
             regions = _regions(inside, "set", inside.select("set").mapInArrow(_count_sets, "chunk int, counts binary"), size)
             named = inside.withColumn("_n", _node())
             rows = materialize(named.join(regions, named["_n"] == regions["node"]).select(F.col("label").alias("region"), "cls", "n", "set", "member"), "regions")
+            discard(inside)
             before = size
         else:
             turn += 1
@@ -500,15 +501,17 @@ def classify(docs: DataFrame, region_limit: int = REGION_LIMIT) -> DataFrame:
 def keep_one(docs: DataFrame, region_limit: int = REGION_LIMIT) -> DataFrame:
     """Of each component one row, with all columns of ``docs``; rows without words stay."""
     slim, links = _labelled(docs, region_limit)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_kept_id"), F.col("name").alias("_kept_name")))
-    best = slim.filter("cls is not null").groupBy("cls").agg(first.alias("_b")).join(links, "cls", "left").groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("_b").alias("_b")).select("_b._kept_id", "_b._kept_name")
-    empty = slim.filter("cls is null").select(F.col("doc_id").alias("_kept_id"), F.col("name").alias("_kept_name"), F.lit(True).alias("_kept_every")).distinct()
-    chosen = best.withColumn("_kept_every", F.lit(False)).unionByName(empty)
+    # rows that repeat id and text are counted, so that only they need to meet with their texts
+    alike = slim.groupBy("doc_id", "name", "cls").agg(F.count("*").alias("_many"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_kept_id"), F.col("name").alias("_kept_name"), "_many"))
+    best = alike.filter("cls is not null").groupBy("cls").agg(first.alias("_b")).join(links, "cls", "left").groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("_b").alias("_b"))
+    best = best.select("_b._kept_id", "_b._kept_name", (F.col("_b._many") > 1).alias("_kept_once"))
+    empty = alike.filter("cls is null").select(F.col("doc_id").alias("_kept_id"), F.col("name").alias("_kept_name"), F.lit(False).alias("_kept_once"))
+    chosen = materialize(best.unionByName(empty), "kept")
     name = F.unhex(F.md5(text_or_empty(docs["text"])))
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_kept_id"]) & (name == chosen["_kept_name"])).select(*[docs[c] for c in docs.columns], "_kept_every", "_kept_name")
-    # rows that repeat an id and a text are one
-    once = kept.filter(~F.col("_kept_every")).dropDuplicates(["doc_id", "_kept_name"])
-    return once.unionByName(kept.filter("_kept_every")).select(*docs.columns)
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_kept_id"]) & (name == chosen["_kept_name"])).select(*[docs[c] for c in docs.columns], "_kept_once", "_kept_name")
+    once = kept.filter("_kept_once").dropDuplicates(["doc_id", "_kept_name"])
+    return kept.filter("not _kept_once").unionByName(once).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
