@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessitura import sinks
+from tessitura.functions import sql
 from tessitura.functions.scalars import HOP_SECONDS, confidence_label, num, r6
 from tessitura.operators import analysis, arrangement, downbeat, drums, hints, notes, series, tempo, vocab
 from tessitura.plans.columnar import envelope, hourly, presence
@@ -237,3 +238,22 @@ def q67(spark, sf):
     return arrangement.bar_levels(f, meta, ["track"], 1.0).select("track", "source", "bar", r6(F.col("level")).alias("lvl"))
 
 
+
+
+@query("q68_sql_functions", """select p_partkey, round_even(69 + 12 * log2(p_retailprice / 440), 6) + 0::double midi, ['c', 'c#', 'd', 'd#', 'e', 'f', 'f#', 'g', 'g#', 'a', 'a#', 'b'][p_size % 12 + 1] || (p_size // 12 - 1) note, round_even(440 * power(2::double, (p_size - 69) / 12::double), 6) + 0::double hz,
+ case when p_size / 10::double < 1 then 'sparse' when p_size / 10::double < 5 then 'moderate' else 'busy' end term, case when p_size >= 10 then least(1::double, (p_size - 10) / 20::double) end graded, ((round_even((p_size - 7) / 3::double, 0)::bigint % 16) + 16) % 16 step,
+ trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') slug from part""")
+def q68(spark, sf):
+    sql.register(spark)
+    table(spark, sf, "part").createOrReplaceTempView("_tessitura_part")
+    return spark.sql("""select p_partkey, bround(midi_from_hz(p_retailprice), 6) + 0d midi, note_name(p_size) note, bround(hz_from_midi(p_size), 6) + 0d hz, density_term(p_size / 10d) term,
+        ramp(p_size, 10, 30) graded, grid_step(p_size, 7, 3, 16) step, slugify(p_name) slug from _tessitura_part""")
+
+
+@query("q69_table_function", """with s as (select event_type, list(value order by event_id) x from events group by 1), f as (select event_type, unnest(range(greatest(0, 1 + (len(x) - 256) // 64))) frame, x from s where len(x) >= 256)
+select event_type, frame::int frame, round_even(sqrt(list_avg(list_transform(x[frame * 64 + 1:frame * 64 + 256], lambda v: v * v))), 6) + 0::double rms, list_max(list_transform(x[frame * 64 + 1:frame * 64 + 256], lambda v: abs(v))) peak from f""")
+def q69(spark, sf):
+    sql.register(spark)
+    e = table(spark, sf, "events").groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("samples"))
+    e.createOrReplaceTempView("_tessitura_series")
+    return spark.sql("select event_type, frame, bround(rms, 6) + 0d rms, peak from _tessitura_series, lateral frames(samples, 256, 64)")
