@@ -7,14 +7,17 @@ joins. Sorting by (level, call_id) orders the calls topologically. Arguments are
 against the tool's schema and each call is serialised with its result as canonical JSON: keys
 in order, no spaces, nulls dropped.
 
-One row per call identifier leaves the operator; calls of a conversation are never gathered.
+One row per different call leaves ``link``; calls of a conversation are never gathered. ``everything`` adds a row for
+each different call or result that could not be linked, so no content is lost.
 
-Defined cases: calls or results that repeat an identifier are reduced to the smallest
-(before any join; ``n_copies`` counts them); a null identifier is no call; a call
+Defined cases: of calls or results that repeat an identifier the smallest is linked
+(chosen before any join; ``n_copies`` counts them), different others are ``duplicate``; a null identifier is
+``unidentified``; a call
 without a result is ``unanswered``; arguments that are null, no JSON object or against the
 schema are ``invalid`` with reasons in ``errors``; a tool without a schema is an error;
 parents that don't exist are ignored; calls on a cycle or behind one have a null level and
-status ``cycle``. Results without a call are dropped and can be had from ``orphans``.
+status ``cycle``; results without a call are ``orphan``. Rows that are equal in all are one. An empty table gives no rows;
+other columns are not touched; texts of any length go whole into the JSON.
 """
 
 from __future__ import annotations
@@ -99,6 +102,31 @@ def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
     return results.join(ids, results["call_id"] == ids["_c"], "left_anti")
 
 
+def unlinked(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """What ``link`` leaves out, in its columns: a row for each different call or result, with how many there are."""
+    first = calls.filter("call_id is not null").groupBy(F.col("call_id").alias("_id")).agg(F.min(F.struct("name", "arguments", "conv_id", "parent_id")).alias("_first"))
+    each = calls.groupBy("call_id", F.struct("name", "arguments", "conv_id", "parent_id").alias("_c")).agg(F.count("*").alias("n_copies"))
+    each = each.join(first, each["call_id"] == first["_id"], "left").filter(F.col("_id").isNull() | ~F.col("_c").eqNullSafe(F.col("_first")))
+    body = F.to_json(F.struct(F.col("_c.arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("_c.name").alias("name"), F.when(F.col("_id").isNull(), "unidentified").otherwise("duplicate").alias("status")))
+    none, no_errors = F.lit(None).cast("long").alias("level"), F.array().cast("array<string>").alias("errors")
+    lost_calls = each.select(F.col("_c.conv_id").alias("conv_id"), "call_id", F.col("_c.name").alias("name"), "n_copies", none, F.when(F.col("_id").isNull(), "unidentified").otherwise("duplicate").alias("status"), no_errors, body.alias("json"))
+
+    least = results.filter("call_id is not null").groupBy(F.col("call_id").alias("_rid")).agg(F.min(F.coalesce("content", F.lit(""))).alias("_least"))
+    said = results.groupBy("call_id", F.coalesce("content", F.lit("")).alias("content")).agg(F.count("*").alias("n_copies"))
+    ids = first.select(F.col("_id").alias("_call"))
+    said = said.join(ids, said["call_id"] == ids["_call"], "left").join(least, said["call_id"] == least["_rid"], "left")
+    state = F.when(F.col("call_id").isNull(), "unidentified").when(F.col("_call").isNull(), "orphan").when(F.col("content") != F.col("_least"), "duplicate")
+    said = said.withColumn("status", state).filter("status is not null")
+    body = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"), "status"))
+    conv = F.lit(None).cast(calls.schema["conv_id"].dataType).alias("conv_id")
+    return lost_calls.unionByName(said.select(conv, "call_id", F.lit(None).cast("string").alias("name"), "n_copies", none, "status", no_errors, body.alias("json")))
+
+
+def everything(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
+    """``link``, and the rows of ``unlinked``."""
+    return link(calls, results, schemas).unionByName(unlinked(calls, results))
+
+
 def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reads a chat table as calls and results: each turn that isn't the assistant's calls
     ``reply`` with its text and number; the assistant's next turn is the result; a call
@@ -117,21 +145,28 @@ def query(spark, sf_dir: str) -> DataFrame:
     from tessitura.session import table
 
     calls, results = turns_as_calls(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return link(calls, results, REPLY).withColumn("errors", F.array_join("errors", "; "))
+    return everything(calls, results, REPLY).withColumn("errors", F.array_join("errors", "; "))
 
 
 def oracle() -> str:
     return """
-with recursive t as (select conv_id, turn, role, text, conv_id::varchar || '-' || turn::varchar id from conversations where conv_id is not null and turn is not null),
-c as (select id, count(*) n, min({'a': json_object('text', text, 'turn', turn)::varchar, 't': text, 'u': turn, 'c': conv_id}) m from t where role is distinct from 'assistant' group by id),
-c2 as (select id, n, m.a a, m.t t, m.u u, m.c conv_id, conv_id::varchar || '-' || (m.u - 2)::varchar up from c),
-r as (select conv_id::varchar || '-' || (turn - 1)::varchar id, min(coalesce(text, '')) content from t where role = 'assistant' group by 1),
-l as (select id, 0::bigint level from c2 where up not in (select id from c2) union all select c2.id, l.level + 1 from c2 join l on c2.up = l.id),
+with recursive t as (select conv_id, turn, role, text, conv_id::varchar || '-' || turn::varchar id, conv_id::varchar || '-' || (turn - 1)::varchar before, conv_id::varchar || '-' || (turn - 2)::varchar up from conversations),
+asks as (select id, count(*) k, {'n': 'reply', 'a': case when text is null and turn is null then '{}' else '{' || concat_ws(',', '"text":' || to_json(text)::varchar, '"turn":' || turn::varchar) || '}' end, 'c': conv_id, 'p': up} m, any_value(text) t, any_value(turn) u
+  from t where role is distinct from 'assistant' group by id, m),
+c as (select id, sum(k)::bigint n, arg_min(t, m) t, arg_min(u, m) u, min(m) m from asks where id is not null group by id),
+c2 as (select id, n, t, u, m, m.a a, m.c conv_id, m.p up from c),
+says as (select before id, coalesce(text, '') content, count(*) k from t where role = 'assistant' group by all),
+r as (select id, min(content) content from says where id is not null group by 1),
+l as (select id, 0::bigint level from c2 where up is null or up not in (select id from c2) union all select c2.id, l.level + 1 from c2 join l on c2.up = l.id),
 o as (select c2.conv_id, c2.id call_id, 'reply' name, n n_copies, level,
   case when t is null then 'text: missing' when length(t) < 1 then 'text: too short' else '' end errors, r.id is not null answered, a, content
   from c2 join l using (id) left join r using (id)),
-s as (select *, case when errors <> '' then 'invalid' when not answered then 'unanswered' else 'ok' end status from o)
+s as (select *, case when errors <> '' then 'invalid' when not answered then 'unanswered' else 'ok' end status from o),
+lost as (select asks.m.c conv_id, asks.id call_id, 'reply' name, k n_copies, case when asks.id is null then 'unidentified' else 'duplicate' end status, asks.m.a a from asks left join c2 using (id) where asks.id is null or asks.m <> c2.m),
+mute as (select says.id, says.content, k, case when says.id is null then 'unidentified' when c2.id is null then 'orphan' when says.content <> r.content then 'duplicate' end status from says left join c2 on says.id = c2.id left join r on says.id = r.id)
 select conv_id, call_id, name, n_copies, level, status, errors,
   '{"arguments":' || a || ',"id":"' || call_id || '","level":' || level || ',"name":"reply"' || case when content is null then '' else ',"result":' || to_json(content)::varchar end || ',"status":"' || status || '"}' json
 from s
+union all select conv_id, call_id, name, n_copies, null, status, '', '{"arguments":' || to_json(a)::varchar || case when call_id is null then '' else ',"id":"' || call_id || '"' end || ',"name":"reply","status":"' || status || '"}' from lost
+union all select null, id, null, k, null, status, '', '{' || case when id is null then '' else '"id":"' || id || '",' end || '"result":' || to_json(content)::varchar || ',"status":"' || status || '"}' from mute where status is not null
 """

@@ -42,8 +42,8 @@ def chains(seed):
     """Long chains: each text is near the one before only."""
     rng = random.Random(seed)
     rows, words = [], [f"x{k}" for k in range(150)]
-    for i in range(24):
-        if i % 12 == 0:
+    for i in range(60):
+        if i % 20 == 0:
             words = [f"x{seed}y{i}z{k}" for k in range(150)]
         words = list(words)
         words[rng.randrange(150)] = f"n{i}"
@@ -51,7 +51,7 @@ def chains(seed):
     return rows
 
 
-@pytest.mark.parametrize("limit", [300, 1500])
+@pytest.mark.parametrize("limit", [300, 2000])
 def test_cells_give_the_same_components(spark, limit):
     rows = chains(3) + [(100 + i, t) for i, t in grown()]
     df = spark.createDataFrame(rows, "doc_id long, text string")

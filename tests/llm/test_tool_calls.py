@@ -31,3 +31,36 @@ def test_long_chain_and_empty(spark):
     out = {r["call_id"]: r["status"] for r in T.link(calls, results, T.REPLY).collect()}
     assert out == {"1-0": "ok", "1-2": "invalid"}
     assert T.orphans(calls, results).count() == 0
+
+
+def test_nothing_is_lost(spark):
+    """Different calls and results under one identifier, null identifiers, results without a call; clashing columns, very long texts."""
+    calls = [("a", 1, "say", '{"text":"x"}', None), ("a", 1, "say", '{"text":"y"}', None), ("a", 1, "say", '{"text":"y"}', None), (None, 2, "say", "{}", None), (None, 2, "say", "{}", None), ("b", 3, "say", json.dumps({"text": "z" * 200_000}), "a")]
+    results = [("a", "one"), ("a", "two"), ("a", "one"), ("gone", "late"), (None, None), ("b", "w" * 300_000)]
+    c = spark.createDataFrame([(*x, "s", 1) for x in calls], "call_id string, conv_id long, name string, arguments string, parent_id string, status string, level int")
+    r = spark.createDataFrame([(*x, 0) for x in results], "call_id string, content string, n_copies int")
+    got = sorted(((x["status"], x["call_id"] or "", x["name"] or "", x["n_copies"]) for x in T.everything(c, r, SCHEMAS).collect()))
+    assert got == sorted([("ok", "a", "say", 3), ("duplicate", "a", "say", 2), ("unidentified", "", "say", 2), ("ok", "b", "say", 1), ("duplicate", "a", "", 1), ("orphan", "gone", "", 1), ("unidentified", "", "", 1)])
+    whole = {x["call_id"]: json.loads(x["json"]) for x in T.link(c, r, SCHEMAS).collect()}
+    assert len(whole["b"]["result"]) == 300_000 and len(whole["b"]["arguments"]["text"]) == 200_000 and whole["b"]["level"] == 1
+
+
+def test_levels_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(5)
+    parent = {f"n{i}": (None if rng.random() < 0.2 else f"n{rng.randrange(60)}") for i in range(60)}
+
+    def level(k):
+        seen = set()
+        while parent.get(k) is not None:
+            if k in seen:
+                return None
+            seen.add(k)
+            k = parent[k]
+        return len(seen)
+
+    got = run(spark, [(k, 1, "say", '{"text":"t"}', p) for k, p in parent.items()], [])
+    assert {k: v["level"] for k, v in got.items()} == {k: level(k) for k in parent}
+    order = {k: i for i, k in enumerate(sorted((k for k in got if got[k]["level"] is not None), key=lambda k: (got[k]["level"], k)))}
+    assert all(order[parent[k]] < order[k] for k in order if parent[k] in order)
