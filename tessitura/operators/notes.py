@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessitura.functions.scalars import num, positive
 
 #: Fixed values.
 MEDIAN, OCTAVE_MEDIAN, MIN_SECONDS, MERGE_SEMITONES, MIN_VOICED = 5, 21, 0.06, 1, 0.15
@@ -85,3 +88,24 @@ def segment_notes(df: DataFrame, keys: list[str], hop: float) -> DataFrame:
 
     kinds = dict(df.dtypes)
     return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + NOTES)
+
+
+def resolved(grid: DataFrame, keys: list[str], beats: int = 4, steps: int = 16) -> DataFrame:
+    """(keys, anchor, step_seconds, steps_per_cycle) from (keys, anchor_seconds, step_seconds, steps_per_cycle, beat_period_seconds, downbeat_seconds).
+
+    A length of step that is given wins; else the beat's period is cut, and the downbeat, if known, is the anchor.
+    """
+    given = F.col("step_seconds").isNotNull()
+    n = F.when(given, F.col("steps_per_cycle")).otherwise(F.coalesce("steps_per_cycle", F.lit(steps)))
+    cut = F.when(n > 0, positive(F.col("beat_period_seconds")) * num(beats) / n)
+    anchor = F.when(given, F.col("anchor_seconds")).otherwise(F.coalesce("downbeat_seconds", "anchor_seconds"))
+    length = positive(F.when(given, F.col("step_seconds")).otherwise(cut))
+    return grid.select(*keys, F.coalesce(anchor, num(0)).alias("anchor"), length.alias("step_seconds"), F.when(n > 0, n).alias("steps_per_cycle"))
+
+
+def on_grid(notes: DataFrame, grid: DataFrame, keys: list[str], hop: float) -> DataFrame:
+    """Notes (keys, start_frame, ...) with ``step``: the nearest, folded into the cycle where its length is known; null without a grid."""
+    n = notes.join(resolved(grid, keys), keys, "left")
+    k = F.rint((F.col("start_frame") * num(hop) - F.col("anchor")) / F.col("step_seconds")).cast("long")
+    step = F.when(F.col("steps_per_cycle").isNull(), k).otherwise(F.pmod(k, F.col("steps_per_cycle").cast("long")))
+    return n.withColumn("step", step).drop("anchor", "step_seconds", "steps_per_cycle")

@@ -124,7 +124,7 @@ def q54(spark, sf):
 @query("q55_drum_sounds", """with h as (select l_suppkey track, ['kick', 'snare', 'hat', 'unclassified'][(l_linenumber % 4 + 1)::int] cls, l_discount * 3 body, l_quantity / 5 decay from lineitem),
 m as (select track, cls, avg(body) body, quantile_cont(decay, 0.5) decay from h group by all)
 select track, cls, case cls when 'kick' then 'bd' when 'snare' then 'sd' when 'hat' then case when decay >= 4 then 'hh' else 'oh' end end sound,
- case when cls = 'snare' and body < 0.15 then 'cp' when cls = 'unclassified' then 'perc,tom,rim,cp,cb,cr,sh,ht,lt' else '' end offers from m""")
+ case when cls = 'snare' and body < 0.15 then 'cp' when cls = 'unclassified' then 'ht,mt,lt,cr,rd,perc,sh,cb,tb' else '' end offers from m""")
 def q55(spark, sf):
     cls = F.element_at(F.array(*[F.lit(x) for x in ("kick", "snare", "hat", "unclassified")]), (F.col("l_linenumber") % 4 + 1).cast("int"))
     h = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("track"), cls.alias("cls"), (F.col("l_discount") * num(3)).alias("body"), (F.col("l_quantity") / num(5)).alias("decay"))
@@ -257,3 +257,22 @@ def q69(spark, sf):
     e = table(spark, sf, "events").groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("samples"))
     e.createOrReplaceTempView("_tessitura_series")
     return spark.sql("select event_type, frame, bround(rms, 6) + 0d rms, peak from _tessitura_series, lateral frames(samples, 256, 64)")
+
+
+@query("q70_notes_on_grid", """with g as (select s_suppkey track, s_acctbal / 1000 anchor, case when s_nationkey % 2 = 0 then 0.125::double else case when s_nationkey % 3 <> 0 then 0.5::double * 4 / 16 end end step, case when s_nationkey % 2 = 0 and s_nationkey % 4 = 0 then null else 16 end n from supplier),
+l as (select l_suppkey track, l_orderkey start, round_even((l_orderkey * 0.01::double - anchor) / step, 0)::bigint k, n from lineitem join g on l_suppkey = track)
+select track, start, case when n is null then k else ((k % n) + n) % n end step, count(*) many from l group by all""")
+def q70(spark, sf):
+    """The grid of each track fanned out to its notes, given by its step or by its beat."""
+    s = table(spark, sf, "supplier")
+    even, by_step = F.col("s_nationkey") % 4 == 0, F.col("s_nationkey") % 2 == 0
+    anchor = F.col("s_acctbal") / num(1000)
+    g = s.select(F.col("s_suppkey").alias("track"), F.when(by_step, anchor).alias("anchor_seconds"), F.when(by_step, num(0.125)).alias("step_seconds"), F.when(by_step & ~even, 16).alias("steps_per_cycle"), F.when(F.col("s_nationkey") % 3 != 0, num(0.5)).alias("beat_period_seconds"), anchor.alias("downbeat_seconds"))
+    n = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("track"), F.col("l_orderkey").alias("start_frame"))
+    return notes.on_grid(n, g, ["track"], 0.01).groupBy("track", F.col("start_frame").alias("start"), "step").agg(F.count("*").alias("many"))
+
+
+@query("q71_paths", """select c_custkey, '/out/' || trim(regexp_replace(lower(trim(c_name)), '[^a-z0-9]+', '-', 'g'), '-') || case when c_nationkey % 2 = 0 then '/track_summary.json' else '/analysis/' || lower(c_mktsegment) || '.json' end path from customer""")
+def q71(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", sinks.document_path("/out/", F.col("c_name"), F.when(F.col("c_nationkey") % 2 != 0, F.lower("c_mktsegment"))).alias("path"))

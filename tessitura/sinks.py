@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessitura.functions.scalars import slugify
+from tessitura.session import materialize
+
 DIGITS = 6
 
 
@@ -57,3 +60,31 @@ def doctor(spark: SparkSession) -> DataFrame:
         there = importlib.util.find_spec(m) is not None
         rows.append((m, there, "" if there else "absent: WAV only, own estimators, no separation"))
     return spark.createDataFrame(rows, "probe string, found boolean, detail string")
+
+
+def document_path(root: str, track: Column, source: Column) -> Column:
+    """Where a source's document belongs: <root>/<slug>/analysis/<source>.json, the track's own at <root>/<slug>/track_summary.json."""
+    folder = F.concat(F.lit(root.rstrip("/") + "/"), slugify(track))
+    return F.when(source.isNull(), F.concat(folder, F.lit("/track_summary.json"))).otherwise(F.concat(folder, F.lit("/analysis/"), source, F.lit(".json")))
+
+
+def write_files(df: DataFrame, root: str) -> DataFrame:
+    """Writes one JSON file for each row (track, source, other columns; source null for the track's own) at its path; (track, source, path).
+
+    Each task opens its own files through the file system of ``root``; a task that runs again writes the same bytes.
+    """
+    from pyarrow import RecordBatch, array, fs, string
+
+    body = F.to_json(F.struct(*[F.col(c) for c in df.columns if c not in ("track", "source")]), {"ignoreNullFields": "false"})
+    rows = round_floats(df).select("track", "source", document_path(root, F.col("track"), F.col("source")).alias("path"), body.alias("value"))
+
+    def run(batches):
+        for batch in batches:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                system, at = fs.FileSystem.from_uri(path)
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(at) as out:
+                    out.write(value.encode())
+            yield RecordBatch.from_arrays([array(batch.column(c).to_pylist(), string()) for c in ("track", "source", "path")], names=["track", "source", "path"])
+
+    return materialize(rows.mapInArrow(run, "track string, source string, path string"), "written")

@@ -357,3 +357,20 @@ def levels(audio: DataFrame, keys: list[str]) -> DataFrame:
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "lufs": loudness(x), "peak": peak, "crest": peak / rms if rms > 0 else None, "seconds": len(x) / SAMPLE_RATE}])
 
     return audio.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", lufs double, peak double, crest double, seconds double")
+
+
+FIXTURES = {"frame_band": ["track", "source", "frame", *BANDS], "frame_level": ["track", "source", "frame", "rms"], "frame_f0": ["track", "source", "frame", "f0_hz", "voiced", "voiced_prob"]}
+
+
+def write_fixtures(audio: DataFrame, root: str, only: list[str] | None = None) -> None:
+    """Derived tables of recordings as Parquet under ``root``, one folder each, by track: all of FIXTURES or some."""
+    names = only or list(FIXTURES)
+    frames = frame_bands(audio)
+    for name in names:
+        rows = pitch(audio) if name == "frame_f0" else frames
+        rows.select(*FIXTURES[name]).write.mode("overwrite").partitionBy("track").parquet(f"{root}/{name}")
+
+
+def read_fixture(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One of the tables that ``write_fixtures`` wrote."""
+    return spark.read.parquet(f"{root}/{name}").select(*FIXTURES[name])
