@@ -160,9 +160,11 @@ def write(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, str]:
     body = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.withColumn("_sha", F.sha1(body.cast("binary")))
     first = pages.filter(F.octet_length(body) >= min_bytes).groupBy(F.col("_sha").alias("_d")).agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).filter("_n > 1")
-    marked = pages.join(first, (pages["_sha"] == first["_d"]) & (F.octet_length(body) >= min_bytes), "left")
-    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = marked.select(capture_key(F.col("url"), F.col("page_id")).alias("key"), "page_id", "url", "html", refers.alias("refers_to"))
+    # identifiers and digests alone meet by digest; the bodies are dealt by page, so copies of one don't meet
+    slim = pages.filter(F.octet_length(body) >= min_bytes).select(F.col("page_id").alias("_id"), F.col("_sha").alias("_s")).distinct()
+    refers = slim.join(first, slim["_s"] == first["_d"]).filter(F.col("first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("first"))).select("_id", "_s", "first")
+    marked = pages.join(refers, pages["page_id"].eqNullSafe(refers["_id"]) & (pages["_sha"] == refers["_s"]), "left")
+    rows = marked.select(capture_key(F.col("url"), F.col("page_id")).alias("key"), "page_id", "url", "html", F.col("first").alias("refers_to"))
     return materialize(rows.mapInArrow(_writer(root), CAPTURE), "captures"), root
 
 
