@@ -147,7 +147,7 @@ def q12(spark, sf):
     w = envelope(spark, sf)
     ends = w.groupBy("source").agg(((F.min("t") + F.max("t")) / num(2)).alias("mid"))
     shift, _ = grid.phase(S.fractional_steps(F.col("value"), num(0.25), num(0), 1))
-    h = w.join(F.broadcast(ends), "source").groupBy("source", (F.col("t") >= F.col("mid")).alias("late")).agg(shift.alias("shift"))
+    h = w.join(ends, "source").groupBy("source", (F.col("t") >= F.col("mid")).alias("late")).agg(shift.alias("shift"))
     d = h.groupBy("source").agg(F.max(F.when(F.col("late"), F.col("shift"))).alias("b"), F.max(F.when(~F.col("late"), F.col("shift"))).alias("a")).filter("a is not null and b is not null")
     return d.select("source", r6(F.pmod(F.col("b") - F.col("a") + num(0.5), num(1)) - num(0.5)).alias("drift"))
 
@@ -190,7 +190,7 @@ def q16(spark, sf):
     s = w.groupBy("source", F.pmod("h", F.lit(4)).alias("slot")).agg(F.percentile("m", num(0.5)).alias("e"))
     n = s.withColumn("share", F.col("e") / F.sum("e").over(Window.partitionBy("source")))
     ends = h.agg(F.min("source").alias("lo"), F.max("source").alias("hi"))
-    p = n.join(F.broadcast(ends), (F.col("source") == F.col("lo")) | (F.col("source") == F.col("hi")))
+    p = n.join(ends, (F.col("source") == F.col("lo")) | (F.col("source") == F.col("hi")))
     p = p.groupBy("slot").agg(F.max(F.when(F.col("source") == F.col("lo"), F.col("share"))).alias("low"), F.max(F.when(F.col("source") == F.col("hi"), F.col("share"))).alias("bright"))
     return p.select("slot", r6(F.col("low")).alias("low"), r6(F.col("bright")).alias("bright"), r6(F.col("low") - F.col("bright")).alias("balance"))
 
@@ -430,7 +430,7 @@ def q36(spark, sf):
 def q37(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     grid_ = n.join(r, n["n_regionkey"] == r["r_regionkey"], "left")
-    return table(spark, sf, "customer").join(F.broadcast(grid_), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name", "r_name")
+    return table(spark, sf, "customer").join(grid_, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name", "r_name")
 
 
 @query("q38_replace_full", "select d.doc_id, coalesce(l.quality, -1) quality, l.doc_id is null missing from documents d left join labels l using (doc_id)")
