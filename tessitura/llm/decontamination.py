@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.shingle import byte_table, hash_words
+from tessitura.llm.shingle import byte_table, hash_words, parts
 from tessitura.session import materialize
 
 FEATURE_BITS, SIGN_BITS = 13, 11
@@ -78,7 +78,7 @@ def _padded(table: np.ndarray) -> np.ndarray:
 def _tokens(batches):
     """Features of the texts, laid out in passages, then the task's document frequencies."""
     df, n = np.zeros(FEATURES, np.int64), 0
-    for batch in batches:
+    for batch in parts(batches):
         words, ends = hash_words(batch.column("text"), _SPACED)
         ids = features(words)
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -325,7 +325,7 @@ def _search(latent, items, shares: tuple[float, float, float], schema: pa.Schema
     def run(batches):
         search = Search(latent.value, items.value, *shares)
         found = search.items
-        for batch in batches:
+        for batch in parts(batches):
             words, ends = hash_words(batch.column("text"), _SPACED)
             out, a = [], 0
             while a < len(ends) - 1 and found.ids:

@@ -41,7 +41,7 @@ from pyspark.sql.types import StructType
 
 from tessitura.llm.common import null_safe, text_or_empty
 from tessitura.llm.components import components
-from tessitura.llm.shingle import pack, set_name, shingle_sets, unpack
+from tessitura.llm.shingle import pack, parts, set_name, shingle_sets, unpack
 from tessitura.session import discard, materialize
 
 K = 5
@@ -70,7 +70,8 @@ def linked(shared, n, m):
 
 def _counted(sketch: np.ndarray, sets: list[np.ndarray]) -> None:
     if any(len(s) for s in sets):
-        sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
+        cell, n = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+        sketch[cell] += n.astype(np.int32)
 
 
 def _chunks(sketch: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -82,7 +83,7 @@ def _chunks(sketch: np.ndarray) -> tuple[pa.Array, pa.Array]:
 def _scan(batches):
     """Rows of documents, then rows of the sketch's chunks."""
     sketch, kind = np.zeros(1 << SKETCH_BITS, np.int32), None
-    for batch in batches:
+    for batch in parts(batches):
         kind = batch.column("doc_id").type
         sets = shingle_sets(batch.column("text"), K)
         cls = pa.array([set_name(s) if len(s) else None for s in sets], pa.binary())
@@ -157,7 +158,7 @@ def _prefixes(rank, buckets: int, column: str):
             keys, node, n = (np.concatenate(x) for x in zip(*held, strict=True))
             return pack((keys % np.uint64(buckets)).astype(np.int64), [keys, node, n], _PREFIX)
 
-        for batch in batches:
+        for batch in parts(batches) if column == "text" else batches:
             for s in shingle_sets(batch.column("text"), K) if column == "text" else _sets_of(batch.column("set")):
                 n = len(s)
                 if not n or (c := node_of(set_name(s))) in seen:
@@ -223,16 +224,19 @@ def overlaps(pivots: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
     whose = whose[order]
     known, begin, count = np.unique(flat[order], return_index=True, return_counts=True)
     sizes = np.cumsum([len(r) for r in rows])
+    step = max(256, 2_000_000 // k)  # each element may meet all pivots
     a = 0
     while a < len(rows):
         b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + 500_000, side="right")))
-        x, owner = np.concatenate(rows[a:b]), np.repeat(np.arange(b - a), [len(r) for r in rows[a:b]])
+        x, owner = np.concatenate(rows[a:b]), np.repeat(np.arange(a, b), [len(r) for r in rows[a:b]])
         at = np.minimum(np.searchsorted(known, x), len(known) - 1)
         hit = known[at] == x
         at, owner = at[hit], owner[hit]
-        n = count[at]
-        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at], n)
-        out[a:b] = np.bincount(np.repeat(owner, n) * k + whose[places], minlength=(b - a) * k).reshape(b - a, k)
+        for i in range(0, len(at), step):
+            n, own = count[at[i : i + step]], owner[i : i + step]
+            places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at[i : i + step]], n)
+            lo, hi = int(own[0]), int(own[-1]) + 1
+            out[lo:hi] += np.bincount(np.repeat(own - lo, n) * k + whose[places], minlength=(hi - lo) * k).reshape(hi - lo, k)
         a = b
     return out
 
@@ -282,12 +286,21 @@ class Region:
     def split(self, idx: np.ndarray) -> list[np.ndarray]:
         """Parts that can't link with each other, by prefixes in the exact local order."""
         flat = np.concatenate([self.sets[i] for i in idx])
-        owner = np.repeat(np.arange(len(idx)), self.n[idx])
-        _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-        order = np.lexsort((inverse, count[inverse], owner))
-        rank = np.arange(len(flat)) - np.repeat(np.r_[0, np.cumsum(self.n[idx])[:-1]], self.n[idx])
-        first = rank < np.repeat(self.n[idx] - needed(self.n[idx]) + 1, self.n[idx])
-        shingle, who = inverse[order][first], owner[order][first]
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        number = np.cumsum(np.r_[False, flat[1:] != flat[:-1]], dtype=np.int32)
+        del flat
+        count = np.bincount(number)
+        shingle = np.empty(len(order), np.int32)
+        shingle[order] = number
+        del order, number
+        firsts, at = [], 0
+        for n in self.n[idx].tolist():
+            own = shingle[at : at + n].astype(np.int64)
+            key, p = count[own] << 32 | own, n - needed(n) + 1  # rare ones first
+            firsts.append((np.partition(key, p - 1)[:p] if p < n else key) & 0xFFFFFFFF)
+            at += n
+        shingle, who = np.concatenate(firsts), np.repeat(np.arange(len(idx)), [len(f) for f in firsts])
         by = np.argsort(shingle, kind="stable")
         shingle, who = shingle[by], who[by]
         same = np.flatnonzero(shingle[1:] == shingle[:-1])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Odd constants of the standard 64-bit finaliser.
@@ -100,6 +101,20 @@ def hash_words(column, table: bytes = PLAIN) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), np.searchsorted(places, begin)
 
 
+def parts(batches, most: int = 4 << 20):
+    """The batches in slices with about ``most`` bytes of text each, so that what is made of them stays small."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        ends, a = np.cumsum(sizes.astype(np.int64)), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def windows(words: np.ndarray, k: int, block: int = 1 << 14) -> np.ndarray:
     """Hash of the k words from each place on."""
     n = len(words) - k + 1

@@ -30,3 +30,12 @@ def test_sets_and_windows():
     assert np.array_equal(S.windows(words, 5), S.windows(words, 5, block=777))
     sets = S.shingle_sets(pa.array(["a b c d e f", "A b  c d e f", "a b c", "c b a", None, "a a a a a a a"]))
     assert [len(s) for s in sets] == [2, 2, 1, 1, 0, 1] and np.array_equal(sets[0], sets[1]) and sets[2] != sets[3]
+
+
+def test_parts_lose_no_row():
+    texts = ["a" * 50, None, "", "b" * 500, "c", None] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(range(42))], names=["text", "i"])
+    for most in (1, 60, 600, 10**6):
+        got = list(S.parts(iter([batch, batch.slice(0, 0), batch.slice(3)]), most))
+        assert [x for b in got for x in b.column("i").to_pylist()] == list(range(42)) + list(range(3, 42))
+    assert S.parts(iter([batch.slice(0, 0)])).__next__().num_rows == 0
