@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessitura.functions.scalars import HOP_SECONDS, chroma_entropy, num
 from tessitura.operators import rhythm, series, tonal
@@ -50,6 +51,20 @@ def unavailable(blocks: dict[str, list[str]], statuses: dict[str, Column] | None
     return F.array_sort(F.filter(F.array(*paths, *failed), lambda x: x.isNotNull()))
 
 
+def missing_paths(prefix: str, c: Column, kind: T.DataType) -> list[Column]:
+    """For each leaf of a nested column its dotted path where it is null or an empty list, else null; structs are descended into."""
+    if isinstance(kind, T.StructType):
+        return [x for f in kind for x in missing_paths(f"{prefix}.{f.name}", c[f.name], f.dataType)]
+    empty = F.coalesce(F.size(c) == 0, F.lit(True)) if isinstance(kind, T.ArrayType) else c.isNull()
+    return [F.when(empty, F.lit(prefix))]
+
+
+def unavailable_in(df: DataFrame, blocks: list[str]) -> Column:
+    """Sorted dotted paths of what is null or empty in the struct columns ``blocks``, at any depth."""
+    paths = [x for b in blocks for x in missing_paths(b, F.col(b), df.schema[b].dataType)]
+    return F.array_sort(F.array_compact(F.array(*paths)))
+
+
 def analyse(frames: DataFrame, levels: DataFrame, wanted: DataFrame, hop: float = HOP_SECONDS) -> DataFrame:
     """One row for each of ``wanted`` (track, source): ``status`` ok or missing, all descriptors, what is unavailable.
 

@@ -80,17 +80,22 @@ def q50(spark, sf):
     return out.select("track", "source", *[r6(F.col(c)).alias(c) for c in ("lufs", "peak", "crest", "seconds")])
 
 
-@query("q51_stream_windows", "select date_trunc('hour', ts)::timestamp start, event_type, count(*) n, round_even(sum(value), 4) + 0::double total from events group by all")
+TUMBLING = "select date_trunc('hour', ts)::timestamp start, event_type, count(*) n, round_even(sum(value), 4) + 0::double total from events group by all"
+
+
+def shown(windowed):
+    return windowed.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.bround("total", 4) + num(0)).alias("total"))
+
+
+@query("q51_stream_windows", TUMBLING)
 def q51(spark, sf):
-    e = table(spark, sf, "events")
-    out = windows.tumbling(e)
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.round("total", 4) + num(0)).alias("total"))
+    return shown(windows.tumbling(table(spark, sf, "events")))
 
 
-@query("q51b_stream_run")
+@query("q51b_stream_run", TUMBLING)
 def q51b(spark, sf):
     e = table(spark, sf, "events")
-    return windows.run_available(spark, sf, "events.parquet", e.schema, windows.tumbling, "windows", new_path(spark, "stream"))
+    return shown(windows.run_available(spark, sf, "events.parquet", e.schema, windows.tumbling, "windows", new_path(spark, "stream")))
 
 
 @query("q51c_sessions", """with e as (select user_id, ts, coalesce((ts - lag(ts) over w >= interval 30 minutes)::int, 1) s from events window w as (partition by user_id order by ts)),

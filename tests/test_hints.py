@@ -72,3 +72,9 @@ def test_notes_centres_and_tempos(spark):
     assert value(hints.notes(F.lit("x"), F.lit(None).cast("string"), F.lit("y"), F.lit("x"))) == ["x", "y"]
     assert value(hints.section_line(F.lit(4), F.lit(8), F.lit(None).cast("string"), F.array().cast("array<string>"))) == "bar 4 x8 unlabelled: nothing playing"
     assert value(analysis.unavailable({"a": []}, {"drums": F.lit("no_grid"), "bass": F.lit("not_attempted")})) == ["drums (status=no_grid)"]
+
+
+def test_nested_paths_of_what_is_missing(spark):
+    df = spark.createDataFrame([((1.0, None, []), ((None, 2), ["x"])), (None, ((3.0, None), None))], "a struct<x: double, y: string, z: array<int>>, b struct<c: struct<d: double, e: int>, f: array<string>>")
+    got = [r[0] for r in df.select(analysis.unavailable_in(df, ["a", "b"])).collect()]
+    assert got == [["a.y", "a.z", "b.c.d"], ["a.x", "a.y", "a.z", "b.c.e", "b.f"]]
