@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules, sharding, suffix_dedup, tool_calls, url_filters, warc
+from tessitura.llm import decontamination, digest_index, jaccard_join, line_dedup, merkle, mixing, quality_rules, sharding, suffix_dedup, tool_calls, url_filters, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.query,
         "op9_jaccard_join": jaccard_join.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_merkle": merkle.query,
+        "op12_whitening": whitening.query,
+        "op13_exact_dedup": digest_index.query,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_sharding": sharding.oracle(),
         "op8_line_dedup": line_dedup.oracle(),
         "op10_quality_rules": quality_rules.oracle(),
+        "op11_merkle": merkle.oracle(),
+        "op13_exact_dedup": digest_index.oracle(),
     }
