@@ -68,11 +68,17 @@ class DigestIndex:
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def unknown(self, fresh: DataFrame) -> DataFrame:
+        """Those rows of ``fresh`` (digest, doc_id), one for each digest, that the index doesn't hold, dealt to its buckets."""
+        held = self.entries().select(F.col("digest").alias("_held")).hint("merge")
+        return fresh.repartition(self.buckets, "digest").join(held, F.col("digest") == F.col("_held"), "left_anti")
+
     def add(self, rows: DataFrame, batch: str) -> None:
         """Appends the digests of ``rows`` (of ``fingerprints``) that the index doesn't hold."""
-        fresh = firsts(rows).select("digest", "doc_id").repartition(self.buckets, "digest")
-        new = fresh.join(self.entries().select(F.col("digest").alias("_held")).hint("merge"), F.col("digest") == F.col("_held"), "left_anti")
-        new.select("digest", "doc_id", F.lit(batch).alias("batch")).write.insertInto(self.name)
+        # written first, or the anti-join is moved below the aggregation and a text's copies meet in its bucket
+        fresh = materialize(firsts(rows).select("digest", "doc_id"), "fresh-digests")
+        self.unknown(fresh).select("digest", "doc_id", F.lit(batch).alias("batch")).write.insertInto(self.name)
+        discard(fresh)
 
     def verdicts(self, rows: DataFrame, batches: list[str]) -> DataFrame:
         """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``rows``, which were added as ``batches``.
