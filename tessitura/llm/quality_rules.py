@@ -6,10 +6,9 @@ normalised (lower-cased, white space folded, trimmed) and hashed to 128 bits; pe
 removed; a document that loses more than ``max_lost`` of its words this way is depleted and
 rejected. ``keep`` returns the others without these lines.
 
-Copies must not turn the content they share into boilerplate, because a later stage keeps one
-of them. So documents are told apart by all their normalised lines in order; only lines of one word are
-left out, where they hold no more than one in ``SLIGHT`` of the document's words. Documents
-that differ in anything else count one by one, whatever lines they share.
+A document counts once for each different whole text of its host, in a line's count as in the host's, so
+exact copies neither turn the content they share into boilerplate nor hide that of others. Documents that
+differ in anything count one by one.
 
 Defined cases: a null or empty text has no words, so it fails the base rules; null hosts form
 one host; repeated rows are judged alike, each keeps its row; a null ``doc_id`` is an id like
@@ -29,7 +28,7 @@ from tessitura.session import materialize
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line is above the limit in more than ``min_docs`` documents and more than ``share`` of its host's rows."""
+    """A line is above the limit in more than ``min_docs`` different documents and more than ``share`` of its host's."""
 
     min_docs: int = 20
     share: float = 0.02
@@ -39,8 +38,6 @@ class LineLimits:
 #: Fixed by the contract.
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
-#: One-word lines that hold at most one in so many words don't tell documents apart.
-SLIGHT = 50
 #: Repeated windows of a text that are looked up one by one; more are found by sorting.
 LOOKED_UP = 64
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -104,29 +101,22 @@ def base_stats(docs: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _lines(docs: DataFrame, key: list[str]) -> DataFrame:
-    """A row for each worded line of each document: its place and hash, what tells the document from others, its words."""
+    """A row for each worded line of each document: its place, hash and words."""
     rows = docs.select(*key, F.split(text_or_empty(F.col("text")), "\n").alias("_l"))
-    rows = rows.select(*key, F.transform("_l", lambda x: F.when(x.rlike(NON_SPACE), folded(x))).alias("_n"))
-    rows = rows.select(*key, "_n", F.array_compact("_n").alias("_all"))
-    rows = rows.select(*key, "_n", "_all", F.filter("_all", lambda x: F.instr(x, " ") > 0).alias("_long"))
-    joined = F.array_join("_all", " ")
-    n_words = F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1
-    slight = SLIGHT * (F.size("_all") - F.size("_long")) <= n_words
-    tells = F.when(slight, F.col("_long")).otherwise(F.col("_all"))
-    rows = rows.select(*key, "_n", F.xxhash64(tells).alias("whole_a"), F.xxhash64(F.lit(1), tells).alias("whole_b"))
-    rows = rows.select(*key, "whole_a", "whole_b", F.posexplode("_n").alias("pos", "_x")).filter("_x is not null")
+    rows = rows.select(*key, F.posexplode(F.transform("_l", lambda x: F.when(x.rlike(NON_SPACE), folded(x)))).alias("pos", "_x")).filter("_x is not null")
     spaces = F.length("_x") - F.length(F.replace("_x", F.lit(" "), F.lit("")))
-    return rows.select(*key, "pos", F.xxhash64("_x").alias("line_a"), F.xxhash64(F.lit(1), "_x").alias("line_b"), "whole_a", "whole_b", (spaces + 1).alias("line_words"))
+    return rows.select(*key, "pos", F.xxhash64("_x").alias("line_a"), F.xxhash64(F.lit(1), "_x").alias("line_b"), (spaces + 1).alias("line_words"))
 
 
-LINE, WHOLE = ["line_a", "line_b"], ["whole_a", "whole_b"]
+LINE = ["line_a", "line_b"]
 
 
 def _frequent(lines: DataFrame, docs: DataFrame, limits: LineLimits) -> DataFrame:
-    counts = lines.select("host", *LINE, *WHOLE).distinct().groupBy("host", *LINE).agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limits.min_docs)
-    hosts = docs.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("host_rows"))
+    """Lines above their host's limit; ``docs`` has a row (host, text_key) for each document."""
+    counts = lines.select("host", *LINE, "text_key").distinct().groupBy("host", *LINE).agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limits.min_docs)
+    hosts = docs.select(F.col("host").alias("_host"), "text_key").distinct().groupBy("_host").agg(F.count("*").alias("host_docs"))
     joined = counts.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
-    return joined.filter(F.col("n_docs") > limits.share * F.col("host_rows")).select("host", *LINE, "n_docs")
+    return joined.filter(F.col("n_docs") > limits.share * F.col("host_docs")).select("host", *LINE, "n_docs")
 
 
 KEY = ["doc_id", "host", "text_key"]
@@ -139,20 +129,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """(host, line_a, line_b, n_docs) of the lines above their host's limit."""
     docs = _keyed(docs)
-    return _frequent(_lines(docs, ["host"]), docs, limits)
+    return _frequent(_lines(docs, ["host", "text_key"]), docs, limits)
 
 
 def _judged(docs: DataFrame, limits: LineLimits) -> DataFrame:
     """Per row of ``docs`` its key, the base figures, ``n_lost_words``, the places of the lines removed and ``kept``."""
     docs = _keyed(docs)
     lines = materialize(_lines(docs, KEY), "quality-lines")
-    flagged = _frequent(lines, docs, limits).select(F.col("host").alias("_host"), F.col("line_a").alias("_a"), F.col("line_b").alias("_b"))
+    # written first: a filter pushed into the lambdas would sort the windows anew for each of them
+    base = materialize(base_stats(docs, KEY), "base-figures")
+    flagged = _frequent(lines, base, limits).select(F.col("host").alias("_host"), F.col("line_a").alias("_a"), F.col("line_b").alias("_b"))
     hit = lines.join(flagged, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line_a") == F.col("_a")) & (F.col("line_b") == F.col("_b"))).select(*KEY, "pos", "line_words")
     # rows that repeat bring each place more than once; it counts once
     lost = hit.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("pos", "line_words"))).alias("_x"))
     lost = lost.select(*KEY, F.aggregate("_x", F.lit(0).cast("long"), lambda a, x: a + x["line_words"]).alias("n_lost_words"), F.col("_x.pos").alias("removed"))
-    # written first: a filter pushed into the lambdas would sort the windows anew for each of them
-    base = materialize(base_stats(docs, KEY), "base-figures")
     out = base.join(lost, null_safe(base, lost, KEY), "left").select(*[base[k] for k in KEY], *BASE, F.coalesce("n_lost_words", F.lit(0).cast("long")).alias("n_lost_words"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost_words") <= limits.max_lost_percent * F.col("n_words")))
 
@@ -189,13 +179,8 @@ rep as (select r, count(distinct q) n from (select r, unnest([p, p + 1, p + 2])
 ln as (select r, host, unnest(string_split(t, chr(10))) l from d),
 lw as (select r, host, l, trim(regexp_replace(lower(l), '{ws}', ' ', 'g')) x from ln where regexp_matches(l, '[^\x20\x09-\x0D]')),
 lc as (select *, len(string_split(x, ' ')) n from lw),
-doc as (select r, host, count(*) filter (where n = 1) small, sum(n) words from lc group by r, host),
--- what tells a document from others: all its lines, or those of two words and more where the others are a trifle
-li as (select r, host, unnest(range(1, len(string_split(t, chr(10))) + 1)) i, string_split(t, chr(10)) s from d),
-lo as (select li.r, i, trim(regexp_replace(lower(s[i]), '{ws}', ' ', 'g')) x from li where regexp_matches(s[i], '[^\x20\x09-\x0D]')),
-whole as (select doc.r, doc.host, string_agg(x, chr(10) order by i) filter (where {SLIGHT} * small > words or contains(x, ' ')) w from doc join lo using (r) group by doc.r, doc.host),
-cnt as (select lc.host, x, count(distinct coalesce(w, '')) c from lc join whole using (r) group by lc.host, x having count(distinct coalesce(w, '')) > {limits.min_docs}),
-hosts as (select source host, count(*) n from documents group by all),
+cnt as (select lc.host, x, count(distinct t) c from lc join d using (r) group by lc.host, x having count(distinct t) > {limits.min_docs}),
+hosts as (select host, count(distinct t) n from d group by all),
 flag as (select cnt.host, x from cnt join hosts on cnt.host is not distinct from hosts.host where c > {limits.share}::double * n),
 lost as (select r, sum(n) n from lc join flag on lc.host is not distinct from flag.host and lc.x = flag.x group by r),
 dup as (select r, count(*) - count(distinct l) n from lc group by r),
