@@ -126,17 +126,27 @@ def patterns(hits: DataFrame, keys: list[str]) -> DataFrame:
     return many.join(steps, [*keys, "cls"], "left").select(*keys, "cls", "hit_count", F.coalesce(F.col("_s.step"), F.array().cast("array<long>")).alias("steps"), F.coalesce(F.col("_s.occupancy"), F.array().cast("array<double>")).alias("occupancy"))
 
 
+def hear(frames: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(hits with their time, all detections, flux of the bands searched, gates), written: what doesn't depend on a tempo."""
+    # each of these is read many times
+    found, flux, gate = detect(materialize(frames, "frames"), keys)
+    found, flux = materialize(found, "detections"), materialize(flux.select(*keys, "band", "frame", "flux"), "flux")
+    hits = materialize(resolve(found, keys).withColumn("t", F.col("frame") * num(HOP_SECONDS)), "hits")
+    return hits, found, flux, gate
+
+
 def decompose(frames: DataFrame, meta: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``on_grid`` of what is heard in ``frames`` (keys, frame, kick, body, noise, air)."""
+    return on_grid(hear(frames, keys), meta, keys)
+
+
+def on_grid(heard: tuple[DataFrame, DataFrame, DataFrame, DataFrame], meta: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hits, patterns and one summary row for each key of ``meta``.
 
-    ``frames`` has band energies (keys, frame, kick, body, noise, air); ``meta`` has (keys, cycle_seconds, downbeat_seconds,
-    first_beat_seconds), null where unknown. Hits: (keys, frame, t, cls, confidence, step, cycle, shares, decay). The summary has the
-    status (ok, no_grid, too_few_hits), the grid's figures, counts and caveats.
+    ``meta`` has (keys, cycle_seconds, downbeat_seconds, first_beat_seconds), null where unknown. Hits: (keys, frame, t, cls,
+    confidence, step, cycle, shares, decay). The summary has the status (ok, no_grid, too_few_hits), the grid's figures, counts and caveats.
     """
-    # each of these is read many times below
-    found, flux, gate = detect(materialize(frames, "frames"), keys)
-    found, flux = materialize(found, "detections"), materialize(flux.select(*keys, "band", "frame", "flux"), "flux")
-    hits = materialize(resolve(found, keys).withColumn("t", F.col("frame") * num(HOP_SECONDS)), "hits")
+    hits, found, flux, gate = heard
     fitted = materialize(gridfit.fit(hits, flux, meta, keys), "grids")
     hits = gridfit.place(hits, fitted, keys)
     per_class = patterns(hits, keys)

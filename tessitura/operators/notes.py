@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.functions.scalars import num, positive
+from tessitura.functions.scalars import caveats, note_name, num, positive
 
 #: Fixed values.
 MEDIAN, OCTAVE_MEDIAN, MIN_SECONDS, MERGE_SEMITONES, MIN_VOICED = 5, 21, 0.06, 1, 0.15
 BACKDATE_SEMITONES, BACKDATE_SECONDS = 1.0, 0.06
+MANY_MOVED, HIGH_NOTE, LITTLE_VOICED, DETUNED = 0.05, 48, 0.3, 25.0
 
 
 def running_median(x: np.ndarray, width: int) -> np.ndarray:
@@ -73,7 +74,20 @@ def segment(f0: np.ndarray, voiced: np.ndarray, probability: np.ndarray, hop: fl
     return ("ok" if out else "unvoiced"), out
 
 
-NOTES = "status string, note int, start_frame long, end_frame long, midi int, cents double"
+def figures(f0: np.ndarray, voiced: np.ndarray) -> tuple[float, float]:
+    """The share of frames that are voiced, and of these the share that the octave guard moves."""
+    usable = voiced & np.isfinite(f0) & (f0 > 0)
+    if not usable.any():
+        return 0.0, 0.0
+    midi = running_median(np.where(usable, 69 + 12 * np.log2(np.where(usable, f0, 440) / 440), np.nan), MEDIAN)
+    centre = running_median(midi, OCTAVE_MEDIAN)
+    steps = np.rint((centre - midi) / 12)
+    with np.errstate(invalid="ignore"):
+        moved = (steps != 0) & (np.abs(midi + 12 * steps - centre) < np.abs(midi - centre))
+    return float(usable.mean()), float(moved.sum() / usable.sum())
+
+
+NOTES = "status string, note int, start_frame long, end_frame long, midi int, cents double, voiced_share double, octave_share double"
 
 
 def segment_notes(df: DataFrame, keys: list[str], hop: float) -> DataFrame:
@@ -81,8 +95,10 @@ def segment_notes(df: DataFrame, keys: list[str], hop: float) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        status, notes = segment(pdf["f0_hz"].to_numpy(float), pdf["voiced"].fillna(True).to_numpy(bool), pdf["voiced_prob"].to_numpy(float), hop)
-        head = {k: pdf[k].iloc[0] for k in keys}
+        f0, voiced = pdf["f0_hz"].to_numpy(float), pdf["voiced"].fillna(True).to_numpy(bool)
+        status, notes = segment(f0, voiced, pdf["voiced_prob"].to_numpy(float), hop)
+        share, moved = figures(f0, voiced)
+        head = {**{k: pdf[k].iloc[0] for k in keys}, "voiced_share": share, "octave_share": moved}
         rows = [{**head, "status": status, "note": i, "start_frame": a, "end_frame": b, "midi": m, "cents": c} for i, (a, b, m, c) in enumerate(notes)]
         return pd.DataFrame(rows or [{**head, "status": status, "note": None, "start_frame": None, "end_frame": None, "midi": None, "cents": None}])
 
@@ -109,3 +125,38 @@ def on_grid(notes: DataFrame, grid: DataFrame, keys: list[str], hop: float) -> D
     k = F.rint((F.col("start_frame") * num(hop) - F.col("anchor")) / F.col("step_seconds")).cast("long")
     step = F.when(F.col("steps_per_cycle").isNull(), k).otherwise(F.pmod(k, F.col("steps_per_cycle").cast("long")))
     return n.withColumn("step", step).drop("anchor", "step_seconds", "steps_per_cycle")
+
+
+def bass_line(f0: DataFrame, grid: DataFrame, wanted: DataFrame, keys: list[str], hop: float) -> DataFrame:
+    """(keys, bass_line) for each of ``wanted`` (keys, silent): status, notes on the grid and what to know about them.
+
+    A silent one isn't looked at. ``grid`` as for ``resolved``. Notes are in their order in the recording.
+    """
+    live = f0.join(wanted.filter(~F.col("silent")).select(*keys), keys, "left_semi")
+    notes = on_grid(segment_notes(live.select(*keys, "frame", "f0_hz", "voiced", "voiced_prob"), keys, hop), grid, keys, hop)
+    note = F.struct("note", note_name(F.col("midi")).alias("name"), "midi", (F.col("start_frame") * num(hop)).alias("start_seconds"), ((F.col("end_frame") - F.col("start_frame")) * num(hop)).alias("seconds"), "cents", "step")
+    some = F.col("note").isNotNull()
+    line = notes.groupBy(*keys).agg(
+        F.first("status").alias("status"),
+        F.array_sort(F.collect_list(F.when(some, note))).alias("notes"),
+        F.percentile("midi", num(0.5)).alias("median_midi"),
+        F.percentile("cents", num(0.5)).alias("median_cents"),
+        F.first("voiced_share").alias("voiced_share"),
+        F.first("octave_share").alias("octave_share"),
+        F.count("step").alias("_placed"),
+    )
+    out = wanted.join(line, keys, "left")
+    status = F.when(F.col("silent"), "silent").otherwise(F.coalesce("status", F.lit("failed")))
+    ok = F.coalesce(status == "ok", F.lit(False))
+    said = caveats(
+        (F.col("silent"), F.lit("below the silence floor, so no pitch was looked for")),
+        (~F.col("silent") & F.col("status").isNull(), F.lit("there is no pitch track of this source")),
+        (ok & (F.col("octave_share") > MANY_MOVED), F.format_string("the octave guard moved %.1f%% of the voiced frames; the fundamental is weak and the octave uncertain", F.col("octave_share") * 100)),
+        (ok & (F.col("median_midi") > HIGH_NOTE), F.format_string("the median note is %s, high for a bass: it may be an octave off throughout", note_name(F.col("median_midi")))),
+        (ok & (F.col("voiced_share") < LITTLE_VOICED), F.format_string("notes rest on %.0f%% of the frames; short or quiet ones may be missing", F.col("voiced_share") * 100)),
+        (ok & (F.abs("median_cents") > DETUNED), F.format_string("the line lies %+.0f cents off equal temperament, which is a tuning and not wrong notes", F.col("median_cents"))),
+        (ok & (F.col("_placed") == 0), F.lit("there is no grid, so notes have no steps")),
+    )
+    none = F.array().cast(out.schema["notes"].dataType)
+    doc = F.struct(status.alias("status"), F.coalesce("notes", none).alias("notes"), "median_midi", "median_cents", "voiced_share", said.alias("caveats"))
+    return out.select(*keys, doc.alias("bass_line"))

@@ -122,17 +122,19 @@ def octave_candidates(df: DataFrame, keys: list[str], hop: float, value: str = "
     return df.select(*keys, "frame", value, coarse).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ratio double, bpm double, r double, live boolean")
 
 
-def octave_fits(hits: DataFrame, flux: DataFrame, candidates: DataFrame, keys: list[str], beats: int = 4) -> DataFrame:
+def octave_fits(hits: DataFrame, flux: DataFrame, candidates: DataFrame, keys: list[str], beats: int = 4, downbeats: DataFrame | None = None) -> DataFrame:
     """(keys, ratio, bpm, grid, error_steps, error_seconds): the drum grid at each live candidate (keys, ratio, bpm, live).
 
-    Hits (keys, t) and flux (keys, band, frame, flux) are read for each ratio by a join on the keys.
+    Hits (keys, t) and flux (keys, band, frame, flux) are read for each ratio by a join on the keys. ``downbeats`` has
+    (keys, ratio, downbeat_seconds), as bars at another tempo begin elsewhere; without them grids hang on the first hit.
     """
     from tessitura.operators import gridfit
 
     live = candidates.filter("live").select(*keys, "ratio", "bpm")
     by = [*keys, "ratio"]
     null = F.lit(None).cast("double")
-    meta = live.select(*by, (F.lit(60.0 * beats) / F.col("bpm")).alias("cycle_seconds"), null.alias("downbeat_seconds"), null.alias("first_beat_seconds"))
+    at = live.join(downbeats, by, "left") if downbeats is not None else live.withColumn("downbeat_seconds", null)
+    meta = at.select(*by, (F.lit(60.0 * beats) / F.col("bpm")).alias("cycle_seconds"), "downbeat_seconds", null.alias("first_beat_seconds"))
     ratios = live.select(*by)
     g = gridfit.fit(hits.select(*keys, "t").join(ratios, keys), flux.join(ratios, keys), meta, by)
     step = F.col("cycle_seconds") / F.col("steps_per_cycle")

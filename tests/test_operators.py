@@ -119,13 +119,20 @@ def test_notes():
     assert notes.merge_short([[0, 10, 40], [10, 12, 50]], 5) == [[0, 10, 40]]
 
 
-def test_sections():
+def test_sections(spark):
     s = frozenset
     full, thin, gap = s({"kick", "bass", "other"}), s({"other"}), s({"kick", "other"})
     found = arrangement.merge([thin] * 4 + [full] * 4 + [gap] + [full] * 3 + [thin] * 4 + [full] * 4 + [thin] * 2 + [s()] * 2)
     assert [(a, n) for a, n, _ in found] == [(0, 4), (4, 8), (12, 4), (16, 4), (20, 2), (22, 2)]
-    assert arrangement.name(found) == ["intro", "full", "breakdown", "drop", "outro", "silence"]
-    assert arrangement.merge([]) == [] and arrangement.name([]) == []
+    assert arrangement.merge([]) == []
+    schema = "track string, start_bar int, length_bars int, active string"
+    rows = [("a", a, n, ",".join(sorted(p))) for a, n, p in found]
+    rows += [("still", 0, 4, ""), ("apart", 0, 4, "bass"), ("apart", 4, 4, "kick"), ("apart", 8, 4, "bass"), ("back", 0, 4, "bass,kick"), ("back", 4, 4, "other"), ("back", 8, 4, "kick"), ("back", 12, 4, "bass,kick,other")]
+    got = {}
+    for r in sorted(arrangement.named(spark.createDataFrame(rows, schema), ["track"]).collect(), key=lambda r: r["start_bar"]):
+        got.setdefault(r["track"], []).append(r["label"])
+        assert r["reason"]
+    assert got == {"a": ["intro", "full", "breakdown", "drop", "outro", "silence"], "still": ["silence"], "apart": ["intro", "groove", "outro"], "back": ["intro", "breakdown", "groove", "full"]}
 
 
 def test_labels_gate_and_order(spark):
