@@ -9,7 +9,8 @@ from tessitura import sinks
 from tessitura.functions import sql
 from tessitura.functions.scalars import HOP_SECONDS, confidence_label, num, r6
 from tessitura.operators import analysis, arrangement, downbeat, drums, hints, notes, series, tempo, vocab
-from tessitura.plans.columnar import envelope, hourly, presence
+from tessitura.plans import sections_sql
+from tessitura.plans.columnar import IOI, PRESENCE, envelope, hourly, presence
 from tessitura.plans.registry import registry
 from tessitura.session import new_path, table
 from tessitura.sources import audio
@@ -105,12 +106,19 @@ def q51c(spark, sf):
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query("q52_section_merge")
-def q52(spark, sf):
+SECTIONS = f"with recursive {PRESENCE}, {sections_sql.merged('ps')}, {sections_sql.named()}"
+
+
+def event_sections(spark, sf):
     p = presence(spark, sf).select("track", "source", F.col("bar").cast("long").alias("bar"), "present")
     return arrangement.sections(p, ["track"])
 
 
+@query("q52_section_merge", f"{SECTIONS} select track, start_bar::int start_bar, length_bars::int length_bars, array_to_string(p, ',') active, label from lab")
+def q52(spark, sf):
+    return event_sections(spark, sf).drop("reason")
+
+
 @query("q53_feel_label")
 def q53(spark, sf):
     e = hints.feel_evidence(series.intervals(envelope(spark, sf).select("track", "t"), "t", ["track"]), ["track"])
@@ -175,11 +183,13 @@ def q60(spark, sf):
     return h.select("track", F.array_join("bass_line.note_sequence", " ").alias("seq"), F.col("bass_line.truncated_from").alias("truncated_from"), F.col("bass_line.median_midi_note").alias("median_midi"), F.array_join(share, " ").alias("shares"))
 
 
-@query("q61_arrangement_lines")
+@query("q61_arrangement_lines", f"""{SECTIONS}, ln as (select track, start_bar, 'bar ' || start_bar || ' x' || length_bars || ' ' || label || ': ' || case when len(p) > 0 then array_to_string(p, ', ') else 'nothing playing' end line from lab),
+c as (select track, list(line order by start_bar) l from ln group by 1), n as (select track, sum(length_bars)::bigint bars from lab group by 1), g as (select track, string_agg(distinct source, ', ' order by source) gone from ps where absent group by 1)
+select track, bars, array_to_string(l[1:24], '; ') lines, case when len(l) > 24 then len(l)::int end truncated_from, coalesce(gone, '') gone from c join n using (track) left join g using (track)""")
 def q61(spark, sf):
-    p = presence(spark, sf)
-    s = arrangement.sections(p.select("track", "source", F.col("bar").cast("long").alias("bar"), "present"), ["track"])
-    return hints.arrangement_hint(s, ["track"], p.filter("absent").select("track", "source"))
+    h = hints.arrangement_hint(event_sections(spark, sf), ["track"], presence(spark, sf).filter("absent").select("track", "source"))
+    a = F.col("arrangement")
+    return h.select("track", a["bar_count"].alias("bars"), F.array_join(a["sections"], "; ").alias("lines"), a["truncated_from"].alias("truncated_from"), F.array_join(a["absent_tracks"], ", ").alias("gone"))
 
 
 def summaries(spark, sf):

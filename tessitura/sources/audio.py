@@ -7,10 +7,11 @@ computed for each chunk alone and a recording never has to fit in one task.
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.scalars import HOP, N_FFT, SAMPLE_RATE
@@ -39,20 +40,29 @@ def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
     if kind is None or data is None:
         raise ValueError("no format or data in the WAV file")
     code, channels, rate, _, _, bits = kind
+    return rate, decode_samples(data, code, channels, bits)
+
+
+#: (format code, bits) of PCM and float samples.
+ENCODINGS = [(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)]
+
+
+def decode_samples(data: bytes, code: int, channels: int, bits: int) -> np.ndarray:
+    """Samples by channel; a torn last frame is left out."""
     data = data[: len(data) // (channels * bits // 8) * (channels * bits // 8)]
+    if (code, bits) not in ENCODINGS:
+        raise ValueError(f"format {code} of {bits} bits isn't supported")
     if code == 3:
         x = np.frombuffer(data, "<f4" if bits == 32 else "<f8").astype(np.float32)
-    elif code == 1 and bits == 24:
+    elif bits == 24:
         b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
         v = b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16
         x = ((v ^ 0x800000) - 0x800000).astype(np.float32) / (1 << 23)
-    elif code == 1 and bits in (16, 32):
-        x = np.frombuffer(data, f"<i{bits // 8}").astype(np.float32) / float(1 << (bits - 1))
-    elif code == 1 and bits == 8:
+    elif bits == 8:
         x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
     else:
-        raise ValueError(f"format {code} of {bits} bits isn't supported")
-    return rate, x.reshape(-1, channels)
+        x = np.frombuffer(data, f"<i{bits // 8}").astype(np.float32) / float(1 << (bits - 1))
+    return x.reshape(-1, channels)
 
 
 def to_mono(x: np.ndarray) -> np.ndarray:
@@ -63,20 +73,32 @@ def ensure_stereo(x: np.ndarray) -> np.ndarray:
     return np.column_stack((x, x)) if x.ndim == 1 or x.shape[1] == 1 else x[:, :2]
 
 
-def resample(x: np.ndarray, rate: int, to: int = SAMPLE_RATE, taps: int = 32) -> np.ndarray:
+TAPS = 32
+
+
+def resample_reach(rate: int, to: int = SAMPLE_RATE) -> int:
+    """Samples on either side that one interpolated sample looks at."""
+    return int(np.ceil(TAPS / min(1.0, to / rate) / 2))
+
+
+def resample(x: np.ndarray, rate: int, to: int = SAMPLE_RATE) -> np.ndarray:
     """Windowed-sinc interpolation, cut off below the lower Nyquist frequency."""
     if rate == to or not len(x):
         return x.astype(np.float32)
-    n, cut = int(round(len(x) * to / rate)), min(1.0, to / rate)
-    t = np.arange(n) * (rate / to)
+    return resample_part(x, rate, 0, int(round(len(x) * to / rate)), 0, to)
+
+
+def resample_part(x: np.ndarray, rate: int, start: int, stop: int, first: int, to: int = SAMPLE_RATE) -> np.ndarray:
+    """Output samples [start, stop) of a recording of which ``x`` holds the input samples from ``first`` on, silence beyond."""
+    cut, half = min(1.0, to / rate), resample_reach(rate, to)
+    t = np.arange(start, stop) * (rate / to)
     left = np.floor(t).astype(np.int64)
-    half = int(np.ceil(taps / cut / 2))
-    out = np.zeros(n)
+    out = np.zeros(len(t))
     for k in range(-half + 1, half + 1):
         i = left + k
         d = t - i
         w = np.sinc(d * cut) * cut * np.where(np.abs(d) < half, 0.5 + 0.5 * np.cos(np.pi * d / half), 0)
-        out += np.where((i >= 0) & (i < len(x)), x[np.clip(i, 0, len(x) - 1)], 0) * w
+        out += np.where((i >= first) & (i < first + len(x)), x[np.clip(i - first, 0, len(x) - 1)], 0) * w
     return out.astype(np.float32)
 
 
@@ -103,13 +125,41 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, WAV_ROW)
 
 
+#: What a chunk row may carry of its neighbours: samples before and after its own.
+BEFORE, AFTER = 8192, 1024
+CHUNK = "track string, source string, chunk long, samples array<float>, total long"
+
+
+def chunk_span(chunk: int, total: int, frames: int = CHUNK_FRAMES) -> tuple[int, int]:
+    """The samples [start, stop) that a chunk's frames cover, half a window beyond the first and last."""
+    n = 1 + total // HOP
+    a, b = chunk * frames, min(n, (chunk + 1) * frames)
+    return a * HOP - N_FFT // 2, (b - 1) * HOP + N_FFT // 2
+
+
 def chunks(x: np.ndarray, frames: int = CHUNK_FRAMES):
     """(chunk, samples with halo) of a recording; beyond its ends there is silence."""
-    n = 1 + len(x) // HOP
     padded = np.r_[np.zeros(N_FFT // 2, np.float32), x, np.zeros(N_FFT, np.float32)]
-    for c in range(-(-n // frames)):
-        a, b = c * frames, min(n, (c + 1) * frames)
-        yield c, padded[a * HOP : (b - 1) * HOP + N_FFT]
+    for c in range(-(-(1 + len(x) // HOP) // frames)):
+        start, stop = chunk_span(c, len(x), frames)
+        yield c, padded[start + N_FFT // 2 : stop + N_FFT // 2]
+
+
+def with_neighbours(audio: DataFrame) -> DataFrame:
+    """Chunk rows with ``before`` and ``after``, what their neighbours hold next to them; null at the ends.
+
+    A source that reads files carries them already; else only the edges of each chunk meet the next by key.
+    """
+    if {"before", "after"} <= set(audio.columns):
+        return audio
+    shared = N_FFT - HOP  # samples that two neighbours both hold
+    n = F.size("samples")
+    # a whole recording's last chunk has no follower and a first one no edge before it
+    first = F.greatest(F.lit(1), n - shared - BEFORE + 1)
+    left = audio.select("track", "source", (F.col("chunk") + 1).alias("chunk"), F.slice("samples", first, F.greatest(F.lit(0), F.least(F.lit(BEFORE), n - shared))).alias("before"))
+    right = audio.select("track", "source", (F.col("chunk") - 1).alias("chunk"), F.slice("samples", shared + 1, AFTER).alias("after"))
+    keys = ["track", "source", "chunk"]
+    return audio.join(left, keys, "left").join(right, keys, "left")
 
 
 def power_frames(samples: np.ndarray) -> np.ndarray:
@@ -161,14 +211,20 @@ def spectral(power: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _samples(batch):
-    """(row, samples) of a batch of chunks, without a Python object for each sample."""
-    column = batch.column("samples")
+def _samples(batch, name: str = "samples"):
+    """(row, samples) of a batch of chunks, without a Python object for each sample; null has none."""
+    column = batch.column(name)
     ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
     for i in range(batch.num_rows):
         yield i, np.nan_to_num(flat[ends[i] : ends[i + 1]].astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
 
 
+def _edges(batch):
+    """(row, samples, BEFORE samples before them, AFTER samples after), silence where there are none."""
+    for (i, x), (_, a), (_, b) in zip(_samples(batch), _samples(batch, "before"), _samples(batch, "after"), strict=True):
+        yield i, x, np.r_[np.zeros(BEFORE - len(a)), a], np.r_[b, np.zeros(AFTER - len(b))]
+
+
 def frame_bands(audio: DataFrame) -> DataFrame:
     """FRAME rows from chunk rows (track, source, chunk, samples): the only pass over samples."""
 
@@ -196,33 +252,108 @@ def wav_chunks(wavs: DataFrame) -> DataFrame:
             for i, x in _samples(batch):
                 *_, track, name = ["", *paths[i].split("/")]
                 for c, part in chunks(x.astype(np.float32)):
-                    yield pa.RecordBatch.from_arrays([pa.array([track]), pa.array([name.rsplit(".", 1)[0]]), pa.array([c], pa.int64()), pa.array([part.astype(np.float32)], pa.list_(pa.float32()))], names=["track", "source", "chunk", "samples"])
+                    yield chunk_row(track, name.rsplit(".", 1)[0], c, part, len(x))
+
+    return wavs.filter("error is null").select("path", "samples").mapInArrow(run, CHUNK)
+
 
-    return wavs.filter("error is null").select("path", "samples").mapInArrow(run, "track string, source string, chunk long, samples array<float>")
+def chunk_row(track: str, source: str, chunk: int, samples: np.ndarray, total: int) -> pa.RecordBatch:
+    cols = [pa.array([track]), pa.array([source]), pa.array([chunk], pa.int64()), pa.array([samples.astype(np.float32)], pa.list_(pa.float32())), pa.array([total], pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=["track", "source", "chunk", "samples", "total"])
 
 
 PITCH_WINDOW, PITCH_HZ, PITCH_MIN = 4096, (30.0, 400.0), 0.7
 F0 = "track string, source string, frame long, f0_hz double, voiced boolean, voiced_prob double"
 
 
-def pitch(audio: DataFrame) -> DataFrame:
-    """F0 rows from chunk rows: the frames whose window lies in the chunk and its halo.
+def pitch(audio: DataFrame, method: str = "yin") -> DataFrame:
+    """F0 rows from chunk rows, the same for any cutting into chunks; voiced where the confidence is 0.7 or more and the frequency in range.
 
-    A window of 4096 reaches 1024 samples further than the halo, so a chunk's first and last two frames see
-    silence beyond it. Voiced where the confidence is 0.7 or more and the frequency is in range.
+    ``method`` is a name of ESTIMATORS: yin compares the frame with itself, yinfft goes through its power spectrum.
     """
+    estimate = ESTIMATORS[method]
 
     def run(batches):
         for batch in batches:
             tracks, sources, numbers = (batch.column(c).to_pylist() for c in ("track", "source", "chunk"))
-            for i, x in _samples(batch):
-                n = 1 + (len(x) - N_FFT) // HOP
-                f0, confidence = yin(x[N_FFT // 2 :], PITCH_WINDOW, *PITCH_HZ, before=x[: N_FFT // 2])
-                f0, confidence = f0[:n], confidence[:n]
+            for i, x, before, after in _edges(batch):
+                n, more = 1 + (len(x) - N_FFT) // HOP, PITCH_WINDOW // 2 - N_FFT // 2
+                f0, confidence = by_blocks(np.r_[before[len(before) - more :], x, after[:more]], n, estimate)
                 voiced = (confidence >= PITCH_MIN) & (f0 >= PITCH_HZ[0]) & (f0 <= PITCH_HZ[1])
                 yield pa.RecordBatch.from_arrays([pa.array([tracks[i]] * n), pa.array([sources[i]] * n), pa.array(numbers[i] * CHUNK_FRAMES + np.arange(n), pa.int64()), pa.array(f0, from_pandas=True), pa.array(voiced), pa.array(confidence)], names=[c.split()[0] for c in F0.split(", ")])
 
-    return audio.mapInArrow(run, F0)
+    return with_neighbours(audio).select("track", "source", "chunk", "samples", "before", "after").mapInArrow(run, F0)
+
+
+#: Frames that are estimated at once: some tens of MB.
+FRAMES_AT_ONCE = 128
+
+
+def by_blocks(x: np.ndarray, n: int, estimate) -> tuple[np.ndarray, np.ndarray]:
+    """(f0, confidence) of the n frames of PITCH_WINDOW samples that begin every HOP of ``x``; silent ones have no f0."""
+    x = np.r_[x, np.zeros(max(0, (n - 1) * HOP + PITCH_WINDOW - len(x)))]
+    frames = np.lib.stride_tricks.sliding_window_view(x, PITCH_WINDOW)[::HOP][:n]
+    f0, confidence = np.full(n, np.nan), np.zeros(n)
+    for at in range(0, n, FRAMES_AT_ONCE):
+        block = frames[at : at + FRAMES_AT_ONCE]
+        live = np.flatnonzero(block.any(axis=1))
+        if len(live):
+            f0[at + live], confidence[at + live] = estimate(block[live])
+    return f0, confidence
+
+
+def _lags(window: int) -> tuple[int, int]:
+    return int(SAMPLE_RATE / PITCH_HZ[1]), min(int(SAMPLE_RATE / PITCH_HZ[0]), window // 2 - 1)
+
+
+def _dip(d: np.ndarray, short: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, place, normalised) of differences by lag from 1 on: the foot of the first dip under the threshold, else the least."""
+    lags = np.arange(1, d.shape[1] + 1)
+    norm = d * lags / np.maximum(np.cumsum(d, axis=1), 1e-12)
+    zone = norm[:, short - 1 :]
+    under = zone < threshold
+    k = np.where(under.any(axis=1), under.argmax(axis=1), zone.argmin(axis=1))
+    # downhill from there: up to the first place whose successor isn't lower
+    stops = np.c_[zone[:, 1:] >= zone[:, :-1], np.ones(len(zone), bool)] & (np.arange(zone.shape[1]) >= k[:, None])
+    return np.arange(len(zone)), stops.argmax(axis=1), zone
+
+
+def yin_frames(frames: np.ndarray, threshold: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """F0 and confidence of each row by the cumulative mean normalised difference, all rows in one transform."""
+    window = frames.shape[1]
+    short, long = _lags(window)
+    half, size = window // 2, 1 << (2 * window - 1).bit_length()
+    acf = np.fft.irfft(np.conj(np.fft.rfft(frames[:, :half], size)) * np.fft.rfft(frames, size), size)[:, : long + 1]
+    sq = np.c_[np.zeros(len(frames)), np.cumsum(frames**2, axis=1)]
+    d = sq[:, half, None] + sq[:, half + np.arange(long + 1)] - sq[:, np.arange(long + 1)] - 2 * acf
+    rows, k, zone = _dip(d[:, 1:], short, threshold)
+    return SAMPLE_RATE / (k + short), np.maximum(0.0, 1 - zone[rows, k])
+
+
+def yinfft_frames(frames: np.ndarray, threshold: float = 0.85) -> tuple[np.ndarray, np.ndarray]:
+    """The same search on the difference that the power spectrum of the Hann-windowed row gives, its foot by a parabola.
+
+    Power back-transformed is the correlation of the windowed row with itself, so the difference at a lag is twice what it falls short of
+    that at 0. The threshold is high, as the normalised difference of a windowed row is; the least of all counts.
+    """
+    window = frames.shape[1]
+    short, long = _lags(window)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)
+    acf = np.fft.irfft(np.abs(np.fft.rfft(frames * hann, 2 * window)) ** 2, 2 * window)[:, : long + 2]
+    bias = np.fft.irfft(np.abs(np.fft.rfft(hann, 2 * window)) ** 2, 2 * window)[: long + 2]
+    acf = acf / np.maximum(bias / bias[0], 1e-6)  # what the window alone takes away at each lag
+    d = np.maximum(0.0, 2 * (acf[:, :1] - acf))
+    rows, k, zone = _dip(d[:, 1 : long + 1], short, threshold * 0.2)
+    inner = np.clip(k, 1, zone.shape[1] - 2)
+    a, b, c = zone[rows, inner - 1], zone[rows, inner], zone[rows, inner + 1]
+    bend = a - 2 * b + c
+    with np.errstate(divide="ignore", invalid="ignore"):
+        shift = np.where((inner == k) & (bend > 0), 0.5 * (a - c) / bend, 0.0)
+    return SAMPLE_RATE / (k + short + np.clip(shift, -0.5, 0.5)), np.clip(1 - zone[rows, k], 0.0, 1.0)
+
+
+#: Pitch estimators by name: from rows of PITCH_WINDOW samples, none silent, to (f0, confidence).
+ESTIMATORS = {"yin": yin_frames, "yinfft": yinfft_frames}
 
 
 def click(n: int = 400) -> np.ndarray:
@@ -274,10 +405,11 @@ def as_chunks(spark: SparkSession, recordings: dict[tuple[str, str], tuple]) ->
     def run(batches):
         for batch in batches:
             for t, s, f, args in zip(*(batch.column(n).to_pylist() for n in ("track", "source", "f", "args")), strict=True):
-                for c, x in chunks(makers[f](*args)):
-                    yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([s]), pa.array([c], pa.int64()), pa.array([x.astype(np.float32)], pa.list_(pa.float32()))], names=["track", "source", "chunk", "samples"])
+                whole = makers[f](*args)
+                for c, x in chunks(whole):
+                    yield chunk_row(t, s, c, x, len(whole))
 
-    return specs.mapInArrow(run, "track string, source string, chunk long, samples array<float>")
+    return specs.mapInArrow(run, CHUNK)
 
 
 def missing(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
@@ -285,78 +417,109 @@ def missing(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame
     return wanted.join(present.select(*keys).distinct(), keys, "left_anti")
 
 
-def yin(samples: np.ndarray, window: int = 4096, lo: float = 30.0, hi: float = 400.0, threshold: float = 0.2, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(f0, confidence) of each frame of a recording by the cumulative mean normalised difference."""
-    before = np.zeros(0) if before is None else before
-    x = np.r_[np.zeros(max(0, window // 2 - len(before))), before[-(window // 2) :], np.asarray(samples, float), np.zeros(window)]
-    frames = np.lib.stride_tricks.sliding_window_view(x, window)[::HOP]
-    short, long = int(SAMPLE_RATE / hi), int(SAMPLE_RATE / lo)
-    f0, conf = np.full(len(frames), np.nan), np.zeros(len(frames))
-    size = 1 << (2 * window - 1).bit_length()
-    half = window // 2
-    for i, fr in enumerate(frames):
-        if not np.any(fr):
-            continue
-        a = np.fft.rfft(fr[:half], size)
-        acf = np.fft.irfft(np.conj(a) * np.fft.rfft(fr, size), size)[: long + 1]
-        sq = np.r_[0, np.cumsum(fr**2)]
-        d = sq[half] + sq[half + np.arange(long + 1)] - sq[np.arange(long + 1)] - 2 * acf
-        norm = d[1:] * np.arange(1, long + 1) / np.maximum(np.cumsum(d[1:]), 1e-12)
-        zone = norm[short - 1 :]
-        under = np.flatnonzero(zone < threshold)
-        k = int(under[0]) if len(under) else int(np.argmin(zone))
-        while k + 1 < len(zone) and zone[k + 1] < zone[k]:
-            k += 1
-        f0[i], conf[i] = SAMPLE_RATE / (k + short), max(0.0, 1 - zone[k])
-    return f0, conf
+def yin(samples: np.ndarray, method: str = "yin") -> tuple[np.ndarray, np.ndarray]:
+    """(f0, confidence) of each frame of a whole recording."""
+    return by_blocks(np.r_[np.zeros(PITCH_WINDOW // 2), np.asarray(samples, float)], 1 + len(samples) // HOP, ESTIMATORS[method])
 
 
-def loudness(samples: np.ndarray) -> float | None:
-    """Integrated loudness in LUFS: K-weighting, 400 ms blocks with 75 % overlap, two gates; null under 0.4 s."""
-    x = np.asarray(samples, float)
-    block, step = int(0.4 * SAMPLE_RATE), int(0.1 * SAMPLE_RATE)
-    if len(x) < block:
-        return None
-    freq = np.fft.rfftfreq(len(x), 1 / SAMPLE_RATE)
-    z = np.exp(-2j * np.pi * freq / SAMPLE_RATE)
-    response = np.ones_like(z)
-    for kind, gain, q, fc in (("shelf", 3.999843853973347, 0.7071752369554196, 1681.974450955533), ("high", 0.0, 0.5003270373238773, 38.13547087602444)):
+#: Fixed values of the loudness measure: the two filters (gain dB, quality, corner Hz), blocks and gates.
+SHELF, HIGH_PASS = (3.999843853973347, 0.7071752369554196, 1681.974450955533), (0.0, 0.5003270373238773, 38.13547087602444)
+CELL, CELLS, ABSOLUTE_GATE, RELATIVE_GATE, OFFSET_DB = 4410, 4, -70.0, 10.0, -0.691
+
+
+@lru_cache(maxsize=1)
+def weighting() -> np.ndarray:
+    """Impulse response of the two loudness filters over BEFORE samples; what comes later is below 1e-16 of it."""
+    y = np.zeros(BEFORE)
+    y[0] = 1.0
+    for gain, q, fc in (SHELF, HIGH_PASS):
         k = np.tan(np.pi * fc / SAMPLE_RATE)
-        if kind == "shelf":
+        if gain:
             v = 10 ** (gain / 20)
             vb = v**0.4996667741545416
-            b = (v + vb * k / q + k * k, 2 * (k * k - v), v - vb * k / q + k * k)
+            num = (v + vb * k / q + k * k, 2 * (k * k - v), v - vb * k / q + k * k)
         else:
             n = 1 + k / q + k * k
-            b = (n, -2 * n, n)
-        a = (1 + k / q + k * k, 2 * (k * k - 1), 1 - k / q + k * k)
-        response *= (b[0] + b[1] * z + b[2] * z**2) / (a[0] + a[1] * z + a[2] * z**2)
-    y = np.fft.irfft(np.fft.rfft(x) * response, len(x))
-    c = np.r_[0, np.cumsum(y**2)]
-    starts = np.arange(0, len(x) - block + 1, step)
-    p = (c[starts + block] - c[starts]) / block
-    level = lambda m: -0.691 + 10 * np.log10(np.maximum(m, 1e-30))
-    p = p[level(p) > -70]
+            num = (n, -2 * n, n)
+        den = (1 + k / q + k * k, 2 * (k * k - 1), 1 - k / q + k * k)
+        x, y = y, np.zeros(BEFORE)
+        for i in range(BEFORE):
+            past = sum(num[j] * x[i - j] for j in range(min(3, i + 1))) - sum(den[j] * y[i - j] for j in range(1, min(3, i + 1)))
+            y[i] = past / den[0]
+    return y
+
+
+def weighted(x: np.ndarray) -> np.ndarray:
+    """The samples after the loudness filters, which start from silence."""
+    size = 1 << max(1, len(x) + BEFORE - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(weighting(), size), size)[: len(x)]
+
+
+def loudness(samples: np.ndarray) -> float | None:
+    """Integrated loudness in LUFS of a whole recording in memory; null under 0.4 s."""
+    y = weighted(np.asarray(samples, float)) ** 2
+    cells = np.add.reduceat(y, np.arange(0, len(y), CELL)) if len(y) else y
+    cells = cells[: len(y) // CELL]
+    p = np.array([cells[i : i + CELLS].sum() / (CELL * CELLS) for i in range(len(cells) - CELLS + 1)])
+    level = lambda m: OFFSET_DB + 10 * np.log10(np.maximum(m, 1e-30))
+    p = p[level(p) > ABSOLUTE_GATE] if len(p) else p
     if not len(p):
         return None
-    p = p[level(p) > level(p.mean()) - 10]
+    p = p[level(p) > level(p.mean()) - RELATIVE_GATE]
     return float(level(p.mean())) if len(p) else None
 
 
-def levels(audio: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, lufs, peak, crest, seconds) of whole recordings (keys, chunk, samples without overlap counted once)."""
-    import pandas as pd
+CELL_ROW = "track string, source string, cell bigint, weighted double, squared double, peak double, n bigint"
 
-    kinds = dict(audio.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.asarray(s, float) for s in pdf.sort_values("chunk")["samples"]]
-        x = np.concatenate([p[: CHUNK_FRAMES * HOP] if i + 1 < len(parts) else p for i, p in enumerate(parts)])[N_FFT // 2 : -N_FFT]
-        rms = float(np.sqrt((x**2).mean())) if len(x) else 0.0
-        peak = float(np.abs(x).max()) if len(x) else 0.0
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "lufs": loudness(x), "peak": peak, "crest": peak / rms if rms > 0 else None, "seconds": len(x) / SAMPLE_RATE}])
+def cells(audio: DataFrame) -> DataFrame:
+    """Sums over cells of 100 ms: filtered and plain squares, the greatest sample and how many there are.
 
-    return audio.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", lufs double, peak double, crest double, seconds double")
+    A chunk is filtered with the BEFORE samples before it, beyond which the filters remember nothing that a double can hold.
+    A cell that two chunks share comes in two rows.
+    """
+    a = with_neighbours(audio)
+    a = a if "total" in a.columns else a.withColumn("total", F.lit(None).cast("long"))
+
+    def run(batches):
+        for batch in batches:
+            tracks, sources, numbers, totals = (batch.column(c).to_pylist() for c in ("track", "source", "chunk", "total"))
+            for i, x, before, _ in _edges(batch):
+                start = numbers[i] * CHUNK_FRAMES * HOP
+                hops = (1 + (len(x) - N_FFT) // HOP) * HOP
+                own = hops if totals[i] is None else min(CHUNK_FRAMES * HOP, totals[i] - start)
+                if own <= 0:
+                    continue
+                whole = np.r_[before, x[: N_FFT // 2 + own]]
+                y, x = weighted(whole)[-own:] ** 2, whole[-own:]
+                first = start // CELL
+                at = np.maximum(0, np.arange(first, (start + own - 1) // CELL + 1) * CELL - start)
+                n = np.diff(np.r_[at, own])
+                cols = [pa.array([tracks[i]] * len(at)), pa.array([sources[i]] * len(at)), pa.array(first + np.arange(len(at)), pa.int64()), pa.array(np.add.reduceat(y, at)), pa.array(np.add.reduceat(x * x, at)), pa.array(np.maximum.reduceat(np.abs(x), at)), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in CELL_ROW.split(", ")])
+
+    return a.select("track", "source", "chunk", "samples", "before", "after", "total").mapInArrow(run, CELL_ROW)
+
+
+def gated(cells_: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lufs) from cells (keys, cell, weighted, n): blocks of four whole cells, the absolute gate, then the relative one."""
+    four = Window.partitionBy(*keys).orderBy("cell").rangeBetween(0, CELLS - 1)
+    level = lambda p: F.lit(OFFSET_DB) + F.lit(10.0) * F.log10(F.greatest(p, F.lit(1e-30)))
+    b = cells_.withColumn("_p", F.sum("weighted").over(four) / float(CELL * CELLS)).withColumn("_n", F.sum("n").over(four))
+    b = b.filter(F.col("_n") == CELL * CELLS).filter(level(F.col("_p")) > ABSOLUTE_GATE).select(*keys, "_p")
+    mean = b.groupBy(*keys).agg(F.avg("_p").alias("_m"))
+    return b.join(mean, keys).filter(level(F.col("_p")) > level(F.col("_m")) - RELATIVE_GATE).groupBy(*keys).agg(level(F.avg("_p")).alias("lufs"))
+
+
+def levels(audio: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lufs, peak, crest, seconds) of recordings from chunk rows: one pass over samples, the rest over cells of 100 ms."""
+    from tessitura.session import materialize
+
+    c = cells(audio).groupBy(*keys, "cell").agg(F.sum("weighted").alias("weighted"), F.sum("squared").alias("squared"), F.max("peak").alias("peak"), F.sum("n").alias("n"))
+    c = materialize(c, "loudness-cells")  # read twice
+    rms = F.sqrt(F.sum("squared") / F.sum("n"))
+    whole = c.groupBy(*keys).agg(F.max("peak").alias("peak"), F.when(rms > 0, F.max("peak") / rms).alias("crest"), (F.sum("n") / float(SAMPLE_RATE)).alias("seconds"))
+    return whole.join(gated(c, keys), keys, "left").select(*keys, "lufs", "peak", "crest", "seconds")
 
 
 FIXTURES = {"frame_band": ["track", "source", "frame", *BANDS], "frame_level": ["track", "source", "frame", "rms"], "frame_f0": ["track", "source", "frame", "f0_hz", "voiced", "voiced_prob"]}
