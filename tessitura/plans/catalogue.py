@@ -7,12 +7,12 @@ day. Every window is partitioned by (track, source).
 
 from __future__ import annotations
 
-from tessitura.plans import columnar, extended
+from tessitura.plans import columnar, extended, sound
 
 
 def queries() -> dict:
-    return {**columnar.QUERIES, **extended.QUERIES}
+    return {**columnar.QUERIES, **extended.QUERIES, **sound.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**columnar.ORACLES, **extended.ORACLES}
+    return {**columnar.ORACLES, **extended.ORACLES, **sound.ORACLES}

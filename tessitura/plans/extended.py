@@ -17,11 +17,6 @@ from tessitura.sources import audio
 from tessitura.streaming import windows
 
 QUERIES, ORACLES, query = registry()
-RECORDINGS = {("click-120", "drums"): ("click_train", 120.0, 60.0), ("click-128.5", "drums"): ("click_train", 128.5, 60.0), ("pattern", "drums"): ("drum_pattern", 120.0, 4.0), ("noise", "other"): ("noise", 0, 8.0)}
-
-
-def frames(spark):
-    return audio.frame_bands(audio.as_chunks(spark, RECORDINGS))
 
 
 @query("q14_tempo_hourly")
@@ -32,41 +27,6 @@ def q14(spark, sf):
     return tempo.refine(f, ["source"], 3600.0)
 
 
-@query("q46_band_energy")
-def q46(spark, sf):
-    return frames(spark).groupBy("track", "source").agg(F.count("*").alias("frames"), *[r6(F.sum(b)).alias(b) for b in audio.BANDS])
-
-
-@query("q47_refine_bpm")
-def q47(spark, sf):
-    f = frames(spark).filter(F.col("track").startswith("click"))
-    f = f.withColumn("all", F.col("kick") + F.col("body") + F.col("noise") + F.col("air"))
-    f = series.flux(f, "all").withColumn("coarse", F.substring_index("track", "-", -1).cast("double") * num(1.01))
-    return tempo.refine(f, ["track", "source"], HOP_SECONDS)
-
-
-def pattern(spark):
-    """Hits, patterns and summary of the synthetic drum recordings."""
-    f = frames(spark).filter("track = 'pattern'").select("track", "source", "frame", *drums.BANDS)
-    meta = f.select("track", "source").distinct().select("track", "source", num(2.0).alias("cycle_seconds"), num(0.25).alias("downbeat_seconds"), F.lit(None).cast("double").alias("first_beat_seconds"))
-    return drums.decompose(f, meta, ["track", "source"])
-
-
-@query("q48_decompose")
-def q48(spark, sf):
-    return pattern(spark)[0]
-
-
-@query("q48b_patterns")
-def q48b(spark, sf):
-    return pattern(spark)[1]
-
-
-@query("q48c_grid")
-def q48c(spark, sf):
-    return pattern(spark)[2]
-
-
 @query("q49_notes")
 def q49(spark, sf):
     l = table(spark, sf, "lineitem").withColumn("l_linenumber", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")))
@@ -75,12 +35,6 @@ def q49(spark, sf):
     return notes.segment_notes(held, ["track"], HOP_SECONDS)
 
 
-@query("q50_levels")
-def q50(spark, sf):
-    out = audio.levels(audio.as_chunks(spark, RECORDINGS), ["track", "source"])
-    return out.select("track", "source", *[r6(F.col(c)).alias(c) for c in ("lufs", "peak", "crest", "seconds")])
-
-
 TUMBLING = "select date_trunc('hour', ts)::timestamp start, event_type, count(*) n, round_even(sum(value), 4) + 0::double total from events group by all"
 
 
@@ -165,11 +119,6 @@ def q58(spark, sf):
     return audio.missing(o.select("c_custkey").distinct(), o.filter("o_orderpriority = '1-URGENT'"), ["c_custkey"])
 
 
-@query("q59_doctor")
-def q59(spark, sf):
-    return sinks.doctor(spark)
-
-
 @query("q60_bass_line", """with n as (select l_suppkey track, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) i, 28 + l_quantity::int % 20 m, l_linenumber::bigint step from lineitem),
 s as (select track, step, count(*) k from n group by all), t as (select track, count(*) c, quantile_cont(m, 0.5) med from n group by 1),
 q as (select track, string_agg(['c', 'c#', 'd', 'd#', 'e', 'f', 'f#', 'g', 'g#', 'a', 'a#', 'b'][m % 12 + 1] || (m // 12 - 1), ' ' order by i) filter (where i <= 32) seq from n group by 1),
@@ -229,13 +178,6 @@ def q64(spark, sf):
     return downbeat.find_downbeat(env.select("source", "frame", "low", "bright"), meta, ["source"], 3600.0)
 
 
-@query("q65_descriptors")
-def q65(spark, sf):
-    chunks = audio.as_chunks(spark, RECORDINGS)
-    wanted = analysis.expected(chunks.select("track"))
-    return analysis.analyse(audio.frame_bands(chunks), audio.levels(chunks, ["track", "source"]), wanted)
-
-
 @query("q66_unavailable", """select p_partkey, array_to_string(list_sort(list_filter([case when p_size > 25 then 'rhythm.bpm' end, case when p_retailprice < 1000 then 'tonal.key' end, case when p_partkey % 4 = 0 then 'bass_line (status=unvoiced)' end], lambda x: x is not null)), ', ') missing from part""")
 def q66(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") <= 25, 1).alias("bpm"), F.when(F.col("p_retailprice") >= 1000, 1).alias("key"))

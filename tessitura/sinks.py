@@ -62,6 +62,18 @@ def doctor(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "probe string, found boolean, detail string")
 
 
+def doctor_of(inputs: dict, spark: SparkSession) -> DataFrame:
+    """(probe, found, detail) of inputs by name, each made by a function: its number of rows, or why it can't be read."""
+    out = None
+    for name, make in inputs.items():
+        try:
+            one = make().agg(F.lit(name).alias("probe"), F.lit(True).alias("found"), F.concat(F.count("*").cast("string"), F.lit(" rows")).alias("detail"))
+        except Exception as e:  # noqa: BLE001 - a report of what is wrong must not fail on it
+            one = spark.createDataFrame([(name, False, f"{type(e).__name__}: {str(e).splitlines()[0]}")], "probe string, found boolean, detail string")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def document_path(root: str, track: Column, source: Column) -> Column:
     """Where a source's document belongs: <root>/<slug>/analysis/<source>.json, the track's own at <root>/<slug>/track_summary.json."""
     folder = F.concat(F.lit(root.rstrip("/") + "/"), slugify(track))

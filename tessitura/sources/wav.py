@@ -171,3 +171,25 @@ def read_chunks(spark: SparkSession, path: str, partition_bytes: int = PARTITION
     """Rows of SCHEMA for the recordings under ``path``."""
     spark.dataSource.register(WavSource)
     return spark.read.format("wav").option("partitionBytes", partition_bytes).load(path)
+
+
+def write_recordings(values: DataFrame, root: str, hold: int = 1) -> DataFrame:
+    """Writes <root>/<track>/<source>.wav of 16 bits from (track, source, i, value) within -1 and 1, each value held for ``hold`` samples; (track, source, path, total).
+
+    One group is one recording. A task that runs again writes the same bytes.
+    """
+
+    def run(key, table):
+        from pyarrow import fs
+
+        track, source = (k.as_py() for k in key)
+        order = np.argsort(table["i"].to_numpy(), kind="stable")
+        x = np.repeat(np.rint(np.clip(table["value"].to_numpy()[order], -1, 1) * 32767).astype("<i2"), hold)
+        system, at = fs.FileSystem.from_uri(root)
+        system.create_dir(f"{at}/{track}", recursive=True)
+        data = x.tobytes()
+        with system.open_output_stream(f"{at}/{track}/{source}.wav") as out:
+            out.write(b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, SAMPLE_RATE, 2 * SAMPLE_RATE, 2, 16) + b"data" + struct.pack("<I", len(data)) + data)
+        return pa.table({"track": [track], "source": [source], "path": [f"{root}/{track}/{source}.wav"], "total": pa.array([len(x)], pa.int64())})
+
+    return values.select("track", "source", "i", "value").groupBy("track", "source").applyInArrow(run, "track string, source string, path string, total bigint")
