@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.functions.scalars import capped, classify_density, match_grid, nearest_rank, note_name, num, positive, suggest_cycle_seconds
+from tessitura.functions.scalars import capped, classify_density, match_grid, note_name, num, positive, suggest_cycle_seconds
 
 #: Fixed values.
 MIN_INTERVALS, STRAIGHT_TOLERANCE, STRAIGHT_MIN, BASE_MIN, LILT = 16, 0.22, 0.80, 0.50, 1.1
@@ -18,9 +18,10 @@ NOTE_CAP, SECTION_CAP = 32, 24
 def feel_evidence(iois: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """Per key what both hypotheses need from the intervals (``ioi`` at ``t``)."""
     w = Window.partitionBy(*keys)
-    # the intervals of one recording, sorted: the split lies between two nearest ranks
-    d = iois.withColumn("unit", F.percentile("ioi", num(0.5)).over(w)).withColumn("_all", F.array_sort(F.collect_list("ioi").over(w)))
-    d = d.withColumn("split", (nearest_rank(F.col("_all"), SPLIT) + nearest_rank(F.col("_all"), 1 - SPLIT)) / num(2)).drop("_all")
+    # the split lies between the intervals at two nearest ranks
+    d = iois.withColumn("unit", F.percentile("ioi", num(0.5)).over(w)).withColumn("_last", F.count("*").over(w) - 1).withColumn("_rank", F.row_number().over(w.orderBy("ioi")) - 1)
+    at = lambda share: F.max(F.when(F.col("_rank") == F.rint(num(share) * F.col("_last")), F.col("ioi"))).over(w)
+    d = d.withColumn("split", (at(SPLIT) + at(1 - SPLIT)) / num(2)).drop("_last", "_rank")
     d = d.withColumn("long", F.col("ioi") >= F.col("split")).withColumn("k", F.least(num(4), F.greatest(num(1), F.rint(F.col("ioi") / F.col("unit")))))
     d = d.withColumn("cross", (F.col("long") != F.lag("long").over(w.orderBy(t))).cast("int"))
     for name, side in (("long", F.col("long")), ("short", ~F.col("long"))):
@@ -53,6 +54,18 @@ def feel(evidence: DataFrame, beat: Column) -> Column:
     return F.when(e("n") >= MIN_INTERVALS, F.when(a.isNull(), b).when(b.isNull(), a))
 
 
+def feel_hint(evidence: DataFrame, beat: Column) -> Column:
+    """struct(value, note): the subdivision's name, or why there is none."""
+    value = feel(evidence, beat)
+    note = (
+        F.when(value.isNotNull(), F.lit(None).cast("string"))
+        .when(F.col("n") < MIN_INTERVALS, F.format_string("%d intervals between onsets, %d are needed to tell how the beat is cut", F.col("n"), F.lit(MIN_INTERVALS)))
+        .when(positive(beat).isNull(), "no tempo to read the intervals against")
+        .otherwise(F.format_string("no one reading holds: %.2f of the intervals lie on multiples of the middle one, %.2f alternate between long and short", F.col("on_grid"), F.coalesce(F.col("alternation"), num(0))))
+    )
+    return F.struct(value.alias("value"), note.alias("note"))
+
+
 def section_line(start: Column, bars: Column, label: Column, active: Column) -> Column:
     playing = F.when(F.size(active) > 0, F.array_join(active, ", ")).otherwise(F.lit("nothing playing"))
     return F.concat(F.format_string("bar %s x%s ", start.cast("string"), bars.cast("string")), F.coalesce(label, F.lit("unlabelled")), F.lit(": "), playing)

@@ -27,12 +27,23 @@ def q14(spark, sf):
     return tempo.refine(f, ["source"], 3600.0)
 
 
-@query("q49_notes")
+#: Frames that each line's pitch is held: more than the median of the octave guard spans, so that at most two meet in it.
+HELD = 22
+NOTES = f"""with l as (select l_suppkey track, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) i, 30 + 370 * (l_quantity - 1) / 49::double f from lineitem),
+fr as (select track, (i - 1) * {HELD} + k frame, f, 69 + 12 * log2(f / 440) m from l, unnest(range({HELD})) t(k)),
+s as (select *, quantile_cont(m, 0.5) over (partition by track order by frame rows between 2 preceding and 2 following) s from fr), c as (select *, quantile_cont(s, 0.5) over (partition by track order by frame rows between 10 preceding and 10 following) c from s),
+r as (select track, frame, f, round_even(case when abs(s + 12 * round_even((c - s) / 12, 0) - c) < abs(s - c) then s + 12 * round_even((c - s) / 12, 0) else s end, 0)::bigint midi from c),
+n as (select *, coalesce((midi <> lag(midi) over (partition by track order by frame))::int, 0) new from r), g as (select *, sum(new) over (partition by track order by frame)::int note from n)
+select track, note, min(frame)::bigint start_frame, (max(frame) + 1)::bigint end_frame, any_value(midi)::int midi, round_even(100 * (69 + 12 * log2(quantile_cont(f, 0.5) / 440) - any_value(midi)), 4) + 0::double cents from g group by track, note"""
+
+
+@query("q49_notes", NOTES)
 def q49(spark, sf):
-    l = table(spark, sf, "lineitem").withColumn("l_linenumber", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")))
-    p = l.select(F.col("l_suppkey").alias("track"), F.col("l_linenumber").alias("frame"), (num(30) + num(370) * (F.col("l_quantity") - num(1)) / num(49)).alias("f"))
-    held = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("track", ((F.col("frame") - 1) * 10 + F.col("k")).cast("long").alias("frame"), F.col("f").alias("f0_hz"), F.lit(True).alias("voiced"), num(0.9).alias("voiced_prob"))
-    return notes.segment_notes(held, ["track"], HOP_SECONDS)
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    p = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("track"), F.row_number().over(order).alias("i"), (num(30) + num(370) * (F.col("l_quantity") - num(1)) / num(49)).alias("f"))
+    held = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(HELD - 1)))).select("track", ((F.col("i") - 1) * HELD + F.col("k")).cast("long").alias("frame"), F.col("f").alias("f0_hz"), F.lit(True).alias("voiced"), num(0.9).alias("voiced_prob"))
+    n = notes.segment_notes(held, ["track"], HOP_SECONDS)
+    return n.select("track", "note", "start_frame", "end_frame", "midi", (F.bround("cents", 4) + num(0)).alias("cents"))
 
 
 TUMBLING = "select date_trunc('hour', ts)::timestamp start, event_type, count(*) n, round_even(sum(value), 4) + 0::double total from events group by all"
@@ -73,10 +84,27 @@ def q52(spark, sf):
     return event_sections(spark, sf).drop("reason")
 
 
-@query("q53_feel_label")
+def _nearest_sql(value: str, table: dict[str, float]) -> str:
+    rows = ", ".join(f"{{'e': abs({value} - {v}::double) / {v}::double, 'k': '{k}'}}" for k, v in table.items())
+    return f"case when list_min([{rows}]).e <= 0.15 then list_min([{rows}]).k end"
+
+
+#: What both readings of a track's intervals need, against a beat of an hour.
+FEEL = f"""with {IOI}, a as (select track, t, ioi, quantile_cont(ioi, 0.5) over (partition by track) u, list_sort(list(ioi) over (partition by track)) r from ok),
+b as (select *, (r[round_even(0.1::double * (len(r) - 1), 0)::int + 1] + r[round_even(0.9::double * (len(r) - 1), 0)::int + 1]) / 2 split from a), c as (select track, t, ioi, u, ioi >= split long, least(4, greatest(1, round_even(ioi / u, 0))) k from b),
+d as (select *, (long <> lag(long) over (partition by track order by t))::int x, quantile_cont(ioi, 0.5) over (partition by track, long) med from c),
+e as (select track, count(*) n, any_value(u) u, avg((abs(ioi - k * u) <= 0.22::double * u)::int::double) on_grid, avg((k = 1)::int::double) base, least(avg(long::int::double), 1 - avg(long::int::double)) cl,
+ sum(x) / nullif(count(*) - 1, 0)::double alt, avg(ioi) filter (where long) lm, avg(ioi) filter (where not long) sm, quantile_cont(abs(ioi - med), 0.5) filter (where long) / any_value(med) filter (where long) ld, quantile_cont(abs(ioi - med), 0.5) filter (where not long) / any_value(med) filter (where not long) sd from d group by 1),
+f as (select *, coalesce(cl >= 0.35 and alt >= 0.75, false) paired, lm / sm ratio from e),
+fl as (select *, case when on_grid >= 0.8 and base >= 0.5 and not coalesce(paired and ratio > 1.1, false) then {_nearest_sql("u / 3600", hints.STRAIGHT_UNITS)} end st, case when paired and ld <= 0.12 and sd <= 0.12 and ratio between 1.5 and 2.5 then {_nearest_sql("(lm + sm) / 3600", hints.SWUNG_PAIRS)} end sw from f)"""
+
+
+@query("q53_feel_label", f"{FEEL} select track, n, case when n >= 16 then case when st is null then sw when sw is null then st end end feel, case when n >= 16 and (case when st is null then sw when sw is null then st end) is not null then '' when n < 16 then 'few' else 'unclear' end note from fl")
 def q53(spark, sf):
     e = hints.feel_evidence(series.intervals(envelope(spark, sf).select("track", "t"), "t", ["track"]), ["track"])
-    return e.select("track", "n", hints.feel(e, num(3600)).alias("feel"))
+    h = e.select("track", "n", hints.feel_hint(e, num(3600)).alias("h"))
+    note = F.when(F.col("h.note").isNull(), "").when(F.col("h.note").contains("are needed"), "few").otherwise("unclear")
+    return h.select("track", "n", F.col("h.value").alias("feel"), note.alias("note"))
 
 
 @query("q54_hints", """with d as (select l_suppkey track, case when l_suppkey % 3 = 0 then null else 60 + avg(l_quantity) end refined, case when l_suppkey % 5 = 0 then null else 120::double end drums_bpm, 100::double mix_bpm, avg(l_quantity) / 6 od, avg(l_discount) * 10 kc from lineitem group by 1),
@@ -169,13 +197,32 @@ def q63(spark, sf):
     return tempo.arbitrate_octave(f.withColumn("bpm", num(100) * F.col("ratio")), ["track"]).select("track", "ratio", "bpm", "compared")
 
 
-@query("q64_downbeat")
+#: The bar's first beat of each type in SQL: a frame an hour, a beat six of them, four beats a bar.
+DOWNBEAT = """with e as (select event_type source, floor(epoch_us(ts - timestamp '2024-01-01') / 3.6e9::double)::bigint h, sum(value) low, count(*)::double bright from events group by all),
+f as (select source, h - min(h) over (partition by source) frame, low, bright from e), x as (select *, coalesce(greatest(ln(1 + low) - lag(ln(1 + low)) over (partition by source order by frame), 0), 0) flux from f),
+n as (select source, max(frame) + 1 n, max(flux) peak, sum(low) tl, sum(bright) tb from x group by 1),
+bo as (select source, frame % 6 o, avg(flux) s from x group by all), bb as (select source, arg_max(o, {'s': s, 'o': -o}) o, max(s) p, sum(s) a from bo group by 1), ph as (select source, o, greatest(0, 1 - a / 6 / p) contrast from bb),
+fo as (select source, min(frame) * 3600 onset from x join n using (source) where flux >= 0.2::double * peak group by 1),
+se as (select source, (frame - o) // 6 % 4 slot, quantile_cont(low, 0.5) low, quantile_cont(bright, 0.5) bright from x join ph using (source) join n using (source) where frame >= o and (frame - o) % 6 = 0 and (frame - o) // 6 < floor((n * 3600 - o * 3600) / 21600::double) group by all),
+sl as (select source, slot, coalesce(low, 0) low, coalesce(bright, 0) bright from (select source, unnest(range(4)) slot from n) left join se using (source, slot)),
+sc as (select source, slot, low / sum(low) over w - bright / sum(bright) over w score from sl window w as (partition by source)),
+od as (select *, row_number() over (partition by source order by score desc, slot desc) k, max(score) over (partition by source) hi, max(score) over (partition by source) - min(score) over (partition by source) spread from sc),
+tp as (select source, max(slot) filter (where k = 1) top, any_value(spread) spread, list(slot) filter (where k > 1 and (hi - score) / spread <= 0.25) tied, max((hi - score) / spread) filter (where k = 2) gap from od group by 1),
+nr as (select source, o, contrast, case when onset <= 4 * 86400 then list_min(list_transform(range(4), lambda i: {'d': least(((onset - o * 3600 - i * 21600) % 86400 + 86400) % 86400, ((o * 3600 + i * 21600 - onset) % 86400 + 86400) % 86400), 'i': i})).i end near from ph join fo using (source)),
+al as (select *, coalesce(len(tied), 0) > 0 tie, coalesce(list_contains(tied, near), false) by_onset, coalesce(len(tied), 0) = 0 and near is not null and near <> top against from tp join nr using (source) where spread > 0)
+select source, o * 3600 + (case when by_onset then near else top end) * 21600 offset_seconds, (case when by_onset then near else top end)::int bar_phase, round_even(contrast, 6) + 0::double beat_confidence,
+ round_even(case when against then least(least(1, gap / 0.25), 0.5) else least(1, gap / 0.25) end, 6) + 0::double phase_confidence, case when by_onset then 'onset' else 'spectral' end resolved_by,
+ case when (case when against then least(least(1, gap / 0.25), 0.5) else least(1, gap / 0.25) end) >= 1 then 'ok' else 'ambiguous' end status from al"""
+
+
+@query("q64_downbeat", DOWNBEAT)
 def q64(spark, sf):
     """Bar phase of each event type from hourly sums (low: the sum, bright: the count); random data, so usually unsettled."""
     h = table(spark, sf, "events").groupBy(F.col("event_type").alias("source"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h")).agg(F.sum("value").alias("low"), F.count("*").cast("double").alias("bright"))
     env = h.withColumn("frame", (F.unix_timestamp("h") / 3600).cast("long")).withColumn("frame", F.col("frame") - F.min("frame").over(Window.partitionBy("source")))
     meta = env.select("source").distinct().withColumn("period_seconds", num(6 * 3600))
-    return downbeat.find_downbeat(env.select("source", "frame", "low", "bright"), meta, ["source"], 3600.0)
+    d = downbeat.find_downbeat(env.select("source", "frame", "low", "bright"), meta, ["source"], 3600.0)
+    return d.select("source", F.col("offset_seconds").cast("long").alias("offset_seconds"), "bar_phase", r6(F.col("beat_confidence")).alias("beat_confidence"), r6(F.col("phase_confidence")).alias("phase_confidence"), "resolved_by", "status")
 
 
 @query("q66_unavailable", """select p_partkey, array_to_string(list_sort(list_filter([case when p_size > 25 then 'rhythm.bpm' end, case when p_retailprice < 1000 then 'tonal.key' end, case when p_partkey % 4 = 0 then 'bass_line (status=unvoiced)' end], lambda x: x is not null)), ', ') missing from part""")
