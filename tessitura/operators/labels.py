@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessitura.functions.scalars import every, evidence, r6, ramp
+from tessitura.functions.scalars import every, evidence, finite, num, r6, ramp
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,33 @@ def label(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.groupBy(*keys, "label").agg(F.max("confidence").alias("confidence"), F.max_by("evidence", "confidence").alias("evidence"))
 
 
+RULE_ROW = "label string, source string, descriptor string, threshold double, saturation double"
+
+
+def rule_rows(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
+    """Rules as rows of RULE_ROW, one for each ramp: a table that users may add to."""
+    return spark.createDataFrame([(r.label, r.source, d, t, s) for r in rules for d, t, s in r.ramps], RULE_ROW)
+
+
+def label_by(df: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """``label`` with the rules of a table: descriptors, one a row, meet the ramps that read them, and a label's ramps are folded.
+
+    A rule holds where all its ramps do; a ramp over a descriptor that ``df`` lacks never does. The gate of silence comes first.
+    """
+    names = [c for c in df.columns if c not in keys]
+    wide = df.withColumn("_silent", silence())
+    long = wide.filter("_silent is null").select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("descriptor"), F.col(c).cast("double").alias("value")) for c in names if c in dict(df.dtypes) and dict(df.dtypes)[c] in ("double", "float", "int", "bigint")])))
+    own = {k: f"_{k}" for k in ("label", "source", "descriptor")}
+    r = rules.withColumnsRenamed(own).withColumn("_ramps", F.count("*").over(Window.partitionBy("_label", "_source")))
+    hit = long.join(r, (F.col("descriptor") == F.col("_descriptor")) & ((F.col("_source") == "any") | (F.col("_source") == F.col("source"))))
+    at = (F.col("value") - F.col("threshold")) / (F.col("saturation") - F.col("threshold"))
+    hit = hit.withColumn("_c", F.when(finite(F.col("value")) & (at >= 0), F.least(num(1), at)))
+    each = hit.groupBy(*keys, "_label", "_source").agg(F.min("_c").alias("confidence"), F.count("_c").alias("_held"), F.first("_ramps").alias("_ramps"), F.map_from_entries(F.array_distinct(F.collect_list(F.struct("descriptor", "value")))).alias("evidence"))
+    each = each.filter("_held = _ramps").select(*keys, F.col("_label").alias("label"), "confidence", "evidence")
+    quiet = wide.filter("_silent is not null").select(*keys, F.lit("silent/absent stem").alias("label"), F.col("_silent").alias("confidence"), evidence(loudness_lufs=F.col("loudness_lufs"), rms_mean=F.col("rms_mean")).alias("evidence"))
+    return each.unionByName(quiet).groupBy(*keys, "label").agg(F.max("confidence").alias("confidence"), F.max_by("evidence", "confidence").alias("evidence"))
+
+
 def ordered(labels: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key with its labels from the most confident on, ties by name."""
     item = F.struct((-F.col("confidence")).alias("c"), "label")

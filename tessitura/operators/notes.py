@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions.scalars import caveats, note_name, num, positive
+from tessitura.operators.degrade import guarded, schema
 
 #: Fixed values.
 MEDIAN, OCTAVE_MEDIAN, MIN_SECONDS, MERGE_SEMITONES, MIN_VOICED = 5, 21, 0.06, 1, 0.15
@@ -91,7 +92,7 @@ NOTES = "status string, note int, start_frame long, end_frame long, midi int, ce
 
 
 def segment_notes(df: DataFrame, keys: list[str], hop: float) -> DataFrame:
-    """(keys, NOTES) from (keys, frame, f0_hz, voiced, voiced_prob); a track without notes gives one row with its status."""
+    """(keys, NOTES, error) from (keys, frame, f0_hz, voiced, voiced_prob); a track without notes gives one row with its status."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
@@ -102,8 +103,8 @@ def segment_notes(df: DataFrame, keys: list[str], hop: float) -> DataFrame:
         rows = [{**head, "status": status, "note": i, "start_frame": a, "end_frame": b, "midi": m, "cents": c} for i, (a, b, m, c) in enumerate(notes)]
         return pd.DataFrame(rows or [{**head, "status": status, "note": None, "start_frame": None, "end_frame": None, "midi": None, "cents": None}])
 
-    kinds = dict(df.dtypes)
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + NOTES)
+    failed = {"status": "failed", "note": None, "start_frame": None, "end_frame": None, "midi": None, "cents": None, "voiced_share": None, "octave_share": None}
+    return df.groupBy(*keys).applyInPandas(guarded(run, keys, failed), schema(df, keys, NOTES))
 
 
 def resolved(grid: DataFrame, keys: list[str], beats: int = 4, steps: int = 16) -> DataFrame:
@@ -133,6 +134,9 @@ def bass_line(f0: DataFrame, grid: DataFrame, wanted: DataFrame, keys: list[str]
     A silent one isn't looked at. ``grid`` as for ``resolved``. Notes are in their order in the recording.
     """
     live = f0.join(wanted.filter(~F.col("silent")).select(*keys), keys, "left_semi")
+    pitchless = live.withColumn("error", F.lit(None).cast("string")) if "error" not in live.columns else live
+    pitchless = pitchless.filter("error is not null").groupBy(*keys).agg(F.min("error").alias("pitch_error"))
+    live = live.filter("frame is not null").join(pitchless.select(*keys), keys, "left_anti")
     notes = on_grid(segment_notes(live.select(*keys, "frame", "f0_hz", "voiced", "voiced_prob"), keys, hop), grid, keys, hop)
     note = F.struct("note", note_name(F.col("midi")).alias("name"), "midi", (F.col("start_frame") * num(hop)).alias("start_seconds"), ((F.col("end_frame") - F.col("start_frame")) * num(hop)).alias("seconds"), "cents", "step")
     some = F.col("note").isNotNull()
@@ -144,13 +148,15 @@ def bass_line(f0: DataFrame, grid: DataFrame, wanted: DataFrame, keys: list[str]
         F.first("voiced_share").alias("voiced_share"),
         F.first("octave_share").alias("octave_share"),
         F.count("step").alias("_placed"),
+        F.first("error").alias("error"),
     )
-    out = wanted.join(line, keys, "left")
+    out = wanted.join(line, keys, "left").join(pitchless, keys, "left").withColumn("error", F.coalesce("pitch_error", "error"))
     status = F.when(F.col("silent"), "silent").otherwise(F.coalesce("status", F.lit("failed")))
     ok = F.coalesce(status == "ok", F.lit(False))
     said = caveats(
         (F.col("silent"), F.lit("below the silence floor, so no pitch was looked for")),
-        (~F.col("silent") & F.col("status").isNull(), F.lit("there is no pitch track of this source")),
+        (~F.col("silent") & F.col("error").isNotNull(), F.concat(F.lit("the bass could not be followed: "), F.col("error"))),
+        (~F.col("silent") & F.col("status").isNull() & F.col("error").isNull(), F.lit("there is no pitch track of this source")),
         (ok & (F.col("octave_share") > MANY_MOVED), F.format_string("the octave guard moved %.1f%% of the voiced frames; the fundamental is weak and the octave uncertain", F.col("octave_share") * 100)),
         (ok & (F.col("median_midi") > HIGH_NOTE), F.format_string("the median note is %s, high for a bass: it may be an octave off throughout", note_name(F.col("median_midi")))),
         (ok & (F.col("voiced_share") < LITTLE_VOICED), F.format_string("notes rest on %.0f%% of the frames; short or quiet ones may be missing", F.col("voiced_share") * 100)),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.scalars import num
 from tessitura.operators import series, tempo
+from tessitura.operators.degrade import guarded, schema
 from tessitura.operators.downbeat import beat_offsets
 
 #: Fixed values.
@@ -48,15 +49,14 @@ def likely_bpm(flux: np.ndarray, hop: float) -> tuple[float | None, float]:
 
 
 def coarse_tempo(frames: DataFrame, keys: list[str], hop: float, value: str = "power") -> DataFrame:
-    """(keys, bpm, r) of each recording; one group is one recording, so its size is bounded by that."""
-    kinds = dict(frames.dtypes)
+    """(keys, bpm, r, error) of each recording; one group is one recording, so its size is bounded by that."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bpm, r = likely_bpm(pdf.sort_values("frame")["flux"].to_numpy(float), hop)
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "bpm": bpm, "r": r}])
 
     f = series.flux(frames, value, keys).select(*keys, "frame", "flux")
-    return f.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", bpm double, r double")
+    return f.groupBy(*keys).applyInPandas(guarded(run, keys, {"bpm": None, "r": None}), schema(frames, keys, "bpm double, r double"))
 
 
 def trusted(tempos: DataFrame, described: DataFrame, keys: list[str]) -> DataFrame:

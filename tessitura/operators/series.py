@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.functions.scalars import clean, num
+from tessitura.functions.scalars import clean, finite, num
 
 KEYS = ["track", "source"]
 
@@ -91,6 +91,21 @@ def near(df: DataFrame, flag: Column, reach: int, keys: list[str], order: str =
     return F.coalesce(F.max(F.when(flag, 1).otherwise(0)).over(over(keys, order).rangeBetween(-reach, reach)) == 1, F.lit(False))
 
 
+def nearest_peak(times: DataFrame, env: DataFrame, reach: int, hop: float, keys=KEYS, value: str = "value", t: str = "t") -> DataFrame:
+    """``times`` (keys, t, ...) with ``peak_frame`` and ``peak``: the greatest value of ``env`` (keys, frame, value) within ``reach`` frames of the time's nearest one.
+
+    Of equal values the earlier counts. Null where the envelope has no such frame, or nothing above zero around it. The greatest around
+    each frame is a window over the envelope, so a time is one equi-join on its frame.
+    """
+    around = over(keys).rangeBetween(-reach, reach)
+    best = F.max(F.when(finite(F.col(value)), F.struct(F.col(value).alias("v"), (-F.col("frame")).alias("f")))).over(around)
+    tops = env.select(*keys, F.col("frame").alias("_frame"), best.alias("_b"))
+    at = times.withColumn("_frame", F.rint(F.col(t) / num(hop)).cast("long"))
+    out = at.join(tops, [*keys, "_frame"], "left")
+    found = F.col("_b.v") > 0
+    return out.withColumn("peak_frame", F.when(found, -F.col("_b.f"))).withColumn("peak", F.when(found, F.col("_b.v"))).drop("_frame", "_b")
+
+
 def octave_snap(df: DataFrame, midi: str, half: int = 10, keys=KEYS) -> DataFrame:
     """Moves a pitch by whole octaves towards the running median where that is strictly nearer."""
     df = df.withColumn("_m", rolling_median(midi, half, keys))

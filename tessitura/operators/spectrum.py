@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.scalars import num
@@ -32,3 +32,15 @@ def energy_percentile(df: DataFrame, keys: list[str], share: float = ROLLOFF) ->
     w = Window.partitionBy(*keys).orderBy("freq")
     df = df.withColumn("_c", F.sum("power").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("power").over(Window.partitionBy(*keys)))
     return df.filter((F.col("_t") > 0) & (F.col("_c") >= num(share) * F.col("_t"))).groupBy(*keys).agg(F.min("freq").alias("rolloff"))
+
+
+#: Fixed value: how far below its peak bin a spectrum is read.
+FLATNESS_FLOOR = 1e-12
+
+
+def flatness(power: Column) -> Column:
+    """Geometric over arithmetic mean of an array of power, each bin no lower than FLATNESS_FLOOR of the greatest; null for silence."""
+    top = F.array_max(power)
+    floored = F.transform(power, lambda p: F.greatest(p, top * num(FLATNESS_FLOOR)))
+    mean = lambda a: F.aggregate(a, num(0), lambda s, x: s + x) / F.size(a)
+    return F.when(top > 0, F.exp(mean(F.transform(floored, lambda p: F.ln(p)))) / mean(floored))

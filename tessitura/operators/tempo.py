@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.operators.degrade import guarded, schema
+
 #: Fixed values.
 MULTIPLES, OCTAVES = (16, 32), (0.5, 1.0, 2.0)
 WINDOW_BEATS, HALF, TOLERANCE, AGREEMENT, MIN_R = 0.45, 3, 0.03, 0.05, 0.15
@@ -71,7 +73,7 @@ def combine(fits: list[dict]) -> tuple[float | None, float]:
 def measure(x: np.ndarray, hop: float, coarse: float) -> dict:
     """Tempo, octave status and stability of one envelope."""
     if not (math.isfinite(coarse) and coarse > 0):
-        return {"bpm": None, "status": "unavailable", "r": 0.0, "confidence": "low", "octave": "unavailable", "stability": "unknown"}
+        return dict(UNAVAILABLE)
     r = autocorrelation(x)
     bpm, weakest = combine([fit(r, hop, coarse, m) for m in MULTIPLES])
     octaves = {o: fit(r, hop, coarse * o, MULTIPLES[0]) for o in OCTAVES}
@@ -92,8 +94,11 @@ def measure(x: np.ndarray, hop: float, coarse: float) -> dict:
 TEMPO = "bpm double, status string, r double, confidence string, octave string, stability string"
 
 
+UNAVAILABLE = {"bpm": None, "status": "unavailable", "r": 0.0, "confidence": "low", "octave": "unavailable", "stability": "unknown"}
+
+
 def refine(df: DataFrame, keys: list[str], hop: float, value: str = "flux", coarse: str = "coarse") -> DataFrame:
-    """(keys, tempo fields) from envelopes (keys, frame, value) with a coarse tempo; one group is one recording."""
+    """(keys, tempo fields, error) from envelopes (keys, frame, value) with a coarse tempo; one group is one recording."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
@@ -101,8 +106,7 @@ def refine(df: DataFrame, keys: list[str], hop: float, value: str = "flux", coar
         out = measure(pdf[value].to_numpy(float), hop, float("nan") if c is None else float(c))
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **out}])
 
-    kinds = dict(df.dtypes)
-    return df.select(*keys, "frame", value, coarse).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + TEMPO)
+    return df.select(*keys, "frame", value, coarse).groupBy(*keys).applyInPandas(guarded(run, keys, UNAVAILABLE), schema(df, keys, TEMPO))
 
 
 def octave_candidates(df: DataFrame, keys: list[str], hop: float, value: str = "flux", coarse: str = "coarse") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,26 @@ def _templates() -> list[tuple[str, str, list[float]]]:
     return out
 
 
+#: The pitches that count, in Hz, and over how many semitones a peak spreads.
+PEAK_HZ, SPREAD = (40.0, 5000.0), 4 / 3
+
+
+def peak_classes(peaks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chroma) from spectral peaks (keys, hz, magnitude): power by pitch class from c on, the greatest 1.
+
+    A peak gives its power to each class that is nearer than half of ``SPREAD`` semitones, by the squared cosine of its distance.
+    """
+    p = peaks.filter((F.col("hz") >= PEAK_HZ[0]) & (F.col("hz") <= PEAK_HZ[1]) & finite(F.col("magnitude")) & (F.col("magnitude") > 0))
+    p = p.withColumn("_m", num(69) + num(12) * F.log2(F.col("hz") / num(440)))
+    sums = []
+    for i in range(12):
+        off = F.pmod(F.col("_m") - num(i) + num(6), num(12)) - num(6)
+        weight = F.cos(num(math.pi / SPREAD) * off)
+        sums.append(F.sum(F.when(F.abs(off) <= num(SPREAD / 2), weight * weight * F.col("magnitude") * F.col("magnitude")).otherwise(num(0))).alias(f"_{i}"))
+    a = p.groupBy(*keys).agg(*sums).withColumn("_top", F.greatest(*[F.col(f"_{i}") for i in range(12)])).filter("_top > 0")
+    return a.select(*keys, F.array(*[F.col(f"_{i}") / F.col("_top") for i in range(12)]).alias("chroma"))
+
+
 def estimate_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, key, scale, strength, confidence) from ``chroma``, an array of 12: the best of 24
     candidates by correlation; confidence is the correlation times its lead over the best other tonic,

@@ -120,10 +120,11 @@ class Track:
         t = t.withColumn("status", F.coalesce("status", F.lit("unavailable"))).withColumn("confidence", F.coalesce("confidence", F.lit("low")))
         said = caveats(
             (F.col("source").isNull(), F.lit("there are no drums that sound and no mix to measure a tempo on")),
+            (F.col("error").isNotNull(), F.concat(F.lit("the tempo could not be measured: "), F.col("error"))),
             (F.col("caveat").isNotNull(), F.col("caveat")),
             (~F.col("is_drums") & (F.col("status") != "unavailable"), F.lit("the tempo is the mix's: its low band carries more than drums, and the octave could not be tried on a drum grid")),
         )
-        return materialize(t.withColumn("period_seconds", num(60) / positive(F.col("bpm"))).withColumn("caveats", said).drop("caveat"), "tempos")
+        return materialize(t.withColumn("period_seconds", num(60) / positive(F.col("bpm"))).withColumn("caveats", said).drop("caveat", "error"), "tempos")
 
     @cached_property
     def downbeat(self) -> DataFrame:

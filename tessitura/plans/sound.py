@@ -7,17 +7,19 @@ data source; and frames of two minutes, a week being a track, an event's type it
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura import sinks
 from tessitura.functions.scalars import HOP, HOP_SECONDS, N_FFT, SAMPLE_RATE, num, r6
-from tessitura.operators import analysis, arrangement, drums, tempo, track
+from tessitura.operators import analysis, arrangement, labels, series, spectrum, tonal, track
 from tessitura.plans import sections_sql
-from tessitura.plans.columnar import ENV, seconds
+from tessitura.plans.columnar import FEATURES, seconds
+from tessitura.plans.extended import TUMBLING, shown
 from tessitura.plans.registry import registry
 from tessitura.session import materialize, new_path, table
 from tessitura.sources import audio, wav
+from tessitura.streaming import windows
 
 QUERIES, ORACLES, query = registry()
 HOLD, FULL = 256, 500.0
@@ -233,3 +235,68 @@ def q75(spark, sf):
     """The whole graph: one nested row for each track, as JSON."""
     f = event_frames(spark, sf)
     return sinks.documents(track.Track(f, coarse_of(f)).tracks())
+
+
+@query("q76_nearest_peak", """with h as (select event_type source, floor(epoch_us(ts - timestamp '2024-01-01') / 3.6e9::double)::bigint frame, sum(value) v from events group by all),
+m as (select a.source, a.frame, arg_max(b.frame, {'v': b.v, 'f': -b.frame}) peak_frame, max(b.v) peak from h a join h b on a.source = b.source and b.frame between a.frame - 2 and a.frame + 2 group by all)
+select event_id, peak_frame, round_even(peak, 6) + 0::double peak from (select event_id, event_type source, round_even(epoch_us(ts - timestamp '2024-01-01') / 1e6::double / 3600, 0)::bigint frame from events) e left join m using (source, frame)""")
+def q76(spark, sf):
+    """Each event moved onto the loudest hour of its type around it."""
+    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("source"), "value", seconds("ts").alias("t"))
+    h = e.groupBy("source", F.floor(F.col("t") / num(3600)).alias("frame")).agg(F.sum("value").alias("value"))
+    return series.nearest_peak(e.drop("value"), h, 2, 3600.0, ["source"]).select("event_id", "peak_frame", r6(F.col("peak")).alias("peak"))
+
+
+@query("q77_flatness", """with h as (select user_id, floor(value / 10)::bigint bin, sum(value * value) p from events group by all), t as (select *, max(p) over (partition by user_id) top from h)
+select user_id, round_even(exp(avg(ln(greatest(p, top * 1e-12::double)))) / avg(greatest(p, top * 1e-12::double)), 6) + 0::double flatness from t where top > 0 group by 1""")
+def q77(spark, sf):
+    """How even the power of a user's events is over their sizes."""
+    h = table(spark, sf, "events").groupBy("user_id", F.floor(F.col("value") / num(10)).alias("bin")).agg(F.sum(F.col("value") * F.col("value")).alias("p"))
+    power = h.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "p"))), lambda x: x["p"]).alias("power"))
+    return power.select("user_id", r6(spectrum.flatness(F.col("power"))).alias("flatness")).filter("flatness is not null")
+
+
+@query("q78_peak_classes", f"""with p as (select user_id, 55 * power(2::double, (props::json->>'$.k')::bigint / 24::double) hz, value m from events), q as (select *, 69 + 12 * log2(hz / 440) midi from p where hz >= 40 and hz <= 5000 and m > 0),
+c as (select user_id, i, midi - i + 6 - floor((midi - i + 6) / 12) * 12 - 6 off, m from q, unnest(range(12)) t(i)), s as (select user_id, i, sum(case when abs(off) <= {2 / 3!r}::double then power(cos({np.pi * 3 / 4!r}::double * off), 2) * m * m else 0 end) s from c group by all)
+select user_id, i::int pitch_class, round_even(s / max(s) over (partition by user_id), 6) + 0::double share from s""")
+def q78(spark, sf):
+    """Pitch classes of each user's events, their size as the magnitude of a peak at a pitch that ``k`` gives."""
+    k = F.from_json("props", "k long")["k"]
+    p = table(spark, sf, "events").select("user_id", (num(55) * F.pow(num(2), k / num(24))).alias("hz"), F.col("value").alias("magnitude"))
+    c = tonal.peak_classes(p, ["user_id"]).select("user_id", F.posexplode("chroma").alias("pitch_class", "share"))
+    return c.select("user_id", "pitch_class", r6(F.col("share")).alias("share"))
+
+
+@query("q79_rules_of_a_table", labels.oracle(FEATURES, "track, source"))
+def q79(spark, sf):
+    """The labels again by rules that are rows."""
+    l = table(spark, sf, "lineitem")
+    q, d, t, n = F.avg("l_quantity"), F.avg("l_discount"), F.avg("l_tax"), F.count("*")
+    f = l.groupBy(F.col("l_suppkey").alias("track")).agg((num(-60) + q).alias("_l"), d.alias("rms_mean"), (num(1) + n / num(50)).alias("crest_factor"), (q / num(6)).alias("onset_density"), (num(100) * q).alias("centroid_energy_hz"), (num(50) * q).alias("centroid_mean"), (num(30) * q).alias("centroid_std"), (num(0.5) + t * num(8)).alias("chroma_entropy"), (t * num(20)).alias("band_low"), (d * num(4)).alias("band_high"), (q / num(5)).alias("transient_sharpness"))
+    f = f.withColumn("loudness_lufs", F.when(F.col("track") % 7 != 0, F.col("_l"))).drop("_l").withColumn("source", F.explode(F.array(*[F.lit(x) for x in arrangement.STEMS])))
+    return labels.label_by(f, labels.rule_rows(spark), KEYS).select(*KEYS, "label", r6(F.col("confidence")).alias("confidence"))
+
+
+@query("q80_bounded_stream", TUMBLING)
+def q80(spark, sf):
+    """Windows of a stream that evicts its state, the latest value of each."""
+    e = table(spark, sf, "events")
+    latest, _ = windows.run_bounded(spark, sf, "events.parquet", e.schema, new_path(spark, "stream"))
+    return shown(latest)
+
+
+@query("q81_tempo_fanout", f"""with {TEMPO}, p as (select track, 60 / coalesce(bpm, 120) p from tf) select fr.track, fr.source, round_even(any_value(p), 6) + 0::double period_seconds, count(*) frames from fr left join p on p.track = fr.track group by fr.track, fr.source""")
+def q81(spark, sf):
+    """A track's one tempo at each of its sources."""
+    f = event_frames(spark, sf)
+    t = track.Track(f, coarse_of(f)).tempo.select("track", "period_seconds")
+    return f.join(t, "track", "left").groupBy(*KEYS).agg(r6(F.first("period_seconds")).alias("period_seconds"), F.count("*").alias("frames"))
+
+
+@query("q82_rounded_documents", "select event_type, '{\"event_type\":\"' || event_type || '\",\"levels\":{\"events\":' || count(*) || ',\"users\":' || count(distinct user_id) || '}}' value from events group by 1")
+def q82(spark, sf):
+    """Documents in which a list is told by its length."""
+    e = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.collect_set("user_id").alias("users"))
+    e = e.select("event_type", F.struct("events", "users").alias("levels"))
+    kept = e.select("event_type", sinks.counted(F.col("levels"), e.schema["levels"].dataType, {"users"}).alias("levels"))
+    return kept.select("event_type", F.to_json(F.struct(*[sinks.rounded(F.col(f.name), f.dataType).alias(f.name) for f in kept.schema])).alias("value"))

@@ -262,27 +262,90 @@ def chunk_row(track: str, source: str, chunk: int, samples: np.ndarray, total: i
     return pa.RecordBatch.from_arrays(cols, names=["track", "source", "chunk", "samples", "total"])
 
 
+#: Fixed value: the peaks of a frame that count.
+MOST_PEAKS = 5
+PEAK_ROW = "track string, source string, frame long, hz double, magnitude double"
+
+
+def spectral_peaks(power: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frame, hz, magnitude) of the strongest local maxima of each frame's magnitudes, each at the top of a parabola through the logarithms of three bins."""
+    m = np.sqrt(power)
+    inner = m[:, 1:-1]
+    top = np.where((inner > m[:, :-2]) & (inner >= m[:, 2:]), inner, -1.0)
+    keep = np.argsort(-top, axis=1, kind="stable")[:, :MOST_PEAKS]
+    rows, cols = np.nonzero(np.take_along_axis(top, keep, 1) > 0)
+    k = keep[rows, cols] + 1
+    a, b, c = (np.log(np.maximum(m[rows, i], 1e-30)) for i in (k - 1, k, k + 1))
+    bend = a - 2 * b + c
+    shift = np.divide(0.5 * (a - c), bend, out=np.zeros_like(bend), where=bend != 0)
+    return rows, (k + shift) * SAMPLE_RATE / N_FFT, np.exp(b - 0.25 * (a - c) * shift)
+
+
+def frame_peaks(audio: DataFrame) -> DataFrame:
+    """PEAK_ROW rows from chunk rows: the spectral peaks of each frame, for ``tonal.peak_classes``."""
+
+    def run(batches):
+        for batch in batches:
+            tracks, sources, numbers = (batch.column(c).to_pylist() for c in ("track", "source", "chunk"))
+            for i, x in _samples(batch):
+                rows, hz, magnitude = spectral_peaks(power_frames(x))
+                cols = [pa.array([tracks[i]] * len(rows)), pa.array([sources[i]] * len(rows)), pa.array(numbers[i] * CHUNK_FRAMES + rows, pa.int64()), pa.array(hz), pa.array(magnitude)]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in PEAK_ROW.split(", ")])
+
+    return audio.select("track", "source", "chunk", "samples").mapInArrow(run, PEAK_ROW)
+
+
+def hit_spectra(audio: DataFrame, hits: DataFrame) -> DataFrame:
+    """(track, source, frame, power) of hits (track, source, frame, end): the power of each bin, summed over the frames [frame, end).
+
+    A hit meets the chunks that its frames lie in, one or two as a rule, by key; each gives a part and the parts are added.
+    """
+    h = hits.select("track", "source", "frame", "end", F.explode(F.sequence(F.floor(F.col("frame") / CHUNK_FRAMES), F.floor((F.col("end") - 1) / CHUNK_FRAMES))).alias("chunk"))
+    spans = h.groupBy("track", "source", "chunk").agg(F.collect_list("frame").alias("starts"), F.collect_list("end").alias("ends"))
+    rows = audio.select("track", "source", "chunk", "samples").join(spans, ["track", "source", "chunk"])
+
+    def run(batches):
+        for batch in batches:
+            tracks, sources, numbers, starts, ends = (batch.column(c).to_pylist() for c in ("track", "source", "chunk", "starts", "ends"))
+            for i, x in _samples(batch):
+                power, first = power_frames(x), numbers[i] * CHUNK_FRAMES
+                parts = [power[max(0, a - first) : max(0, b - first)].sum(0) for a, b in zip(starts[i], ends[i], strict=True)]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([tracks[i]] * n), pa.array([sources[i]] * n), pa.array(starts[i], pa.int64()), pa.array(parts, pa.list_(pa.float64()))], names=["track", "source", "frame", "power"])
+
+    parts = rows.mapInArrow(run, "track string, source string, frame long, power array<double>")
+    both = parts.groupBy("track", "source", "frame").agg(F.collect_list("power").alias("_p"))
+    return both.select("track", "source", "frame", F.aggregate(F.slice(F.col("_p"), F.lit(2), F.size("_p")), F.col("_p")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("power"))
+
+
 PITCH_WINDOW, PITCH_HZ, PITCH_MIN = 4096, (30.0, 400.0), 0.7
-F0 = "track string, source string, frame long, f0_hz double, voiced boolean, voiced_prob double"
+F0 = "track string, source string, frame long, f0_hz double, voiced boolean, voiced_prob double, error string"
 
 
 def pitch(audio: DataFrame, method: str = "yin") -> DataFrame:
     """F0 rows from chunk rows, the same for any cutting into chunks; voiced where the confidence is 0.7 or more and the frequency in range.
 
-    ``method`` is a name of ESTIMATORS: yin compares the frame with itself, yinfft goes through its power spectrum.
+    ``method`` is a name of ESTIMATORS: yin compares the frame with itself, yinfft goes through its power spectrum. A column
+    ``method`` names it for each row. A chunk whose estimator fails has one row without a frame, with the ``error``; the others stay as they are.
     """
-    estimate = ESTIMATORS[method]
+    if method not in ESTIMATORS:
+        raise ValueError(f"no pitch estimator {method!r}; there are {', '.join(ESTIMATORS)}")
 
     def run(batches):
         for batch in batches:
-            tracks, sources, numbers = (batch.column(c).to_pylist() for c in ("track", "source", "chunk"))
+            tracks, sources, numbers, methods = (batch.column(c).to_pylist() for c in ("track", "source", "chunk", "method"))
             for i, x, before, after in _edges(batch):
                 n, more = 1 + (len(x) - N_FFT) // HOP, PITCH_WINDOW // 2 - N_FFT // 2
-                f0, confidence = by_blocks(np.r_[before[len(before) - more :], x, after[:more]], n, estimate)
-                voiced = (confidence >= PITCH_MIN) & (f0 >= PITCH_HZ[0]) & (f0 <= PITCH_HZ[1])
-                yield pa.RecordBatch.from_arrays([pa.array([tracks[i]] * n), pa.array([sources[i]] * n), pa.array(numbers[i] * CHUNK_FRAMES + np.arange(n), pa.int64()), pa.array(f0, from_pandas=True), pa.array(voiced), pa.array(confidence)], names=[c.split()[0] for c in F0.split(", ")])
-
-    return with_neighbours(audio).select("track", "source", "chunk", "samples", "before", "after").mapInArrow(run, F0)
+                try:
+                    f0, confidence = by_blocks(np.r_[before[len(before) - more :], x, after[:more]], n, ESTIMATORS[methods[i]])
+                    voiced = (confidence >= PITCH_MIN) & (f0 >= PITCH_HZ[0]) & (f0 <= PITCH_HZ[1])
+                    cols = [pa.array(numbers[i] * CHUNK_FRAMES + np.arange(n), pa.int64()), pa.array(f0, from_pandas=True), pa.array(voiced), pa.array(confidence), pa.array([None] * n, pa.string())]
+                except Exception as e:  # noqa: BLE001 - whatever is wrong with one recording stays with it
+                    cols, n = [pa.array([None], k) for k in (pa.int64(), pa.float64(), pa.bool_(), pa.float64())] + [pa.array([f"{type(e).__name__}: {e}"])], 1
+                yield pa.RecordBatch.from_arrays([pa.array([tracks[i]] * n), pa.array([sources[i]] * n), *cols], names=[c.split()[0] for c in F0.split(", ")])
+
+    named = audio if "method" in audio.columns else audio.withColumn("method", F.lit(method))
+    return with_neighbours(named).select("track", "source", "chunk", "samples", "before", "after", "method").mapInArrow(run, F0)
 
 
 #: Frames that are estimated at once: some tens of MB.

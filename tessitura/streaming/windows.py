@@ -31,3 +31,34 @@ def run_available(spark: SparkSession, folder: str, glob: str, schema, transform
     q = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path)
+
+
+def run_bounded(spark: SparkSession, folder: str, glob: str, schema, checkpoint: str, late: str = "10 minutes", size: str = "1 hour", files_at_once: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(windows, late rows) of a stream whose state is evicted behind the watermark.
+
+    Update mode: each batch holds the windows that it changed, written under the batch's number, so a batch that runs again writes the same
+    place; the latest value of each (start, event_type) counts, and windows that are still open at the end are there. Rows whose window no
+    longer takes any go to a table of their own; a batch's rows are held against the watermark that the batch before it had.
+    """
+    root = f"{checkpoint}/bounded"
+    source = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_at_once).parquet(folder)
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/windows/part={number}")
+
+    def keep_late(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        marks = f"{root}/marks"
+        seen = session.read.schema("part int, top timestamp").parquet(marks).filter(F.col("part") < number - 1).agg(F.max("top")).first()[0] if number > 1 else None
+        b = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        closed = F.date_trunc("second", F.lit(seen)) - F.expr(f"interval {late}") if seen is not None else None
+        behind = F.window("ts", size)["end"] <= closed if seen is not None else F.lit(False)
+        b.filter(behind).write.mode("overwrite").parquet(f"{root}/late/part={number}")
+        b.agg(F.max("ts").alias("top")).write.mode("overwrite").parquet(f"{marks}/part={number}")
+
+    # the late rows first: both streams cut the files into the same batches
+    for name, frame, write, mode in (("late", source, keep_late, "append"), ("windows", tumbling(source, late, size), upsert, "update")):
+        q = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/{name}-log").foreachBatch(write).trigger(availableNow=True).start()
+        q.awaitTermination()
+    latest = spark.read.parquet(f"{root}/windows").groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
+    return latest, spark.read.schema(schema).parquet(f"{root}/late")
