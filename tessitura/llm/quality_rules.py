@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import NON_SPACE, folded, null_safe, text_or_empty, without_lines, words
-from tessitura.session import materialize
+from tessitura.session import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -143,6 +143,8 @@ def _judged(docs: DataFrame, limits: LineLimits) -> DataFrame:
     # rows that repeat bring each place more than once; it counts once
     lost = hit.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("pos", "line_words"))).alias("_x"))
     lost = lost.select(*KEY, F.aggregate("_x", F.lit(0).cast("long"), lambda a, x: a + x["line_words"]).alias("n_lost_words"), F.col("_x.pos").alias("removed"))
+    lost = materialize(lost, "lost-lines")
+    discard(lines)
     out = base.join(lost, null_safe(base, lost, KEY), "left").select(*[base[k] for k in KEY], *BASE, F.coalesce("n_lost_words", F.lit(0).cast("long")).alias("n_lost_words"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost_words") <= limits.max_lost_percent * F.col("n_words")))
 
