@@ -8,9 +8,10 @@
    A second pass sums (A Q)'(A Q), whose eigenvectors give the right singular vectors. All
    passages of all documents enter both.
 3. Every window of about an item's length, at every 16th word, is compared with every item by
-   cosine of the centred latent vectors scaled to unit variance, in blocks of items. Windows
-   above ``min_cosine`` are candidates.
-4. A candidate is checked on words, in the window and half an item on both sides: the longest
+   cosine of the centred latent vectors scaled to unit variance, in blocks of items. Items of fewer words than 16
+   are compared with every window of their own length, at every word, so that a copy has a window that is just it.
+   Windows above ``min_cosine`` are candidates.
+4. A candidate is checked on words, in the window and half an item and 16 words on both sides (a short item's in a quarter): the longest
    common subsequence must have ``min_share`` of the item's words, and where it has less than
    ``sure_share`` the answer, the item's last ``ANSWER`` words, must be there for the greater part.
    Before the subsequence is found, candidates go whose words can't reach it: the item's places
@@ -250,8 +251,10 @@ class Items:
         blocks, first = latent.blocks(features(words), ends)
         vectors = np.array([blocks[first[i] : first[i + 1]].sum(0) for i in full.tolist()], np.float32).reshape(len(full), blocks.shape[1])
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
-        spans = np.maximum(1, np.round(self.size / BLOCK).astype(np.int64))
-        self.by_span = {int(m): np.flatnonzero(spans == m) for m in np.unique(spans)}
+        short = self.size < BLOCK
+        spans = np.where(short, 0, np.round(self.size / BLOCK).astype(np.int64))
+        self.by_span = {int(m): np.flatnonzero(spans == m) for m in np.unique(spans[~short])}
+        self.by_length = {int(m): np.flatnonzero(self.size == m) for m in np.unique(self.size[short])}
         self.counts = np.zeros((len(full), SIGNS), np.uint16)  # places of each item by the hash of their word
         for i, w in enumerate(self.words):
             np.add.at(self.counts[i], (w >> np.uint64(64 - SIGN_BITS)).astype(np.int64), 1)
@@ -267,8 +270,31 @@ class Search:
         self.latent, self.items = latent, items
         self.min_share, self.sure_share, self.min_cosine = min_share, sure_share, min_cosine
 
+    def short_candidates(self, ids: np.ndarray, ends: np.ndarray):
+        """Like ``candidates``, for items shorter than a block: windows of their length at every word, of no span."""
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        for n, which in self.items.by_length.items():
+            vectors = self.items.vectors[which].T
+            for a in range(0, len(ids), CACHED):
+                some = ids[a : a + CACHED + n - 1]
+                rows = np.take(self.latent.weighted, some, axis=0).astype(np.float64) - self.latent.mean / BLOCK
+                sums = np.vstack([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
+                # a text of fewer words is one window, which ends with it
+                at = np.arange(a, min(a + CACHED, len(ids)))
+                stop = np.minimum(at + n, ends[text[at] + 1])
+                at, stop = at[(stop - at == n) | (at == ends[text[at]])], stop[(stop - at == n) | (at == ends[text[at]])]
+                w = (sums[stop - a] - sums[at - a]).astype(np.float32)
+                norm = np.sqrt(np.einsum("ij,ij->i", w, w))
+                dot = w @ vectors
+                row, column = np.nonzero(dot >= np.maximum(self.min_cosine * norm, 1e-9)[:, None])
+                if len(row):
+                    yield 0, text[at[row]], at[row] - ends[text[at[row]]], which[column], dot[row, column] / norm[row]
+
     def candidates(self, ids: np.ndarray, ends: np.ndarray):
         """(span, text, first word in the text, item, cosine) of the windows near an item."""
+        yield from self.short_candidates(ids, ends)
+        if not self.items.by_span:
+            return
         blocks, first = self.latent.blocks(ids, ends)
         text = np.repeat(np.arange(len(ends) - 1), np.diff(first))
         sums = np.vstack([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
@@ -291,19 +317,21 @@ class Search:
         same = np.flatnonzero(sign[order][1:] == sign[order][:-1])
         before = np.full(len(words), -1, np.int64)  # the last place of the same sign
         before[order[same + 1]] = order[same]
-        for _, text, at, item, cosine in self.candidates(features(words), ends):
+        for span, text, at, item, cosine in self.candidates(features(words), ends):
             n = self.items.size[item]
-            lo = np.maximum(ends[text], ends[text] + at - n // 2 - BLOCK)
-            hi = np.minimum(ends[text + 1], ends[text] + at + n + n // 2 + BLOCK)
+            # a window at every word lies where the item does; one at every block may be half a block off
+            around = n // 2 + BLOCK if span else n // 4
+            lo = np.maximum(ends[text], ends[text] + at - around)
+            hi = np.minimum(ends[text + 1], ends[text] + at + n + around)
             near = np.flatnonzero(self.bound(sign, before, lo, hi, item) >= self.min_share * n - 1e-6)
             for k in near.tolist():
                 i, m = int(item[k]), int(n[k])
-                around = words[lo[k] : hi[k]].tolist()
-                share = lcs(self.items.at[i], m, around) / m
+                near_by = words[lo[k] : hi[k]].tolist()
+                share = lcs(self.items.at[i], m, near_by) / m
                 if share < self.min_share - 1e-9:
                     continue
                 answer = self.items.answer[i]
-                found = 2 * lcs(self.items.answer_at[i], len(answer), around) > len(answer)
+                found = 2 * lcs(self.items.answer_at[i], len(answer), near_by) > len(answer)
                 if share >= self.sure_share or found:
                     yield int(text[k]), i, share, float(cosine[k]), int(at[k]), found
 

@@ -146,3 +146,31 @@ def test_rows_are_judged_by_their_text(spark):
     kept = D.keep_clean(df, bench)
     assert kept.columns == df.columns
     assert sorted(str(r["doc_id"]) + str(len(r["text"] or "")) for r in kept.collect()) == sorted(str(i) + str(len(t or "")) for i, t in rows if t != leak)
+
+
+@pytest.mark.parametrize("length", [1, 4, 6, 8, 12, 15])
+def test_short_items(spark, length):
+    """Copies of items of a few words are all found, paraphrases with up to 38 % of the words replaced nearly all, and nothing else."""
+    rng = random.Random(length)
+    say = sayer(rng)
+    items = [(i, [f"q{length}x{i}x{k}" if k % 2 else rng.choice(["the", "of", f"v{rng.randrange(3000)}"]) for k in range(length)]) for i in range(30)]
+    if length == 1:
+        items = [(i, [f"single{i}"]) for i in range(30)]
+    docs, copies, near = [], set(), set()
+    for d in range(240):
+        words, (i, item) = say(rng.randrange(3, 300)), items[d % len(items)]
+        part = list(item)
+        if d % 3 == 1 and length > 1:
+            for k in rng.sample(range(length), int(length * 0.38)):
+                part[k] = f"other{rng.randrange(1000)}"
+        if d % 3 < 2:
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = part
+            (copies if part == item else near).add((d, i))
+        docs.append((d, " ".join(words)))
+    docs += [(1000, " ".join(items[0][1])), (1001, items[1][1][0] + "!")]  # texts that are an item, or less than one
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    want = exhaustive(docs, [(i, " ".join(w)) for i, w in items])
+    assert copies <= got and (1000, 0) in got and copies <= want
+    assert len(got & near & want) >= 0.9 * len(near & want)
+    assert got <= want | {(1000, 0), (1001, 1)}
