@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.scalars import capped, classify_density, match_grid, note_name, num, positive, suggest_cycle_seconds
 
+from tessitura.operators import series, vocab
+
 #: Fixed values.
 MIN_INTERVALS, STRAIGHT_TOLERANCE, STRAIGHT_MIN, BASE_MIN, LILT = 16, 0.22, 0.80, 0.50, 1.1
 SWING_RATIO, CLUSTER_MAD, CLUSTER_MIN, ALTERNATION_MIN, SPLIT = (1.5, 2.5), 0.12, 0.35, 0.75, 0.10
@@ -207,3 +209,75 @@ def build(df: DataFrame) -> DataFrame:
     bass = {"key": F.col("key"), "scale": F.col("scale"), "confidence": F.col("key_confidence"), "present": yes, "silent": quiet}
     centre = centre_hint({**bass, "present": F.lit(False), "silent": F.lit(False)}, bass)
     return df.select("*", bpm["value"].alias("bpm"), suggest_cycle_seconds(bpm["value"]).alias("suggested_cycle_seconds"), density["value"].alias("drum_density"), centre["value"].alias("tonal_centre"), notes(bpm["note"], density["note"], centre["note"]).alias("notes"))
+
+
+def assemble(tracks: DataFrame, sources: DataFrame) -> DataFrame:
+    """(track, hints): what a track's documents suggest, each part null where it can't be told, with notes that say why.
+
+    ``tracks`` and ``sources`` are the nested rows of ``operators.track``. A track without sources has hints that are null and notes.
+    """
+    keys = ["track"]
+    of = lambda s, c: F.any_value(F.when(F.col("source") == s, c), ignoreNulls=True)
+    there = sources.filter("status = 'ok'")
+    parts = []
+    for s in ("mix", "drums", "bass"):
+        parts += [of(s, F.lit(True)).alias(f"{s}_there"), of(s, F.col("silent")).alias(f"{s}_silent"), of(s, F.col("rhythm.bpm")).alias(f"{s}_bpm"), of(s, F.col("rhythm.onset_density")).alias(f"{s}_density")]
+        parts += [of(s, F.col(f"tonal.{c}")).alias(f"{s}_{c}") for c in ("key", "scale", "key_confidence")]
+    bass = there.filter("source = 'bass'").select("track", F.col("spectral.band_low").alias("low"), F.col("spectral.brightness").alias("brightness"), F.col("spectral.centroid_energy_hz").alias("centroid"), "silent", F.coalesce("bass_line.status", F.lit("not_attempted")).alias("status"))
+    drums = there.filter("source = 'drums' and drum_decomposition is not null").select("track", "drum_decomposition")
+    hits = drums.select("track", F.inline("drum_decomposition.hits"))
+    evidence = feel_evidence(series.intervals(hits.select("track", F.col("seconds").alias("t")), "t", keys), keys)
+    known = lambda c: F.coalesce(F.col(c), F.lit(False))
+
+    wide = tracks.select("track", "tempo", F.col("arrangement.status").alias("_arranged")).join(there.groupBy("track").agg(*parts), "track", "left")
+    wide = wide.withColumn("_bpm", reported_bpm(F.col("tempo.bpm"), F.col("mix_bpm"), F.col("drums_bpm")))
+    beats = wide.select("track", (num(60) / grid_bpm(F.col("tempo.bpm"), F.col("drums_bpm"), F.col("mix_bpm"))).alias("_beat"))
+    felt = evidence.join(beats, keys)
+    felt = felt.select("track", feel_hint(felt, F.col("_beat")).alias("_feel"))
+
+    tonal = {s: {"key": F.col(f"{s}_key"), "scale": F.col(f"{s}_scale"), "confidence": F.col(f"{s}_key_confidence"), "present": known(f"{s}_there"), "silent": known(f"{s}_silent")} for s in ("mix", "bass")}
+    grid = drums.select("track", "drum_decomposition.status", "drum_decomposition.steps_per_cycle", F.col("drum_decomposition.unclassified").alias("unclassified"), "drum_decomposition.caveats")
+    grid = drum_grid_hint(grid, drums.select("track", F.inline("drum_decomposition.patterns")), keys).withColumnRenamed("note", "_grid_note")
+    line = there.filter("source = 'bass' and bass_line is not null").select("track", F.col("bass_line.status").alias("status"), F.explode_outer("bass_line.notes").alias("_n"))
+    line = bass_line_hint(line.select("track", "status", "_n.note", "_n.midi", "_n.step"), keys).withColumnRenamed("note", "_line_note")
+    bars = tracks.select("track", F.inline("arrangement.sections")).select("track", "start_bar", "length_bars", F.array_join("active", ",").alias("active"), "label")
+    gone = tracks.select("track", F.explode("arrangement.absent_sources").alias("source"))
+    bars = arrangement_hint(bars, keys, gone).withColumnRenamed("note", "_bars_note")
+    played = vocab.sounds(hits.select("track", "cls", "body", "decay"), bass, keys)
+    played = played.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("role", "sound", "alternatives"))).alias("sound_suggestions"))
+    for part in (felt, grid, line, bars, played):
+        wide = wide.join(part, "track", "left")
+
+    drum, low = (density_hint(F.col(f"{s}_density"), known(f"{s}_there"), known(f"{s}_silent"), s) for s in ("drums", "bass"))
+    centre = centre_hint(tonal["mix"], tonal["bass"])
+    others = F.transform(F.filter("tempo.octave_fits", lambda f: f["ratio"] != F.coalesce(F.col("tempo.ratio"), num(1))), lambda f: f["bpm"])
+    compared = F.exists("tempo.octave_fits", lambda f: f["grid"])
+    said = notes(
+        F.when(~known("mix_there") & ~known("drums_there") & ~known("bass_there"), "no source was analysed, so nothing is suggested"),
+        F.col("_bpm.note"),
+        tempo_note(F.col("tempo.status"), F.col("tempo.confidence"), F.col("tempo.r")),
+        octave_note(F.coalesce("tempo.octave", F.lit("unavailable")), F.col("tempo.ratio"), compared, others),
+        F.coalesce(F.col("_feel.note"), F.when(F.col("_feel").isNull(), "too few hits to tell how the beat is cut")),
+        drum["note"],
+        low["note"],
+        centre["note"],
+        F.col("_grid_note"),
+        F.col("_line_note"),
+        F.coalesce(F.col("_bars_note"), F.when(F.col("_arranged") != "ok", F.format_string("the arrangement's status is %s", F.col("_arranged")))),
+    )
+    hints = F.struct(
+        F.col("_bpm.value").alias("bpm"),
+        F.col("tempo.status").alias("tempo_status"),
+        F.col("tempo.confidence").alias("tempo_confidence"),
+        suggest_cycle_seconds(F.col("_bpm.value")).alias("suggested_cycle_seconds"),
+        F.col("_feel.value").alias("subdivision_feel"),
+        drum["value"].alias("drum_density"),
+        low["value"].alias("bass_activity"),
+        centre["value"].alias("tonal_centre"),
+        "drum_grid",
+        "bass_line",
+        "arrangement",
+        "sound_suggestions",
+        said.alias("notes"),
+    )
+    return wide.select("track", hints.alias("hints"))

@@ -97,18 +97,26 @@ def ordered(labels: DataFrame, keys: list[str]) -> DataFrame:
     return labels.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_l")).select(*keys, F.transform("_l", lambda x: F.concat(x["label"], F.lit("="), r6(-x["c"]).cast("string"))).alias("labels"))
 
 
+def evidence_text(seen: Column) -> Column:
+    """Evidence as ``descriptor=value`` by name, four decimals."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(seen)), lambda e: F.concat(e["key"], F.lit("="), F.bround(e["value"], 4).cast("decimal(18,4)").cast("string"))), " ")
+
+
 def oracle(src: str, keys: str) -> str:
-    """DuckDB SQL of ``label`` without evidence."""
+    """DuckDB SQL of ``label``, its evidence as ``evidence_text`` gives it."""
 
     def sql_ramp(d, t, s):
         at = f"(({d} - {t}::double) / {s - t}::double)"
         return f"case when {at} >= 0 then least(1::double, {at}) end"
 
+    def seen(names):
+        return "concat_ws(' ', " + ", ".join(f"'{n}=' || round_even({n}, 4)::decimal(18,4)::varchar" for n in sorted(names)) + ")"
+
     gate = f"case when loudness_lufs is not null then {sql_ramp('loudness_lufs', *SILENCE_LUFS)} else {sql_ramp('rms_mean', *SILENCE_RMS)} end"
-    parts = [f"select {keys}, 'silent/absent stem' as label, silent as confidence from s where silent is not null"]
+    parts = [f"select {keys}, 'silent/absent stem' as label, silent as confidence, {seen(['loudness_lufs', 'rms_mean'])} evidence from s where silent is not null"]
     for r in RULES:
         ramps = [sql_ramp(*x) for x in r.ramps]
         known = " and ".join(f"{x} is not null" for x in ramps)
         where = "true" if r.source == "any" else f"source = '{r.source}'"
-        parts.append(f"select {keys}, '{r.label}' as label, least({', '.join(ramps)}) as confidence from s where silent is null and {where} and {known}")
-    return f"with s as (select *, {gate} silent from ({src})) select {keys}, label, round_even(max(confidence), 6) + 0::double confidence from ({' union all '.join(parts)}) group by {keys}, label"
+        parts.append(f"select {keys}, '{r.label}' as label, least({', '.join(ramps)}) as confidence, {seen({d for d, _, _ in r.ramps})} evidence from s where silent is null and {where} and {known}")
+    return f"with s as (select *, {gate} silent from ({src})) select {keys}, label, round_even(max(confidence), 6) + 0::double confidence, arg_max(evidence, confidence) evidence from ({' union all '.join(parts)}) group by {keys}, label"

@@ -147,8 +147,8 @@ class Track:
         """(track, drum_decomposition) of tracks with drums; hits by frame and class, patterns by class."""
         hits, patterns, summary = self.drum_parts
         order = class_order(F.col("cls"))
-        listed = hits.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("frame", order.alias("_o"), "t", "cls", "confidence", "step", "cycle", "band"))).alias("hits"))
-        listed = listed.select("track", F.transform("hits", lambda h: F.struct(h["t"].alias("seconds"), h["cls"].alias("cls"), h["confidence"].alias("confidence"), h["step"].alias("step"), h["cycle"].alias("cycle"))).alias("_hits"))
+        listed = hits.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("frame", order.alias("_o"), "t", "cls", "confidence", "step", "cycle", "band", "body", "decay"))).alias("hits"))
+        listed = listed.select("track", F.transform("hits", lambda h: F.struct(h["t"].alias("seconds"), h["cls"].alias("cls"), h["confidence"].alias("confidence"), h["step"].alias("step"), h["cycle"].alias("cycle"), h["body"].alias("body"), h["decay"].alias("decay"))).alias("_hits"))
         p = patterns.groupBy("track").agg(F.array_sort(F.collect_list(F.struct(order.alias("_o"), "cls", "hit_count", "steps", "occupancy"))).alias("_p"))
         p = p.select("track", F.transform("_p", lambda x: x.dropFields("_o")).alias("_patterns"))
         there = self.frames.filter("source = 'drums'").select("track").distinct().join(self.source.select("track", "is_drums"), "track")

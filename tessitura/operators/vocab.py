@@ -14,12 +14,12 @@ PALETTE = ["ht", "mt", "lt", "cr", "rd", "perc", "sh", "cb", "tb"]
 
 
 def drum_sound(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, cls, sound, offers) per class of hits (cls, body, decay) by their medians and means."""
-    m = hits.groupBy(*keys, "cls").agg(F.avg("body").alias("body"), F.percentile("decay", num(0.5)).alias("decay"))
+    """(keys, cls, sound, offers, hits, evidence) per class of hits (cls, body, decay) by their medians and means, with how many they are."""
+    m = hits.groupBy(*keys, "cls").agg(F.avg("body").alias("body"), F.percentile("decay", num(0.5)).alias("decay"), F.count("*").alias("hits"))
     c = F.col("cls")
     sound = F.when(c == "kick", "bd").when(c == "snare", "sd").when((c == "hat") & (F.col("decay") >= CLOSED_DECAY), "hh").when((c == "hat") & F.col("decay").isNotNull(), "oh")
     offers = F.when((c == "snare") & (F.col("body") < SHELL_BODY), F.array(F.lit("cp"))).when(c == "unclassified", F.array(*[F.lit(x) for x in PALETTE])).otherwise(F.array().cast("array<string>"))
-    return m.select(*keys, "cls", sound.alias("sound"), offers.alias("offers"))
+    return m.select(*keys, "cls", sound.alias("sound"), offers.alias("offers"), "hits", evidence(body=F.col("body"), decay=F.col("decay"), hits=F.col("hits")).alias("evidence"))
 
 
 def bass_sound(low: Column, brightness: Column, centroid: Column, silent: Column) -> Column:
@@ -57,7 +57,7 @@ def bass_suggestion(low: Column, brightness: Column, centroid: Column, silent: C
 
 
 def sounds(hits: DataFrame, bass: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, role, sound, alternatives): the drums' sounds and the bass's, of (keys, low, brightness, centroid, silent, status), together."""
-    drums = drum_sound(hits, keys).select(*keys, F.col("cls").alias("role"), "sound", F.col("offers").alias("alternatives"))
+    """(keys, role, sound, alternatives, evidence): the drums' sounds and the bass's, of (keys, low, brightness, centroid, silent, status), together."""
+    drums = drum_sound(hits, keys).select(*keys, F.col("cls").alias("role"), "sound", F.col("offers").alias("alternatives"), "evidence")
     b = bass.select(*keys, bass_suggestion(*[F.col(c) for c in ("low", "brightness", "centroid", "silent", "status")]).alias("_b"))
-    return drums.unionByName(b.select(*keys, "_b.role", "_b.sound", "_b.alternatives"))
+    return drums.unionByName(b.select(*keys, "_b.role", "_b.sound", "_b.alternatives", "_b.evidence"))

@@ -180,18 +180,17 @@ def q15(spark, sf):
     return out.select("source", F.col("offset").cast("int").alias("offset"), r6(F.col("contrast")).alias("contrast"))
 
 
-@query("q16_slot_energy", f"""with {HOURLY}, w as (select source, h, max(v) over (partition by source order by h rows between current row and 4 following) m from hr),
-s as (select source, h % 4 slot, quantile_cont(m, 0.5) e from w group by all), n as (select *, e / sum(e) over (partition by source) share from s),
-p as (select slot, max(share) filter (where source = (select min(source) from hr)) low, max(share) filter (where source = (select max(source) from hr)) bright from n group by 1)
+@query("q16_slot_energy", f"""with {ENV}, hr as (select floor(t / 3600)::bigint h, sum(value) low, count(*)::double bright from env group by 1),
+w as (select h, max(low) over v low, max(bright) over v bright from hr window v as (order by h rows between current row and 4 following)),
+s as (select h % 4 slot, quantile_cont(low, 0.5) low, quantile_cont(bright, 0.5) bright from w group by 1), p as (select slot, low / sum(low) over () low, bright / sum(bright) over () bright from s)
 select slot, round_even(low, 6) + 0::double low, round_even(bright, 6) + 0::double bright, round_even(low - bright, 6) + 0::double balance from p""")
 def q16(spark, sf):
-    h = hourly(spark, sf)
-    w = h.withColumn("m", F.max("v").over(Window.partitionBy("source").orderBy("h").rowsBetween(0, 4)))
-    s = w.groupBy("source", F.pmod("h", F.lit(4)).alias("slot")).agg(F.percentile("m", num(0.5)).alias("e"))
-    n = s.withColumn("share", F.col("e") / F.sum("e").over(Window.partitionBy("source")))
-    ends = h.agg(F.min("source").alias("lo"), F.max("source").alias("hi"))
-    p = n.join(ends, (F.col("source") == F.col("lo")) | (F.col("source") == F.col("hi")))
-    p = p.groupBy("slot").agg(F.max(F.when(F.col("source") == F.col("lo"), F.col("share"))).alias("low"), F.max(F.when(F.col("source") == F.col("hi"), F.col("share"))).alias("bright"))
+    """Slots of four hours over all events: their sum as the low envelope, their number as the bright one."""
+    h = envelope(spark, sf).groupBy(F.lit("all").alias("track"), F.floor(F.col("t") / num(3600)).alias("h")).agg(F.sum("value").alias("low"), F.count("*").cast("double").alias("bright"))
+    ahead, whole = Window.partitionBy("track").orderBy("h").rowsBetween(0, 4), Window.partitionBy("track")
+    w = h.select("track", "h", F.max("low").over(ahead).alias("low"), F.max("bright").over(ahead).alias("bright"))
+    s = w.groupBy("track", F.pmod("h", F.lit(4)).alias("slot")).agg(F.percentile("low", num(0.5)).alias("low"), F.percentile("bright", num(0.5)).alias("bright"))
+    p = s.select("slot", *[(F.col(c) / F.sum(c).over(whole)).alias(c) for c in ("low", "bright")])
     return p.select("slot", r6(F.col("low")).alias("low"), r6(F.col("bright")).alias("bright"), r6(F.col("low") - F.col("bright")).alias("balance"))
 
 
@@ -252,23 +251,36 @@ def vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
-CHROMA = "c as (select vec_id, label, list_transform(embedding[1:12], lambda x: greatest(x::double, 0)) c from embeddings)"
+#: All dimensions of a vector folded to twelve classes, what is negative left out.
+CHROMA = "c as (select vec_id, label, list_transform(range(12), lambda i: list_sum(list_transform(range(i + 1, len(embedding) + 1, 12), lambda j: greatest(embedding[j]::double, 0)))) c from embeddings)"
+
+
+def chroma(spark, sf) -> DataFrame:
+    """(vec_id, chroma), summed in one aggregation."""
+    v = vectors(spark, sf).select("vec_id", F.posexplode("v").alias("i", "x"))
+    sums = v.groupBy("vec_id").agg(*[F.sum(F.when(F.col("i") % 12 == c, F.greatest("x", num(0))).otherwise(num(0))).alias(f"_{c}") for c in range(12)])
+    return sums.select("vec_id", F.array(*[F.col(f"_{c}") for c in range(12)]).alias("chroma"))
 
 
 @query("q23_chroma_entropy", f"with {CHROMA}, t as (select *, list_sum(c) s from c) select vec_id, round_even(case when s > 0 then least(1, greatest(0, -list_sum(list_transform(c, lambda x: case when x > 0 then x / s * ln(x / s) else 0 end)) / ln(12))) end, 6) + 0::double h from t")
 def q23(spark, sf):
-    return vectors(spark, sf).select("vec_id", r6(S.chroma_entropy(F.slice("v", 1, 12))).alias("h"))
+    return chroma(spark, sf).select("vec_id", r6(S.chroma_entropy(F.col("chroma"))).alias("h"))
+
+
+#: Vectors follow each other inside a label and a hundred of ids, so no task holds a label.
+def batch():
+    return Window.partitionBy("label", F.floor(F.col("vec_id") / 100)).orderBy("vec_id")
 
 
-@query("q24_consecutive_cosine", "with v as (select vec_id, label, embedding::double[] v, lag(embedding::double[]) over (partition by label order by vec_id) b from embeddings) select vec_id, label, round_even(list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0), 6) + 0::double sim from v where b is not null")
+@query("q24_consecutive_cosine", "with v as (select vec_id, label, embedding::double[] v, lag(embedding::double[]) over (partition by label, vec_id // 100 order by vec_id) b from embeddings) select vec_id, label, round_even(list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0), 6) + 0::double sim from v where b is not null")
 def q24(spark, sf):
-    v = vectors(spark, sf).withColumn("b", F.lag("v").over(Window.partitionBy("label").orderBy("vec_id"))).filter("b is not null")
+    v = vectors(spark, sf).withColumn("b", F.lag("v").over(batch())).filter("b is not null")
     return v.select("vec_id", "label", r6(series.cosine(F.col("v"), F.col("b"))).alias("sim"))
 
 
-@query("q24b_tonal_stability", "with v as (select label, embedding::double[] v, lag(embedding::double[]) over (partition by label order by vec_id) b from embeddings) select label, round_even(1 - avg(1 - list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0)), 6) + 0::double stability from v where b is not null group by 1")
+@query("q24b_tonal_stability", "with v as (select label, embedding::double[] v, lag(embedding::double[]) over (partition by label, vec_id // 100 order by vec_id) b from embeddings) select label, round_even(1 - avg(1 - list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0)), 6) + 0::double stability from v where b is not null group by 1")
 def q24b(spark, sf):
-    v = vectors(spark, sf).withColumn("b", F.lag("v").over(Window.partitionBy("label").orderBy("vec_id"))).filter("b is not null")
+    v = vectors(spark, sf).withColumn("b", F.lag("v").over(batch())).filter("b is not null")
     return v.groupBy("label").agg(r6(num(1) - F.avg(num(1) - series.cosine(F.col("v"), F.col("b")))).alias("stability"))
 
 
@@ -286,8 +298,7 @@ select vec_id, k "key", s scale, round_even(r, 6) + 0::double strength, round_ev
 def q25(spark, sf):
     from tessitura.operators.tonal import estimate_key
 
-    c = vectors(spark, sf).select("vec_id", F.transform(F.slice("v", 1, 12), lambda x: F.greatest(x, num(0))).alias("chroma"))
-    return estimate_key(c, ["vec_id"]).select("vec_id", "key", "scale", r6(F.col("strength")).alias("strength"), r6(F.col("confidence")).alias("confidence"))
+    return estimate_key(chroma(spark, sf), ["vec_id"]).select("vec_id", "key", "scale", r6(F.col("strength")).alias("strength"), r6(F.col("confidence")).alias("confidence"))
 
 
 POWER = "p as (select label, i * 300::double freq, sum(embedding[i]::double * embedding[i]::double) p from (select label, embedding, unnest(range(1, 65)) i from embeddings) group by all)"
@@ -338,14 +349,14 @@ NAMES = "(" + str(S.NOTE_NAMES) + ")"
 @query("q28_note_names", f"with {HZ}, m as (select *, 69 + 12 * log2(f / 440) m from hz) select track, frame, round_even(m, 6) + 0::double midi, {NAMES}[(((round_even(m, 0)::int % 12) + 12) % 12) + 1] || (floor(round_even(m, 0) / 12)::int - 1)::varchar note, round_even(440 * pow(2, (m - 69) / 12), 4) + 0::double hz from m")
 def q28(spark, sf):
     p = pitch(spark, sf).withColumn("m", S.midi_from_hz(F.col("f")))
-    return p.select("track", "frame", r6(F.col("m")).alias("midi"), S.note_name(F.col("m")).alias("note"), (F.round(S.hz_from_midi(F.col("m")), 4) + num(0)).alias("hz"))
+    return p.select("track", "frame", r6(F.col("m")).alias("midi"), S.note_name(F.col("m")).alias("note"), (F.bround(S.hz_from_midi(F.col("m")), 4) + num(0)).alias("hz"))
 
 
 @query("q29_octave_snap", f"""with {HZ}, m as (select *, round_even(69 + 12 * log2(f / 440), 3) m from hz), s as (select *, quantile_cont(m, 0.5) over (partition by track order by frame rows between 2 preceding and 2 following) s from m),
 g as (select *, quantile_cont(s, 0.5) over (partition by track order by frame rows between 10 preceding and 10 following) g from s), k as (select *, round_even((g - s) / 12, 0) k from g)
 select track, frame, round_even(s, 6) + 0::double smooth, round_even(case when k <> 0 and abs(s + 12 * k - g) < abs(s - g) then s + 12 * k else s end, 6) + 0::double snapped from k""")
 def q29(spark, sf):
-    p = pitch(spark, sf).withColumn("m", F.round(S.midi_from_hz(F.col("f")), 3)).withColumn("smooth", series.rolling_median("m", 2, ["track"]))
+    p = pitch(spark, sf).withColumn("m", F.bround(S.midi_from_hz(F.col("f")), 3)).withColumn("smooth", series.rolling_median("m", 2, ["track"]))
     return series.octave_snap(p, "smooth", 10, ["track"]).select("track", "frame", r6(F.col("smooth")).alias("smooth"), r6(F.col("snapped")).alias("snapped"))
 
 
@@ -385,7 +396,7 @@ def q32(spark, sf):
     q, d, t, n = F.avg("l_quantity"), F.avg("l_discount"), F.avg("l_tax"), F.count("*")
     f = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("track")).agg((num(-60) + q).alias("_l"), d.alias("rms_mean"), (num(1) + n / num(50)).alias("crest_factor"), (q / num(6)).alias("onset_density"), (num(100) * q).alias("centroid_energy_hz"), (num(50) * q).alias("centroid_mean"), (num(30) * q).alias("centroid_std"), (num(0.5) + t * num(8)).alias("chroma_entropy"), (t * num(20)).alias("band_low"), (d * num(4)).alias("band_high"), (q / num(5)).alias("transient_sharpness"))
     f = f.withColumn("loudness_lufs", F.when(F.col("track") % 7 != 0, F.col("_l"))).withColumn("source", F.explode(F.array(*[F.lit(x) for x in ("drums", "bass", "vocals", "other")])))
-    return labels.label(f, ["track", "source"]).select("track", "source", "label", r6(F.col("confidence")).alias("confidence"))
+    return labels.label(f, ["track", "source"]).select("track", "source", "label", r6(F.col("confidence")).alias("confidence"), labels.evidence_text(F.col("evidence")).alias("evidence"))
 
 
 @query("q33_class_decision", """with s as (select p_partkey, [{'s': -(p_size / 50::double), 'n': 'kick'}, {'s': -(p_retailprice / 2000::double), 'n': 'snare'}, {'s': -((p_partkey % 10) / 10::double), 'n': 'hat'}] a from part),

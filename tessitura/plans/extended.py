@@ -254,13 +254,14 @@ def q68(spark, sf):
         ramp(p_size, 10, 30) graded, grid_step(p_size, 7, 3, 16) step, slugify(p_name) slug from _tessitura_part""")
 
 
-@query("q69_table_function", """with s as (select event_type, list(value order by event_id) x from events group by 1), f as (select event_type, unnest(range(greatest(0, 1 + (len(x) - 256) // 64))) frame, x from s where len(x) >= 256)
-select event_type, frame::int frame, round_even(sqrt(list_avg(list_transform(x[frame * 64 + 1:frame * 64 + 256], lambda v: v * v))), 6) + 0::double rms, list_max(list_transform(x[frame * 64 + 1:frame * 64 + 256], lambda v: abs(v))) peak from f""")
+@query("q69_table_function", """with s as (select event_type, ts::date d, list(value order by event_id) x from events group by all), f as (select event_type, d, unnest(range(greatest(0, 1 + (len(x) - 16) // 4))) frame, x from s where len(x) >= 16)
+select event_type, d::varchar d, frame::int frame, round_even(sqrt(list_avg(list_transform(x[frame * 4 + 1:frame * 4 + 16], lambda v: v * v))), 6) + 0::double rms, list_max(list_transform(x[frame * 4 + 1:frame * 4 + 16], lambda v: abs(v))) peak from f""")
 def q69(spark, sf):
+    """Frames of 16 values, every 4, of a type's events of a day."""
     sql.register(spark)
-    e = table(spark, sf, "events").groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("samples"))
+    e = table(spark, sf, "events").groupBy("event_type", F.col("ts").cast("date").cast("string").alias("d")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("samples"))
     e.createOrReplaceTempView("_tessitura_series")
-    return spark.sql("select event_type, frame, bround(rms, 6) + 0d rms, peak from _tessitura_series, lateral frames(samples, 256, 64)")
+    return spark.sql("select event_type, d, frame, bround(rms, 6) + 0d rms, peak from _tessitura_series, lateral frames(samples, 16, 4)")
 
 
 @query("q70_notes_on_grid", """with g as (select s_suppkey track, s_acctbal / 1000 anchor, case when s_nationkey % 2 = 0 then 0.125::double else case when s_nationkey % 3 <> 0 then 0.5::double * 4 / 16 end end step, case when s_nationkey % 2 = 0 and s_nationkey % 4 = 0 then null else 16 end n from supplier),

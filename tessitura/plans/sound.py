@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessitura import sinks
 from tessitura.functions.scalars import HOP, HOP_SECONDS, N_FFT, SAMPLE_RATE, num, r6
-from tessitura.operators import analysis, arrangement, labels, series, spectrum, tonal, track
+from tessitura.operators import analysis, arrangement, hints, labels, series, spectrum, tonal, track
 from tessitura.plans import sections_sql
 from tessitura.plans.columnar import FEATURES, seconds
 from tessitura.plans.extended import TUMBLING, shown
@@ -29,7 +29,11 @@ KEYS = ["track", "source"]
 
 def recordings(spark, sf) -> DataFrame:
     """Chunk rows of the recordings: written, then read by ranges of bytes."""
-    e = table(spark, sf, "events").select(F.concat(F.lit("week"), F.floor(seconds("ts") / num(WEEK)).cast("string")).alias("track"), F.col("event_type").alias("source"), F.col("event_id").alias("i"), (F.col("value") / num(FULL)).alias("value"))
+    return sound_of(spark, table(spark, sf, "events"))
+
+
+def sound_of(spark, events: DataFrame) -> DataFrame:
+    e = events.select(F.concat(F.lit("week"), F.floor(seconds("ts") / num(WEEK)).cast("string")).alias("track"), F.col("event_type").alias("source"), F.col("event_id").alias("i"), (F.col("value") / num(FULL)).alias("value"))
     root = new_path(spark, "recordings")
     materialize(wav.write_recordings(e, root, HOLD), "recordings-written")
     return wav.read_chunks(spark, root, 1 << 20)
@@ -274,7 +278,7 @@ def q79(spark, sf):
     q, d, t, n = F.avg("l_quantity"), F.avg("l_discount"), F.avg("l_tax"), F.count("*")
     f = l.groupBy(F.col("l_suppkey").alias("track")).agg((num(-60) + q).alias("_l"), d.alias("rms_mean"), (num(1) + n / num(50)).alias("crest_factor"), (q / num(6)).alias("onset_density"), (num(100) * q).alias("centroid_energy_hz"), (num(50) * q).alias("centroid_mean"), (num(30) * q).alias("centroid_std"), (num(0.5) + t * num(8)).alias("chroma_entropy"), (t * num(20)).alias("band_low"), (d * num(4)).alias("band_high"), (q / num(5)).alias("transient_sharpness"))
     f = f.withColumn("loudness_lufs", F.when(F.col("track") % 7 != 0, F.col("_l"))).drop("_l").withColumn("source", F.explode(F.array(*[F.lit(x) for x in arrangement.STEMS])))
-    return labels.label_by(f, labels.rule_rows(spark), KEYS).select(*KEYS, "label", r6(F.col("confidence")).alias("confidence"))
+    return labels.label_by(f, labels.rule_rows(spark), KEYS).select(*KEYS, "label", r6(F.col("confidence")).alias("confidence"), labels.evidence_text(F.col("evidence")).alias("evidence"))
 
 
 @query("q80_bounded_stream", TUMBLING)
@@ -300,3 +304,13 @@ def q82(spark, sf):
     e = e.select("event_type", F.struct("events", "users").alias("levels"))
     kept = e.select("event_type", sinks.counted(F.col("levels"), e.schema["levels"].dataType, {"users"}).alias("levels"))
     return kept.select("event_type", F.to_json(F.struct(*[sinks.rounded(F.col(f.name), f.dataType).alias(f.name) for f in kept.schema])).alias("value"))
+
+
+@query("q83_hints")
+def q83(spark, sf):
+    """From the sound of events to hints: a type's recording is a source, errors are the mix."""
+    kinds = F.create_map(*[x for k, v in {**SOURCES, "error": "mix"}.items() for x in (F.lit(k), F.lit(v))])
+    chunks = materialize(sound_of(spark, table(spark, sf, "events").withColumn("event_type", F.try_element_at(kinds, F.col("event_type")))), "event-sound")
+    wanted = analysis.expected(chunks.select("track"))
+    found, tracks = track.from_sound(audio.frame_bands(chunks), audio.pitch(chunks.filter("source = 'bass'")), audio.levels(chunks, KEYS), wanted)
+    return sinks.documents(hints.assemble(tracks, found))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessitura import sinks
-from tessitura.operators import analysis, track
+from tessitura.operators import analysis, hints, track
 from tessitura.sources import audio
 
 BPM, SECONDS, FIRST = 120.0, 34, 0.25
@@ -101,3 +101,21 @@ def test_grid_source_and_bass_grid(spark):
     rows = [("a", "drums", 0.1), ("a", "mix", 0.2), ("b", "drums", 1e-5), ("b", "mix", 0.2), ("c", "bass", 0.2), ("d", "mix", None)]
     got = {r["track"]: (r["source"], r["is_drums"]) for r in track.grid_source(spark.createDataFrame(rows, "track string, source string, rms double")).collect()}
     assert got == {"a": ("drums", True), "b": ("mix", False), "c": (None, False), "d": (None, False)}
+
+
+def test_hints(analysed):
+    got = {r["track"]: r["hints"] for r in hints.assemble(analysed[1], analysed[0]).collect()}
+    h = got["song"]
+    assert abs(h["bpm"] - BPM) < 0.05 and abs(h["suggested_cycle_seconds"] - 2) < 0.01 and h["tempo_status"] == "refined"
+    mix, bass_ = ({(r["track"], r["source"]): r for r in analysed[0].collect()}["song", s]["tonal"] for s in ("mix", "bass"))
+    sure = [t for t in (mix, bass_) if t["key_confidence"] >= hints.CENTRE_MIN["profile_lead"]]
+    assert h["tonal_centre"] == (f"{sure[0]['key']} {sure[0]['scale']}" if sure else None)
+    assert h["drum_density"] in ("moderate", "busy") and h["bass_activity"] == "moderate" and h["subdivision_feel"] == "straight 8ths"
+    assert h["drum_grid"]["status"] == "ok" and len(h["drum_grid"]["kick_steps"]) == 2 and h["drum_grid"]["steps_per_cycle"] == 16
+    assert h["bass_line"]["note_sequence"][:4] == ["a1", "c2", "a1", "c2"] and h["bass_line"]["truncated_from"] >= 55 and abs(sum(h["bass_line"]["step_share"]) - 1) < 0.01
+    assert h["arrangement"]["sections"][0].startswith("bar 0 x4 intro") and {s["role"] for s in h["sound_suggestions"]} >= {"kick", "bass"}
+    assert {s["role"]: s["sound"] for s in h["sound_suggestions"]}["kick"] == "bd"
+    calm = got["calm"]
+    assert calm["drum_density"] is None and calm["bass_line"]["status"] == "silent" and calm["arrangement"] is None and calm["subdivision_feel"] is None
+    said = " ".join(calm["notes"])
+    assert "drums are below the silence floor" in said and "arrangement's status is no_grid" in said
