@@ -9,7 +9,7 @@
    passages of all documents enter both.
 3. Every window of about an item's length, at every 16th word, is compared with every item by
    cosine of the centred latent vectors scaled to unit variance, in blocks of items. Items of fewer words than 16
-   are compared with every window of their own length, at every word, so that a copy has a window that is just it.
+   are compared with windows of their own length, at every quarter of it (at every word for less than eight words).
    Windows above ``min_cosine`` are candidates.
 4. A candidate is checked on words, in the window and half an item and 16 words on both sides (a short item's in a quarter): the longest
    common subsequence must have ``min_share`` of the item's words, and where it has less than
@@ -66,9 +66,16 @@ def lay_out(ids: np.ndarray, ends: np.ndarray, unit: int) -> tuple[np.ndarray, n
 def unit_sums(table: np.ndarray, laid: np.ndarray, unit: int) -> np.ndarray:
     """Sums over units of the table's rows (the last row, of the padding, is zero)."""
     out = np.empty((len(laid) // unit, table.shape[1]), np.float32)
-    for a in range(0, len(laid), CACHED):
-        rows = np.take(table, laid[a : a + CACHED], axis=0, mode="clip")
-        rows.reshape(-1, unit, table.shape[1]).sum(1, out=out[a // unit : (a + len(rows)) // unit])
+    step = CACHED // unit * unit
+    for a in range(0, len(laid), step):
+        rows = np.take(table, laid[a : a + step], axis=0, mode="clip")
+        into = out[a // unit : (a + len(rows)) // unit]
+        if unit < 8:  # the sum of few rows is faster by hand
+            into[:] = rows[::unit]
+            for k in range(1, unit):
+                into += rows[k::unit]
+        else:
+            rows.reshape(-1, unit, table.shape[1]).sum(1, out=into)
     return out
 
 
@@ -192,11 +199,11 @@ class Latent:
     def __init__(self, idf: np.ndarray, projection: np.ndarray, mean: np.ndarray):
         self.weighted, self.mean = _padded(projection * idf[:, None]), mean.astype(np.float32)
 
-    def blocks(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Latent vectors of the blocks of many texts, and the block in which each text starts."""
-        laid, first = lay_out(ids, ends, BLOCK)
-        words = (laid.reshape(-1, BLOCK) < FEATURES).sum(1)
-        return unit_sums(self.weighted, laid, BLOCK) - self.mean * (words / BLOCK)[:, None].astype(np.float32), first
+    def blocks(self, ids: np.ndarray, ends: np.ndarray, unit: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+        """Latent vectors of the blocks of ``unit`` words of many texts, and the block in which each text starts."""
+        laid, first = lay_out(ids, ends, unit)
+        words = (laid.reshape(-1, unit) < FEATURES).sum(1)
+        return unit_sums(self.weighted, laid, unit) - self.mean * (words / BLOCK)[:, None].astype(np.float32), first
 
 
 def fit(docs: DataFrame, rank: int = RANK, seed: int = 5) -> Latent:
@@ -251,10 +258,9 @@ class Items:
         blocks, first = latent.blocks(features(words), ends)
         vectors = np.array([blocks[first[i] : first[i + 1]].sum(0) for i in full.tolist()], np.float32).reshape(len(full), blocks.shape[1])
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
-        short = self.size < BLOCK
-        spans = np.where(short, 0, np.round(self.size / BLOCK).astype(np.int64))
-        self.by_span = {int(m): np.flatnonzero(spans == m) for m in np.unique(spans[~short])}
-        self.by_length = {int(m): np.flatnonzero(self.size == m) for m in np.unique(self.size[short])}
+        units = np.where(self.size < BLOCK, np.maximum(1, self.size // 4), BLOCK)
+        spans = np.where(units < BLOCK, -(-self.size // units), np.round(self.size / BLOCK).astype(np.int64))
+        self.by_unit = {int(u): {int(m): np.flatnonzero((units == u) & (spans == m)) for m in np.unique(spans[units == u])} for u in np.unique(units)}
         self.counts = np.zeros((len(full), SIGNS), np.uint16)  # places of each item by the hash of their word
         for i, w in enumerate(self.words):
             np.add.at(self.counts[i], (w >> np.uint64(64 - SIGN_BITS)).astype(np.int64), 1)
@@ -270,44 +276,22 @@ class Search:
         self.latent, self.items = latent, items
         self.min_share, self.sure_share, self.min_cosine = min_share, sure_share, min_cosine
 
-    def short_candidates(self, ids: np.ndarray, ends: np.ndarray):
-        """Like ``candidates``, for items shorter than a block: windows of their length at every word, of no span."""
-        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        for n, which in self.items.by_length.items():
-            vectors = self.items.vectors[which].T
-            for a in range(0, len(ids), CACHED):
-                some = ids[a : a + CACHED + n - 1]
-                rows = np.take(self.latent.weighted, some, axis=0).astype(np.float64) - self.latent.mean / BLOCK
-                sums = np.vstack([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
-                # a text of fewer words is one window, which ends with it
-                at = np.arange(a, min(a + CACHED, len(ids)))
-                stop = np.minimum(at + n, ends[text[at] + 1])
-                at, stop = at[(stop - at == n) | (at == ends[text[at]])], stop[(stop - at == n) | (at == ends[text[at]])]
-                w = (sums[stop - a] - sums[at - a]).astype(np.float32)
-                norm = np.sqrt(np.einsum("ij,ij->i", w, w))
-                dot = w @ vectors
-                row, column = np.nonzero(dot >= np.maximum(self.min_cosine * norm, 1e-9)[:, None])
-                if len(row):
-                    yield 0, text[at[row]], at[row] - ends[text[at[row]]], which[column], dot[row, column] / norm[row]
-
     def candidates(self, ids: np.ndarray, ends: np.ndarray):
-        """(span, text, first word in the text, item, cosine) of the windows near an item."""
-        yield from self.short_candidates(ids, ends)
-        if not self.items.by_span:
-            return
-        blocks, first = self.latent.blocks(ids, ends)
-        text = np.repeat(np.arange(len(ends) - 1), np.diff(first))
-        sums = np.vstack([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
-        for span, which in self.items.by_span.items():
-            vectors = self.items.vectors[which].T
-            for a in range(0, len(blocks), CACHED):
-                at = np.arange(a, min(a + CACHED, len(blocks)))
-                w = (sums[np.minimum(at + span, first[text[at] + 1])] - sums[at]).astype(np.float32)
-                norm = np.sqrt(np.einsum("ij,ij->i", w, w))
-                dot = w @ vectors
-                row, column = np.nonzero(dot >= np.maximum(self.min_cosine * norm, 1e-9)[:, None])
-                if len(row):
-                    yield span, text[at[row]], (at[row] - first[text[at[row]]]) * BLOCK, which[column], dot[row, column] / norm[row]
+        """(unit, text, first word in the text, item, cosine) of the windows near an item, which begin at every unit of words."""
+        for unit, by_span in self.items.by_unit.items():
+            blocks, first = self.latent.blocks(ids, ends, unit)
+            text = np.repeat(np.arange(len(ends) - 1), np.diff(first))
+            sums = np.vstack([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
+            for span, which in by_span.items():
+                vectors = self.items.vectors[which].T
+                for a in range(0, len(blocks), CACHED):
+                    at = np.arange(a, min(a + CACHED, len(blocks)))
+                    w = (sums[np.minimum(at + span, first[text[at] + 1])] - sums[at]).astype(np.float32)
+                    norm = np.sqrt(np.einsum("ij,ij->i", w, w))
+                    dot = w @ vectors
+                    row, column = np.nonzero(dot >= np.maximum(self.min_cosine * norm, 1e-9)[:, None])
+                    if len(row):
+                        yield unit, text[at[row]], (at[row] - first[text[at[row]]]) * unit, which[column], dot[row, column] / norm[row]
 
     def hits(self, words: np.ndarray, ends: np.ndarray):
         """(text, item, share, cosine, first word of the window, answer found) of all that pass."""
@@ -317,10 +301,10 @@ class Search:
         same = np.flatnonzero(sign[order][1:] == sign[order][:-1])
         before = np.full(len(words), -1, np.int64)  # the last place of the same sign
         before[order[same + 1]] = order[same]
-        for span, text, at, item, cosine in self.candidates(features(words), ends):
+        for unit, text, at, item, cosine in self.candidates(features(words), ends):
             n = self.items.size[item]
-            # a window at every word lies where the item does; one at every block may be half a block off
-            around = n // 2 + BLOCK if span else n // 4
+            # a window lies within a unit of where the item does
+            around = n // 2 + BLOCK if unit == BLOCK else n // 4 + unit - 1
             lo = np.maximum(ends[text], ends[text] + at - around)
             hi = np.minimum(ends[text + 1], ends[text] + at + n + around)
             near = np.flatnonzero(self.bound(sign, before, lo, hi, item) >= self.min_share * n - 1e-6)
