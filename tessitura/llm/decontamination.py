@@ -10,13 +10,13 @@
 3. Every window of about an item's length, at every 16th word, is compared with every item by
    cosine of the centred latent vectors scaled to unit variance, in blocks of items. Items of fewer words than 16
    are compared with windows of their own length, at every quarter of it (at every word for less than eight words).
-   Windows above ``min_cosine`` are candidates.
+   Windows above ``min_cosine``, for short items above half of it, are candidates.
 4. A candidate is checked on words, in the window and half an item and 16 words on both sides (a short item's in a quarter): the longest
    common subsequence must have ``min_share`` of the item's words, and where it has less than
    ``sure_share`` the answer, the item's last ``ANSWER`` words, must be there for the greater part.
    Before the subsequence is found, candidates go whose words can't reach it: the item's places
    whose word stands anywhere in the window are an upper bound of it (words by an 11-bit hash,
-   which only raises the bound). Nothing but the cosine decides what is checked.
+   which only raises the bound); for short items a like bound goes before the cosine. Nothing else decides what is checked.
 
 The result has a row for each (document, item) that passes, the best place of each.
 
@@ -66,16 +66,9 @@ def lay_out(ids: np.ndarray, ends: np.ndarray, unit: int) -> tuple[np.ndarray, n
 def unit_sums(table: np.ndarray, laid: np.ndarray, unit: int) -> np.ndarray:
     """Sums over units of the table's rows (the last row, of the padding, is zero)."""
     out = np.empty((len(laid) // unit, table.shape[1]), np.float32)
-    step = CACHED // unit * unit
-    for a in range(0, len(laid), step):
-        rows = np.take(table, laid[a : a + step], axis=0, mode="clip")
-        into = out[a // unit : (a + len(rows)) // unit]
-        if unit < 8:  # the sum of few rows is faster by hand
-            into[:] = rows[::unit]
-            for k in range(1, unit):
-                into += rows[k::unit]
-        else:
-            rows.reshape(-1, unit, table.shape[1]).sum(1, out=into)
+    for a in range(0, len(laid), CACHED):
+        rows = np.take(table, laid[a : a + CACHED], axis=0, mode="clip")
+        rows.reshape(-1, unit, table.shape[1]).sum(1, out=out[a // unit : (a + len(rows)) // unit])
     return out
 
 
@@ -199,11 +192,11 @@ class Latent:
     def __init__(self, idf: np.ndarray, projection: np.ndarray, mean: np.ndarray):
         self.weighted, self.mean = _padded(projection * idf[:, None]), mean.astype(np.float32)
 
-    def blocks(self, ids: np.ndarray, ends: np.ndarray, unit: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-        """Latent vectors of the blocks of ``unit`` words of many texts, and the block in which each text starts."""
-        laid, first = lay_out(ids, ends, unit)
-        words = (laid.reshape(-1, unit) < FEATURES).sum(1)
-        return unit_sums(self.weighted, laid, unit) - self.mean * (words / BLOCK)[:, None].astype(np.float32), first
+    def blocks(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Latent vectors of the blocks of many texts, and the block in which each text starts."""
+        laid, first = lay_out(ids, ends, BLOCK)
+        words = (laid.reshape(-1, BLOCK) < FEATURES).sum(1)
+        return unit_sums(self.weighted, laid, BLOCK) - self.mean * (words / BLOCK)[:, None].astype(np.float32), first
 
 
 def fit(docs: DataFrame, rank: int = RANK, seed: int = 5) -> Latent:
@@ -279,19 +272,53 @@ class Search:
     def candidates(self, ids: np.ndarray, ends: np.ndarray):
         """(unit, text, first word in the text, item, cosine) of the windows near an item, which begin at every unit of words."""
         for unit, by_span in self.items.by_unit.items():
-            blocks, first = self.latent.blocks(ids, ends, unit)
+            if unit < BLOCK:
+                for span, which in by_span.items():
+                    yield from self.short(ids, ends, unit, span, which)
+                continue
+            blocks, first = self.latent.blocks(ids, ends)
             text = np.repeat(np.arange(len(ends) - 1), np.diff(first))
             sums = np.vstack([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
             for span, which in by_span.items():
-                vectors = self.items.vectors[which].T
                 for a in range(0, len(blocks), CACHED):
                     at = np.arange(a, min(a + CACHED, len(blocks)))
                     w = (sums[np.minimum(at + span, first[text[at] + 1])] - sums[at]).astype(np.float32)
-                    norm = np.sqrt(np.einsum("ij,ij->i", w, w))
-                    dot = w @ vectors
-                    row, column = np.nonzero(dot >= np.maximum(self.min_cosine * norm, 1e-9)[:, None])
-                    if len(row):
-                        yield unit, text[at[row]], (at[row] - first[text[at[row]]]) * unit, which[column], dot[row, column] / norm[row]
+                    row, column, cosine = self.near(w, which, self.min_cosine)
+                    yield unit, text[at[row]], (at[row] - first[text[at[row]]]) * unit, column, cosine
+
+    def near(self, w: np.ndarray, which: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, cosine) of the rows of w whose cosine with one of the items is ``least`` or more."""
+        norm = np.sqrt(np.einsum("ij,ij->i", w, w))
+        dot = w @ self.items.vectors[which].T
+        row, column = np.nonzero(dot >= np.maximum(least * norm, 1e-9)[:, None])
+        return row, which[column], dot[row, column] / norm[row]
+
+    def short(self, ids: np.ndarray, ends: np.ndarray, unit: int, span: int, which: np.ndarray):
+        """``candidates`` of items shorter than a block.
+
+        Left out are windows around which fewer words than the least subsequence belong to any of the items, as no check could pass there.
+        """
+        sizes = self.items.size[which]
+        around = int(sizes.max()) // 4 + unit - 1
+        least = int(np.ceil(self.min_share * sizes.min() - 1e-6))
+        member = np.zeros(FEATURES + 1, bool)
+        for i in which.tolist():
+            member[features(self.items.words[i])] = True
+        upto = np.r_[0, np.cumsum(member[ids])]
+        first = np.r_[0, np.cumsum(-(-np.diff(ends) // unit))]
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(first))
+        at = ends[text] + (np.arange(first[-1]) - first[text]) * unit
+        lo, hi = np.maximum(ends[text], at - around), np.minimum(ends[text + 1], at + unit * span + around)
+        live = np.flatnonzero(upto[hi] - upto[lo] >= least)
+        step = max(1, CACHED // (unit * span))
+        for a in range(0, len(live), step):
+            k = live[a : a + step]
+            places = at[k, None] + np.arange(unit * span)
+            inside = places < ends[text[k] + 1][:, None]
+            rows = self.latent.weighted[np.where(inside, ids[np.minimum(places, len(ids) - 1)], FEATURES)]
+            w = rows.sum(1) - self.latent.mean * (inside.sum(1) / BLOCK)[:, None].astype(np.float32)
+            row, column, cosine = self.near(w, which, self.min_cosine / 2)
+            yield unit, text[k[row]], at[k[row]] - ends[text[k[row]]], column, cosine
 
     def hits(self, words: np.ndarray, ends: np.ndarray):
         """(text, item, share, cosine, first word of the window, answer found) of all that pass."""
@@ -307,8 +334,8 @@ class Search:
             around = n // 2 + BLOCK if unit == BLOCK else n // 4 + unit - 1
             lo = np.maximum(ends[text], ends[text] + at - around)
             hi = np.minimum(ends[text + 1], ends[text] + at + n + around)
-            near = np.flatnonzero(self.bound(sign, before, lo, hi, item) >= self.min_share * n - 1e-6)
-            for k in near.tolist():
+            able = np.flatnonzero(self.bound(sign, before, lo, hi, item) >= self.min_share * n - 1e-6) if len(item) else item
+            for k in able.tolist():
                 i, m = int(item[k]), int(n[k])
                 near_by = words[lo[k] : hi[k]].tolist()
                 share = lcs(self.items.at[i], m, near_by) / m
