@@ -87,7 +87,8 @@ class DigestIndex:
         """
         held = self.entries().select(F.col("digest").alias("_held"), F.col("doc_id").alias("keep_id"), "batch")
         seen = firsts(rows).select(F.col("digest").alias("_digest"), F.col("row").alias("_row"), F.col("n").alias("group_size"))
-        seen = seen.repartition(self.buckets, "_digest").join(held.hint("merge"), F.col("_digest") == F.col("_held"))
+        # written, so that the last join has two plain shuffles, of which a hot digest's rows can be split
+        seen = materialize(seen.repartition(self.buckets, "_digest").join(held.hint("merge"), F.col("_digest") == F.col("_held")), "digest-entries")
         out = rows.join(seen, F.col("digest") == F.col("_digest"))
         kept = (F.col("row") == F.col("_row")) & F.col("batch").isin(batches)
         return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
