@@ -146,7 +146,7 @@ def named(merged_: DataFrame, keys: list[str]) -> DataFrame:
 
 def sections(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start_bar, length_bars, active, label, reason) from (keys, bar, source, present)."""
-    return named(merged(df, keys), keys)
+    return named(materialize(merged(df, keys), "merged-sections"), keys)  # read twice
 
 
 def arrange(frames: DataFrame, grid: DataFrame, keys: list[str], hop: float) -> DataFrame:
