@@ -42,7 +42,7 @@ from pyspark.sql.types import StructType
 from tessitura.llm.common import null_safe, text_or_empty
 from tessitura.llm.components import components
 from tessitura.llm.shingle import pack, parts, set_name, shingle_sets, unpack
-from tessitura.session import discard, materialize
+from tessitura.session import discard, materialize, release
 
 K = 5
 PERCENT = 80
@@ -410,9 +410,12 @@ def _cut(rows: DataFrame, sizes: DataFrame, limit: int, turn: int) -> tuple[Data
     measured = materialize(dealt.groupBy("region", "salt").cogroup(pivots.groupBy("p_region", "p_salt")).applyInArrow(_measure, ddl), "cells")
     links = measured.filter("pivot is not null and cls <> pivot").select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b"))
     cells = measured.filter("pivot is null").withColumn("region", F.xxhash64("region", "cell", F.lit(turn)))
-    state = cells.groupBy(F.col("region").alias("_r")).agg(F.min(F.when(~F.col("ball"), F.col("d"))).alias("_rim"))
-    left = cells.join(state, cells["region"] == state["_r"]).filter(~F.col("ball") | (F.col("d") >= F.col("_rim") - REACH))
-    return links, materialize(left.select("region", "cls", "n", "set", "member"), "cut")
+    # a cell without members links nothing
+    state = cells.groupBy(F.col("region").alias("_r")).agg(F.min(F.when(~F.col("ball"), F.col("d"))).alias("_rim"), F.max("member").alias("_some"))
+    left = cells.join(state, cells["region"] == state["_r"]).filter(F.col("_some") & (~F.col("ball") | (F.col("d") >= F.col("_rim") - REACH)))
+    links, left = materialize(links, "pivot-links"), materialize(left.select("region", "cls", "n", "set", "member"), "cut")
+    discard(measured)
+    return links, left
 
 
 def _solve(table: pa.Table) -> pa.Table:
@@ -437,42 +440,58 @@ def _sizes(rows: DataFrame) -> DataFrame:
 
 
 def _joined(rows: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """(a, b) links of classes, and whether they still are edges rather than a member and its component's name."""
+    """(a, b) links of classes, written, and whether they still are edges rather than a member and its component's name.
+
+    Takes over the table ``rows``: each table of sets goes as soon as what follows from it is written.
+    """
+    spark = rows.sparkSession
     done, found, before, turn = [], [], None, 0
     while True:
         sizes = _sizes(rows)
-        big = sizes.filter((F.col("own") > limit) & (F.col("members") > 1))
-        size = big.agg(F.sum("own")).first()[0]
+        over = (F.col("own") > limit) & (F.col("members") > 1)
+        size, whole = sizes.agg(F.sum(F.when(over, F.col("own"))), F.sum("weight")).first()
         if not size:
             done.append(rows)
             break
-        big = materialize(big, "big")
+        big = materialize(sizes.filter(over), "big")
         small = big.select(F.col("region").alias("_r"))
-        done.append(rows.join(small, rows["region"] == small["_r"], "left_anti"))
         inside = materialize(rows.join(small, rows["region"] == small["_r"], "left_semi"), "inside")
+        rest = rows.join(small, rows["region"] == small["_r"], "left_anti")
+        if 2 * size > whole:  # else what is left stays where it is
+            rest = materialize(rest, "small")
+            discard(rows)
+        done.append(rest)
+        release(spark)
         if not found and (before is None or size <= 0.5 * before):
             regions = _regions(inside, "set", inside.select("set").mapInArrow(_count_sets, "chunk int, counts binary"), size)
             named = inside.withColumn("_n", _node())
             rows = materialize(named.join(regions, named["_n"] == regions["node"]).select(F.col("label").alias("region"), "cls", "n", "set", "member"), "regions")
-            discard(inside)
             before = size
         else:
             turn += 1
             links, rows = _cut(inside, big, limit, turn)
             found.append(links)
+        discard(inside)
+        release(spark)
     rows = done[0]
     for x in done[1:]:
         rows = rows.unionByName(x)
-    sizes = _sizes(rows).filter("members > 0 and weight > 0").select(F.col("region").alias("_r"), F.ceil(F.col("weight") / F.lit(4 * limit)).alias("salts"))
-    rows = rows.join(sizes, rows["region"] == sizes["_r"])
+    # only the few regions that several tasks share are joined, so no set moves for that
+    parts = F.ceil(F.col("weight") / F.lit(4 * limit))
+    shared = materialize(_sizes(rows).select(F.col("region").alias("_r"), parts.alias("salts")).filter("salts > 1"), "shared")
+    rows = rows.join(shared, rows["region"] == shared["_r"], "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
     # members go to every part of their region, the others to one
-    mine = F.when(F.col("member"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("salts"))))
+    mine = F.when(F.col("member"), F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("salts"))))
     rows = rows.withColumn("_part", F.explode(mine)).withColumn("region", F.xxhash64("region", "_part"))
     weight = int(rows.agg(F.sum("n")).first()[0] or 0)
     tasks = max(16, weight // TASK_SHINGLES)
     links = rows.select("region", "cls", "set", "member", F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("_task")).groupBy("_task").applyInArrow(_solve, "a binary, b binary")
     for x in found:
         links = links.unionByName(x)
+    links = materialize(links, "links")
+    for x in done:
+        discard(x)
+    release(spark)
     return links, bool(found)
 
 
@@ -492,10 +511,13 @@ def _labelled(docs: DataFrame, region_limit: int) -> tuple[DataFrame, DataFrame]
     reps = slim.filter("cls is not null").groupBy("cls").agg(of.alias("_x"), F.min("n").alias("n")).withColumn("_n", _node())
     reps = reps.join(regions, reps["_n"] == regions["node"]).select(F.col("label").alias("region"), "cls", "n", F.col("_x.doc_id").alias("doc_id"), F.col("_x.name").alias("name"))
     rows = docs.join(reps, null_safe(docs, reps, ["doc_id", "name"])).select("region", "cls", "n", "text")
-    links, edges = _joined(materialize(rows.mapInArrow(_sets, ROWS), "sets"), region_limit)
+    release(docs.sparkSession)
+    sets = materialize(rows.mapInArrow(_sets, ROWS), "sets")
+    del rows, reps, regions
+    release(docs.sparkSession)
+    links, edges = _joined(sets, region_limit)
     if edges:
         links = components(links).select(F.col("node").alias("a"), F.col("label").alias("b"))
-    links = materialize(links, "links")
     # a component's name is a class that stands only on the right
     return slim, links.filter("a <> b").select(F.col("a").alias("cls"), F.col("b").alias("label"))
 

@@ -195,3 +195,17 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     kept = J.keep_one(df)
     assert kept.columns == df.columns
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([("a", near + " end"), (None, "other words"), (None, None), ("c", ""), ("c", "")])
+
+
+@pytest.mark.parametrize("limit", [2000, 4_000_000])
+def test_tables_of_sets_go_once_they_are_read(spark, docs, limit):
+    from pathlib import Path
+
+    from tessitura.session import shared_root
+
+    root = Path(shared_root(spark).split(":", 1)[-1])
+    before = set(root.iterdir())
+    J.classify(docs, limit).collect()
+    left = [p.name.rsplit("-", 1)[0] for p in root.iterdir() if p not in before]
+    assert not {"sets", "inside", "regions", "cells", "cut", "small"} & set(left)
+    assert left.count("edges") <= 3  # each search for components leaves its last ones
