@@ -267,20 +267,34 @@ def q23(spark, sf):
     return chroma(spark, sf).select("vec_id", r6(S.chroma_entropy(F.col("chroma"))).alias("h"))
 
 
-#: Vectors follow each other inside a label and a hundred of ids, so no task holds a label.
-def batch():
-    return Window.partitionBy("label", F.floor(F.col("vec_id") / 100)).orderBy("vec_id")
+#: Ids of a block: a task holds one block of a label at a time.
+BLOCK = 4096
 
 
-@query("q24_consecutive_cosine", "with v as (select vec_id, label, embedding::double[] v, lag(embedding::double[]) over (partition by label, vec_id // 100 order by vec_id) b from embeddings) select vec_id, label, round_even(list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0), 6) + 0::double sim from v where b is not null")
+def followed(spark, sf) -> DataFrame:
+    """(vec_id, label, v, b): each vector with the one before it in its label, whatever the ids between them.
+
+    Windows run inside blocks of ids; a block's first vector gets the last one of the nearest earlier block that has any,
+    by a window over the blocks' last ones.
+    """
+    v = vectors(spark, sf).withColumn("_k", F.floor(F.col("vec_id") / BLOCK))
+    inside = Window.partitionBy("label", "_k").orderBy("vec_id")
+    v = v.withColumn("b", F.lag("v").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    last = vectors(spark, sf).groupBy("label", F.floor(F.col("vec_id") / BLOCK).alias("_k")).agg(F.max_by("v", "vec_id").alias("_last"))
+    carried = last.select(F.col("label").alias("_l"), F.lead("_k").over(Window.partitionBy("label").orderBy("_k")).alias("_next"), "_last")
+    out = v.join(carried, F.col("_first") & F.col("label").eqNullSafe(F.col("_l")) & (F.col("_k") == F.col("_next")), "left")
+    return out.select("vec_id", "label", "v", F.when(F.col("_first"), F.col("_last")).otherwise(F.col("b")).alias("b")).filter("b is not null")
+
+
+@query("q24_consecutive_cosine", "with v as (select vec_id, label, embedding::double[] v, lag(embedding::double[]) over (partition by label order by vec_id) b from embeddings) select vec_id, label, round_even(list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0), 6) + 0::double sim from v where b is not null")
 def q24(spark, sf):
-    v = vectors(spark, sf).withColumn("b", F.lag("v").over(batch())).filter("b is not null")
+    v = followed(spark, sf)
     return v.select("vec_id", "label", r6(series.cosine(F.col("v"), F.col("b"))).alias("sim"))
 
 
-@query("q24b_tonal_stability", "with v as (select label, embedding::double[] v, lag(embedding::double[]) over (partition by label, vec_id // 100 order by vec_id) b from embeddings) select label, round_even(1 - avg(1 - list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0)), 6) + 0::double stability from v where b is not null group by 1")
+@query("q24b_tonal_stability", "with v as (select label, embedding::double[] v, lag(embedding::double[]) over (partition by label order by vec_id) b from embeddings) select label, round_even(1 - avg(1 - list_dot_product(v, b) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)), 0)), 6) + 0::double stability from v where b is not null group by 1")
 def q24b(spark, sf):
-    v = vectors(spark, sf).withColumn("b", F.lag("v").over(batch())).filter("b is not null")
+    v = followed(spark, sf)
     return v.groupBy("label").agg(r6(num(1) - F.avg(num(1) - series.cosine(F.col("v"), F.col("b")))).alias("stability"))
 
 
