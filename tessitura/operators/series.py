@@ -136,3 +136,23 @@ def interval_sums(values: DataFrame, spans: DataFrame, value: str, keys=KEYS) ->
 def relative_mad(x: str) -> tuple[Column, Column]:
     """Median, and the expression for the second pass: mean absolute deviation from it over it."""
     return F.percentile(x, num(0.5)), F.percentile(F.abs(F.col(x) - F.col("_m")), num(0.5)) / F.nullif(F.first("_m"), num(0))
+
+
+def place() -> Column:
+    """Where a row stands in the files it is read from."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def with_mean_in_order(rows: DataFrame, keys: list[str], at: str, columns: list[str]) -> DataFrame:
+    """``rows`` with each column replaced by its mean in the group, summed from the row with the smallest ``at`` on; nulls are skipped.
+
+    A sum of doubles depends on its order, so a mean next to a threshold would depend on how the input is split. This one doesn't.
+    """
+    whole = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.withColumns({c: F.avg(c).over(whole) for c in columns})
+
+
+def averages(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, n, columns): number of rows and means of each group of a table as it was read, summed in the order of its rows."""
+    means = with_mean_in_order(rows.select(*keys, *columns, place().alias("_at")), keys, "_at", columns)
+    return means.groupBy(*keys).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in columns])

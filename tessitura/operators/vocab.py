@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions.scalars import evidence, num
+from tessitura.operators.series import with_mean_in_order
 
 #: Fixed values.
 SHELL_BODY, CLOSED_DECAY = 0.15, 4.0
@@ -14,8 +15,14 @@ PALETTE = ["ht", "mt", "lt", "cr", "rd", "perc", "sh", "cb", "tb"]
 
 
 def drum_sound(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, cls, sound, offers, hits, evidence) per class of hits (cls, body, decay) by their medians and means, with how many they are."""
-    m = hits.groupBy(*keys, "cls").agg(F.avg("body").alias("body"), F.percentile("decay", num(0.5)).alias("decay"), F.count("*").alias("hits"))
+    """(keys, cls, sound, offers, hits, evidence) per class of hits (cls, body, decay) by their medians and means, with how many they are.
+
+    Where hits say their ``place``, means are summed in that order.
+    """
+    body = F.avg("body")
+    if "place" in hits.columns:
+        hits, body = with_mean_in_order(hits, [*keys, "cls"], "place", ["body"]), F.first("body")
+    m = hits.groupBy(*keys, "cls").agg(body.alias("body"), F.percentile("decay", num(0.5)).alias("decay"), F.count("*").alias("hits"))
     c = F.col("cls")
     sound = F.when(c == "kick", "bd").when(c == "snare", "sd").when((c == "hat") & (F.col("decay") >= CLOSED_DECAY), "hh").when((c == "hat") & F.col("decay").isNotNull(), "oh")
     offers = F.when((c == "snare") & (F.col("body") < SHELL_BODY), F.array(F.lit("cp"))).when(c == "unclassified", F.array(*[F.lit(x) for x in PALETTE])).otherwise(F.array().cast("array<string>"))

@@ -407,8 +407,8 @@ FEATURES = """select l_suppkey track, unnest(['drums', 'bass', 'vocals', 'other'
 
 @query("q32_labels", labels.oracle(FEATURES, "track, source"))
 def q32(spark, sf):
-    q, d, t, n = F.avg("l_quantity"), F.avg("l_discount"), F.avg("l_tax"), F.count("*")
-    f = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("track")).agg((num(-60) + q).alias("_l"), d.alias("rms_mean"), (num(1) + n / num(50)).alias("crest_factor"), (q / num(6)).alias("onset_density"), (num(100) * q).alias("centroid_energy_hz"), (num(50) * q).alias("centroid_mean"), (num(30) * q).alias("centroid_std"), (num(0.5) + t * num(8)).alias("chroma_entropy"), (t * num(20)).alias("band_low"), (d * num(4)).alias("band_high"), (q / num(5)).alias("transient_sharpness"))
+    q, d, t, n = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("n")
+    f = series.averages(table(spark, sf, "lineitem").withColumn("track", F.col("l_suppkey")), ["track"], ["l_quantity", "l_discount", "l_tax"]).select("track", (num(-60) + q).alias("_l"), d.alias("rms_mean"), (num(1) + n / num(50)).alias("crest_factor"), (q / num(6)).alias("onset_density"), (num(100) * q).alias("centroid_energy_hz"), (num(50) * q).alias("centroid_mean"), (num(30) * q).alias("centroid_std"), (num(0.5) + t * num(8)).alias("chroma_entropy"), (t * num(20)).alias("band_low"), (d * num(4)).alias("band_high"), (q / num(5)).alias("transient_sharpness"))
     f = f.withColumn("loudness_lufs", F.when(F.col("track") % 7 != 0, F.col("_l"))).withColumn("source", F.explode(F.array(*[F.lit(x) for x in ("drums", "bass", "vocals", "other")])))
     return labels.label(f, ["track", "source"]).select("track", "source", "label", r6(F.col("confidence")).alias("confidence"), labels.evidence_text(F.col("evidence")).alias("evidence"))
 

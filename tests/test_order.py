@@ -1,13 +1,37 @@
-"""Queries that look at whole series, and results that don't depend on how the input is split."""
+"""Results that don't depend on how the input is split, and queries that look at whole series."""
 
 import random
 
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from tessitura.operators import series, vocab
 from tessitura.plans import columnar
 
 
+def test_means_next_to_a_threshold_are_summed_in_the_order_of_rows(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for track in range(300):
+        values = [rng.randrange(0, 11) for _ in range(20)]
+        values += [10 - v for v in values]  # the mean of body is 0.15 but for rounding
+        rows += [(track, v / 100) for v in values]
+    for name, n in (("one", 1), ("seven", 7)):
+        spark.createDataFrame(rows, "track long, x double").coalesce(1).write.option("maxRecordsPerFile", len(rows) // n + 1).parquet(str(tmp_path / name))
+    want = {}
+    for track, x in rows:
+        want[track] = want.get(track, 0.0) + x * 3
+    want = {t: s / 40 for t, s in want.items()}
+    assert len({m < 0.15 for m in want.values()}) == 2
+    for name in ("one", "seven"):
+        t = spark.read.parquet(str(tmp_path / name)).select("track", F.lit("snare").alias("cls"), (F.col("x") * 3).alias("body"), F.lit(1.0).alias("decay"), series.place().alias("place"))
+        got = vocab.drum_sound(t.repartition(5, "body"), ["track"]).select("track", "evidence.body", F.size("offers").alias("offers")).collect()
+        assert {r["track"]: r["body"] for r in got} == want
+        assert all((r["offers"] == 1) == (want[r["track"]] < 0.15) for r in got)
+
+
 @pytest.mark.parametrize("name", ["q24_consecutive_cosine", "q24b_tonal_stability"])
 def test_vectors_follow_each_other_across_blocks_of_ids(spark, tmp_path, name):
     rng = random.Random(5)
