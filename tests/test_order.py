@@ -44,3 +44,18 @@ def test_vectors_follow_each_other_across_blocks_of_ids(spark, tmp_path, name):
     want = sorted(con.sql(columnar.ORACLES[name]).fetchall())
     assert got == want
     assert len(want) == (len(rows) - 2 if name.startswith("q24_") else 2)
+
+
+def test_notes_of_runs_are_those_of_frames(spark):
+    import numpy as np
+
+    from tessitura.operators import notes
+
+    rng = np.random.default_rng(2)
+    f0, n = rng.choice([40.0, 41.0, 80.0, 55.0], 60), rng.integers(1, 30, 60)
+    runs = [("a", int(s), int(k), float(x), True, 0.9) for s, k, x in zip(np.cumsum(n) - n, n, f0, strict=True)]
+    frames = [("a", s + i, x, v, p) for _, s, k, x, v, p in runs for i in range(k)]
+    a = notes.segment_notes(spark.createDataFrame(runs, "track string, frame long, length int, f0_hz double, voiced boolean, voiced_prob double"), ["track"], 512 / 44100)
+    b = notes.segment_notes(spark.createDataFrame(frames, "track string, frame long, f0_hz double, voiced boolean, voiced_prob double"), ["track"], 512 / 44100)
+    got, want = a.collect(), b.collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 10
