@@ -23,6 +23,8 @@ from tessitura.sources import audio
 #: Bytes of a file that one task reads, unless the option ``partitionBytes`` says otherwise.
 PARTITION_BYTES = 32 << 20
 HEADER_BYTES = 1 << 16
+#: Samples that are held in memory before they are written.
+WRITE_SAMPLES = 1 << 20
 SCHEMA = "track string, source string, chunk bigint, samples array<float>, before array<float>, after array<float>, total bigint, path string, channels int, error string"
 
 
@@ -176,7 +178,8 @@ def read_chunks(spark: SparkSession, path: str, partition_bytes: int = PARTITION
 def write_recordings(values: DataFrame, root: str, hold: int = 1) -> DataFrame:
     """Writes <root>/<track>/<source>.wav of 16 bits from (track, source, i, value) within -1 and 1, each value held for ``hold`` samples; (track, source, path, total).
 
-    One group is one recording. A task that runs again writes the same bytes.
+    One group is one recording, of which a task holds the values but only ``WRITE_SAMPLES`` of the held samples. A task that runs again
+    writes the same bytes.
     """
 
     def run(key, table):
@@ -184,12 +187,14 @@ def write_recordings(values: DataFrame, root: str, hold: int = 1) -> DataFrame:
 
         track, source = (k.as_py() for k in key)
         order = np.argsort(table["i"].to_numpy(), kind="stable")
-        x = np.repeat(np.rint(np.clip(table["value"].to_numpy()[order], -1, 1) * 32767).astype("<i2"), hold)
+        x = np.rint(np.clip(table["value"].to_numpy()[order], -1, 1) * 32767).astype("<i2")
+        total, step = len(x) * hold, max(1, WRITE_SAMPLES // hold)
         system, at = fs.FileSystem.from_uri(root)
         system.create_dir(f"{at}/{track}", recursive=True)
-        data = x.tobytes()
         with system.open_output_stream(f"{at}/{track}/{source}.wav") as out:
-            out.write(b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, SAMPLE_RATE, 2 * SAMPLE_RATE, 2, 16) + b"data" + struct.pack("<I", len(data)) + data)
-        return pa.table({"track": [track], "source": [source], "path": [f"{root}/{track}/{source}.wav"], "total": pa.array([len(x)], pa.int64())})
+            out.write(b"RIFF" + struct.pack("<I", 36 + 2 * total) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, SAMPLE_RATE, 2 * SAMPLE_RATE, 2, 16) + b"data" + struct.pack("<I", 2 * total))
+            for a in range(0, len(x), step):
+                out.write(np.repeat(x[a : a + step], hold).tobytes())
+        return pa.table({"track": [track], "source": [source], "path": [f"{root}/{track}/{source}.wav"], "total": pa.array([total], pa.int64())})
 
     return values.select("track", "source", "i", "value").groupBy("track", "source").applyInArrow(run, "track string, source string, path string, total bigint")

@@ -130,3 +130,29 @@ def test_levels_of_chunks_against_the_whole(spark, tmp_path, noise):
         assert abs(r["crest"] - np.abs(x).max() / np.sqrt((x**2).mean())) < 1e-9 and abs(r["seconds"] - len(x) / 44100) < 1e-9
     assert got["b"]["lufs"] is None and got["b"]["peak"] > 0
     assert got["c"]["lufs"] is None and got["c"]["crest"] is None and got["c"]["peak"] == 0
+
+
+def test_a_recording_is_written_in_parts(spark, tmp_path, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    values = np.linspace(-1, 1, 50)
+    table = pa.table({"track": ["t"] * 50, "source": ["s"] * 50, "i": range(50), "value": values})
+    most, hold, repeat = [], 256, np.repeat
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(wav, "WRITE_SAMPLES", 1024, raising=False)
+    monkeypatch.setattr(np, "repeat", lambda x, n: most.append(len(x) * n) or repeat(x, n))
+    out = wav.write_recordings(Rows(), f"file://{tmp_path}", hold)((pa.scalar("t"), pa.scalar("s")), table)
+    raw = (tmp_path / "t" / "s.wav").read_bytes()
+    assert max(most) <= 1024 and out.column("total").to_pylist() == [50 * hold]
+    assert raw[44:] == repeat(np.rint(values * 32767).astype("<i2"), hold).tobytes() and len(raw) == 44 + 100 * hold
