@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.scalars import caveats, clean, finite, num, positive
+from tessitura.operators import series
 from tessitura.session import materialize
 
 #: Fixed values.
@@ -51,8 +52,8 @@ def presence(levels: DataFrame, keys: list[str], kick: str = KICK, drums: str =
     A source is absent if its 90th percentile is under a fiftieth of the loudest's, as all are if none sounds;
     the kick, part of the drums, has no say there and is absent when the drums are. A threshold of 0 is never reached.
     """
-    by_source, by_track = Window.partitionBy(*keys, "source"), Window.partitionBy(*keys)
-    b = levels.withColumn("_ref", F.percentile("level", num(REFERENCE)).over(by_source))
+    by_track = Window.partitionBy(*keys)
+    b = series.with_quantile(levels, "_ref", "level", REFERENCE, [*keys, "source"])
     stem = F.col("source") != kick
     b = b.withColumn("_top", F.max(F.when(stem, F.col("_ref"))).over(by_track))
     b = b.withColumn("_out", F.coalesce(F.col("_ref") / F.nullif(F.col("_top"), num(0)), num(0)) < num(ACTIVE))

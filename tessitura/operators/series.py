@@ -29,6 +29,20 @@ def rolling_median(x: str, half: int, keys=KEYS, order: str = "frame") -> Column
     return F.percentile(x, num(0.5)).over(over(keys, order).rowsBetween(-half, half))
 
 
+def with_quantile(df: DataFrame, name: str, x: str, fraction: float, keys: list[str]) -> DataFrame:
+    """``df`` with ``name``: the quantile of ``x`` in the group, between two ranks lower * (1 - f) + upper * f, where the first product is not rounded before the sum.
+
+    That is how the SQL's ``quantile_cont`` interpolates; ``percentile`` rounds both products, and its last bit decides levels that lie on a threshold.
+    """
+    whole = Window.partitionBy(*keys)
+    df = df.withColumn("_rank", F.row_number().over(whole.orderBy(F.col(x).asc_nulls_last())) - 1).withColumn("_at", (F.count(x).over(whole) - 1) * num(fraction))
+    ranked = lambda r: F.max(F.when(F.col("_rank") == r, F.col(x))).over(whole)
+    df = df.withColumn("_lo", ranked(F.floor("_at"))).withColumn("_hi", ranked(F.ceil("_at")))
+    f = F.col("_at") - F.floor("_at")
+    between = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), "_lo", num(1) - f, F.col("_hi") * f).cast("double")
+    return df.withColumn(name, F.when(F.col("_lo").isNotNull() & (f > 0), between).otherwise(F.col("_lo"))).drop("_rank", "_at", "_lo", "_hi")
+
+
 def local_max(x: str, half: int, keys=KEYS, order: str = "frame") -> Column:
     return F.max(x).over(over(keys, order).rowsBetween(-half, half))
 

@@ -73,9 +73,9 @@ def q05(spark, sf):
 
 
 def bars(spark, sf) -> DataFrame:
-    """(track, source, bar, level): RMS of the values of each day."""
-    e = envelope(spark, sf).withColumn("bar", F.floor(F.col("t") / num(86400)))
-    return e.groupBy(*KEYS, "bar").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("level"))
+    """(track, source, bar, level): RMS of the values of each day, summed in the order of the table's rows."""
+    e = table(spark, sf, "events").withColumns({"track": F.col("user_id"), "source": F.col("event_type"), "bar": F.floor(seconds("ts") / num(86400)), "power": F.col("value") * F.col("value")})
+    return series.averages(e, [*KEYS, "bar"], ["power"]).select(*KEYS, "bar", F.sqrt("power").alias("level"))
 
 
 def presence(spark, sf) -> DataFrame:

@@ -1,5 +1,6 @@
 """Results that don't depend on how the input is split, and queries that look at whole series."""
 
+import math
 import random
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessitura.operators import series, vocab
-from tessitura.plans import columnar
+from tessitura.plans import columnar, extended
 
 
 def test_means_next_to_a_threshold_are_summed_in_the_order_of_rows(spark, tmp_path):
@@ -59,3 +60,40 @@ def test_notes_of_runs_are_those_of_frames(spark):
     b = notes.segment_notes(spark.createDataFrame(frames, "track string, frame long, f0_hz double, voiced boolean, voiced_prob double"), ["track"], 512 / 44100)
     got, want = a.collect(), b.collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 10
+
+
+def days(spark, rows, path, files=1):
+    """``events`` of (user, type, day, value), in the order of their ids."""
+    e = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id long, event_type string, day long, value double")
+    e = e.select("event_id", F.expr("timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(cast(day as int))").alias("ts"), "user_id", "event_type", "value")
+    e.coalesce(1).sortWithinPartitions("event_id").write.option("maxRecordsPerFile", len(rows) // files + 1).parquet(f"{path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{path}/events.parquet/*.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["q06_presence", "q07_sections", "q52_section_merge", "q61_arrangement_lines"])
+def test_levels_on_their_threshold_are_present_as_the_sql_has_them(spark, tmp_path, name):
+    # the last bit of a quantile between two levels decides the least one
+    cases = [(5, 107.47, 141.02, 19.14), (4, 57.16, 72.36, 10.17), (7, 179.82, 216.27, 29.16), (4, 232.1, 259.1, 37.65), (8, 265.8, 273.8, 40.23), (4, 69.68, 107.28, 14.4), (5, 211.27, 212.82, 31.83)]
+    rows = []
+    for user, (n, lo, hi, least) in enumerate(cases):
+        rows += [(user, "view", day, v) for day, v in enumerate([least] * 2 + [lo] * (n - 3) + [hi])]
+    con = days(spark, rows, tmp_path)
+    plan, sql = {**columnar.QUERIES, **extended.QUERIES}[name], {**columnar.ORACLES, **extended.ORACLES}[name]
+    got = plan(spark, str(tmp_path))
+    want = con.sql(sql).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    if name == "q06_presence":
+        assert {r["present"] for r in got.filter("bar = 0").collect()} == {True, False}
+
+
+def test_levels_of_days_are_summed_in_the_order_of_rows(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.randrange(3), "view", 0, rng.randrange(1, 30000) / 100) for _ in range(600)]
+    want = {}
+    for user, _, _, v in rows:
+        s, n = want.get(user, (0.0, 0))
+        want[user] = s + v * v, n + 1
+    days(spark, rows, tmp_path, 7)
+    assert {r["track"]: r["level"] for r in columnar.bars(spark, str(tmp_path)).collect()} == {u: math.sqrt(s / n) for u, (s, n) in want.items()}
