@@ -70,7 +70,11 @@ def analyse(frames: DataFrame, levels: DataFrame, wanted: DataFrame, hop: float
 
     ``frames`` are rows of the sound pass, ``levels`` of whole recordings (loudness, peak, crest).
     """
-    frames = materialize(frames, "sound-frames")  # the pass over samples runs once
+    return described(materialize(frames, "sound-frames"), levels, wanted, hop)  # the pass over samples runs once
+
+
+def described(frames: DataFrame, levels: DataFrame, wanted: DataFrame, hop: float = HOP_SECONDS) -> DataFrame:
+    """``analyse`` of frames that are written already."""
     found = materialize(rhythm.onsets(frames, KEYS), "onsets")
     timing = rhythm.describe(frames, found, KEYS, hop)
     speed = rhythm.trusted(rhythm.coarse_tempo(frames, KEYS, hop), timing, KEYS).select(*KEYS, "bpm")

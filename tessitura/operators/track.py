@@ -209,7 +209,7 @@ class Track:
 def from_sound(frames: DataFrame, f0: DataFrame, levels: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of sources, rows of tracks) from the frames, pitch and levels of recordings; ``wanted`` has (track, source)."""
     frames = materialize(frames, "sound-frames")
-    described = materialize(analysis.analyse(frames, levels, wanted), "descriptors")
+    described = materialize(analysis.described(frames, levels, wanted), "descriptors")
     mix = described.filter("source = 'mix'").select("track", "bpm", F.lit(None).cast("double").alias("r"))
     t = Track(frames, mix, f0.filter("source = 'bass'").drop("source"))
     return t.sources(described), t.tracks()

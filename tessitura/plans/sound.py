@@ -29,14 +29,19 @@ KEYS = ["track", "source"]
 
 def recordings(spark, sf) -> DataFrame:
     """Chunk rows of the recordings: written, then read by ranges of bytes."""
-    return sound_of(spark, table(spark, sf, "events"))
+    return sound_of(spark, table(spark, sf, "events"))[0]
 
 
-def sound_of(spark, events: DataFrame) -> DataFrame:
+#: Bytes of a recording that one task reads: many chunks, as a task of few takes longer to start than to read.
+READ_BYTES = 8 << 20
+
+
+def sound_of(spark, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunk rows, (track, source, path, total)) of the recordings of ``events``."""
     e = events.select(F.concat(F.lit("week"), F.floor(seconds("ts") / num(WEEK)).cast("string")).alias("track"), F.col("event_type").alias("source"), F.col("event_id").alias("i"), (F.col("value") / num(FULL)).alias("value"))
     root = new_path(spark, "recordings")
-    materialize(wav.write_recordings(e, root, HOLD), "recordings-written")
-    return wav.read_chunks(spark, root, 1 << 20)
+    written = materialize(wav.write_recordings(e, root, HOLD), "recordings-written")
+    return wav.read_chunks(spark, root, READ_BYTES), written
 
 
 #: The samples of a recording in SQL: v, the i-th value as it is read back.
@@ -98,9 +103,8 @@ def q46(spark, sf):
 
 @query("q65_descriptors")
 def q65(spark, sf):
-    chunks = recordings(spark, sf)
-    wanted = chunks.select(*KEYS).distinct()
-    return analysis.analyse(audio.frame_bands(chunks), audio.levels(chunks, KEYS), wanted)
+    chunks, written = sound_of(spark, table(spark, sf, "events"))
+    return analysis.analyse(audio.frame_bands(chunks), audio.levels(chunks, KEYS), written.select(*KEYS))
 
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -310,7 +314,8 @@ def q82(spark, sf):
 def q83(spark, sf):
     """From the sound of events to hints: a type's recording is a source, errors are the mix."""
     kinds = F.create_map(*[x for k, v in {**SOURCES, "error": "mix"}.items() for x in (F.lit(k), F.lit(v))])
-    chunks = materialize(sound_of(spark, table(spark, sf, "events").withColumn("event_type", F.try_element_at(kinds, F.col("event_type")))), "event-sound")
-    wanted = analysis.expected(chunks.select("track"))
+    chunks, written = sound_of(spark, table(spark, sf, "events").withColumn("event_type", F.try_element_at(kinds, F.col("event_type"))))
+    chunks = materialize(chunks, "event-sound")
+    wanted = analysis.expected(written.select("track"))
     found, tracks = track.from_sound(audio.frame_bands(chunks), audio.pitch(chunks.filter("source = 'bass'")), audio.levels(chunks, KEYS), wanted)
     return sinks.documents(hints.assemble(tracks, found))

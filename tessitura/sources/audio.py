@@ -518,6 +518,17 @@ def weighted(x: np.ndarray) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(weighting(), size), size)[: len(x)]
 
 
+@lru_cache(maxsize=4)
+def _response(size: int) -> np.ndarray:
+    return np.fft.rfft(weighting(), size)
+
+
+def weighted_after(x: np.ndarray) -> np.ndarray:
+    """The samples after the first BEFORE ones, after the loudness filters: the transform is as long as ``x``, as its wrap only touches those."""
+    size = -(-len(x) // BEFORE) * BEFORE
+    return np.fft.irfft(np.fft.rfft(x, size) * _response(size), size)[BEFORE : len(x)]
+
+
 def loudness(samples: np.ndarray) -> float | None:
     """Integrated loudness in LUFS of a whole recording in memory; null under 0.4 s."""
     y = weighted(np.asarray(samples, float)) ** 2
@@ -554,7 +565,7 @@ def cells(audio: DataFrame) -> DataFrame:
                 if own <= 0:
                     continue
                 whole = np.r_[before, x[: N_FFT // 2 + own]]
-                y, x = weighted(whole)[-own:] ** 2, whole[-own:]
+                y, x = weighted_after(whole)[-own:] ** 2, whole[-own:]
                 first = start // CELL
                 at = np.maximum(0, np.arange(first, (start + own - 1) // CELL + 1) * CELL - start)
                 n = np.diff(np.r_[at, own])

@@ -185,7 +185,7 @@ def write_recordings(values: DataFrame, root: str, hold: int = 1) -> DataFrame:
     def run(key, table):
         from pyarrow import fs
 
-        track, source = (k.as_py() for k in key)
+        track, source = (str(k.as_py()) for k in key)  # as they are read back from the path
         order = np.argsort(table["i"].to_numpy(), kind="stable")
         x = np.rint(np.clip(table["value"].to_numpy()[order], -1, 1) * 32767).astype("<i2")
         total, step = len(x) * hold, max(1, WRITE_SAMPLES // hold)

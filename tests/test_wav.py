@@ -156,3 +156,18 @@ def test_a_recording_is_written_in_parts(spark, tmp_path, monkeypatch):
     raw = (tmp_path / "t" / "s.wav").read_bytes()
     assert max(most) <= 1024 and out.column("total").to_pylist() == [50 * hold]
     assert raw[44:] == repeat(np.rint(values * 32767).astype("<i2"), hold).tobytes() and len(raw) == 44 + 100 * hold
+
+
+def test_recordings_are_read_by_few_tasks_and_named_as_they_are_read_back(spark):
+    from tessitura.plans import sound
+
+    e = spark.range(9000).selectExpr("id event_id", "timestamp_ntz'2024-01-02 00:00:00' ts", "if(id < 8990, 'view', null) event_type", "cast(id % 100 as double) value")
+    chunks, written = sound.sound_of(spark, e)
+    assert chunks.rdd.getNumPartitions() == 2  # two recordings, of 4.6 MB and less
+    names = {tuple(r) for r in written.select("track", "source").collect()}
+    assert names == {tuple(r) for r in chunks.select("track", "source").distinct().collect()} == {("week0", "view"), ("week0", "None")}
+
+
+def test_loudness_filters_by_a_short_transform():
+    x = np.random.default_rng(1).standard_normal(audio.BEFORE + 50000)
+    assert np.allclose(audio.weighted_after(x), audio.weighted(x)[audio.BEFORE :], atol=1e-12)
