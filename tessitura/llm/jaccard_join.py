@@ -7,10 +7,13 @@ a region must see besides its own, and regions are joined recursively and exactl
 1. Equal sets are one class, named by 128 bits; everything below works on classes.
 2. Two texts that share no shingle have distance 1, as almost all pairs do, so the space first
    falls apart by single shingles: in any total order of all shingles a class of n shingles
-   can only link with one that shares one of its first n - ceil(0.8 n) + 1. The order is by a
-   fixed-size count sketch of all shingles' frequencies, so frequent shingles connect little. The
-   components of this graph (stars of edges by size, never pairs) are the first regions. The
-   sets of the classes in them are written once.
+   can only link with one that shares s of its first n - ceil(0.8 n) + s. For s we take a 20th of the
+   smaller class's shingles, 3 at least, as one shingle in common chains most of a large table into
+   one region of texts that are all far from each other. Shared shingles are counted by pair where
+   up to ``PAIRS`` classes have one; a shingle of more connects them by stars of edges by size.
+   The order is by a fixed-size count sketch of all shingles' frequencies, so frequent shingles
+   connect little. The components of this graph are the first regions. The sets of the classes
+   in them are written once.
 3. A region whose members hold more than ``region_limit`` shingles goes through step 2 among its like,
    with a sketch that is sharper by as much as they are fewer, as long as that halves them; then
    it is cut by pivots: each class is measured against the region's pivots and belongs to
@@ -54,6 +57,8 @@ REGION_LIMIT = 4_000_000
 BUCKET_KEYS, TASK_SHINGLES = 400_000, 2_000_000
 #: Classes that are compared with each other.
 LEAF = 16
+#: Classes of one shingle whose pairs are counted; an edge of a star counts for so many.
+PAIRS, STAR = 32, 1 << 40
 #: Links reach so far (a trifle more, for rounding); beyond FAR of all pivots a class is outside.
 REACH, FAR = 1 - PERCENT / 100 + 1e-9, 0.6
 
@@ -63,6 +68,11 @@ def needed(n):
     return (PERCENT * n + 99) // 100
 
 
+def sure(n):
+    """Shingles that a class of n and one of n or more share, if they link, among the first of each: n - needed(n) + sure(n)."""
+    return np.minimum(needed(n), np.maximum(3, n // 20))
+
+
 def linked(shared, n, m):
     """Jaccard similarity of at least 0.8, in integers."""
     return 100 * shared >= PERCENT * (n + m - shared)
@@ -165,7 +175,7 @@ def _prefixes(rank, buckets: int, column: str):
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(c)
-                p = n - needed(n) + 1
+                p = n - needed(n) + int(sure(n))
                 keys = _ordered(s, order)
                 if p < n:
                     keys = np.partition(keys, p - 1)[:p]
@@ -180,8 +190,8 @@ def _prefixes(rank, buckets: int, column: str):
     return run
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """Edges that connect, by each shingle, all classes that sizes let link."""
+def _edges(table: pa.Table) -> pa.Table:
+    """Pairs of classes that sizes let link, how many shingles of this bucket they share and how many are needed; stars need no more."""
     key, node, n = unpack(table.column("key"), np.uint64), unpack(table.column("node"), np.int64), unpack(table.column("n"), np.int32)
     order = np.argsort(key, kind="stable")
     key, node, n = key[order], node[order], n[order].astype(np.int64)
@@ -193,8 +203,19 @@ def _stars(table: pa.Table) -> pa.Table:
     fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]
     key, node, n = key[fresh], node[fresh], n[fresh]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    ends = np.r_[first[1:], len(key)][: len(first)]
+    few = ends - first <= PAIRS
+    at, step, pairs = np.flatnonzero(np.repeat(few, ends - first)), 1, []
+    while len(at):
+        at = at[at + step < len(key)]
+        at = at[(key[at] == key[at + step]) & (n[at] >= needed(n[at + step]))]  # larger ones follow
+        x, y = node[at], node[at + step]
+        pairs.append(np.column_stack((np.maximum(x, y), np.minimum(x, y), sure(n[at]))))
+        step += 1
+    pairs = np.concatenate(pairs) if pairs else np.empty((0, 3), np.int64)
+    pairs, shared = np.unique(pairs, axis=0, return_counts=True)
     edges = []
-    for a, b in zip(first, np.r_[first[1:], len(key)][: len(first)], strict=True):
+    for a, b in zip(first[~few], ends[~few], strict=True):
         while a < b - 1:
             size = n[a:b]
             e = int(np.searchsorted(size, size[0] * 100 // PERCENT, side="right"))  # sizes up to 1.25 times
@@ -205,15 +226,19 @@ def _stars(table: pa.Table) -> pa.Table:
                 edges.append(np.array([[node[last], node[last + 1]]]))
             a = last + 1
     e = np.unique(np.sort(np.concatenate(edges), axis=1), axis=0) if edges else np.empty((0, 2), np.int64)
-    return pa.table({"a": pa.array(e[:, 1], pa.int64()), "b": pa.array(e[:, 0], pa.int64())})
+    both = np.concatenate((pairs[:, :2], e[:, ::-1]))
+    shared, least = np.concatenate((shared, np.full(len(e), STAR))), np.concatenate((pairs[:, 2], np.zeros(len(e), np.int64)))
+    return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "shared": pa.array(shared, pa.int64()), "least": pa.array(least, pa.int64())})
 
 
 def _regions(rows: DataFrame, column: str, chunks: DataFrame, total: int) -> DataFrame:
-    """(node, label) of all classes of ``rows`` that share one of their first shingles with another."""
+    """(node, label) of all classes of ``rows`` that share enough of their first shingles with another."""
     rank = rows.sparkSession.sparkContext.broadcast(_sketch(chunks))
-    buckets = max(64, int(total * 0.21) // BUCKET_KEYS)
+    buckets = max(64, int(total * 0.26) // BUCKET_KEYS)
     packed = rows.select(column).mapInArrow(_prefixes(rank, buckets, column), "bucket long, key binary, node binary, n binary")
-    return components(packed.groupBy("bucket").applyInArrow(_stars, "a long, b long"))
+    edges = packed.groupBy("bucket").applyInArrow(_edges, "a long, b long, shared long, least long")
+    edges = edges.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
+    return components(edges.filter("shared >= least").select("a", "b"))
 
 
 def overlaps(pivots: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:

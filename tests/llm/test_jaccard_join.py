@@ -4,6 +4,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessitura.llm import jaccard_join as J
 
@@ -209,3 +210,41 @@ def test_tables_of_sets_go_once_they_are_read(spark, docs, limit):
     left = [p.name.rsplit("-", 1)[0] for p in root.iterdir() if p not in before]
     assert not {"sets", "inside", "regions", "cells", "cut", "small"} & set(left)
     assert left.count("edges") <= 3  # each search for components leaves its last ones
+
+
+def test_texts_that_share_single_shingles_are_no_region(spark):
+    rng, rows = random.Random(11), []
+    for i in range(400):  # each text shares five rare shingles with five others, so single ones chain all of them
+        words = [f"t{i}w{k}" for k in range(60)]
+        for j in range(5):
+            at = 11 * j
+            words[at : at + 5] = [f"s{(i * 5 + j * 401) % 700}x{k}" for k in range(5)]
+        rows.append((i, " ".join(words)))
+    for i in range(0, 400, 20):  # and some have a near copy
+        words = rows[i][1].split()
+        words[rng.randrange(30)] = f"other{i}"
+        rows.append((1000 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("name", F.lit(None).cast("binary"))
+    scan = df.mapInArrow(J._scan, "doc_id long, name binary, n long, cls binary, chunk int, counts binary")
+    total = scan.agg(F.sum("n")).first()[0]
+    sizes = [r["count"] for r in J._regions(df, "text", scan.select("chunk", "counts"), total).groupBy("label").count().collect()]
+    assert max(sizes) < 10 and sum(sizes) >= 40
+    assert {r[0]: (r[1], r[2]) for r in J.classify(df).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_linked_sets_share_the_needed_ones_among_their_first(seed):
+    sets = close_sets(seed) + [s[:n] for s in close_sets(seed, 10) for n in (1, 2, 3, 4, 5, 6, 7, 9)]
+    order = np.random.default_rng(seed).permutation(len(np.unique(np.concatenate(sets))))
+    every = np.unique(np.concatenate(sets))
+    firsts = [np.sort(order[np.searchsorted(every, s)])[: len(s) - J.needed(len(s)) + J.sure(len(s))] for s in sets]
+    found = pairs(sets)
+    assert len(found) > 100
+    assert all(len(np.intersect1d(firsts[x], firsts[y])) >= J.sure(min(len(sets[x]), len(sets[y]))) for x, y in found)
+
+
+def test_shingles_of_few_and_many_classes_connect_the_same(spark, monkeypatch, docs, rows):
+    want = brute([(r[0], r[1]) for r in rows])
+    for most in (1, 4):
+        monkeypatch.setattr(J, "PAIRS", most)
+        assert {r[0]: (r[1], r[2]) for r in J.classify(docs).collect()} == want
