@@ -213,16 +213,16 @@ def test_tables_of_sets_go_once_they_are_read(spark, docs, limit):
 
 
 def test_texts_that_share_single_shingles_are_no_region(spark):
-    rng, rows = random.Random(11), []
-    for i in range(400):  # each text shares five rare shingles with five others, so single ones chain all of them
-        words = [f"t{i}w{k}" for k in range(60)]
-        for j in range(5):
-            at = 11 * j
-            words[at : at + 5] = [f"s{(i * 5 + j * 401) % 700}x{k}" for k in range(5)]
-        rows.append((i, " ".join(words)))
-    for i in range(0, 400, 20):  # and some have a near copy
-        words = rows[i][1].split()
-        words[rng.randrange(30)] = f"other{i}"
+    rng = random.Random(11)
+    slots = [i for i in range(200) for _ in range(12)]
+    rng.shuffle(slots)
+    blocks = {i: [] for i in range(200)}
+    for k, i in enumerate(slots):  # a block stands in two texts, so that too few shingles are in one only to fill the first ones
+        blocks[i] += [f"b{k // 2}w{j}" for j in range(25)]
+    rows = [(i, " ".join(words)) for i, words in blocks.items()]
+    for i in range(0, 200, 10):  # and some have a near copy
+        words = list(blocks[i])
+        words[rng.randrange(300)] = f"other{i}"
         rows.append((1000 + i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("name", F.lit(None).cast("binary"))
     scan = df.mapInArrow(J._scan, "doc_id long, name binary, n long, cls binary, chunk int, counts binary")
